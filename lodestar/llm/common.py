@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Words are maximal runs of anything but these six ASCII white space characters.
 SPACES = "\\x20\\x09-\\x0D"
@@ -22,12 +23,17 @@ def bound_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
-def map_batches(df: DataFrame, f, schema: str) -> DataFrame:
+def map_batches(df: DataFrame, f, schema: str | T.StructType) -> DataFrame:
     """``mapInArrow`` with bounded batches."""
     bound_batches(df.sparkSession)
     return df.mapInArrow(f, schema)
 
 
+def schema_with(df: DataFrame, **more: T.DataType) -> T.StructType:
+    """The schema of ``df`` with further columns."""
+    return T.StructType([*df.schema.fields, *(T.StructField(k, t) for k, t in more.items())])
+
+
 def text_of(col: str | Column) -> Column:
     """The text as a string; null counts as empty."""
     return F.coalesce((F.col(f"`{col}`") if isinstance(col, str) else col).cast("string"), F.lit(""))

@@ -21,8 +21,9 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from lodestar.llm.common import column_arrays, map_batches, quantile_bounds, text_of, width
+from lodestar.llm.common import column_arrays, map_batches, quantile_bounds, schema_with, text_of, width
 
 GRAM, LANES, EQUAL = 12, 256, 8
 _CHUNK = 1 << 19
@@ -146,8 +147,7 @@ def fingerprint(docs: DataFrame, text: str = "text") -> DataFrame:
             prints = pa.array([of_paragraphs(t or "").text() for t in texts], pa.string())
             yield pa.RecordBatch.from_arrays([*batch.columns, prints], names=[*names, "fingerprint"])
 
-    schema = docs.schema.add("fingerprint", "string")
-    return map_batches(docs, run, schema)
+    return map_batches(docs, run, schema_with(docs, fingerprint=T.StringType()))
 
 
 def edit_likeness(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

@@ -50,4 +50,13 @@ SELECT doc_id, size, source_size, target,
 FROM c
 """
 
-ORACLES = {"op3_quality_rules": OP3, "op9_mixing": OP9}
+OP5 = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html, strlen(coalesce(html, '')) AS n FROM pages),
+g AS (SELECT html, max(page_id) AS keeper FROM p WHERE n >= 1000 GROUP BY html)
+SELECT p.page_id, n::BIGINT AS payload_bytes, sha1(p.html) AS payload_digest,
+       CASE WHEN keeper IS NULL OR keeper = page_id THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN keeper <> page_id THEN keeper END AS refers_to
+FROM p LEFT JOIN g ON g.html = p.html
+"""
+
+ORACLES = {"op5_warc": OP5, "op3_quality_rules": OP3, "op9_mixing": OP9}

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from lodestar.llm import fingerprints, mixing, packing, rules, tokens
+from lodestar.llm import fingerprints, html, mixing, packing, quality, rules, tokens, warc
 from lodestar.llm.oracles import ORACLES  # noqa: F401
 from lodestar.sources.workspace import materialize
 
@@ -17,6 +18,13 @@ def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.edit_likeness(_table(spark, sf_dir, "documents"))
 
 
+def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = F.coalesce(quality.crc_mod("doc_id", 3) == 1, F.lit(False))
+    net = quality.train(docs, _table(spark, sf_dir, "labels"), ~held_out)
+    return quality.score(docs, net).select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "source", "text")
     measured = materialize(rules.measure(docs).drop("text"), "measured")  # numbers only
@@ -24,6 +32,10 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", *rules.METRICS, "base_failed", "kept")
 
 
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive(_table(spark, sf_dir, "pages")).drop("record_id")
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"))
 
@@ -37,10 +49,17 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.fair_queue(docs).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract(_table(spark, sf_dir, "pages"))
+
+
 QUERIES = {
     "op1_fingerprints": op1_fingerprints,
+    "op2_quality_classifier": op2_quality_classifier,
     "op3_quality_rules": op3_quality_rules,
+    "op5_warc": op5_warc,
     "op6_packing": op6_packing,
     "op7_token_counts": op7_token_counts,
     "op9_mixing": op9_mixing,
+    "op10_html": op10_html,
 }
