@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestar.llm import fingerprints, html, mixing, packing, quality, rules, tokens, warc
+from lodestar.llm import fingerprints, html, mixing, packing, quality, rules, tokens, toxicity, warc
 from lodestar.llm.oracles import ORACLES  # noqa: F401
 from lodestar.sources.workspace import materialize
 
@@ -44,6 +44,13 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.count_tokens(_table(spark, sf_dir, "documents"))
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = F.coalesce(quality.crc_mod("doc_id", 5) == 0, F.lit(False))
+    model = toxicity.train(docs, _table(spark, sf_dir, "labels"), ~held_out)
+    return toxicity.score(docs, model).select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "source", "text")
     return mixing.fair_queue(docs).select("doc_id", "size", "source_size", "target", "taken")
@@ -60,6 +67,7 @@ QUERIES = {
     "op5_warc": op5_warc,
     "op6_packing": op6_packing,
     "op7_token_counts": op7_token_counts,
+    "op8_toxicity": op8_toxicity,
     "op9_mixing": op9_mixing,
     "op10_html": op10_html,
 }
