@@ -11,8 +11,9 @@ drowns the distances (see README). And the dictionaries are filled greedily with
 class apart and cover the most texts not yet covered, then with a shared tail of common words, so windows of
 neither kind have distance 0.
 
-The fit sees at most ``MAX_DOCUMENTS`` labelled documents of each class, chosen by a hash of the id, of which only
-sets of word beginnings and distances, at most ``MAX_STARTS`` and three per document, reach the driver.
+The fit sees at most ``MAX_DOCUMENTS`` labelled documents of each class, chosen by a hash of the id. Word beginnings
+are counted on the executors; only the ``MAX_STARTS`` most telling, which texts have them, and histograms of
+distances reach the driver.
 
 Defined cases: null text is empty and has distance 0; a document with several labels is toxic if any of them is 1;
 without labelled documents of both classes every score is 0; a null id counts as not held out.
@@ -22,7 +23,7 @@ from __future__ import annotations
 
 import heapq
 import math
-from collections import Counter, defaultdict
+from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -35,8 +36,9 @@ from pyspark.sql import types as T
 
 from lodestar.llm.common import column_arrays, map_batches, mix64, schema_with, text_of
 from lodestar.llm.quality import _chance
+from lodestar.sources.workspace import materialize
 
-MAX_DOCUMENTS, MAX_STARTS = 3000, 4000
+MAX_DOCUMENTS, MAX_STARTS = 3000, 1000
 SHORTEST, LONGEST = 3, 12
 SEGMENTS, COMMON = 160, 300
 #: Letters of a window, and of the next one that it overlaps, so that no word beginning is cut.
@@ -96,30 +98,26 @@ def starts(text: str) -> set[str]:
     return found
 
 
-def segments(own: list[set[str]], other: list[set[str]], limit: int = SEGMENTS) -> list[str]:
-    """Word beginnings that set ``own`` apart from ``other``, by greedy cover: the gain of one is its log odds times
-    the texts that have it, each counting half as much for every segment that covers it already."""
-    ours, theirs = Counter(x for s in own for x in s), Counter(x for s in other for x in s)
-    n, m = max(1, len(own)), max(1, len(other))
-    odds = lambda x: math.log((ours[x] / n) / ((theirs[x] + 0.5) / m))
-    part = n / (n + m)
+def _evidence(own: Column, other: Column, part: float) -> Column:
+    """Log likelihood ratio of the share of own texts among those that have a beginning, against chance."""
+    both = own + other
+    return own * F.log(own / both / part) + F.when(other > 0, other * F.log(other / both / (1 - part))).otherwise(0.0)
 
-    def evidence(x: str) -> float:  # log likelihood ratio of its share of own texts against chance
-        a, b = ours[x], theirs[x]
-        return a * math.log(a / (a + b) / part) + (b * math.log(b / (a + b) / (1 - part)) if b else 0.0)
 
-    known = [x for x, c in ours.items() if c >= 2]
-    able = {x for x in known if odds(x) > math.log(6) and evidence(x) > math.log(len(known)) + 1}
-    children = defaultdict(list)
-    for x in able:
+def segments(own: list[set[str]], ours: dict[str, int], theirs: dict[str, int], others: int, limit: int = SEGMENTS) -> list[str]:
+    """Word beginnings that set a class apart, by greedy cover: the gain of one is its log odds times the texts of
+    ``own`` that have it, each counting half as much for every segment that covers it already."""
+    n = max(1, len(own))
+    odds = {x: math.log((c / n) / ((theirs[x] + 0.5) / max(1, others))) for x, c in ours.items()}
+    children, where = defaultdict(list), defaultdict(list)
+    for x in ours:
         children[x[:-1]].append(x)
-    where = defaultdict(list)
     for i, s in enumerate(own):
-        for x in s & able:
+        for x in s:
             where[x].append(i)
     covered = np.zeros(n)
-    gain = lambda x: float((0.5 ** covered[where[x]]).sum()) * odds(x)
-    heap = [(-gain(x), x) for x in able]
+    gain = lambda x: float((0.5 ** covered[where[x]]).sum()) * odds[x]
+    heap = [(-gain(x), x) for x in sorted(ours)]
     heapq.heapify(heap)
     chosen: list[str] = []
     while heap and len(chosen) < limit:
@@ -134,7 +132,7 @@ def segments(own: list[set[str]], other: list[set[str]], limit: int = SEGMENTS)
     return list(dict.fromkeys(_whole(x, ours, children) for x in chosen))
 
 
-def _whole(x: str, counts: Counter, children: dict[str, list[str]]) -> str:
+def _whole(x: str, counts: dict[str, int], children: dict[str, list[str]]) -> str:
     """A beginning, grown while nearly all texts that have it have one longer beginning."""
     while longer := children.get(x):
         best = max(longer, key=lambda c: (counts[c], c))
@@ -223,19 +221,35 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column, doc_id: str = "doc_
 
     def beginnings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, toxic, chance = column_arrays(batch, "text", "toxic", "chance")
-            own = [sorted(starts(t), key=lambda x: mix64(np.array([hash_of(x)], np.uint64))[0])[:MAX_STARTS] for t in texts]
-            yield pa.RecordBatch.from_arrays([pa.array(toxic, pa.int32()), pa.array(chance, pa.float64()), pa.array([" ".join(o) for o in own])], names=["toxic", "chance", "starts"])
-
-    rows = map_batches(sample.filter("chance < 0.6"), beginnings, "toxic int, chance double, starts string")
-    rows = rows.orderBy("chance", "starts").limit(2 * MAX_DOCUMENTS).toPandas()
-    sets = {k: [set(s.split(" ")) - {""} for s in rows.loc[rows["toxic"] == k, "starts"]] for k in (0, 1)}
-    if not sets[0] or not sets[1]:
+            for t, toxic, chance in zip(*column_arrays(batch, "text", "toxic", "chance"), strict=True):
+                found = sorted(starts(t)) or [""]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([chance] * len(found), pa.float64()), pa.array([toxic] * len(found), pa.int32()), pa.array(found)], names=["chance", "toxic", "start"]
+                )
+
+    rows = materialize(map_batches(sample.filter("chance < 0.6"), beginnings, "chance double, toxic int, start string"), "starts")
+    texts = {r["toxic"]: r["n"] for r in rows.groupBy("toxic").agg(F.count_distinct("chance").alias("n")).collect()}
+    if len(texts) < 2:
         return None
-    frequent = Counter(x for s in sets[0] for x in s)
-    common = [x for x, _ in sorted(frequent.items(), key=lambda z: (-z[1] * len(z[0]), z[0]))[:COMMON]][::-1]
-    toxic = dictionary(segments(sets[1], sets[0]), common)
-    ordinary = dictionary(segments(sets[0], sets[1]), common)
+    counts = rows.filter("start <> ''").groupBy("start").agg(F.count_if(F.col("toxic") == 1).alias("c1"), F.count_if(F.col("toxic") == 0).alias("c0"))
+    counts = materialize(counts, "start-counts")
+    top = counts.orderBy(F.desc(F.col("c0") * F.length("start")), "start").limit(COMMON).collect()
+    common = [r["start"] for r in top][::-1]
+    contents = []
+    for own, other in ((1, 0), (0, 1)):
+        c, d = F.col(f"c{own}"), F.col(f"c{other}")
+        known = counts.filter(c >= 2)
+        strict = math.log(max(1, known.count())) + 1  # as many beginnings are tried
+        part = texts[own] / (texts[own] + texts[other])
+        able = known.filter((c / texts[own] > 6 * (d + 0.5) / texts[other]) & (_evidence(c, d, part) > strict))
+        able = able.orderBy(F.desc(_evidence(c, d, part)), "start").limit(MAX_STARTS)
+        found = able.collect()
+        have = rows.filter(F.col("toxic") == own).join(F.broadcast(able.select("start")), "start")  # at most MAX_STARTS
+        sets = [set(r["s"]) for r in have.groupBy("chance").agg(F.sort_array(F.collect_set("start")).alias("s")).orderBy("chance").collect()]
+        sets += [set()] * (texts[own] - len(sets))
+        ours, theirs = {r["start"]: r[f"c{own}"] for r in found}, {r["start"]: r[f"c{other}"] for r in found}
+        contents.append(dictionary(segments(sets, ours, theirs, texts[other]), common))
+    toxic, ordinary = contents
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         meter = Meter(toxic, ordinary)
@@ -253,14 +267,6 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column, doc_id: str = "doc_
     return Model(toxic, ordinary, *calibrate(distances, y))
 
 
-def hash_of(x: str) -> int:
-    """A 64-bit number of a short string, the same in every process."""
-    h = 0
-    for c in x:
-        h = (h * _B + ord(c) + 1) & 0xFFFFFFFFFFFFFFFF
-    return h
-
-
 def score(docs: DataFrame, model: Model | None, text: str = "text") -> DataFrame:
     """``docs`` with ``score`` and ``predicted``; columns of those names are replaced. A narrow map."""
     rows = docs.drop("score", "predicted")
