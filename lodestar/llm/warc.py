@@ -4,9 +4,9 @@ A bundle is a file of independent Zstandard frames, each holding whole WARC reco
 frame: the seek table with every frame's compressed and plain size. The index maps a record's identifier to its
 bundle, frame and offset inside the frame, so one record is read by seeking to one frame.
 
-Payloads are stored once: of pages with equal payloads of at least ``SMALLEST`` bytes the one with the largest
-page_id is a response, the others revisit it. Payloads are moved once, by page; the hot groups of equal payloads
-only appear as digests.
+A payload is stored once: of pages with equal payloads of at least ``SMALLEST`` bytes the one with the largest
+page_id is a response, the others revisit it. Pages are moved once, by page; what is
+known of their payloads joins them in the same exchange, and hot groups of equal payloads only appear as digests.
 
 Defined cases: null html is an empty payload, always a response; a null url gives no target header; of repeated
 rows (one page_id, one payload) the first is what the group asks of that page and the others revisit it; null
@@ -128,11 +128,9 @@ def write(pages: DataFrame, path: str, page_id: str = "page_id", url: str = "url
     A task writes each bundle under a temporary name and moves it into place, so a repeated task replaces it whole.
     """
     rows = pages.select(F.col(f"`{page_id}`").cast("long").alias("page_id"), F.col(f"`{url}`").cast("string").alias("url"), text_of(html).alias("html"))
-    known = keepers(rows).select(F.col("page_id").alias("__page"), F.col("digest").alias("__digest"), "keeper", F.lit(True).alias("shared"))
-    dealt = rows.withColumn("digest", F.sha2("html", 256))
-    dealt = dealt.join(known, dealt["page_id"].eqNullSafe(known["__page"]) & (dealt["digest"] == known["__digest"]), "left")
-    dealt = dealt.select("page_id", "url", "html", "digest", "keeper", "shared")
-    dealt = dealt.repartition(F.col("page_id")).sortWithinPartitions("page_id", "digest", "url")
+    known = keepers(rows).select("page_id", F.lit(None).cast("string").alias("url"), F.lit(None).cast("string").alias("html"), "digest", "keeper", F.lit(0).alias("kind"))
+    dealt = rows.select("page_id", "url", "html", F.sha2("html", 256).alias("digest"), F.lit(None).cast("long").alias("keeper"), F.lit(1).alias("kind"))
+    dealt = dealt.unionByName(known).repartition(F.col("page_id")).sortWithinPartitions("page_id", "kind", "digest", "url")
 
     def save(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -144,7 +142,7 @@ def write(pages: DataFrame, path: str, page_id: str = "page_id", url: str = "url
         number, out, temporary, name = 0, None, "", ""
         sizes: list[tuple[int, int]] = []
         frame, index, places = bytearray(), [], []
-        last, repeat, same = (), 0, None
+        last, repeat, same, shared = (), 0, None, {}
 
         def close_frame() -> None:
             nonlocal frame
@@ -172,18 +170,23 @@ def write(pages: DataFrame, path: str, page_id: str = "page_id", url: str = "url
             return got
 
         for batch in batches:
-            for i, target, page, digest, keeper, shared in zip(*column_arrays(batch, "page_id", "url", "html", "digest", "keeper", "shared"), strict=True):
+            for i, target, page, digest, keeper, kind in zip(*column_arrays(batch, "page_id", "url", "html", "digest", "keeper", "kind"), strict=True):
+                if not last or last[0] != i:
+                    shared, repeat, last = {}, -1, (i, None)
+                if kind == 0:  # the keepers of a page's payloads come before the page
+                    shared[digest] = keeper
+                    continue
                 if out is None:
                     temporary = f"{root}/_{context.taskAttemptId()}-{number}"
                     name = f"{root}/part-{context.partitionId():06d}-{number:04d}.warc.zst"
                     out = store.open_output_stream(temporary)
-                repeat = repeat + 1 if last and last[0] == i else 0
-                again = shared and last == (i, digest)  # a repeated row
+                repeat += 1
+                again = digest in shared and last == (i, digest)  # a repeated row
                 if not again:
                     same = repeat
                 of = None
-                if shared and i != keeper:
-                    of = _name(keeper)
+                if digest in shared and i != shared[digest]:
+                    of = _name(shared[digest])
                 elif again:
                     of = _name(i, same)
                 last = (i, digest)
