@@ -1,28 +1,60 @@
-"""A corpus pipeline of five stages, each written as Parquet and read again as the next one's documents."""
+"""A corpus pipeline of five stages, each written as Parquet and read again as the next one's documents.
+
+Every stage but the last returns the columns of ``documents``; the last one returns pieces of packed windows. The
+second stage learns from labels, which SQL cannot express, so there is no SQL for the whole; a test holds the
+stages against brute force.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from lodestar.llm import packing, rules
+from lodestar.llm import mixing, packing, quality, rules, similarity
 from lodestar.sources.workspace import materialize
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that pass the rules by document and by host."""
     return rules.keep_good(docs)
 
 
+def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that a classifier trained on positives and unlabelled text accepts."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    learn = ~F.coalesce(quality.crc_mod("doc_id", 3) == 1, F.lit(False))
+    net = quality.train(docs, labels, learn)
+    return quality.score(docs, net).filter("predicted = 1").select(docs.columns)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates."""
+    return similarity.representatives(docs)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in the order of their virtual finish times, as often as the mix takes them."""
+    return mixing.schedule(mixing.fair_queue(docs), docs.columns)
+
+
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of documents in windows."""
     return packing.pack(docs)
 
 
-STAGES = [("quality rules", quality_rules), ("packing", pack)]
+STAGES = [
+    ("quality rules", quality_rules),
+    ("quality classifier", quality_classifier),
+    ("n-gram Jaccard join", near_duplicates),
+    ("mixing", mix_sources),
+    ("packing", pack),
+]
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+    for _, stage in STAGES[:-1]:
+        docs = materialize(stage(spark, docs, sf_dir), stage.__name__)
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -59,4 +59,18 @@ SELECT p.page_id, n::BIGINT AS payload_bytes, sha1(p.html) AS payload_digest,
 FROM p LEFT JOIN g ON g.html = p.html
 """
 
-ORACLES = {"op5_warc": OP5, "op3_quality_rules": OP3, "op9_mixing": OP9}
+OP4 = rf"""
+WITH RECURSIVE d AS (
+  SELECT row_number() OVER () AS r, doc_id, {_WORDS.replace("coalesce(text, '')", "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} AS w FROM documents),
+g AS (SELECT r, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+             ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END) AS g FROM d),
+s AS MATERIALIZED (SELECT DISTINCT r, g FROM g),
+n AS MATERIALIZED (SELECT d.r, doc_id, count(g) AS n FROM d LEFT JOIN s ON s.r = d.r GROUP BY d.r, doc_id),
+o AS (SELECT a.r AS a, b.r AS b, count(*) AS o FROM s a JOIN s b ON a.g = b.g AND a.r <> b.r GROUP BY a.r, b.r),
+l AS MATERIALIZED (SELECT o.a, o.b FROM o JOIN n x ON x.r = o.a JOIN n y ON y.r = o.b WHERE 100 * o.o >= 75 * (x.n + y.n - o.o)),
+c AS (SELECT r AS a, r AS b FROM n UNION SELECT c.a, l.b FROM c JOIN l ON l.a = c.b)
+SELECT n.doc_id, n.n::BIGINT AS n_shingles, min(m.doc_id) AS component_id
+FROM n JOIN c ON c.a = n.r JOIN n m ON m.r = c.b GROUP BY n.r, n.doc_id, n.n
+"""
+
+ORACLES = {"op4_jaccard_join": OP4, "op5_warc": OP5, "op3_quality_rules": OP3, "op9_mixing": OP9}

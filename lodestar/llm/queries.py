@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestar.llm import fingerprints, html, mixing, packing, quality, rules, tokens, toxicity, warc
+from lodestar.llm import fingerprints, html, mixing, packing, quality, rules, similarity, tokens, toxicity, warc
 from lodestar.llm.oracles import ORACLES  # noqa: F401
 from lodestar.sources.workspace import materialize
 
@@ -32,6 +32,10 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", *rules.METRICS, "base_failed", "kept")
 
 
+def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return similarity.components(_table(spark, sf_dir, "documents")).drop("node")
+
+
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive(_table(spark, sf_dir, "pages")).drop("record_id")
 
@@ -64,6 +68,7 @@ QUERIES = {
     "op1_fingerprints": op1_fingerprints,
     "op2_quality_classifier": op2_quality_classifier,
     "op3_quality_rules": op3_quality_rules,
+    "op4_jaccard_join": op4_jaccard_join,
     "op5_warc": op5_warc,
     "op6_packing": op6_packing,
     "op7_token_counts": op7_token_counts,
