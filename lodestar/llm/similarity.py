@@ -44,8 +44,14 @@ SHINGLE = 5
 ABOVE, BELOW = 75, 100
 #: Counters of the rarity sketch, in blocks, and the size up to which a set may be light.
 SKETCH, BLOCKS, LIGHTEST = 1 << 20, 64, 14
+#: Bits of the smallest and the largest parity bitmap.
+LEAST_BITS, MOST_BITS = 256, 1 << 16
+#: Bits of the filter that keeps texts nobody asked for out of an exchange.
+FILTER_BITS = 1 << 22
 #: What verifying a candidate costs, in entries of an inverted list.
 VERIFY = 8.0
+#: Sets that a task remembers to enter copies once.
+REMEMBERED = 1 << 18
 #: Entries of a list that are scanned together.
 _ROWS = 1 << 16
 _STEP = np.random.default_rng(5).integers(1, 1 << 63, SHINGLE, dtype=np.uint64) | np.uint64(1)
@@ -87,6 +93,22 @@ def node_of(found: np.ndarray) -> int:
     return int.from_bytes(hashlib.blake2b(found.tobytes(), digest_size=8).digest(), "little", signed=True)
 
 
+def parity(found: np.ndarray) -> np.ndarray:
+    """A bitmap of the set, about two bits a shingle: each shingle flips one bit. Two bitmaps differ in at most as many
+    bits as the sets have elements apart, so a pair with too many is no link."""
+    bits = min(MOST_BITS, max(LEAST_BITS, 1 << (2 * len(found) - 1).bit_length()))
+    flips = np.bincount((found >> np.uint64(64 - MOST_BITS.bit_length() + 1)).astype(np.int64) & (bits - 1), minlength=bits)
+    return np.packbits((flips & 1).astype(np.uint8), bitorder="little")
+
+
+def fold(bitmap: np.ndarray, size: int) -> np.ndarray:
+    """A bitmap of ``size`` bytes from a longer one; its bits stay parities."""
+    while len(bitmap) > size:
+        half = len(bitmap) // 2
+        bitmap = bitmap[:half] ^ bitmap[half:]
+    return bitmap
+
+
 def subset_sizes(n: int, boundary: int) -> list[int]:
     """The overlaps that light partners can require of a set of ``n`` shingles."""
     partners = range(smallest_partner(n), min(boundary, n * BELOW // ABOVE) + 1)
@@ -111,14 +133,14 @@ def choose_boundary(sizes: dict[int, int], length: float) -> int:
 
 
 def _sets(docs: DataFrame) -> DataFrame:
-    """(doc_id, n, node, few) of every document, ``few`` the shingles of a small set; and the counts of the shingles
-    of the task's documents as rows with a ``block``."""
+    """(doc_id, n, node, few, bits) of every document, ``few`` the shingles of a small set and ``bits`` its parity
+    bitmap; and the counts of the shingles of the task's documents as rows with a ``block``."""
     share = SKETCH // BLOCKS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(SKETCH, np.int64)
-        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.int32(), pa.binary())
-        names = ["doc_id", "n", "node", "few", "block", "counts"]
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary(), pa.int32(), pa.binary())
+        names = ["doc_id", "n", "node", "few", "bits", "block", "counts"]
         for batch in batches:
             ids, texts = column_arrays(batch, "doc_id", "text")
             found = [shingles(t) for t in texts]
@@ -129,6 +151,7 @@ def _sets(docs: DataFrame) -> DataFrame:
                 [len(s) for s in found],
                 [node_of(s) if len(s) else None for s in found],
                 [s.view(np.int64).tolist() if 0 < len(s) <= LIGHTEST else None for s in found],
+                [parity(s).tobytes() if len(s) else None for s in found],
                 [None] * len(ids),
                 [None] * len(ids),
             ]
@@ -136,10 +159,10 @@ def _sets(docs: DataFrame) -> DataFrame:
         if counts.any():
             for b in range(BLOCKS):
                 raw = counts[b * share : (b + 1) * share].astype("<u4").tobytes()
-                yield pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip((None, None, None, None, b, raw), kinds, strict=True)], names=names)
+                yield pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip((None, None, None, None, None, b, raw), kinds, strict=True)], names=names)
 
     rows = docs.select(F.col("doc_id"), F.col("text"))
-    return map_batches(rows, run, "doc_id long, n long, node long, few array<long>, block int, counts binary")
+    return map_batches(rows, run, "doc_id long, n long, node long, few array<long>, bits binary, block int, counts binary")
 
 
 def _levels(blocks: DataFrame) -> np.ndarray:
@@ -164,10 +187,12 @@ def _levels(blocks: DataFrame) -> np.ndarray:
 
 def _entries(docs: DataFrame, levels: np.ndarray, boundary: int) -> DataFrame:
     """(key, node, n, at): a set's list entries with the place of the key among its shingles, rarest first; and its
-    subsets, with ``at`` minus the subset's size."""
+    subsets, with ``at`` minus the subset's size. Of the copies that a task reads, the first makes entries; the scan
+    drops what other tasks repeat."""
     listed = smallest_partner(boundary + 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
         for batch in batches:
             (texts,) = column_arrays(batch, "text")
             keys, nodes, sizes, places = [], [], [], []
@@ -177,6 +202,10 @@ def _entries(docs: DataFrame, levels: np.ndarray, boundary: int) -> DataFrame:
                 if not n:
                     continue
                 node, count = node_of(s), len(keys)
+                if node in seen:
+                    continue
+                if len(seen) < REMEMBERED:
+                    seen.add(node)
                 if n <= boundary:
                     for c in subset_sizes(n, boundary):
                         picks = s[np.array(list(itertools.combinations(range(n), c)))]
@@ -226,6 +255,7 @@ def _scan(entries: DataFrame) -> DataFrame:
 
         for rows, end in blocks():
             x = np.concatenate([held, rows])
+            x = x[np.append(True, (x[1:, :2] != x[:-1, :2]).any(1))] if len(x) else x  # one entry of a set in a list
             if not end and len(x):
                 x, held = x[:-1], x[-1:]  # whether the last row has a follower is not known yet
                 follower = held[0]
@@ -267,10 +297,52 @@ def _pair(a: str, b: str) -> list[Column]:
     return [F.least(a, b).alias("u"), F.greatest(a, b).alias("v")]
 
 
+def _filter(ids: DataFrame, column: str) -> np.ndarray:
+    """A bit for each remainder of an id; ``FILTER_BITS`` bits, whatever the number of ids."""
+    x = F.col(column)
+    at = F.pmod(x.bitwiseXOR(F.shiftright(x, 22)).bitwiseXOR(F.shiftright(x, 44)), F.lit(FILTER_BITS))
+    words = ids.select(at.alias("at")).groupBy(F.shiftright("at", 5).cast("int").alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at % 32 as int))")).alias("m"))
+    got = words.toPandas()
+    out = np.zeros(FILTER_BITS // 32, np.uint32)
+    out[got["w"].to_numpy(np.int64)] = got["m"].to_numpy(np.int64).astype(np.uint32)
+    return out
+
+
+def _passes(bits: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    at = (ids ^ (ids >> 22) ^ (ids >> 44)) % FILTER_BITS
+    return (bits[at >> 5] >> (at & 31).astype(np.uint32)) & 1 == 1
+
+
+def _close(pairs: DataFrame, owners: DataFrame) -> DataFrame:
+    """The pairs whose parity bitmaps allow a link: an exact filter that moves a fortieth of the sets' bytes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for k, (a, b, x, y) in enumerate(zip(*column_arrays(batch, "u_n", "v_n", "u_bits", "v_bits"), strict=True)):
+                p, q = np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)
+                size = min(len(p), len(q))
+                apart = int(np.bitwise_count(fold(p, size) ^ fold(q, size)).sum())
+                if apart <= a + b - 2 * required(a, b):
+                    keep.append(k)
+            yield batch.select(["u", "v"]).take(pa.array(keep, pa.int64()))
+
+    side = lambda c: owners.select(F.col("node").alias(c), F.col("n").alias(f"{c}_n"), F.col("bits").alias(f"{c}_bits"))
+    return map_batches(pairs.join(side("u"), "u").join(side("v"), "v").select("u", "v", "u_n", "v_n", "u_bits", "v_bits"), run, "u long, v long")
+
+
 def _verify(pairs: DataFrame, docs: DataFrame, owners: DataFrame) -> DataFrame:
-    """The rows (u, v) of ``pairs`` whose sets link. Sets are made again for the nodes in question only."""
+    """The rows (u, v) of ``pairs`` whose sets link. Sets are made again for the nodes that pass the bitmaps only;
+    a filter of fixed size keeps other texts out of the exchange."""
+    pairs = materialize(_close(pairs, owners), "close")
     nodes = pairs.select(F.col("u").alias("node")).unionByName(pairs.select(F.col("v").alias("node"))).distinct()
-    wanted = nodes.join(owners, "node").select("doc_id", "node")
+    wanted = materialize(nodes.join(owners, "node").select("doc_id", "node"), "wanted")
+    bits = _filter(wanted, "doc_id")
+
+    def sift(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = batch.column(batch.schema.get_field_index("doc_id")).to_numpy(zero_copy_only=False)
+            yield batch.filter(pa.array(_passes(bits, ids.astype(np.int64))))
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -287,7 +359,8 @@ def _verify(pairs: DataFrame, docs: DataFrame, owners: DataFrame) -> DataFrame:
                     keep.append(k)
             yield batch.select(["u", "v"]).take(pa.array(keep, pa.int64()))
 
-    sets = materialize(map_batches(docs.join(wanted, "doc_id").select("text", "node"), make, "node long, set binary").dropDuplicates(["node"]), "sets")
+    asked = map_batches(docs.filter("doc_id is not null"), sift, "doc_id long, text string")
+    sets = materialize(map_batches(asked.join(wanted, "doc_id").select("text", "node"), make, "node long, set binary").dropDuplicates(["node"]), "sets")
     joined = pairs.join(sets.select(F.col("node").alias("v"), F.col("set").alias("y")), "v")
     joined = joined.join(sets.select(F.col("node").alias("u"), F.col("set").alias("x")), "u").select("u", "v", "x", "y")
     return map_batches(joined, meet, "u long, v long")
@@ -299,9 +372,9 @@ def components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> D
     rows = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), text_of(text).alias("text"))
     found = materialize(_sets(rows), "documents")
     levels = _levels(found)
-    known = found.filter("block is null").select("doc_id", "n", "node", "few")
+    known = found.filter("block is null").select("doc_id", "n", "node", "few", "bits")
     nodes = known.filter("node is not null and doc_id is not null")
-    owners = materialize(nodes.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("few").alias("few")), "owners")
+    owners = materialize(nodes.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("few").alias("few"), F.first("bits").alias("bits")), "owners")
 
     small = owners.filter("few is not null")
     sizes = {r["n"]: r["count"] for r in small.groupBy("n").count().collect()}  # LIGHTEST rows at most
@@ -309,9 +382,7 @@ def components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> D
     length = lists.agg(F.sum(F.col("count") * F.col("count")) / F.sum("count")).first()[0]
     boundary = choose_boundary(sizes, float(length or 1.0))
 
-    # copies are left out of the lists; an id that owns a set under another text stays
-    copies = nodes.join(owners.select("node", F.col("doc_id").alias("owner")), "node").groupBy("doc_id").agg(F.max(F.col("doc_id") == F.col("owner")).alias("owns"))
-    own = rows.filter("doc_id is not null").join(copies.filter("not owns").select("doc_id"), "doc_id", "left_anti")
+    own = rows.filter("doc_id is not null")
     near = materialize(_scan(_entries(own, levels, boundary)), "lists")
 
     stars = near.filter("at < 0 and node <> lead").filter(_required(F.col("n"), F.col("lead_n")) <= -F.col("at"))
