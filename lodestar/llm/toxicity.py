@@ -23,7 +23,7 @@ from __future__ import annotations
 
 import heapq
 import math
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -39,6 +39,8 @@ from lodestar.llm.quality import _chance
 from lodestar.sources.workspace import materialize
 
 MAX_DOCUMENTS, MAX_STARTS = 3000, 1000
+#: Beginnings that a task holds before it passes their counts on.
+COUNTED = 100_000
 SHORTEST, LONGEST = 3, 12
 SEGMENTS, COMMON = 160, 300
 #: Letters of a window, and of the next one that it overlaps, so that no word beginning is cut.
@@ -219,35 +221,55 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column, doc_id: str = "doc_
     """Fit on labelled documents for which ``learn`` (over the id) holds; None without both classes."""
     sample = _sample(docs, labels, learn, doc_id, text, label)
 
-    def beginnings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    learned = sample.filter("chance < 0.6")
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = (Counter(), Counter())
+
+        def flush() -> pa.RecordBatch:
+            found = sorted(sums[0].keys() | sums[1].keys())
+            out = pa.RecordBatch.from_arrays([pa.array(found), *[pa.array([s[x] for x in found], pa.int64()) for s in sums]], names=["start", "c0", "c1"])
+            for s in sums:
+                s.clear()
+            return out
+
         for batch in batches:
-            for t, toxic, chance in zip(*column_arrays(batch, "text", "toxic", "chance"), strict=True):
-                found = sorted(starts(t)) or [""]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([chance] * len(found), pa.float64()), pa.array([toxic] * len(found), pa.int32()), pa.array(found)], names=["chance", "toxic", "start"]
-                )
-
-    rows = materialize(map_batches(sample.filter("chance < 0.6"), beginnings, "chance double, toxic int, start string"), "starts")
-    texts = {r["toxic"]: r["n"] for r in rows.groupBy("toxic").agg(F.count_distinct("chance").alias("n")).collect()}
-    if len(texts) < 2:
+            for t, toxic in zip(*column_arrays(batch, "text", "toxic"), strict=True):
+                sums[toxic].update(starts(t) | {""})  # the empty beginning counts the texts
+                if len(sums[0]) + len(sums[1]) > COUNTED:
+                    yield flush()
+        yield flush()
+
+    counts = map_batches(learned.select("text", "toxic"), count, "start string, c0 long, c1 long")
+    counts = materialize(counts.groupBy("start").agg(F.sum("c0").alias("c0"), F.sum("c1").alias("c1")), "starts")
+    every = counts.filter("start = ''").first()
+    if every is None or not every["c0"] or not every["c1"]:
         return None
-    counts = rows.filter("start <> ''").groupBy("start").agg(F.count_if(F.col("toxic") == 1).alias("c1"), F.count_if(F.col("toxic") == 0).alias("c0"))
-    counts = materialize(counts, "start-counts")
-    top = counts.orderBy(F.desc(F.col("c0") * F.length("start")), "start").limit(COMMON).collect()
+    texts = {0: every["c0"], 1: every["c1"]}
+    top = counts.filter("start <> ''").orderBy(F.desc(F.col("c0") * F.length("start")), "start").limit(COMMON).collect()
     common = [r["start"] for r in top][::-1]
-    contents = []
+    able = {}
     for own, other in ((1, 0), (0, 1)):
         c, d = F.col(f"c{own}"), F.col(f"c{other}")
-        known = counts.filter(c >= 2)
+        known = counts.filter((c >= 2) & (F.col("start") != ""))
         strict = math.log(max(1, known.count())) + 1  # as many beginnings are tried
-        part = texts[own] / (texts[own] + texts[other])
-        able = known.filter((c / texts[own] > 6 * (d + 0.5) / texts[other]) & (_evidence(c, d, part) > strict))
-        able = able.orderBy(F.desc(_evidence(c, d, part)), "start").limit(MAX_STARTS)
-        found = able.collect()
-        have = rows.filter(F.col("toxic") == own).join(F.broadcast(able.select("start")), "start")  # at most MAX_STARTS
-        sets = [set(r["s"]) for r in have.groupBy("chance").agg(F.sort_array(F.collect_set("start")).alias("s")).orderBy("chance").collect()]
+        told = _evidence(c, d, texts[own] / (texts[own] + texts[other]))
+        rows = known.filter((c / texts[own] > 6 * (d + 0.5) / texts[other]) & (told > strict))
+        able[own] = {r["start"]: (r[f"c{own}"], r[f"c{other}"]) for r in rows.orderBy(F.desc(told), "start").limit(MAX_STARTS).collect()}
+
+    def incidence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts, toxic, chance = column_arrays(batch, "text", "toxic", "chance")
+            have = [sorted(starts(t) & able[k].keys()) for t, k in zip(texts, toxic, strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(toxic, pa.int32()), pa.array(chance, pa.float64()), pa.array(have, pa.list_(pa.string()))], names=["toxic", "chance", "have"])
+
+    rows = map_batches(learned, incidence, "toxic int, chance double, have array<string>").filter("size(have) > 0")
+    rows = rows.orderBy("chance", "have").limit(2 * MAX_DOCUMENTS).collect()
+    contents = []
+    for own, other in ((1, 0), (0, 1)):
+        sets = [set(r["have"]) for r in rows if r["toxic"] == own]
         sets += [set()] * (texts[own] - len(sets))
-        ours, theirs = {r["start"]: r[f"c{own}"] for r in found}, {r["start"]: r[f"c{other}"] for r in found}
+        ours, theirs = ({x: c[k] for x, c in able[own].items()} for k in (0, 1))
         contents.append(dictionary(segments(sets, ours, theirs, texts[other]), common))
     toxic, ordinary = contents
 
