@@ -46,6 +46,8 @@ ABOVE, BELOW = 75, 100
 SKETCH, BLOCKS, LIGHTEST = 1 << 20, 64, 14
 #: Bits of the smallest and the largest parity bitmap.
 LEAST_BITS, MOST_BITS = 256, 1 << 16
+#: Columns of a bitmap folded to four words.
+SHORT = ["p0", "p1", "p2", "p3"]
 #: Bits of the filter that keeps texts nobody asked for out of an exchange.
 FILTER_BITS = 1 << 22
 #: What verifying a candidate costs, in entries of an inverted list.
@@ -139,19 +141,22 @@ def _sets(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(SKETCH, np.int64)
-        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary(), pa.int32(), pa.binary())
-        names = ["doc_id", "n", "node", "few", "bits", "block", "counts"]
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary(), *[pa.int64()] * 4, pa.int32(), pa.binary())
+        names = ["doc_id", "n", "node", "few", "bits", *SHORT, "block", "counts"]
         for batch in batches:
             ids, texts = column_arrays(batch, "doc_id", "text")
             found = [shingles(t) for t in texts]
             if found:
                 counts += np.bincount((np.concatenate(found) & np.uint64(SKETCH - 1)).astype(np.int64), minlength=SKETCH)
+            maps = [parity(s) if len(s) else None for s in found]
+            short = [(None,) * 4 if m is None else fold(m, LEAST_BITS // 8).view("<i8").tolist() for m in maps]
             columns = [
                 ids,
                 [len(s) for s in found],
                 [node_of(s) if len(s) else None for s in found],
                 [s.view(np.int64).tolist() if 0 < len(s) <= LIGHTEST else None for s in found],
-                [parity(s).tobytes() if len(s) else None for s in found],
+                [None if m is None else m.tobytes() for m in maps],
+                *[[x[k] for x in short] for k in range(4)],
                 [None] * len(ids),
                 [None] * len(ids),
             ]
@@ -159,10 +164,10 @@ def _sets(docs: DataFrame) -> DataFrame:
         if counts.any():
             for b in range(BLOCKS):
                 raw = counts[b * share : (b + 1) * share].astype("<u4").tobytes()
-                yield pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip((None, None, None, None, None, b, raw), kinds, strict=True)], names=names)
+                yield pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip((*[None] * 9, b, raw), kinds, strict=True)], names=names)
 
     rows = docs.select(F.col("doc_id"), F.col("text"))
-    return map_batches(rows, run, "doc_id long, n long, node long, few array<long>, bits binary, block int, counts binary")
+    return map_batches(rows, run, "doc_id long, n long, node long, few array<long>, bits binary, p0 long, p1 long, p2 long, p3 long, block int, counts binary")
 
 
 def _levels(blocks: DataFrame) -> np.ndarray:
@@ -372,9 +377,9 @@ def components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> D
     rows = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), text_of(text).alias("text"))
     found = materialize(_sets(rows), "documents")
     levels = _levels(found)
-    known = found.filter("block is null").select("doc_id", "n", "node", "few", "bits")
+    known = found.filter("block is null").select("doc_id", "n", "node", "few", "bits", *SHORT)
     nodes = known.filter("node is not null and doc_id is not null")
-    owners = materialize(nodes.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("few").alias("few"), F.first("bits").alias("bits")), "owners")
+    owners = materialize(nodes.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("few").alias("few"), F.first("bits").alias("bits"), *[F.first(c).alias(c) for c in SHORT]), "owners")
 
     small = owners.filter("few is not null")
     sizes = {r["n"]: r["count"] for r in small.groupBy("n").count().collect()}  # LIGHTEST rows at most
@@ -398,10 +403,12 @@ def components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> D
     entries = listed.select("key", "node", "n", "at").join(roots, "node", "left")
     entries = materialize(entries.select("key", "node", "n", "at", F.coalesce("root", "node").alias("root")), "entries")
     mixed = entries.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high").select("key")
-    entries = entries.join(mixed, "key")
-    a, b = entries.toDF("key", "a", "a_n", "a_at", "a_root"), entries.toDF("key", "b", "b_n", "b_at", "b_root")
-    across = a.join(b, "key").filter(F.col("a_root") < F.col("b_root")).filter(_possible("a", "a_n", "a_at", "b", "b_n", "b_at", boundary))
-    across = across.select(*_pair("a", "b")).distinct().join(tried, ["u", "v"], "left_anti")
+    entries = entries.join(mixed, "key").join(owners.select("node", *SHORT), "node").select("key", "node", "n", "at", "root", *SHORT)
+    a, b = (entries.toDF("key", *[f"{c}_{x}" for x in ("node", "n", "at", "root", *SHORT)]) for c in "ab")
+    apart = sum((F.bit_count(F.col(f"a_{p}").bitwiseXOR(F.col(f"b_{p}"))) for p in SHORT), F.lit(0))
+    near_enough = apart <= F.col("a_n") + F.col("b_n") - 2 * _required(F.col("a_n"), F.col("b_n"))
+    across = a.join(b, "key").filter(F.col("a_root") < F.col("b_root")).filter(_possible("a_node", "a_n", "a_at", "b_node", "b_n", "b_at", boundary)).filter(near_enough)
+    across = across.select(*_pair("a_node", "b_node")).distinct().join(tried, ["u", "v"], "left_anti")
     more = _verify(materialize(across, "across"), rows, owners)
     # links between components: the roots of the first round stand for their nodes
     at = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias(f"{c}_root"))
