@@ -1,20 +1,318 @@
-"""Queries over the ``embeddings`` table."""
+"""Queries over the ``embeddings`` table: similarities, centroids, axes, leave-one-out probes, neighbours."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lodestar.functions.vectors import dot, norm
+from lodestar.functions.vectors import dot, is_sound, norm
+from lodestar.operators import geometry as G
+from lodestar.operators import stats
 from lodestar.plans.catalog import query, table
+from lodestar.plans.mapping import LEAVE_OUT, VECTORS, WORKS, passages, prompts, scores, vectors, works
 
 
-@query("passage_prompt_topk")
+def row_number(w: Window) -> Column:
+    """Row numbers of SQL's width."""
+    return F.row_number().over(w).cast("long")
+
+
+def _top(df: DataFrame, by: str, other: str, k: int) -> DataFrame:
+    w = Window.partitionBy(by).orderBy(F.desc("similarity"), other)
+    return df.withColumn("rank", row_number(w)).filter(F.col("rank") <= k)
+
+
+@query("cosine_pairs", f"WITH {VECTORS} SELECT vec_id, prompt_id, similarity FROM s")
+def cosine_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scores(spark, sf_dir).select("vec_id", "prompt_id", "similarity")
+
+
+_RANKED = "SELECT vec_id, prompt_id, similarity, rank FROM (SELECT *, row_number() OVER (PARTITION BY {0} ORDER BY similarity DESC, {1}) AS rank FROM s) WHERE rank <= 5"
+
+
+@query("passage_prompt_topk", f"WITH {VECTORS} {_RANKED.format('vec_id', 'prompt_id')}")
 def passage_prompt_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "embeddings").select("vec_id", "embedding", norm(F.col("embedding")).alias("n"))
-    p = e.filter("vec_id < 10").select(F.col("vec_id").alias("prompt_id"), F.col("embedding").alias("pe"), F.col("n").alias("pn"))
-    s = e.filter("vec_id >= 10").crossJoin(F.broadcast(p)).select(
-        "vec_id", "prompt_id", F.round(dot(F.col("embedding"), F.col("pe")) / (F.col("n") * F.col("pn")), 6).alias("similarity")
+    return _top(scores(spark, sf_dir), "vec_id", "prompt_id", 5).select("vec_id", "prompt_id", "similarity", "rank")
+
+
+@query("prompt_passage_topk", f"WITH {VECTORS} {_RANKED.format('prompt_id', 'vec_id')}")
+def prompt_passage_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _top(scores(spark, sf_dir), "prompt_id", "vec_id", 5).select("vec_id", "prompt_id", "similarity", "rank")
+
+
+@query("family_mean", f"WITH {VECTORS} SELECT vec_id, family, round(avg(similarity), 8) AS mean_similarity, count(*) AS n_prompts FROM s GROUP BY vec_id, family")
+def family_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scores(spark, sf_dir).groupBy("vec_id", "family").agg(F.round(F.avg("similarity"), 8).alias("mean_similarity"), F.count(F.lit(1)).alias("n_prompts"))
+
+
+@query("family_pivot", f"""WITH {VECTORS} SELECT work_id, round(avg(similarity) FILTER (family = 0), 6) AS family_0, round(avg(similarity) FILTER (family = 1), 6) AS family_1,
+round(avg(similarity) FILTER (family = 2), 6) AS family_2 FROM s GROUP BY work_id""")
+def family_pivot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pivot = scores(spark, sf_dir).groupBy("work_id").pivot("family", [0, 1, 2]).agg(F.round(F.avg("similarity"), 6))
+    return pivot.toDF("work_id", "family_0", "family_1", "family_2")
+
+
+@query("axis_scores", f"""WITH {VECTORS}, a AS (SELECT vec_id, axis, max(similarity) FILTER (pole = 'positive') AS pos, max(similarity) FILTER (pole = 'negative') AS neg FROM s GROUP BY ALL)
+SELECT vec_id, axis, round(pos - neg, 6) AS score FROM a WHERE pos IS NOT NULL AND neg IS NOT NULL""")
+def axis_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pole = lambda k: F.max(F.when(F.col("pole") == k, F.col("similarity")))
+    rows = scores(spark, sf_dir).groupBy("vec_id", "axis").agg(pole("positive").alias("p"), pole("negative").alias("n"))
+    return rows.filter("p is not null and n is not null").select("vec_id", "axis", F.round(F.col("p") - F.col("n"), 6).alias("score"))
+
+
+@query("centroids", f"""WITH {WORKS}, c AS (SELECT label, pos, avg(x) AS x FROM tl GROUP BY ALL), n AS (SELECT label, sqrt(sum(x * x)) AS n FROM c GROUP BY label)
+SELECT c.label, (pos - 1)::INT AS pos, round(x / n, 6) AS value FROM c JOIN n ON n.label = c.label""")
+def centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = G.mean_vectors(passages(spark, sf_dir), ["label"], "vector")
+    return c.select("label", F.posexplode("vector").alias("pos", "value")).withColumn("value", F.round("value", 6))
+
+
+_CENTROIDS = WORKS + """,
+k0 AS (SELECT label, pos, avg(x) AS x FROM tl GROUP BY ALL), kn AS (SELECT label, sqrt(sum(x * x)) AS n FROM k0 GROUP BY label),
+k AS (SELECT k0.label, pos, x / n AS x FROM k0 JOIN kn ON kn.label = k0.label)"""
+
+
+@query("centroid_cosine", f"WITH {_CENTROIDS} SELECT a.label AS a, b.label AS b, round(sum(a.x * b.x), 6) AS similarity FROM k a JOIN k b ON a.pos = b.pos AND a.label < b.label GROUP BY ALL")
+def centroid_cosine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = G.mean_vectors(passages(spark, sf_dir), ["label"], "vector")
+    a, b = c.select(F.col("label").alias("a"), F.col("vector").alias("va")), c.select(F.col("label").alias("b"), F.col("vector").alias("vb"))
+    return a.join(b, F.col("a") < F.col("b")).select("a", "b", F.round(dot(F.col("va"), F.col("vb")), 6).alias("similarity"))
+
+
+@query("composer_axis", f"""WITH {_CENTROIDS}, d AS (SELECT a.pos, a.x - b.x AS x FROM k a JOIN k b ON a.pos = b.pos AND a.label = 0 AND b.label = 1),
+n AS (SELECT sqrt(sum(x * x)) AS n FROM d)
+SELECT vec_id, tl.label, round(sum(tl.x * d.x) / any_value(n), 6) AS score FROM tl JOIN d USING (pos), n GROUP BY vec_id, tl.label""")
+def composer_axis(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = passages(spark, sf_dir)
+    axis = G.axis_between(G.mean_vectors(p, ["label"], "vector"), "label", 0, 1)
+    return p.crossJoin(axis).select("vec_id", "label", F.round(dot(F.col("vector"), F.col("axis")), 6).alias("score"))
+
+
+@query("prompt_centroid_projection", f"""WITH {_CENTROIDS}, q AS (SELECT prompt_id, unnest(pv) AS y, generate_subscripts(pv, 1) AS pos FROM p),
+r AS (SELECT prompt_id, label, round(sum(x * y), 6) AS similarity FROM k JOIN q USING (pos) GROUP BY ALL)
+SELECT prompt_id, label, similarity, round(similarity - max(similarity) FILTER (label = 0) OVER (PARTITION BY prompt_id), 6) AS over_first,
+row_number() OVER (PARTITION BY prompt_id ORDER BY similarity DESC, label) AS rank FROM r""")
+def prompt_centroid_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = G.mean_vectors(passages(spark, sf_dir), ["label"], "vector")
+    r = G.similarity_to(prompts(spark, sf_dir), c, F.col("prompt_vector"), F.col("vector"))
+    w = Window.partitionBy("prompt_id")
+    first = F.max(F.when(F.col("label") == 0, F.col("similarity"))).over(w)
+    return r.select("prompt_id", "label", "similarity", F.round(F.col("similarity") - first, 6).alias("over_first"), row_number(w.orderBy(F.desc("similarity"), "label")).alias("rank"))
+
+
+@query("prompt_response_profiles", f"""WITH {VECTORS} SELECT prompt_id, round(avg(similarity) FILTER (label = 0), 6) AS mean_a, round(avg(similarity) FILTER (label = 1), 6) AS mean_b,
+round(avg(similarity) FILTER (label = 0) - avg(similarity) FILTER (label = 1), 6) AS difference FROM s WHERE label IN (0, 1) GROUP BY prompt_id""")
+def prompt_response_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    on = lambda k: F.avg(F.when(F.col("label") == k, F.col("similarity")))
+    rows = scores(spark, sf_dir).filter("label in (0, 1)").groupBy("prompt_id").agg(on(0).alias("a"), on(1).alias("b"))
+    return rows.select("prompt_id", F.round("a", 6).alias("mean_a"), F.round("b", 6).alias("mean_b"), F.round(F.col("a") - F.col("b"), 6).alias("difference"))
+
+
+_HIST = f"""WITH {VECTORS}, d AS (SELECT a.label = b.label AS within, round(list_dot_product(a.v, b.v), 6) AS similarity FROM t a JOIN t b ON a.vec_id < b.vec_id)
+SELECT within, count(*) AS n, round(avg(similarity), 6) AS mean, round(CASE WHEN count(*) = 1 THEN 0 ELSE stddev_samp(similarity) END, 6) AS std,
+{', '.join(f'round(quantile_cont(similarity, {q}), 6) AS {n}' for q, n in ((0.05, 'q05'), (0.25, 'q25'), (0.5, 'median'), (0.75, 'q75'), (0.95, 'q95')))} FROM d GROUP BY within"""
+
+
+@query("pair_geometry", _HIST)
+def pair_geometry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stats.weighted_describe(G.pair_similarities(passages(spark, sf_dir), "vec_id", "label", "vector"), ["within"])
+
+
+@query("group_distance", f"""WITH {VECTORS} SELECT count(*) AS n, round(avg(1 - round(list_dot_product(a.v, b.v), 6)), 6) AS mean, round(min(1 - round(list_dot_product(a.v, b.v), 6)), 6) AS low,
+round(max(1 - round(list_dot_product(a.v, b.v), 6)), 6) AS high FROM t a, t b WHERE a.label = 0 AND b.label = 1""")
+def group_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = passages(spark, sf_dir)
+    a, b = p.filter("label = 0").select("vector"), p.filter("label = 1").select(F.col("vector").alias("other"))
+    d = 1 - F.round(dot(F.col("vector"), F.col("other")), 6)
+    return a.crossJoin(b).agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(d), 6).alias("mean"), F.round(F.min(d), 6).alias("low"), F.round(F.max(d), 6).alias("high"))
+
+
+_NEAREST = f"""WITH {VECTORS}, d AS (SELECT a.vec_id, a.label, b.vec_id AS neighbour, b.label AS other, round(list_dot_product(a.v, b.v), 6) AS similarity FROM t a JOIN t b ON a.vec_id <> b.vec_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY similarity DESC, neighbour) AS rank FROM d)"""
+
+
+@query("nearest_neighbours", f"{_NEAREST} SELECT vec_id, neighbour, similarity, rank FROM r WHERE rank <= 3")
+def nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return G.nearest(passages(spark, sf_dir), 3, "vec_id", "vector")
+
+
+@query("nn_purity", f"{_NEAREST} SELECT label, count(*) AS n, round(avg((label = other)::INT), 6) AS purity FROM r WHERE rank = 1 GROUP BY label")
+def nn_purity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = passages(spark, sf_dir)
+    labels = p.select("vec_id", "label")
+    best = G.nearest(p, 1, "vec_id", "vector").join(labels, "vec_id")
+    best = best.join(labels.select(F.col("vec_id").alias("neighbour"), F.col("label").alias("other")), "neighbour")
+    return best.groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg((F.col("label") == F.col("other")).cast("int")), 6).alias("purity"))
+
+
+def _left_out(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return G.leave_one_out(works(spark, sf_dir), "work_id", "label")
+
+
+_PREDICTED = f"WITH {LEAVE_OUT}, r AS (SELECT work_id, label, other AS predicted, row_number() OVER (PARTITION BY work_id ORDER BY similarity DESC, other) AS k FROM lo)"
+
+
+@query("loo_similarities", f"WITH {LEAVE_OUT} SELECT work_id, label, other, similarity FROM lo")
+def loo_similarities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _left_out(spark, sf_dir)
+
+
+@query("loo_accuracy", f"{_PREDICTED} SELECT count(*) AS n, sum((label = predicted)::INT)::BIGINT AS correct, round(avg((label = predicted)::INT), 6) AS accuracy FROM r WHERE k = 1")
+def loo_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    hit = (F.col("label") == F.col("predicted")).cast("int")
+    return G.predict(_left_out(spark, sf_dir), "work_id", "label").agg(F.count(F.lit(1)).alias("n"), F.sum(hit).alias("correct"), F.round(F.avg(hit), 6).alias("accuracy"))
+
+
+@query("loo_confusion", f"{_PREDICTED} SELECT label, predicted, count(*) AS n FROM r WHERE k = 1 GROUP BY label, predicted")
+def loo_confusion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return G.predict(_left_out(spark, sf_dir), "work_id", "label").groupBy("label", "predicted").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("opposite_margin", f"""WITH {LEAVE_OUT}, m AS (SELECT work_id, label, max(similarity) FILTER (other = label) AS own, max(similarity) FILTER (other <> label) AS best_other FROM lo GROUP BY ALL)
+SELECT work_id, label, own, best_other, round(own - best_other, 6) AS margin FROM m WHERE own IS NOT NULL ORDER BY margin, work_id LIMIT 20""")
+def opposite_margin(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The twenty most ambiguous works: a report of that length."""
+    return G.margins(_left_out(spark, sf_dir), "work_id", "label").orderBy("margin", "work_id").limit(20)
+
+
+@query("crossfit_axis", f"""WITH {WORKS}, f AS (SELECT * FROM w WHERE label IN (0, 1)), g AS (SELECT label AS side, pos, sum(x) AS gx FROM f GROUP BY ALL),
+c AS (SELECT f.work_id, f.label, f.pos, f.x, side, gx - CASE WHEN f.label = side THEN f.x ELSE 0 END AS c FROM f JOIN g ON g.pos = f.pos),
+n AS (SELECT work_id, side, sqrt(sum(c * c)) AS n FROM c GROUP BY ALL),
+d AS (SELECT c.work_id, c.label, c.pos, any_value(c.x) AS x, sum(CASE WHEN c.side = 0 THEN c.c / n.n ELSE -c.c / n.n END) AS d FROM c JOIN n ON n.work_id = c.work_id AND n.side = c.side GROUP BY ALL),
+r AS (SELECT work_id, label, round(sum(x * d) / sqrt(sum(d * d)), 6) AS score FROM d GROUP BY ALL)
+SELECT work_id, label, score, CASE WHEN score >= 0 THEN 0 ELSE 1 END AS predicted FROM r""")
+def crossfit_axis(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return G.cross_fitted(works(spark, sf_dir), "work_id", "label", 0, 1)
+
+
+@query("stratum_sensitivity", f"""WITH {VECTORS}, tl AS (SELECT vec_id % 2 AS stratum, vec_id, label, unnest(v) AS x, generate_subscripts(v, 1) AS pos FROM t WHERE label IN (0, 1)),
+c AS (SELECT stratum, label, pos, avg(x) AS x FROM tl GROUP BY ALL), n AS (SELECT stratum, label, sqrt(sum(x * x)) AS n FROM c GROUP BY ALL)
+SELECT a.stratum, round(sum(a.x * b.x) / any_value(na.n * nb.n), 6) AS similarity FROM c a JOIN c b ON a.stratum = b.stratum AND a.pos = b.pos AND a.label = 0 AND b.label = 1
+JOIN n na ON na.stratum = a.stratum AND na.label = 0 JOIN n nb ON nb.stratum = a.stratum AND nb.label = 1 GROUP BY a.stratum""")
+def stratum_sensitivity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = passages(spark, sf_dir).filter("label in (0, 1)").withColumn("stratum", F.col("vec_id") % 2)
+    c = G.mean_vectors(p, ["stratum", "label"], "vector")
+    a = c.filter("label = 0").select("stratum", F.col("vector").alias("va"))
+    b = c.filter("label = 1").select("stratum", F.col("vector").alias("vb"))
+    return a.join(b, "stratum").select("stratum", F.round(dot(F.col("va"), F.col("vb")), 6).alias("similarity"))
+
+
+_WORK_SCORES = WORKS + """,
+q AS (SELECT prompt_id, unnest(pv) AS y, generate_subscripts(pv, 1) AS pos FROM p),
+ws AS (SELECT prompt_id, label, work_id, round(sum(x * y), 6) AS similarity FROM w JOIN q USING (pos) GROUP BY ALL)"""
+
+
+def work_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every prompt with every work's mean vector."""
+    return G.similarity_to(works(spark, sf_dir), prompts(spark, sf_dir), F.col("vector"), F.col("prompt_vector")).select("prompt_id", "label", "work_id", "similarity")
+
+
+@query("prompt_work_rank", f"""WITH {_WORK_SCORES} SELECT prompt_id, work_id, similarity, row_number() OVER (PARTITION BY prompt_id ORDER BY similarity DESC, work_id) AS rank,
+round((rank() OVER (PARTITION BY prompt_id ORDER BY similarity) + (count(*) OVER (PARTITION BY prompt_id, similarity) - 1) / 2.0) / count(*) OVER (PARTITION BY prompt_id), 6) AS percentile FROM ws""")
+def prompt_work_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    w = Window.partitionBy("prompt_id")
+    percentile = stats.average_rank("similarity", ["prompt_id"]) / F.count(F.lit(1)).over(w)
+    return work_scores(spark, sf_dir).select(
+        "prompt_id", "work_id", "similarity", row_number(w.orderBy(F.desc("similarity"), "work_id")).alias("rank"), F.round(percentile, 6).alias("percentile")
     )
-    w = Window.partitionBy("vec_id").orderBy(F.desc("similarity"), "prompt_id")
-    return s.withColumn("rank", F.row_number().over(w)).filter("rank <= 5")
+
+
+@query("prompt_work_z", f"""WITH {_WORK_SCORES} SELECT prompt_id, work_id,
+round((similarity - avg(similarity) OVER (PARTITION BY prompt_id)) / nullif(stddev_samp(similarity) OVER (PARTITION BY prompt_id), 0), 4) AS z,
+round((similarity - avg(similarity) OVER (PARTITION BY prompt_id, label)) / nullif(stddev_samp(similarity) OVER (PARTITION BY prompt_id, label), 0), 4) AS group_z FROM ws""")
+def prompt_work_z(spark: SparkSession, sf_dir: str) -> DataFrame:
+    x = F.col("similarity")
+    z = lambda w: F.round((x - F.avg(x).over(w)) / F.nullif(F.stddev_samp(x).over(w), F.lit(0.0)), 4)
+    return work_scores(spark, sf_dir).select("prompt_id", "work_id", z(Window.partitionBy("prompt_id")).alias("z"), z(Window.partitionBy("prompt_id", "label")).alias("group_z"))
+
+
+@query("outlier_works", f"""WITH {_WORK_SCORES}, z AS (SELECT prompt_id, work_id, round((similarity - avg(similarity) OVER (PARTITION BY prompt_id)) / nullif(stddev_samp(similarity) OVER (PARTITION BY prompt_id), 0), 4) AS z FROM ws)
+SELECT prompt_id, work_id, z FROM z WHERE z >= 1.5""")
+def outlier_works(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prompt_work_z(spark, sf_dir).select("prompt_id", "work_id", "z").filter("z >= 1.5")
+
+
+@query("prompt_top_passages", f"""WITH {_WORK_SCORES}, b AS (SELECT prompt_id, work_id, row_number() OVER (PARTITION BY prompt_id ORDER BY similarity DESC, work_id) AS work_rank FROM ws),
+j AS (SELECT s.prompt_id, s.work_id, work_rank, vec_id, similarity, row_number() OVER (PARTITION BY s.prompt_id, s.work_id ORDER BY similarity DESC, vec_id) AS passage_rank
+FROM s JOIN b ON b.prompt_id = s.prompt_id AND b.work_id = s.work_id AND work_rank <= 3)
+SELECT * FROM j WHERE passage_rank <= 2""")
+def prompt_top_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    w = Window.partitionBy("prompt_id").orderBy(F.desc("similarity"), "work_id")
+    best = work_scores(spark, sf_dir).withColumn("work_rank", row_number(w)).filter("work_rank <= 3").select("prompt_id", "work_id", "work_rank")
+    rows = scores(spark, sf_dir).join(best, ["prompt_id", "work_id"])
+    inner = Window.partitionBy("prompt_id", "work_id").orderBy(F.desc("similarity"), "vec_id")
+    return rows.withColumn("passage_rank", row_number(inner)).filter("passage_rank <= 2").select("prompt_id", "work_id", "work_rank", "vec_id", "similarity", "passage_rank")
+
+
+@query("cross_group_pairs", f"""WITH {WORKS}, d AS (SELECT a.label AS label_a, b.label AS label_b, a.work_id AS work_a, b.work_id AS work_b, round(sum(a.x * b.x), 6) AS similarity
+FROM w a JOIN w b ON a.pos = b.pos AND a.label < b.label GROUP BY ALL)
+SELECT *, row_number() OVER (PARTITION BY label_a, label_b ORDER BY similarity DESC, work_a, work_b) AS rank FROM d QUALIFY rank <= 5""")
+def cross_group_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    u = works(spark, sf_dir)
+    a = u.select(F.col("label").alias("label_a"), F.col("work_id").alias("work_a"), F.col("vector").alias("va"))
+    b = u.select(F.col("label").alias("label_b"), F.col("work_id").alias("work_b"), F.col("vector").alias("vb"))
+    d = a.join(b, F.col("label_a") < F.col("label_b")).select("label_a", "label_b", "work_a", "work_b", F.round(dot(F.col("va"), F.col("vb")), 6).alias("similarity"))
+    w = Window.partitionBy("label_a", "label_b").orderBy(F.desc("similarity"), "work_a", "work_b")
+    return d.withColumn("rank", row_number(w)).filter("rank <= 5")
+
+
+@query("two_centroid_proximity", f"""WITH {_CENTROIDS}, r AS (SELECT vec_id, tl.label, round(sum(tl.x * k.x) FILTER (k.label = 0), 6) AS to_a, round(sum(tl.x * k.x) FILTER (k.label = 1), 6) AS to_b
+FROM tl JOIN k ON k.pos = tl.pos AND k.label IN (0, 1) GROUP BY ALL)
+SELECT label, count(*) AS n, round(avg(to_a - to_b), 6) AS mean_difference, round(max(to_a - to_b), 6) AS max_difference FROM r GROUP BY label""")
+def two_centroid_proximity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = passages(spark, sf_dir)
+    c = G.mean_vectors(p, ["label"], "vector").filter("label in (0, 1)").select(F.col("label").alias("side"), F.col("vector").alias("cv"))
+    r = G.similarity_to(p, c, F.col("vector"), F.col("cv")).groupBy("vec_id", "label").agg(
+        F.max(F.when(F.col("side") == 0, F.col("similarity"))).alias("a"), F.max(F.when(F.col("side") == 1, F.col("similarity"))).alias("b")
+    )
+    d = F.col("a") - F.col("b")
+    return r.groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(d), 6).alias("mean_difference"), F.round(F.max(d), 6).alias("max_difference"))
+
+
+@query("vector_diagnostics", """WITH n AS (SELECT label, embedding::DOUBLE[] AS v, sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])) AS n FROM embeddings)
+SELECT label, count(*) AS n, count(*) FILTER (len(v) = 64 AND n > 0 AND isfinite(n)) AS sound, round(min(n), 5) AS low, round(max(n), 5) AS high, round(avg(n), 5) AS mean FROM n GROUP BY label""")
+def vector_diagnostics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "embeddings").select("label", "embedding", norm(F.col("embedding")).alias("x"))
+    return e.groupBy("label").agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(is_sound(F.col("embedding"), 64)).alias("sound"), F.round(F.min("x"), 5).alias("low"),
+        F.round(F.max("x"), 5).alias("high"), F.round(F.avg("x"), 5).alias("mean"),
+    )
+
+
+@query("duplicate_vectors", """WITH d AS (SELECT vec_id, label, list_transform(embedding, lambda x: round(x, 1)) AS v FROM embeddings), k AS (SELECT vec_id, list_slice(v, 1, 2) AS v FROM d)
+SELECT min(vec_id) AS first_id, count(*) AS n FROM k GROUP BY v HAVING count(*) > 1""")
+def duplicate_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of equal vectors; the first two elements to one digit, since whole vectors never repeat in this table."""
+    e = table(spark, sf_dir, "embeddings").select("vec_id", F.slice(F.transform("embedding", lambda x: F.round(x, 1)), 1, 2).alias("v"))
+    return e.groupBy("v").agg(F.min("vec_id").alias("first_id"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("first_id", "n")
+
+
+@query("work_summary", """WITH d AS (SELECT label * 1000 + vec_id % 5 AS work_id, vec_id, vec_id % 7 AS movement, vec_id % 3 AS kind FROM embeddings WHERE vec_id >= 10),
+m AS (SELECT work_id, kind, row_number() OVER (PARTITION BY work_id ORDER BY count(*) DESC, kind) AS k FROM d GROUP BY work_id, kind)
+SELECT d.work_id::BIGINT AS work_id, count(*) AS n, count(DISTINCT movement) AS movements, any_value(m.kind) AS mode_kind, string_agg(DISTINCT movement::VARCHAR, ';' ORDER BY movement::VARCHAR) AS movement_list
+FROM d JOIN m ON m.work_id = d.work_id AND m.k = 1 GROUP BY d.work_id""")
+def work_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = passages(spark, sf_dir).select("work_id", (F.col("vec_id") % 7).alias("movement"), (F.col("vec_id") % 3).alias("kind"))
+    return d.groupBy("work_id").agg(
+        F.count(F.lit(1)).alias("n"), F.count_distinct("movement").alias("movements"), F.mode("kind", True).alias("mode_kind"),
+        F.array_join(F.array_sort(F.collect_set(F.col("movement").cast("string"))), ";").alias("movement_list"),
+    )
+
+
+@query("group_prompt_summary", f"""WITH {VECTORS} SELECT label, prompt_id, count(*) AS n, count(DISTINCT work_id) AS n_works, round(avg(similarity), 6) AS mean, round(stddev_samp(similarity), 6) AS std,
+round(median(similarity), 6) AS median FROM s GROUP BY label, prompt_id""")
+def group_prompt_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    x = F.col("similarity")
+    return scores(spark, sf_dir).groupBy("label", "prompt_id").agg(
+        F.count(F.lit(1)).alias("n"), F.count_distinct("work_id").alias("n_works"), F.round(F.avg(x), 6).alias("mean"),
+        F.round(F.stddev_samp(x), 6).alias("std"), F.round(F.median(x), 6).alias("median"),
+    )
+
+
+@query("score_audio_match", f"""WITH {VECTORS} SELECT a.vec_id AS score_id, b.vec_id AS audio_id, a.work_id, round(list_dot_product(a.v, b.v), 6) AS similarity
+FROM t a JOIN t b ON a.work_id = b.work_id AND a.vec_id % 2 = 0 AND b.vec_id % 2 = 1""")
+def score_audio_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = vectors(spark, sf_dir).filter("vec_id >= 10")
+    a = p.filter("vec_id % 2 = 0").select(F.col("vec_id").alias("score_id"), "work_id", F.col("vector").alias("va"))
+    b = p.filter("vec_id % 2 = 1").select(F.col("vec_id").alias("audio_id"), "work_id", F.col("vector").alias("vb"))
+    return a.join(b, "work_id").select("score_id", "audio_id", "work_id", F.round(dot(F.col("va"), F.col("vb")), 6).alias("similarity"))
