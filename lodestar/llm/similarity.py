@@ -46,8 +46,10 @@ ABOVE, BELOW = 75, 100
 SKETCH, BLOCKS, LIGHTEST = 1 << 20, 64, 14
 #: Bits of the smallest and the largest parity bitmap.
 LEAST_BITS, MOST_BITS = 256, 1 << 16
-#: Columns of a bitmap folded to four words.
-SHORT = ["p0", "p1", "p2", "p3"]
+#: Columns of a bitmap of one size for all sets, held inside list entries.
+SHORT = [f"p{k}" for k in range(16)]
+#: Keys of a set that an entry carries to tell whether its own is the first that a pair shares.
+EARLIER = 32
 #: Bits of the filter that keeps texts nobody asked for out of an exchange.
 FILTER_BITS = 1 << 22
 #: What verifying a candidate costs, in entries of an inverted list.
@@ -103,6 +105,13 @@ def parity(found: np.ndarray) -> np.ndarray:
     return np.packbits((flips & 1).astype(np.uint8), bitorder="little")
 
 
+def words(found: np.ndarray) -> list[int]:
+    """A parity bitmap of one size for all sets, as signed words."""
+    bits = 64 * len(SHORT)
+    flips = np.bincount((found >> np.uint64(64 - MOST_BITS.bit_length() + 1)).astype(np.int64) & (bits - 1), minlength=bits)
+    return np.packbits((flips & 1).astype(np.uint8), bitorder="little").view("<i8").tolist()
+
+
 def fold(bitmap: np.ndarray, size: int) -> np.ndarray:
     """A bitmap of ``size`` bytes from a longer one; its bits stay parities."""
     while len(bitmap) > size:
@@ -141,7 +150,7 @@ def _sets(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(SKETCH, np.int64)
-        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary(), *[pa.int64()] * 4, pa.int32(), pa.binary())
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary(), *[pa.int64()] * len(SHORT), pa.int32(), pa.binary())
         names = ["doc_id", "n", "node", "few", "bits", *SHORT, "block", "counts"]
         for batch in batches:
             ids, texts = column_arrays(batch, "doc_id", "text")
@@ -149,14 +158,14 @@ def _sets(docs: DataFrame) -> DataFrame:
             if found:
                 counts += np.bincount((np.concatenate(found) & np.uint64(SKETCH - 1)).astype(np.int64), minlength=SKETCH)
             maps = [parity(s) if len(s) else None for s in found]
-            short = [(None,) * 4 if m is None else fold(m, LEAST_BITS // 8).view("<i8").tolist() for m in maps]
+            short = [(None,) * len(SHORT) if s is None or not len(s) else words(s) for s in found]
             columns = [
                 ids,
                 [len(s) for s in found],
                 [node_of(s) if len(s) else None for s in found],
                 [s.view(np.int64).tolist() if 0 < len(s) <= LIGHTEST else None for s in found],
                 [None if m is None else m.tobytes() for m in maps],
-                *[[x[k] for x in short] for k in range(4)],
+                *[[x[k] for x in short] for k in range(len(SHORT))],
                 [None] * len(ids),
                 [None] * len(ids),
             ]
@@ -164,10 +173,10 @@ def _sets(docs: DataFrame) -> DataFrame:
         if counts.any():
             for b in range(BLOCKS):
                 raw = counts[b * share : (b + 1) * share].astype("<u4").tobytes()
-                yield pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip((*[None] * 9, b, raw), kinds, strict=True)], names=names)
+                yield pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip((*[None] * (5 + len(SHORT)), b, raw), kinds, strict=True)], names=names)
 
     rows = docs.select(F.col("doc_id"), F.col("text"))
-    return map_batches(rows, run, "doc_id long, n long, node long, few array<long>, bits binary, p0 long, p1 long, p2 long, p3 long, block int, counts binary")
+    return map_batches(rows, run, "doc_id long, n long, node long, few array<long>, bits binary, " + "".join(f"{p} long, " for p in SHORT) + "block int, counts binary")
 
 
 def _levels(blocks: DataFrame) -> np.ndarray:
@@ -337,9 +346,8 @@ def _close(pairs: DataFrame, owners: DataFrame) -> DataFrame:
 
 
 def _verify(pairs: DataFrame, docs: DataFrame, owners: DataFrame) -> DataFrame:
-    """The rows (u, v) of ``pairs`` whose sets link. Sets are made again for the nodes that pass the bitmaps only;
-    a filter of fixed size keeps other texts out of the exchange."""
-    pairs = materialize(_close(pairs, owners), "close")
+    """The rows (u, v) of ``pairs`` whose sets link. Sets are made again for the nodes in question only; a filter of
+    fixed size keeps other texts out of the exchange."""
     nodes = pairs.select(F.col("u").alias("node")).unionByName(pairs.select(F.col("v").alias("node"))).distinct()
     wanted = materialize(nodes.join(owners, "node").select("doc_id", "node"), "wanted")
     bits = _filter(wanted, "doc_id")
@@ -397,17 +405,25 @@ def components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> D
         listed.filter(_possible("node", "n", "at", w, f"{w}_n", f"{w}_at", boundary)).select(*_pair("node", w)) for w in ("lead", "last")
     ]
     tried = materialize(close[0].unionByName(close[1]).distinct(), "tried")
-    links = materialize(_verify(tried, rows, owners).unionByName(stars).distinct(), "links")
+    likely = materialize(_close(tried, owners), "close")
+    links = materialize(_verify(likely, rows, owners).unionByName(stars).distinct(), "links")
     roots = materialize(connected(links), "roots")
 
     entries = listed.select("key", "node", "n", "at").join(roots, "node", "left")
     entries = materialize(entries.select("key", "node", "n", "at", F.coalesce("root", "node").alias("root")), "entries")
     mixed = entries.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high").select("key")
-    entries = entries.join(mixed, "key").join(owners.select("node", *SHORT), "node").select("key", "node", "n", "at", "root", *SHORT)
-    a, b = (entries.toDF("key", *[f"{c}_{x}" for x in ("node", "n", "at", "root", *SHORT)]) for c in "ab")
+    # a pair meets in every list that it shares; it is made in the first of them, as far as entries carry earlier keys
+    entries = materialize(entries.join(mixed, "key"), "mixed")
+    own_keys = F.slice(F.array_sort(F.collect_list(F.struct("at", "key"))), 1, EARLIER)
+    first = entries.groupBy("node").agg(own_keys.alias("first"))
+    entries = entries.join(first, "node").join(owners.select("node", *SHORT), "node")
+    earlier = F.transform(F.filter("first", lambda k: k["at"] < F.col("at")), lambda k: k["key"])
+    entries = entries.select("key", "node", "n", "at", "root", earlier.alias("earlier"), *SHORT)
+    a, b = (entries.toDF("key", *[f"{c}_{x}" for x in ("node", "n", "at", "root", "earlier", *SHORT)]) for c in "ab")
     apart = sum((F.bit_count(F.col(f"a_{p}").bitwiseXOR(F.col(f"b_{p}"))) for p in SHORT), F.lit(0))
     near_enough = apart <= F.col("a_n") + F.col("b_n") - 2 * _required(F.col("a_n"), F.col("b_n"))
-    across = a.join(b, "key").filter(F.col("a_root") < F.col("b_root")).filter(_possible("a_node", "a_n", "a_at", "b_node", "b_n", "b_at", boundary)).filter(near_enough)
+    across = a.join(b, "key").filter(F.col("a_root") < F.col("b_root")).filter(_possible("a_node", "a_n", "a_at", "b_node", "b_n", "b_at", boundary))
+    across = across.filter(near_enough).filter(~F.arrays_overlap("a_earlier", "b_earlier"))
     across = across.select(*_pair("a_node", "b_node")).distinct().join(tried, ["u", "v"], "left_anti")
     more = _verify(materialize(across, "across"), rows, owners)
     # links between components: the roots of the first round stand for their nodes
