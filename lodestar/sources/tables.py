@@ -114,7 +114,7 @@ def read_files(spark: SparkSession, path: str, glob: str = "*", content: bool =
 
 def read_log_tail(spark: SparkSession, path: str, n: int) -> DataFrame:
     """The last ``n`` lines of each text file, numbered from the first; lines are split inside a file's row."""
-    rows = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.split(F.rtrim("value"), "\r?\n").alias("lines"))
+    rows = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.split(F.regexp_replace("value", r"[\s]+$", ""), "\r?\n").alias("lines"))
     return rows.select("file", F.size("lines").alias("total"), F.posexplode("lines").alias("k", "line")).filter(F.col("k") >= F.col("total") - n).select("file", (F.col("k") + 1).alias("line_number"), "line")
 
 
