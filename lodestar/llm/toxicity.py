@@ -8,8 +8,9 @@ calibrated on labelled documents that the dictionaries have not seen.
 Two choices make windows comparable. Letters are coded by the start of their word (two bytes of a hash of all its
 letters so far), so a match is a word's beginning and literals do not compress: on plain bytes the entropy stage
 drowns the distances (see README). And the dictionaries are filled greedily with the word beginnings that set their
-class apart and cover the most texts not yet covered, then with a shared tail of common words, so windows of
-neither kind have distance 0.
+class apart and cover the most texts not yet covered, with what the other class's segments share with this class's
+usual words, so that a word that merely begins like a toxic one is no distance, and with a shared tail of common
+words, so windows of neither kind have distance 0.
 
 The fit sees at most ``MAX_DOCUMENTS`` labelled documents of each class, chosen by a hash of the id. Word beginnings
 are counted on the executors; only the ``MAX_STARTS`` most telling, which texts have them, and histograms of
@@ -36,9 +37,12 @@ from pyspark.sql import types as T
 
 from lodestar.llm.common import column_arrays, map_batches, mix64, schema_with, text_of
 from lodestar.llm.quality import _chance
+from lodestar.llm.similarity import shingles
 from lodestar.sources.workspace import materialize
 
 MAX_DOCUMENTS, MAX_STARTS = 3000, 1000
+#: Share of a class's texts from which on a beginning is usual in it.
+USUAL = 0.001
 #: Beginnings that a task holds before it passes their counts on.
 COUNTED = 100_000
 SHORTEST, LONGEST = 3, 12
@@ -187,34 +191,50 @@ def summary(distances: np.ndarray, least: float) -> np.ndarray:
     return np.array([1.0, math.log1p(count), float(count >= 2), math.sqrt(count / len(distances))])
 
 
-def calibrate(distances: list[np.ndarray], toxic: np.ndarray) -> tuple[float, np.ndarray]:
-    """The window threshold that parts the classes best, and logistic weights by Newton's method with a ridge."""
+def calibrate(distances: list[np.ndarray], toxic: np.ndarray, share: float) -> tuple[float, np.ndarray]:
+    """The window threshold that parts the classes best, and logistic weights by Newton's method with a ridge.
+
+    The sample holds more toxic documents than the corpus, so documents weigh as if a ``share`` of them were toxic.
+    """
     best = (-1.0, 1.0)
     for least in range(1, 25):
-        share = np.array([(d >= least).mean() for d in distances])
-        order = np.argsort(np.argsort(share, kind="stable"))
-        ties = np.array([share[toxic == 1]]).ravel()
-        clean = np.sort(share[toxic == 0])
-        auc = float((np.searchsorted(clean, ties, "left") + np.searchsorted(clean, ties, "right")).mean() / 2 / max(1, len(clean)))
-        if auc > best[0] + 1e-6 and len(order):
+        count = np.array([(d >= least).mean() for d in distances])
+        clean, other = np.sort(count[toxic == 0]), count[toxic == 1]
+        auc = float((np.searchsorted(clean, other, "left") + np.searchsorted(clean, other, "right")).mean() / 2 / len(clean))
+        if auc > best[0] + 1e-6:
             best = (auc, float(least))
     x = np.array([summary(d, best[1]) for d in distances])
     w, ridge = np.zeros(x.shape[1]), 1e-2 * np.eye(x.shape[1])
+    weight = np.where(toxic == 1, share / toxic.mean(), (1 - share) / (1 - toxic.mean()))
     for _ in range(60):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        h = (x * (p * (1 - p))[:, None]).T @ x + ridge
-        step = np.linalg.solve(h, x.T @ (p - toxic) + ridge @ w)
+        h = (x * (weight * p * (1 - p))[:, None]).T @ x + ridge
+        step = np.linalg.solve(h, x.T @ (weight * (p - toxic)) + ridge @ w)
         w = w - np.clip(step, -2, 2)
     return best[1], w
 
 
 def _sample(docs: DataFrame, labels: DataFrame, learn: Column, doc_id: str, text: str, label: str) -> DataFrame:
-    """Labelled documents (toxic, chance, text), at most ``MAX_DOCUMENTS`` of each class."""
+    """Labelled documents (toxic, chance, text), at most ``MAX_DOCUMENTS`` of each class; ``chance`` is uniform.
+
+    Copies would pass off their words as telling, so of documents that share their least shingle one is kept.
+    """
     known = labels.filter(learn).filter(F.col(f"`{doc_id}`").isNotNull() & F.col(label).isNotNull())
-    known = known.groupBy(F.col(f"`{doc_id}`").alias("__id")).agg(F.max(label).alias("toxic")).select("__id", "toxic", _chance("__id", 5).alias("chance"))
-    sides = [known.filter(F.col("toxic") == k).orderBy("chance", "__id").limit(MAX_DOCUMENTS) for k in (0, 1)]
+    known = known.groupBy(F.col(f"`{doc_id}`").alias("__id")).agg(F.max(label).alias("toxic"))
+    known = known.select("__id", "toxic", _chance("__id", 5).alias("__order"), _chance("__id", 6).alias("chance"))
+    sides = [known.filter(F.col("toxic") == k).orderBy("__order", "__id").limit(MAX_DOCUMENTS) for k in (0, 1)]
     ids = F.broadcast(sides[0].unionByName(sides[1]))  # at most 2 * MAX_DOCUMENTS ids
-    return docs.select(F.col(f"`{doc_id}`").alias("__id"), text_of(text).alias("text")).join(ids, "__id").select("toxic", "chance", "text")
+    rows = docs.select(F.col(f"`{doc_id}`").alias("__id"), text_of(text).alias("text")).join(ids, "__id").select("toxic", "chance", "text")
+
+    def least(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            (texts,) = column_arrays(batch, "text")
+            keys = [int(s[0] >> np.uint64(1)) if len(s := shingles(t)) else -1 for t in texts]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(keys, pa.int64())], names=[*batch.schema.names, "key"])
+
+    rows = map_batches(rows, least, schema_with(rows, key=T.LongType()))
+    one = F.min(F.struct("chance", "text")).alias("one")
+    return materialize(rows.groupBy("toxic", "key").agg(one).select("toxic", "one.chance", "one.text"), "labelled")
 
 
 def train(docs: DataFrame, labels: DataFrame, learn: Column, doc_id: str = "doc_id", text: str = "text", label: str = "toxic") -> Model | None:
@@ -265,12 +285,20 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column, doc_id: str = "doc_
 
     rows = map_batches(learned, incidence, "toxic int, chance double, have array<string>").filter("size(have) > 0")
     rows = rows.orderBy("chance", "have").limit(2 * MAX_DOCUMENTS).collect()
-    contents = []
+    chosen = {}
     for own, other in ((1, 0), (0, 1)):
         sets = [set(r["have"]) for r in rows if r["toxic"] == own]
         sets += [set()] * (texts[own] - len(sets))
         ours, theirs = ({x: c[k] for x, c in able[own].items()} for k in (0, 1))
-        contents.append(dictionary(segments(sets, ours, theirs, texts[other]), common))
+        chosen[own] = segments(sets, ours, theirs, texts[other])
+    contents = []
+    for own, other in ((1, 0), (0, 1)):
+        # what the other class's segments have in common with this class's words is in both dictionaries
+        parts = {x[:k] for x in chosen[other] for k in range(SHORTEST, len(x))}
+        usual = counts.filter(F.col("start").isin(sorted(parts)) & (F.col(f"c{own}") > USUAL * texts[own])).select("start").collect() if parts else []
+        usual = {r["start"] for r in usual}
+        shared = [next((x[:k] for k in range(len(x) - 1, SHORTEST - 1, -1) if x[:k] in usual), x[: SHORTEST - 1]) for x in chosen[other]]
+        contents.append(dictionary([*chosen[own], *dict.fromkeys(shared)], common))
     toxic, ordinary = contents
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -286,7 +314,8 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column, doc_id: str = "doc_
     if not (y == 1).any() or not (y == 0).any():
         return None
     distances = [np.repeat(np.arange(-1, 64), c).astype(float) for c in rows["counts"]]
-    return Model(toxic, ordinary, *calibrate(distances, y))
+    share = labels.filter(learn).agg(F.avg((F.col(label) == 1).cast("double"))).first()[0]
+    return Model(toxic, ordinary, *calibrate(distances, y, float(np.clip(share, 0.001, 0.999))))
 
 
 def score(docs: DataFrame, model: Model | None, text: str = "text") -> DataFrame:
