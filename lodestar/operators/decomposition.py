@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestar.functions.vectors import dot, minus
+from lodestar.sources.workspace import share_code
 
 #: Most rows that are clustered in one task; agglomeration needs all distances.
 MAX_CLUSTERED = 5000
@@ -18,6 +19,7 @@ MAX_CLUSTERED = 5000
 
 def moments(df: DataFrame, vector: str) -> tuple[int, np.ndarray, np.ndarray]:
     """Count, mean and covariance of vectors. Each task adds up its outer products; a matrix per task is summed."""
+    share_code(df.sparkSession)
     bare = df.filter(F.col(vector).isNotNull()).select(F.col(vector).cast("array<double>").alias("v"))
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -104,6 +106,7 @@ def silhouette(x: np.ndarray, labels: np.ndarray) -> float:
 
 def clusterings(df: DataFrame, item: str, vector: str, ks: Iterable[int]) -> DataFrame:
     """(k, item, cluster, silhouette, best) for a set of at most :data:`MAX_CLUSTERED` rows, in one task."""
+    share_code(df.sparkSession)
     ks = list(ks)
     if df.limit(MAX_CLUSTERED + 1).count() > MAX_CLUSTERED:
         raise ValueError(f"agglomeration is for at most {MAX_CLUSTERED} rows")

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestar.functions.vectors import dot, minus, unit
+from lodestar.sources.workspace import share_code
 
 
 def mean_vectors(df: DataFrame, keys: Sequence[str], vector: str = "embedding", normalised: bool = True) -> DataFrame:
@@ -76,6 +77,7 @@ def nearest(df: DataFrame, k: int, item: str = "vec_id", vector: str = "embeddin
     A blocked nested loop: items fall into blocks, each pair of blocks meets in one task as two matrices, keeps the
     ``k`` best of each row, and the partial results are ranked. Memory is two blocks, whatever the table's size.
     """
+    share_code(df.sparkSession)
     n = df.count()
     blocks = max(1, -(-n // block_rows))
     rows = df.select(F.col(item).alias("id"), F.col(vector).cast("array<double>").alias("v"), F.pmod(F.xxhash64(item), F.lit(blocks)).alias("b"))
@@ -110,6 +112,7 @@ def pair_similarities(df: DataFrame, item: str, group: str, vector: str = "embed
     Counting equal rounded values where the pairs are made keeps the output small: at most two million values and
     two classes, whatever the number of pairs.
     """
+    share_code(df.sparkSession)
     n = df.count()
     blocks = max(1, -(-n // block_rows))
     rows = df.select(F.col(item).alias("id"), F.col(group).alias("g"), F.col(vector).cast("array<double>").alias("v"), F.pmod(F.xxhash64(item), F.lit(blocks)).alias("b"))

@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestar.sources.workspace import share_code
+
 
 def fixed_windows(df: DataFrame, low: str, high: str, size: int, stride: int | None = None) -> DataFrame:
     """Tumbling or sliding windows of ``size`` positions inside [low, high]; an incomplete tail is dropped."""
@@ -98,6 +100,7 @@ def interpolate(anchors: DataFrame, queries: DataFrame, keys: Sequence[str], x:
     Anchors at one x are replaced by their median, y is made non-decreasing, ends go on at the last slope and never
     below zero. A key's anchors are one curve, so they meet in one call; a key with one anchor is constant.
     """
+    share_code(anchors.sparkSession)
     point = anchors.groupBy(*keys, x).agg(F.median(y).alias(y))
 
     def curve(_: tuple, a: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:

@@ -11,10 +11,23 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
 _OWN: dict[str, str] = {}
+_HOME = str(Path(__file__).resolve().parents[2])
+
+
+def share_code(spark: SparkSession) -> None:
+    """Let Python workers import this library from where the driver found it, whatever their working folder is.
+
+    On a cluster the library is installed or shipped with the job; a path that does not exist there does no harm.
+    """
+    known = spark.sparkContext.environment
+    paths = known.get("PYTHONPATH", "").split(":")
+    if _HOME not in paths:
+        known["PYTHONPATH"] = ":".join([_HOME, *filter(None, paths)])
 
 
 def shared_root(spark: SparkSession) -> str:
