@@ -246,54 +246,93 @@ def _entries(docs: DataFrame, levels: np.ndarray, boundary: int) -> DataFrame:
 _NEAR = "key long, node long, n int, at int, lead long, lead_n int, lead_at int, last long, last_n int, last_at int"
 
 
+def feasible(rows: np.ndarray) -> np.ndarray:
+    """Which of the rows (key, node, n, at), sorted by key and n, have a partner in their list by size and place.
+
+    A partner's size m must be within ``smallest_partner`` and what the own rest allows, and its own rest must allow
+    the sum: ``(ABOVE + BELOW) * (m - at) >= ABOVE * (n + m)``. The second is a maximum over a range of sizes, from a
+    table of maxima over powers of two. Subsets are always kept.
+    """
+    key, n, at = rows[:, 0], rows[:, 2], rows[:, 3]
+    both = ABOVE + BELOW
+    group = np.cumsum(np.append(False, key[1:] != key[:-1]))
+    wide = int(n.max()) * 2 + 2
+    place = group * wide + n
+    most = np.minimum(n * BELOW // ABOVE, np.maximum((both * (n - at)) // ABOVE - n, 0))
+    low = np.searchsorted(place, group * wide + -(-ABOVE * n // BELOW), "left")
+    high = np.searchsorted(place, group * wide + np.minimum(most, wide - 1), "right")
+    score = both * (n - at) - ABOVE * n
+    table = [score]
+    while (1 << len(table)) <= len(rows):
+        half = 1 << (len(table) - 1)
+        table.append(np.maximum(table[-1][:-half], table[-1][half:]))
+    here = np.arange(len(rows))
+
+    def best(start: np.ndarray, stop: np.ndarray) -> np.ndarray:
+        out = np.full(len(rows), -1, np.int64)
+        size = stop - start
+        level = np.frexp(np.maximum(size, 1).astype(float))[1] - 1
+        for k in np.unique(level[size > 0]):
+            i = np.flatnonzero((level == k) & (size > 0))
+            out[i] = np.maximum(table[k][start[i]], table[k][stop[i] - (1 << k)])
+        return out
+
+    other = np.maximum(best(low, np.minimum(here, high)), best(np.maximum(here + 1, low), high))
+    return (other >= ABOVE * n) | (at < 0)
+
+
 def _scan(entries: DataFrame) -> DataFrame:
-    """The entries of lists with two nodes or more, each with the first entry of its size class and the one before.
+    """The entries of lists with a possible partner, each with the first entry of its size class and the one before.
 
-    A stream over sorted lists: memory is a block of rows, however long a list is.
+    A stream over sorted lists: memory is a block of rows. A list too long for a block goes in parts that hand on
+    their first and last entry, and keeps all of its entries.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = np.zeros((0, 4), np.int64)
-        lead = np.zeros(4, np.int64)
-        last = None  # the row before the held ones
+        lead = last = None
 
-        def blocks() -> Iterator[tuple[np.ndarray, bool]]:
+        def chunks() -> Iterator[tuple[np.ndarray, bool]]:
+            """Rows of whole lists, or a part of a list that goes on (True)."""
             parts, n = [], 0
             for batch in batches:
                 parts.append(np.stack([c.to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns], 1))
                 n += batch.num_rows
                 if n >= _ROWS:
-                    yield np.concatenate(parts), False
-                    parts, n = [], 0
-            yield np.concatenate(parts) if parts else np.zeros((0, 4), np.int64), True
-
-        for rows, end in blocks():
-            x = np.concatenate([held, rows])
-            x = x[np.append(True, (x[1:, :2] != x[:-1, :2]).any(1))] if len(x) else x  # one entry of a set in a list
-            if not end and len(x):
-                x, held = x[:-1], x[-1:]  # whether the last row has a follower is not known yet
-                follower = held[0]
-            else:
-                follower = None
+                    x = np.concatenate(parts)
+                    cut = int(np.searchsorted(x[:, 0], x[-1, 0], "left"))
+                    if cut:
+                        yield x[:cut], False
+                        x = x[cut:]
+                    if len(x) >= 4 * _ROWS:
+                        yield x, True
+                        x = x[:0]
+                    parts, n = [x], len(x)
+            yield np.concatenate(parts) if parts else np.zeros((0, 4), np.int64), False
+
+        kinds = [f.split() for f in _NEAR.split(", ")]
+        for x, goes_on in chunks():
+            if not len(x):
+                continue
+            x = x[np.append(True, (x[1:, :2] != x[:-1, :2]).any(1))]  # one entry of a set in a list
+            going = last is not None and last[0] == x[0, 0]
+            part = (going & (x[:, 0] == x[0, 0])) | (goes_on & (x[:, 0] == x[-1, 0]))
+            x = x[part | feasible(x)]
             if not len(x):
+                last = None
                 continue
-            before = np.concatenate([x[:1] * 0 + (last if last is not None else 0), x[:-1]])
+            before = np.concatenate([last[None] if going else x[:1], x[:-1]])
             same = x[:, 0] == before[:, 0]
-            if last is None:
-                same[0] = False
-            size = np.floor(np.log(np.maximum(x[:, 2], 1)) / math.log(1.3)).astype(np.int64)
-            size_before = np.floor(np.log(np.maximum(before[:, 2], 1)) / math.log(1.3)).astype(np.int64)
+            same[0] = going and x[0, 0] == last[0]
+            size, size_before = (np.floor(np.log(np.maximum(v[:, 2], 1)) / math.log(1.3)).astype(np.int64) for v in (x, before))
             begins = ~same | ((size != size_before) & (x[:, 3] >= 0))
-            after = np.append(same[1:], follower is not None and follower[0] == x[-1, 0])
             first = np.maximum.accumulate(np.where(begins, np.arange(len(x)), -1))
-            leads = np.where(first[:, None] >= 0, x[first], lead)
+            leads = np.where(first[:, None] >= 0, x[first], lead if lead is not None else x[:1])
+            after = np.append(same[1:], goes_on)
             keep = same | after
             out = np.concatenate([x, leads[:, 1:], np.where(same[:, None], before[:, 1:], x[:, 1:])], 1)[keep]
-            lead, last = leads[-1], x[-1]
-            kinds = [f.split()[1] for f in _NEAR.split(", ")]
+            lead, last = leads[-1], x[-1] if goes_on else None
             yield pa.RecordBatch.from_arrays(
-                [pa.array(out[:, k].astype(np.int64 if kind == "long" else np.int32)) for k, kind in enumerate(kinds)],
-                names=[f.split()[0] for f in _NEAR.split(", ")],
+                [pa.array(out[:, k].astype(np.int64 if kind == "long" else np.int32)) for k, (_, kind) in enumerate(kinds)], names=[f for f, _ in kinds]
             )
 
     dealt = entries.repartition(width(entries.sparkSession), "key").sortWithinPartitions("key", "n", "node")
