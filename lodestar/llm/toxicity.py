@@ -266,7 +266,7 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column, doc_id: str = "doc_
     if every is None or not every["c0"] or not every["c1"]:
         return None
     texts = {0: every["c0"], 1: every["c1"]}
-    top = counts.filter("start <> ''").orderBy(F.desc(F.col("c0") * F.length("start")), "start").limit(COMMON).collect()
+    top = counts.filter("start <> '' and c0 >= 2").orderBy(F.desc(F.col("c0") * F.length("start")), "start").limit(COMMON).collect()
     common = [r["start"] for r in top][::-1]
     able = {}
     for own, other in ((1, 0), (0, 1)):
