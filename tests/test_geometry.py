@@ -32,7 +32,7 @@ def test_leave_one_out_equals_the_direct_join(spark):
     rows = [(i, i % 3, [rng.gauss(0, 1) for _ in range(5)]) for i in range(12)] + [(99, 7, [1.0] * 5)]
     rows = [(i, g, (np.array(v) / np.linalg.norm(v)).tolist()) for i, g, v in rows]
     got = {(r["vec_id"], r["other"]): r["similarity"] for r in G.leave_one_out(_frame(spark, rows), "vec_id", "label").collect()}
-    for i, g, v in rows:
+    for i, _, v in rows:
         for other in {r[1] for r in rows}:
             rest = [np.array(w) for j, h, w in rows if h == other and j != i]
             if not rest:
@@ -40,8 +40,6 @@ def test_leave_one_out_equals_the_direct_join(spark):
                 continue
             c = np.sum(rest, 0)
             assert got[i, other] == pytest.approx(float(np.dot(v, c) / np.linalg.norm(c)), abs=2e-6)
-            del g
-            g = None
 
 
 @pytest.mark.parametrize("block", [3, 100])
