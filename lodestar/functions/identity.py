@@ -88,9 +88,9 @@ def _found(text: Column, pattern: str, group: int = 1) -> Column:
     return F.nullif(F.regexp_extract(text, pattern, group), F.lit(""))
 
 
-def movement_in_title(title: Column, short_name: Column) -> Column:
-    """The movement that a title names; rules in order, some for one composer only."""
-    t = without_labels(title)
+def movement_in_title(title: Column, short_name: Column, stripped: bool = False) -> Column:
+    """The movement that a title names; rules in order, some for one composer only. ``stripped``: without labels already."""
+    t = title if stripped else without_labels(title)
     sonata = F.lower(t).contains("sonata")
     after_colon = _found(t, r":\s*([IVX]+|[0-9]+)\s*[.:]")
     pair = F.when(sonata & short_name.isin("Mozart", "Chopin"), _found(t, r"\b(\d+)\s*-\s*(\d+)\b", 2))
@@ -121,10 +121,11 @@ def with_identity(df: DataFrame, name: str, title: str, path: str) -> DataFrame:
     title_number = catalogue(catalogue_tokens(F.col(title)))
     path_number = catalogue(catalogue_tokens(F.replace(F.col(path), F.lit("_"), F.lit(" "))))
     short = composer(F.col(name))
-    rows = df.withColumns({"title_number": title_number, "path_number": path_number})
+    # steps in projections of their own: each is used several times by the next
+    rows = df.withColumns({"title_number": title_number, "path_number": path_number, "__short": short, "__title": without_labels(F.col(title))})
     rows = rows.withColumn("catalogue_number", F.coalesce("title_number", "path_number"))
-    rows = rows.withColumn("movement_number", F.coalesce(movement_in_title(F.col(title), short), movement_in_path(F.col(path))))
-    return rows.withColumn("work_key", analysis_work_id(F.col(name), F.col("catalogue_number"), F.col("movement_number")))
+    rows = rows.withColumn("movement_number", F.coalesce(movement_in_title(F.col("__title"), F.col("__short"), stripped=True), movement_in_path(F.col(path))))
+    return rows.withColumn("work_key", analysis_work_id(F.col("__short"), F.col("catalogue_number"), F.col("movement_number"))).drop("__short", "__title")
 
 
 def group_conflicts(identified: DataFrame, group: str) -> DataFrame:
