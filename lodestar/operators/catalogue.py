@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestar.sources.workspace import materialize
+
 
 def first_by(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str]) -> DataFrame:
     """The first row of every key in an order; give an order without ties for a reproducible choice."""
@@ -14,6 +16,21 @@ def first_by(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str])
     return df.withColumn("__k", F.row_number().over(w)).filter("__k = 1").drop("__k")
 
 
+def numbered(df: DataFrame, order: Sequence[str], name: str, start: int = 0) -> DataFrame:
+    """Rows numbered from ``start`` in an order, without gathering them in one task.
+
+    Rows are range-sorted and written once, so that their partitions stay what they are; only the number of rows of
+    each partition is added up in one place.
+    """
+    dealt = df.repartitionByRange(*order).withColumn("__part", F.spark_partition_id())
+    dealt = materialize(dealt, "numbered")
+    counts = dealt.groupBy("__part").count()
+    before = F.sum("count").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1))
+    counts = counts.select("__part", F.coalesce(before, F.lit(0)).alias("__before"))
+    inside = F.row_number().over(Window.partitionBy("__part").orderBy(*order)) - 1
+    return dealt.join(counts, "__part").withColumn(name, inside + F.col("__before") + start).drop("__part", "__before")
+
+
 def require_unique(df: DataFrame, keys: Sequence[str], what: str) -> DataFrame:
     """``df`` itself; raises if a key occurs twice."""
     twice = df.groupBy(*keys).count().filter("count > 1").limit(3).collect()

@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestar.functions.vectors import dot
 from lodestar.operators import adapter as A
 from lodestar.operators import decomposition, stats
+from lodestar.operators.catalogue import numbered
 from lodestar.plans.catalog import query, table
-from lodestar.plans.mapping import VECTORS, passages
+from lodestar.plans.mapping import VECTORS, passages, scores
 
 
 @query("key_labels", f"""WITH f AS (SELECT p_partkey, p_size % 17 - 8 AS fifths, (['major', 'minor', ''])[p_partkey % 3 + 1] AS mode FROM part),
@@ -39,8 +40,6 @@ def movement_source(spark: SparkSession, sf_dir: str) -> DataFrame:
 s AS (SELECT *, quarters * 60.0 / coalesce(last_value(tempo IGNORE NULLS) OVER (PARTITION BY l_orderkey ORDER BY measure ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 120.0) AS s FROM b)
 SELECT l_orderkey, measure, round(sum(s) OVER w - s, 6) AS start_seconds, round(sum(s) OVER w, 6) AS end_seconds FROM s WINDOW w AS (PARTITION BY l_orderkey ORDER BY measure ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)""")
 def tempo_times(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from pyspark.sql import Window
-
     w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey")
     tempo = F.when(F.col("l_returnflag") == "R", 60.0 + F.col("l_tax") * 1000)
     b = table(spark, sf_dir, "lineitem").select("l_orderkey", F.row_number().over(w).cast("long").alias("measure"), F.col("l_quantity").alias("quarters"), tempo.alias("tempo"))
@@ -75,11 +74,9 @@ def rand_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 z AS (SELECT r, a, b + (b >= a)::INT AS b FROM d) SELECT x.label = y.label AS within, count(*) AS n, round(avg(list_dot_product(x.v, y.v)), 6) AS mean FROM z JOIN i x ON x.k = z.a JOIN i y ON y.k = z.b GROUP BY within""")
 def sampled_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Similarities of 2,000 hashed pairs, the diagonal skipped: a sampling operator, reproducible in any engine."""
-    from pyspark.sql import Window
-
     p = passages(spark, sf_dir).select("vec_id", "label", "vector")
     n = p.count()
-    i = p.withColumn("k", F.row_number().over(Window.orderBy("vec_id")).cast("long") - 1)
+    i = numbered(p, ["vec_id"], "k")
     r = spark.range(2000).select(F.col("id").cast("string").alias("r"))
     a, b = stats.draw("a", F.col("r")) % n, stats.draw("b", F.col("r")) % (n - 1)
     d = r.select(a.alias("a"), b.alias("b0")).withColumn("b", F.col("b0") + (F.col("b0") >= F.col("a")).cast("int"))
@@ -92,8 +89,6 @@ def sampled_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("prompt_response_projection")
 def prompt_response_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Row-normalised prompt similarities of passages, transposed, times their row-normalised component scores."""
-    from lodestar.plans.mapping import scores
-
     s = scores(spark, sf_dir).select("vec_id", "prompt_id", "similarity")
     c = decomposition.project(table(spark, sf_dir, "embeddings").filter("vec_id >= 10"), "vec_id", "embedding", 3)
     size = lambda df, v: df.groupBy("vec_id").agg(F.sqrt(F.sum(F.col(v) * F.col(v))).alias("size"))

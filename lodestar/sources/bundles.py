@@ -9,12 +9,12 @@ from __future__ import annotations
 import json
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestar.functions.strings import clean, fingerprint
 from lodestar.functions.vectors import is_sound, norm
-from lodestar.operators.catalogue import new_entries
+from lodestar.operators.catalogue import new_entries, numbered
 from lodestar.operators.quality import ContractError, require
 
 IDENTITY = ("model_space", "item_type", "item_id", "content_hash", "passage_generation_method")
@@ -34,9 +34,16 @@ def aligned(records: DataFrame, vectors: DataFrame, item: str = "item_id", size:
     require(vectors, item, {"the vector is not sound": ~is_sound(F.col("embedding"), size)})
     rows = records.join(vectors.select(item, "embedding"), item, "left")
     ok = F.col("embedding").isNotNull()
-    number = F.row_number().over(Window.partitionBy(ok).orderBy(item)) - 1
     state = F.when(ok, "success").when(F.col("status").isin("", "pending") | F.col("status").isNull(), "failed").otherwise(F.col("status"))
-    return rows.withColumns({"embedding_row": F.when(ok, number), "status": state})
+    return _renumbered(rows.withColumn("status", state), item)
+
+
+def _renumbered(rows: DataFrame, item: str) -> DataFrame:
+    """Rows with a vector numbered from 0 in item order, the others without a number."""
+    rows = rows.drop("embedding_row")
+    good = numbered(rows.filter(F.col("embedding").isNotNull()), [item], "embedding_row")
+    rest = rows.filter(F.col("embedding").isNull()).withColumn("embedding_row", F.lit(None).cast("long"))
+    return good.unionByName(rest)
 
 
 def write_bundle(rows: DataFrame, path: str, metadata: dict, force: bool = False) -> None:
@@ -79,7 +86,7 @@ def merged(bundles: Sequence[DataFrame], item: str = "item_id") -> DataFrame:
         raise ContractError("bundles of several spaces do not merge")
     if out.groupBy(item).count().filter("count > 1").limit(1).count():
         raise ContractError(f"{item} occurs in several bundles")
-    return out.withColumn("embedding_row", F.when(F.col("embedding").isNotNull(), F.row_number().over(Window.partitionBy(F.col("embedding").isNotNull()).orderBy(item)) - 1))
+    return _renumbered(out, item)
 
 
 def identity(extra: Sequence[Column] = ()) -> Column:

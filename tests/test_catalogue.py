@@ -95,3 +95,20 @@ def test_states_of_both_sides(spark):
     a, b = spark.createDataFrame([(1, "R"), (2, None)], "j int, s string"), spark.createDataFrame([(2, "D"), (3, "F")], "j int, s string")
     got = {r["j"]: (r["s"], r["source"]) for r in C.merge_states(a, b, "j", ["s"]).collect()}
     assert got == {1: ("R", "live"), 2: ("D", "both"), 3: ("F", "recorded")}
+
+
+def test_numbers_without_gaps(spark):
+    rows = C.numbered(spark.range(1000).repartition(7).withColumn("k", F.col("id") * 3 % 1000), ["k"], "n", 1)
+    assert [(r["k"], r["n"]) for r in rows.orderBy("n").collect()] == [(i, i + 1) for i in range(1000)]
+    assert C.numbered(spark.range(0), ["id"], "n").count() == 0
+
+
+def test_merged_bundles(spark):
+    from lodestar.operators.quality import ContractError
+    from lodestar.sources.bundles import merged
+
+    a = spark.createDataFrame([("b", "c2", [1.0]), ("x", "c2", None)], "item_id string, model_space string, embedding array<double>")
+    b = spark.createDataFrame([("a", "c2", [2.0], 1)], "item_id string, model_space string, embedding array<double>, extra int")
+    assert {r["item_id"]: r["embedding_row"] for r in merged([a, b]).collect()} == {"a": 0, "b": 1, "x": None}
+    with pytest.raises(ContractError):
+        merged([a, a])
