@@ -9,7 +9,7 @@ PASSAGE_EXTRAS = ("composition_id", "work_id", "score_version_id", "performance_
 CORPUS = (
     "passage_id", "composer", "period", "work_id", "movement_id", "recording_id", "score_path", "mxl_path", "audio_path", "midi_path", "alignment_path",
     "annotation_path", "bar_start", "bar_end", "score_format", "alignment_format", "rights_status", "segment_type", "annotation_type", "fully_aligned",
-    "eligible_for_clamp", "availability_status",
+    "availability_status",
 )
 PROMPTS = ("prompt_id", "family", "subfamily", "prompt_text", "polarity", "composer_reference", "interpretive_level", "enabled", "notes")
 ALIGNMENT_EVENTS = (
