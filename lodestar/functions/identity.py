@@ -33,6 +33,19 @@ OPEN_INSTRUMENTATION = (
 # Later catalogue numbers of the same works.
 ALTERNATES = {"189h": "283", "189a": "283", "300i": "331", "300h": "331", "496a": "487", "496": "487", "385g": "397"}
 ROMAN = {"i": "1", "ii": "2", "iii": "3", "iv": "4", "v": "5", "vi": "6", "vii": "7", "viii": "8", "ix": "9", "x": "10", "xi": "11", "xii": "12"}
+# Catalogue numbers after K or KV, and numbers alone in brackets.
+CATALOGUE = r"(?i)\bK(?:V)?\.?\s*([0-9]+[A-Za-z0-9]*(?::[0-9]+[A-Za-z0-9]*)?(?:-[0-9]+[A-Za-z0-9]*)?)"
+IN_BRACKETS = r"\(\s*([0-9]+[A-Za-z]*)\s*\)"
+# Places of a movement in a title (after a colon, in a pair, after a sonata's number, as an ordinal, after
+# an opus) and in the name of a folder (in a pair, before a dot or underscore, as an ordinal).
+AFTER_COLON = r":\s*([IVX]+|[0-9]+)\s*[.:]"
+IN_PAIR = r"\b(\d+)\s*-\s*(\d+)\b"
+OF_SONATA = r"(?i)Sonata\s*(\d+)\s*(\d+)(?:st|nd|rd|th)?"
+ORDINAL = r"(?i)\b(\d+)(?:st|nd|rd|th)\b"
+OF_OPUS = r"(?i)Op\.?\s*(\d+)\s+(\d+)\b"
+FOLDER_PAIR = r"(\d+)\s*-\s*(\d+)"
+FOLDER_NUMBER = r"^\s*([0-9]+|[IVX]+)[._]"
+FOLDER_ORDINAL = r"(?i)^\s*([0-9]+)(?:st|nd|rd|th)"
 # Composers by a part of their name, and their period.
 COMPOSERS = {"chopin": ("Chopin", "Romantic"), "mozart": ("Mozart", "Classical"), "bach": ("Bach", "Baroque")}
 
@@ -66,8 +79,8 @@ def without_labels(title: Column) -> Column:
 
 def catalogue_tokens(text: Column) -> Column:
     """Catalogue numbers after K or KV in order; with any of them, numbers alone in brackets too."""
-    main = F.regexp_extract_all(text, F.lit(r"(?i)\bK(?:V)?\.?\s*([0-9]+[A-Za-z0-9]*(?::[0-9]+[A-Za-z0-9]*)?(?:-[0-9]+[A-Za-z0-9]*)?)"), F.lit(1))
-    alone = F.regexp_extract_all(text, F.lit(r"\(\s*([0-9]+[A-Za-z]*)\s*\)"), F.lit(1))
+    main = F.regexp_extract_all(text, F.lit(CATALOGUE), F.lit(1))
+    alone = F.regexp_extract_all(text, F.lit(IN_BRACKETS), F.lit(1))
     return F.when(F.size(main) > 0, F.concat(main, F.array_except(alone, main))).otherwise(F.array().cast("array<string>"))
 
 
@@ -92,18 +105,18 @@ def movement_in_title(title: Column, short_name: Column, stripped: bool = False)
     """The movement that a title names; rules in order, some for one composer only. ``stripped``: without labels already."""
     t = title if stripped else without_labels(title)
     sonata = F.lower(t).contains("sonata")
-    after_colon = _found(t, r":\s*([IVX]+|[0-9]+)\s*[.:]")
-    pair = F.when(sonata & short_name.isin("Mozart", "Chopin"), _found(t, r"\b(\d+)\s*-\s*(\d+)\b", 2))
-    numbered = _found(t, r"(?i)Sonata\s*(\d+)\s*(\d+)(?:st|nd|rd|th)?", 2)
-    ordinal = F.when(sonata, _found(t, r"(?i)\b(\d+)(?:st|nd|rd|th)\b"))
-    etude = F.when(F.lower(t).contains("etude"), _found(t, r"(?i)Op\.?\s*(\d+)\s+(\d+)\b", 2))
+    after_colon = _found(t, AFTER_COLON)
+    pair = F.when(sonata & short_name.isin("Mozart", "Chopin"), _found(t, IN_PAIR, 2))
+    numbered = _found(t, OF_SONATA, 2)
+    ordinal = F.when(sonata, _found(t, ORDINAL))
+    etude = F.when(F.lower(t).contains("etude"), _found(t, OF_OPUS, 2))
     return movement(F.coalesce(after_colon, pair, F.when(short_name == "Chopin", F.coalesce(numbered, ordinal, etude))))
 
 
 def movement_in_path(path: Column) -> Column:
     """The movement that the folder of a file names."""
     leaf = F.substring_index(parent(path), "/", -1)
-    return movement(F.coalesce(_found(leaf, r"(\d+)\s*-\s*(\d+)", 2), _found(leaf, r"^\s*([0-9]+|[IVX]+)[._]"), _found(leaf, r"(?i)^\s*([0-9]+)(?:st|nd|rd|th)")))
+    return movement(F.coalesce(_found(leaf, FOLDER_PAIR, 2), _found(leaf, FOLDER_NUMBER), _found(leaf, FOLDER_ORDINAL)))
 
 
 def is_open_instrumentation(title: Column) -> Column:
