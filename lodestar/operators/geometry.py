@@ -71,6 +71,13 @@ def margins(pairs: DataFrame, unit_id: str, group: str) -> DataFrame:
     return rows.filter("own is not null").withColumn("margin", F.round(F.col("own") - F.col("best_other"), 6))
 
 
+def _matrix(t: pa.Table, column: str) -> np.ndarray:
+    """Vectors of one length as unit rows of a matrix."""
+    flat = t.column(column).combine_chunks().flatten().to_numpy(zero_copy_only=False)
+    x = flat.reshape(t.num_rows, -1)
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
 def nearest(df: DataFrame, k: int, item: str = "vec_id", vector: str = "embedding", block_rows: int = 4096) -> DataFrame:
     """The ``k`` most similar other items of every item: (item, neighbour, similarity, rank); ties to the lower id.
 
@@ -86,20 +93,19 @@ def nearest(df: DataFrame, k: int, item: str = "vec_id", vector: str = "embeddin
     right = rows.select("id", "v", F.col("b").alias("rb"), every).withColumnRenamed("o", "lb")
 
     def meet(_: tuple, a: pa.Table, b: pa.Table) -> pa.Table:
-        out = {"id": [], "neighbour": [], "similarity": []}
-        if a.num_rows and b.num_rows:
-            x, y = (np.array(t.column("v").to_pylist()) for t in (a, b))
-            i, j = (np.array(t.column("id").to_pylist()) for t in (a, b))
-            x, y = (m / np.linalg.norm(m, axis=1, keepdims=True) for m in (x, y))
-            s = np.round(x @ y.T, 6)
-            s[i[:, None] == j[None, :]] = -2
-            order = np.lexsort((np.broadcast_to(j, s.shape), -s), axis=1)[:, :k]
-            for c, (r, o) in enumerate(zip(s, order, strict=True)):
-                o = o[r[o] > -2]
-                out["id"] += [int(i[c])] * len(o)
-                out["neighbour"] += j[o].tolist()
-                out["similarity"] += r[o].tolist()
-        return pa.table(out, schema=pa.schema([("id", pa.int64()), ("neighbour", pa.int64()), ("similarity", pa.float64())]))
+        schema = pa.schema([("id", pa.int64()), ("neighbour", pa.int64()), ("similarity", pa.float64())])
+        if not a.num_rows or not b.num_rows:
+            return schema.empty_table()
+        i, j = (t.column("id").to_numpy() for t in (a, b))
+        by_id = np.argsort(j)
+        j = j[by_id]  # then the first of equal similarities has the lowest id
+        s = np.round(_matrix(a, "v") @ _matrix(b, "v")[by_id].T, 6)
+        s[i[:, None] == j[None, :]] = -2
+        order = np.argsort(-s, axis=1, kind="stable")[:, :k]
+        best = np.take_along_axis(s, order, 1)
+        use = best > -2
+        ids = np.broadcast_to(i[:, None], order.shape)
+        return pa.table([pa.array(ids[use]), pa.array(j[order][use]), pa.array(best[use])], schema=schema)
 
     part = left.groupBy("lb", "rb").cogroup(right.groupBy("lb", "rb")).applyInArrow(meet, "id long, neighbour long, similarity double")
     w = Window.partitionBy("id").orderBy(F.desc("similarity"), "neighbour")
@@ -121,19 +127,19 @@ def pair_similarities(df: DataFrame, item: str, group: str, vector: str = "embed
     right = rows.select("id", "g", "v", F.col("b").alias("rb"), every).withColumnRenamed("o", "lb").filter("lb <= rb")
 
     def meet(key: tuple, a: pa.Table, b: pa.Table) -> pa.Table:
-        parts = []
-        if a.num_rows and b.num_rows:
-            x, y = (np.array(t.column("v").to_pylist()) for t in (a, b))
-            i, j, g, h = (np.array(t.column(c).to_pylist()) for c in ("id", "g") for t in (a, b))
-            x, y = (m / np.linalg.norm(m, axis=1, keepdims=True) for m in (x, y))
-            s = np.rint(np.round(x @ y.T, 6) * 1e6).astype(np.int64)
-            use = i[:, None] < j[None, :] if key[0].as_py() == key[1].as_py() else np.ones(s.shape, bool)
-            same = g[:, None] == h[None, :]
-            for within in (True, False):
-                values, counts = np.unique(s[use & (same == within)], return_counts=True)
-                parts += [(within, int(a_), int(c)) for a_, c in zip(values, counts, strict=True)]
-        w, v, c = zip(*parts, strict=True) if parts else ((), (), ())
-        return pa.table({"within": pa.array(w, pa.bool_()), "micro": pa.array(v, pa.int64()), "n": pa.array(c, pa.int64())})
+        schema = pa.schema([("within", pa.bool_()), ("micro", pa.int64()), ("n", pa.int64())])
+        if not a.num_rows or not b.num_rows:
+            return schema.empty_table()
+        i, j = (t.column("id").to_numpy() for t in (a, b))
+        g, h = (t.column("g").to_numpy() for t in (a, b))
+        s = np.rint(np.round(_matrix(a, "v") @ _matrix(b, "v").T, 6) * 1e6).astype(np.int64)
+        use = i[:, None] < j[None, :] if key[0].as_py() == key[1].as_py() else np.ones(s.shape, bool)
+        same = g[:, None] == h[None, :]
+        tables = []
+        for within in (True, False):
+            values, counts = np.unique(s[use & (same == within)], return_counts=True)
+            tables.append(pa.table([pa.array(np.full(len(values), within)), pa.array(values), pa.array(counts)], schema=schema))
+        return pa.concat_tables(tables)
 
     part = left.groupBy("lb", "rb").cogroup(right.groupBy("lb", "rb")).applyInArrow(meet, "within boolean, micro long, n long")
     return part.groupBy("within", "micro").agg(F.sum("n").alias("n")).select("within", (F.col("micro") / 1e6).alias("similarity"), "n")
