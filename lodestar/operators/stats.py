@@ -27,16 +27,28 @@ def describe(df: DataFrame, keys: Sequence[str], value: str, digits: int = 6) ->
 
 
 def weighted_describe(hist: DataFrame, keys: Sequence[str], value: str = "similarity", weight: str = "n", digits: int = 6) -> DataFrame:
-    """:func:`describe` of values given with their frequencies."""
+    """:func:`describe` of distinct values given with their frequencies.
+
+    A quantile lies between the values at two places of the sorted whole; running sums of the frequencies say which
+    rows hold those places, so nothing is expanded.
+    """
     w, x = F.col(weight), F.col(value)
-    total, first, second = F.sum(w), F.sum(w * x), F.sum(w * x * x)
-    std = F.when(total == 1, 0.0).otherwise(F.sqrt(F.greatest(F.try_divide(second - first * first / total, total - 1), F.lit(0.0))))
-    q = F.percentile(x, F.array(*[F.lit(p) for p in (0.05, 0.25, 0.5, 0.75, 0.95)]), w)
-    rows = hist.groupBy(*keys).agg(total.alias("n"), (first / total).alias("mean"), std.alias("std"), q.alias("q"))
+    group = Window.partitionBy(*keys)
+    total = F.sum(w).over(group)
+    rows = hist.withColumns({"__until": F.sum(w).over(group.orderBy(value)), "__total": total})
+    probabilities = (0.05, 0.25, 0.5, 0.75, 0.95)
+    at = {f"{side}{k}": F.floor(p * (F.col("__total") - 1)) + step for k, p in enumerate(probabilities) for side, step in (("l", 0), ("h", 1))}
+    holds = {c: (F.col("__until") > place) & (F.col("__until") - w <= place) for c, place in at.items()}
+    first, second = F.sum(w * x), F.sum(w * x * x)
+    n = F.max("__total")
+    std = F.when(n == 1, 0.0).otherwise(F.sqrt(F.greatest(F.try_divide(second - first * first / n, n - 1), F.lit(0.0))))
+    out = rows.groupBy(*keys).agg(n.alias("n"), (first / n).alias("mean"), std.alias("std"), *[F.max(F.when(h, x)).alias(c) for c, h in holds.items()])
+    part = lambda p: p * (F.col("n") - 1) - F.floor(p * (F.col("n") - 1))
+    between = lambda k, p: F.col(f"l{k}") + part(p) * (F.coalesce(F.col(f"h{k}"), F.col(f"l{k}")) - F.col(f"l{k}"))
     names = ("q05", "q25", "median", "q75", "q95")
-    return rows.select(
+    return out.select(
         *keys, "n", F.round("mean", digits).alias("mean"), F.round("std", digits).alias("std"),
-        *[F.round(F.col("q")[i], digits).alias(k) for i, k in enumerate(names)],
+        *[F.round(between(k, p), digits).alias(name) for k, (p, name) in enumerate(zip(probabilities, names, strict=True))],
     )
 
 

@@ -103,3 +103,11 @@ def test_clusters_of_three_directions(spark):
 def test_entropy(spark):
     df = spark.createDataFrame([(1, "a"), (1, "b"), (1, "a"), (1, "b"), (2, "a")], "g int, x string")
     assert {r["g"]: r["entropy"] for r in S.entropy(df, ["g"], "x").collect()} == {1: 1.0, 2: 0.0}
+
+
+def test_description_by_frequencies(spark):
+    values = [1.0, 1.0, 2.0, 5.0, 5.0, 5.0, 9.0]
+    plain = S.describe(spark.createDataFrame([(1, v) for v in values], "g int, x double"), ["g"], "x").first()
+    hist = spark.createDataFrame([(1, v, values.count(v)) for v in set(values)] + [(2, 3.0, 1)], "g int, similarity double, n long")
+    got = {r["g"]: r for r in S.weighted_describe(hist, ["g"]).collect()}
+    assert got[1].asDict() == plain.asDict() and got[2]["median"] == 3.0 and got[2]["std"] == 0.0
