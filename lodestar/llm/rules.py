@@ -11,6 +11,8 @@ the prior weighs ``PRIOR_WEIGHT`` documents; if rates vary as much as a beta law
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -41,8 +43,12 @@ def _covered(hashes: Column) -> Column:
     return F.aggregate(steps, F.lit(0), lambda s, x: s + x)
 
 
-def measure(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``docs`` with the five counts and ``base_failed``; columns of those names are replaced."""
+def measure(docs: DataFrame, text: str = "text", metrics: Sequence[str] = METRICS) -> DataFrame:
+    """``docs`` with the five counts, or some of them, and ``base_failed``; columns of those names are replaced.
+
+    The counts leave through a generator of one row: a filter on them is not pushed below it, where each of the nested
+    array expressions would be made again for every use.
+    """
     keep = [c for c in docs.columns if c not in (*METRICS, "base_failed")]
     rows = docs.select(*[f"`{c}`" for c in keep], text_of(text).alias("__text"))
     rows = rows.withColumn("__words", words_of(F.col("__text"))).withColumn("__n", F.size("__words"))
@@ -56,14 +62,15 @@ def measure(docs: DataFrame, text: str = "text") -> DataFrame:
     lines = F.filter(F.split("__text", "\n"), lambda x: x.rlike(f"[^{SPACES}]"))
     rows = rows.withColumn("__lines", lines)
     repeated = F.coalesce(F.size(F.array_distinct("__h")) < F.size("__h"), F.lit(False))
-    rows = rows.select(
-        *[f"`{c}`" for c in keep],
-        F.col("__n").cast("long").alias("n_words"),
-        F.length(F.array_join("__words", "")).cast("long").alias("word_chars"),
-        (F.length("__text") - F.length(F.regexp_replace("__text", SYMBOLS, ""))).cast("long").alias("n_symbols"),
-        (F.size("__lines") - F.size(F.array_distinct("__lines"))).cast("long").alias("n_dup_lines"),
-        F.when(repeated, _covered(F.col("__h"))).otherwise(0).cast("long").alias("n_repeat_words"),
-    )
+    counts = {
+        "n_words": F.col("__n"),
+        "word_chars": F.length(F.array_join("__words", "")),
+        "n_symbols": F.length("__text") - F.length(F.regexp_replace("__text", SYMBOLS, "")),
+        "n_dup_lines": F.size("__lines") - F.size(F.array_distinct("__lines")),
+        "n_repeat_words": F.when(repeated, _covered(F.col("__h"))).otherwise(0),
+    }
+    one = F.struct(*[c.cast("long").alias(k) for k, c in counts.items() if k in metrics])
+    rows = rows.select(*[f"`{c}`" for c in keep], F.inline(F.array(one)))
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
     return rows.withColumn("base_failed", failed)
 
@@ -100,6 +107,6 @@ def keep_good(docs: DataFrame, text: str = "text", host: str = "source") -> Data
     """The documents that pass, with their own columns. The counts are made twice rather than moving texts."""
     names = docs.columns
     renamed = docs.select(F.struct(*[f"`{c}`" for c in names]).alias("__row"), text_of(text).alias("__in"), F.col(f"`{host}`").alias("__at"))
-    measured = measure(renamed, "__in").select("__row", "__at", "base_failed")
+    measured = measure(renamed, "__in", ("n_words", "n_repeat_words")).select("__row", "__at", "base_failed")
     rejected = rejected_hosts(measured, "__at")
     return with_verdict(measured, rejected, "__at").filter("kept").select("__row.*")
