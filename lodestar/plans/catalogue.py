@@ -181,7 +181,7 @@ def index_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("set_gaps", """(SELECT doc_id, 'missing' AS side FROM (SELECT doc_id FROM documents WHERE doc_id % 5 = 0 EXCEPT SELECT doc_id FROM labels)) UNION ALL
 (SELECT doc_id, 'unexpected' FROM (SELECT doc_id FROM labels EXCEPT SELECT doc_id FROM documents WHERE doc_id % 5 = 0))""")
 def set_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return C.gaps(table(spark, sf_dir, "documents").filter("doc_id % 5 = 0"), table(spark, sf_dir, "labels"), ["doc_id"])
+    return C.gaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), ["doc_id"])
 
 
 @query("set_overlap", "SELECT doc_id FROM documents WHERE lang = 'fr' INTERSECT SELECT doc_id FROM labels")
@@ -211,7 +211,7 @@ def multi_value_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
 b AS (SELECT * FROM (SELECT *, bool_or(f) OVER (PARTITION BY user_id) AS g FROM a) WHERE f OR NOT g), d AS (SELECT *, value > 50 AS f2 FROM b),
 e AS (SELECT * FROM (SELECT *, bool_or(f2) OVER (PARTITION BY user_id) AS g2 FROM d) WHERE f2 OR NOT g2) SELECT user_id, event_id FROM (SELECT *, count(*) OVER (PARTITION BY user_id) AS n FROM e) WHERE n = 1""")
 def narrowed_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "events").filter("event_id % 4 = 0").select("user_id", "event_id", "value", "event_type")
+    e = table(spark, sf_dir, "events").select("user_id", "event_id", "value", "event_type")
     return C.narrowed(e, ["user_id"], [F.col("event_type") == "purchase", F.col("value") > 50]).select("user_id", "event_id")
 
 
@@ -227,7 +227,7 @@ def merged_states(spark: SparkSession, sf_dir: str) -> DataFrame:
 def job_states(spark: SparkSession, sf_dir: str) -> DataFrame:
     has = lambda k: F.bool_or(F.col("event_type") == k)
     state = F.when(has("error") & has("purchase"), "recovered").when(has("error"), "failed").when(F.count(F.lit(1)) < 3, "pending").otherwise("completed")
-    return table(spark, sf_dir, "events").filter("event_id % 20 = 0").groupBy("user_id").agg(state.alias("state"), F.min_by("event_id", "ts").alias("parent_id"), F.count(F.lit(1)).alias("steps"))
+    return table(spark, sf_dir, "events").groupBy("user_id").agg(state.alias("state"), F.min_by("event_id", "ts").alias("parent_id"), F.count(F.lit(1)).alias("steps"))
 
 
 @query("log_matches", """WITH l AS (SELECT conv_id, turn, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS n FROM conversations),
@@ -255,7 +255,7 @@ def cohort_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("shared_groups", "SELECT l_partkey, count(DISTINCT l_suppkey) AS n, string_agg(DISTINCT l_suppkey::VARCHAR, ';' ORDER BY l_suppkey::VARCHAR) AS suppliers FROM lineitem WHERE l_partkey % 10 = 0 GROUP BY l_partkey HAVING count(DISTINCT l_suppkey) > 1")
 def shared_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "lineitem").filter("l_partkey % 10 = 0").groupBy("l_partkey").agg(F.collect_set(F.col("l_suppkey").cast("string")).alias("s"))
+    rows = table(spark, sf_dir, "lineitem").groupBy("l_partkey").agg(F.collect_set(F.col("l_suppkey").cast("string")).alias("s"))
     return rows.filter(F.size("s") > 1).select("l_partkey", F.size("s").cast("long").alias("n"), F.array_join(F.array_sort("s"), ";").alias("suppliers"))
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lodestar.operators import decomposition, stats
 from lodestar.plans.catalog import query, table
-from lodestar.plans.mapping import VECTORS, scores
+from lodestar.plans.mapping import VECTORS, prompts, scores
 
 ROUNDS = 200
 
@@ -182,5 +182,5 @@ def pca_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("prompt_clusters")
 def prompt_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Average-linkage clusters of the prompts for every k with their silhouette, and the best k."""
-    prompts = table(spark, sf_dir, "embeddings").filter("vec_id < 40").select("vec_id", "embedding")
-    return decomposition.clusterings(prompts, "vec_id", "embedding", range(3, 13))
+    p = prompts(spark, sf_dir).select(F.col("prompt_id").alias("vec_id"), F.col("prompt_vector").alias("embedding"))
+    return decomposition.clusterings(p, "vec_id", "embedding", range(3, 13))
