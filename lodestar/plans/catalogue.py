@@ -335,7 +335,7 @@ _EVENTS = "v AS (SELECT user_id, hour(ts)::INT + 1 AS measure, hour(ts) * 3600 +
 
 def _measures(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = F.hour("ts") * 3600 + F.minute("ts") * 60 + F.extract(F.lit("SECOND"), "ts").cast("double")
-    return table(spark, sf_dir, "events").filter("user_id % 5 = 0").select("user_id", (F.hour("ts") + 1).alias("measure"), t.alias("t"))
+    return table(spark, sf_dir, "events").select("user_id", (F.hour("ts") + 1).alias("measure"), t.alias("t"))
 
 
 @query("event_offsets", f"""WITH {_EVENTS}, f AS (SELECT user_id, measure, min(t) AS onset, max(t) AS latest FROM v GROUP BY ALL), g AS (SELECT user_id, t - lag(t) OVER (PARTITION BY user_id ORDER BY t) AS step FROM (SELECT DISTINCT user_id, t FROM v)),

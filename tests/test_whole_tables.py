@@ -7,6 +7,7 @@ import pytest
 from lodestar.plans.library import QUERIES
 from tests.test_queries import DATA, _rows, duck  # noqa: F401
 
+V = "WITH v AS (SELECT user_id, hour(ts) + 1 AS measure, hour(ts) * 3600 + minute(ts) * 60 + microsecond(ts) / 1e6 AS t FROM events)"
 WHOLE = {
     "set_gaps": """(SELECT doc_id, 'missing' AS side FROM (SELECT doc_id FROM documents EXCEPT SELECT doc_id FROM labels)) UNION ALL
 (SELECT doc_id, 'unexpected' FROM (SELECT doc_id FROM labels EXCEPT SELECT doc_id FROM documents))""",
@@ -17,6 +18,13 @@ SELECT user_id, CASE WHEN e > 0 AND p > 0 THEN 'recovered' WHEN e > 0 THEN 'fail
 (SELECT event_id FROM events v WHERE v.user_id = u.user_id ORDER BY ts LIMIT 1) AS parent_id, steps FROM u""",
     "shared_groups": """WITH d AS (SELECT DISTINCT l_partkey, l_suppkey::VARCHAR AS s FROM lineitem)
 SELECT l_partkey, count(*) AS n, string_agg(s, ';' ORDER BY s) AS suppliers FROM d GROUP BY l_partkey HAVING count(*) > 1""",
+    "event_offsets": f"""{V}, f AS (SELECT user_id, measure, min(t) AS onset FROM v GROUP BY ALL), g AS (SELECT user_id, t, t - lag(t) OVER (PARTITION BY user_id ORDER BY t) AS step FROM v),
+u AS (SELECT user_id, max(t) AS latest, coalesce(median(step) FILTER (step > 0), 0) AS step FROM g GROUP BY user_id),
+o AS (SELECT user_id, measure, onset, coalesce(lead(onset) OVER (PARTITION BY user_id ORDER BY measure), least(greatest(latest + step, onset + 0.001), 86400.0)) AS off FROM f JOIN u USING (user_id))
+SELECT user_id, measure, round(onset, 3) AS onset, round(off, 3) AS offset_s FROM o WHERE off > onset""",
+    "measure_coverage": f"""{V}, c AS (SELECT user_id, s.s AS bar_start, count(DISTINCT measure) FILTER (measure BETWEEN s.s AND s.s + 3 AND measure % 7 > 0) AS covered,
+min(t) FILTER (measure BETWEEN s.s AND s.s + 3 AND measure % 7 > 0) AS lo, max(t) FILTER (measure BETWEEN s.s AND s.s + 3 AND measure % 7 > 0) + 60 AS hi FROM v, (SELECT unnest([1, 5, 9, 13, 17, 21]) AS s) s GROUP BY ALL)
+SELECT user_id, bar_start, bar_start + 3 AS bar_end, covered, 4 AS expected, round(CASE WHEN covered = 4 THEN lo END, 3) AS time_start, round(CASE WHEN covered = 4 THEN hi END, 3) AS time_end FROM c""",
 }
 
 
@@ -31,3 +39,9 @@ def test_whole_table(spark, duck, name):  # noqa: F811
 def test_clusters_are_of_the_prompts(spark):
     rows = QUERIES["prompt_clusters"](spark, DATA).select("k", "vec_id").collect()
     assert {(r["k"], r["vec_id"]) for r in rows} == {(k, v) for k in range(3, 10) for v in range(10)}
+
+
+def test_every_user_has_times(spark):
+    times = QUERIES["interpolated_times"](spark, DATA)
+    users = spark.read.parquet(f"{DATA}/events.parquet").select("user_id").distinct()
+    assert users.join(times, "user_id", "left_anti").count() == 0 and times.count() == 53 * users.count()
