@@ -5,7 +5,8 @@ before and after it, and flags from the containers open around it. A decision tr
 the small pages in :data:`SAMPLES`, keeps or drops each block.
 
 Defined cases: null html is empty, and a page without kept blocks has the empty text; unclosed tags, comments and
-quotes run to the end of the page; a ``br`` is white space inside its block; white space is that of ``str.split``.
+quotes run to the end of the page; what stands in a ``script``, ``style``, ``textarea`` or ``title`` is no markup up to
+its end tag (without one, tags are read on); a ``br`` is white space inside its block; white space is that of ``str.split``.
 """
 
 from __future__ import annotations
@@ -43,6 +44,9 @@ _TOKEN = re.compile(
     r"|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<(/?)([A-Za-z][A-Za-z0-9:-]*)([^>]*)(?:>|\Z)",
     re.S,
 )
+#: Elements whose content is text up to their own end tag, and containers in which they are not.
+_RAW = {tag: re.compile(rf"</{tag}(?=[\s/>])", re.I) for tag in ("script", "style", "textarea", "title")}
+_NOT_RAW_IN = {"svg", "iframe"}
 _NAMED = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _HIDDEN = re.compile(r"\bhidden\b(?!\s*=\s*[\"']?(?:false|until))|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", re.I)
 _WORDS = re.compile(r"[^a-z0-9]+")
@@ -104,18 +108,24 @@ def blocks(page: str) -> list[Block]:
     """The text blocks of a page, in order."""
     out, link, skip = _Page(), False, ""
     at = 0
+    unclosed = set()  # raw elements without a further end tag
 
     def text(raw: str) -> None:
         if raw and not skip:
             out.parts.append((_html.unescape(raw) if "&" in raw else raw, link))
 
-    for m in _TOKEN.finditer(page):
+    while m := _TOKEN.search(page, at):
         text(page[at : m.start()])
         at = m.end()
         tag = (m[2] or m[5] or "").lower()
         if not tag:
             continue
         closing, attributes = (m[1] if m[2] else m[4]) == "/", (m[3] if m[2] else m[6]) or ""
+        if tag in _RAW and tag not in unclosed and skip not in _NOT_RAW_IN and not closing and not attributes.endswith("/"):
+            if end := _RAW[tag].search(page, at):
+                at = end.start()
+            else:
+                unclosed.add(tag)
         if skip:
             if closing and tag == skip or skip == "head" and tag == "body":
                 skip = ""
@@ -124,8 +134,6 @@ def blocks(page: str) -> list[Block]:
         elif tag in _SKIPPED:
             if not closing and not attributes.endswith("/"):
                 skip = tag
-            if tag in ("script", "style") and skip:  # raw text: ends at its own end tag only
-                pass
             continue
         if tag == "a":
             link = not closing

@@ -27,6 +27,24 @@ def test_main_text(page, text):
     assert html.main_text(page, TREE) == text
 
 
+@pytest.mark.parametrize(
+    "raw",
+    [
+        "<script>for(i=0;i<n;i++)f(i);</script>",
+        "<SCRIPT type='a'>s = '<!--';</Script >",
+        "<style>a::after{content:'<b'}</style>",
+        "<textarea>1 <a \" 2</textarea>",
+    ],
+)
+def test_raw_text_is_no_markup(raw):
+    assert html.main_text(f"<article>{raw}<p>{STORY}</p>{raw}<p>{STORY}</p></article>", TREE) == f"{STORY}\n{STORY}"
+    assert html.main_text(f"<head>{raw}<title>a <b</title></head><body><article><p>{STORY}</p></article></body>", TREE) == STORY
+
+
+def test_raw_text_without_an_end():
+    assert html.main_text(f"<head><title>Site<body><article><p>{STORY}</p></article>", TREE) == STORY
+
+
 def test_tree_fits_its_table():
     x, y = html.labelled_table()
     assert (html.decide(TREE, x) == (y > 0)).mean() > 0.95
