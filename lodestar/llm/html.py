@@ -48,7 +48,9 @@ _TOKEN = re.compile(
 _RAW = {tag: re.compile(rf"</{tag}(?=[\s/>])", re.I) for tag in ("script", "style", "textarea", "title")}
 _NOT_RAW_IN = {"svg", "iframe"}
 _NAMED = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
-_HIDDEN = re.compile(r"\bhidden\b(?!\s*=\s*[\"']?(?:false|until))|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", re.I)
+_ATTRIBUTE = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(?:\"([^\"]*)(?:\"|\Z)|'([^']*)(?:'|\Z)|([^\s>]+)))?")
+_MAYBE_HIDDEN = re.compile(r"hidden|none", re.I)
+_NO_DISPLAY = re.compile(r"(?<![\w-])display\s*:\s*none", re.I)
 _WORDS = re.compile(r"[^a-z0-9]+")
 
 
@@ -94,11 +96,24 @@ class _Page:
         self.parts = []
 
 
+def _hidden(attributes: str) -> bool:
+    """Whether an attribute hides the element; class names and other values that contain the word do not."""
+    if not _MAYBE_HIDDEN.search(attributes):
+        return False
+    for m in _ATTRIBUTE.finditer(attributes):
+        name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
+        if name == "hidden" and not value.strip().lower().startswith(("false", "until")):
+            return True
+        if name == "style" and _NO_DISPLAY.search(value) or name == "aria-hidden" and value.strip().lower().startswith("true"):
+            return True
+    return False
+
+
 def _box(tag: str, attributes: str) -> _Box:
     if tag in ("html", "body"):
         return _Box(tag)
     names = {w for m in _NAMED.finditer(attributes) for w in _WORDS.split((m[2] or m[3] or m[4] or "").lower())} if "=" in attributes else set()
-    strong = tag in _FURNITURE_TAGS - {"header"} or bool(_HIDDEN.search(attributes))
+    strong = tag in _FURNITURE_TAGS - {"header"} or _hidden(attributes)
     furniture = strong or tag == "header" or bool(names & _FURNITURE_WORDS)
     story = tag in _STORY_TAGS or (not furniture and bool(names & _STORY_WORDS))
     return _Box(tag, furniture and tag not in _STORY_TAGS, strong, story, "data-wanted" in attributes)

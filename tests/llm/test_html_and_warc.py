@@ -45,6 +45,20 @@ def test_raw_text_without_an_end():
     assert html.main_text(f"<head><title>Site<body><article><p>{STORY}</p></article>", TREE) == STORY
 
 
+@pytest.mark.parametrize(
+    "attributes",
+    ["class='wrap overflow-hidden'", 'style="overflow:hidden"', "class=hidden-xs", "title='not hidden'", "data-hidden='true'", "aria-hidden='false'", "hidden=false", "data-x='display:none'"],
+)
+def test_only_hiding_attributes_hide(attributes):
+    for page in (f"<div {attributes}><article><p>{STORY}</p></article></div>", f"<article {attributes}><p>{STORY}</p></article>"):
+        assert html.main_text(page, TREE) == STORY
+
+
+@pytest.mark.parametrize("attributes", ["hidden", "class='a' HIDDEN", "hidden=''", "hidden='hidden'", 'style="color:red; display : none"', "style=display:none", "aria-hidden=true", "aria-hidden='true'"])
+def test_hidden_boxes_are_furniture(attributes):
+    assert html.main_text(f"<div {attributes}><article><p>{STORY}</p></article></div><article><p>{STORY}</p></article>", TREE) == STORY
+
+
 def test_tree_fits_its_table():
     x, y = html.labelled_table()
     assert (html.decide(TREE, x) == (y > 0)).mean() > 0.95
