@@ -1,9 +1,10 @@
 """Document fingerprints: a homomorphic multiset hash over paragraphs.
 
 A fingerprint is the sum of one wide vector per paragraph (the pieces between line feeds), lane by lane modulo a
-power of two: 8 lanes modulo 2**64 from a keyless BLAKE2b of the paragraph, for equality, and 256 lanes modulo 2**16
-that hold signed counts of the paragraph's 12-character grams, for likeness. Sums commute, so the order of
-paragraphs does not matter, and a paragraph is inserted or deleted by adding or subtracting its vector.
+power of two: 8 lanes modulo 2**64 from a keyless BLAKE2b of the paragraph, for equality, and 256 lanes modulo 2**32
+that hold signed counts of the paragraph's 12-character grams, for likeness; a lane keeps its sign as long as the texts
+added have fewer than 2**31 grams, which no string of Spark has. Sums commute, so the order of paragraphs does not
+matter, and a paragraph is inserted or deleted by adding or subtracting its vector.
 
 Defined cases: null text is the empty text, which has one empty paragraph; rows with one ``doc_id`` are ordered by
 the text's SHA-256 and each is a document of its own; null ids come first; a lone document follows itself.
@@ -46,12 +47,12 @@ class State:
 
     def text(self) -> str:
         """Base64 of all lanes, little-endian."""
-        return base64.b64encode(self.equal.astype("<u8").tobytes() + self.grams.astype("<u2").tobytes()).decode()
+        return base64.b64encode(self.equal.astype("<u8").tobytes() + self.grams.astype("<u4").tobytes()).decode()
 
 
 def empty() -> State:
     """The fingerprint of no paragraph at all."""
-    return State(np.zeros(EQUAL, np.uint64), np.zeros(LANES, np.uint16))
+    return State(np.zeros(EQUAL, np.uint64), np.zeros(LANES, np.uint32))
 
 
 def _gram_lanes(text: str) -> np.ndarray:
@@ -88,7 +89,7 @@ def of_paragraphs(text: str) -> State:
         lane = (words[short, 0] >> np.uint64(55)).astype(np.int64)
         counts = np.bincount(lane, minlength=2 * LANES)
         grams = grams + counts[:LANES] - counts[LANES:]
-    return State(words.sum(axis=0, dtype=np.uint64), grams.astype(np.uint16))
+    return State(words.sum(axis=0, dtype=np.uint64), grams.astype(np.uint32))
 
 
 def insert(state: State, paragraph: str) -> State:
@@ -105,7 +106,7 @@ def likeness(a: State, b: State) -> float:
     """1 for equal fingerprints, else the cosine of the gram lanes, from 0 to just under 1."""
     if np.array_equal(a.equal, b.equal):
         return 1.0
-    x, y = a.grams.astype(np.int16).astype(float), b.grams.astype(np.int16).astype(float)
+    x, y = a.grams.astype(np.int32).astype(float), b.grams.astype(np.int32).astype(float)
     size = float(np.sqrt((x @ x) * (y @ y)))
     return min(max(float(x @ y) / size, 0.0), 1.0 - 2.0**-20) if size else 0.0
 

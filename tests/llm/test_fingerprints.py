@@ -37,6 +37,14 @@ def test_likeness():
     assert P.likeness(a, P.of_paragraphs("entirely other words are written in this text here")) < 0.3
 
 
+def test_likeness_of_long_repetitive_texts(spark):
+    long, longer = "word " * 32_700, "word " * 32_900
+    assert P.likeness(P.of_paragraphs(long), P.of_paragraphs(longer)) > 0.99
+    docs = spark.createDataFrame([(1, "word " * 40_000), (2, "entirely other words are written in this text here " * 4000)], "doc_id long, text string")
+    near = {r["doc_id"]: r["near_edited"] for r in P.edit_likeness(docs).collect()}
+    assert near[1] > 0.8
+
+
 def _check(rows, data):
     order = sorted(data, key=lambda r: (r[0] is not None, r[0] or 0, hashlib.sha256((r[1] or "").encode()).digest()))
     want = []
