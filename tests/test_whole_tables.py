@@ -45,3 +45,19 @@ def test_every_user_has_times(spark):
     times = QUERIES["interpolated_times"](spark, DATA)
     users = spark.read.parquet(f"{DATA}/events.parquet").select("user_id").distinct()
     assert users.join(times, "user_id", "left_anti").count() == 0 and times.count() == 53 * users.count()
+
+
+def test_groups_are_of_equal_vectors(spark, tmp_path):
+    v = [float(i) / 7 for i in range(64)]
+    rows = [(5, v), (3, [*v[:-1], 0.5]), (9, v), (4, [*v[:-1], 0.5]), (7, [*v[:-1], 0.25]), (8, v)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    assert sorted((r["first_id"], r["n"]) for r in QUERIES["duplicate_vectors"](spark, str(tmp_path)).collect()) == [(3, 2), (5, 3)]
+    assert QUERIES["duplicate_vectors"](spark, DATA).count() == 0
+
+
+def test_eight_lines_of_a_log(spark, tmp_path):
+    text = "\n".join(f"{i} the {'x' * 400}" if i % 2 else "other" for i in range(30))
+    spark.createDataFrame([(1, 1, "die und der"), (1, 2, text), (2, 1, text)], "conv_id long, turn int, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    got = sorted(tuple(r) for r in QUERIES["log_matches"](spark, str(tmp_path)).select("conv_id", "k", "turn", "n", "line").collect())
+    line = lambda n: text.split("\n")[n - 1][:300]
+    assert got == [(1, 1, 1, 1, "die und der"), *[(1, k, 2, 2 * k - 2, line(2 * k - 2)) for k in range(2, 9)], *[(2, k, 1, 2 * k, line(2 * k)) for k in range(1, 9)]]
