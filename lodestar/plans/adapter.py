@@ -70,19 +70,28 @@ def rand_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decomposition.rand_index(table(spark, sf_dir, "customer").select((F.col("c_nationkey") % 4).alias("a"), F.col("c_mktsegment").alias("b")), "a", "b")
 
 
+#: Most pairs that are compared, the reference's default.
+PAIRS = 100_000
+
+
 @query("sampled_pairs", f"""WITH {VECTORS}, i AS (SELECT *, row_number() OVER (ORDER BY vec_id) - 1 AS k FROM t), n AS (SELECT count(*) AS n FROM i), d AS (SELECT r, concat('0x', substr(md5('a:' || r), 1, 8))::BIGINT % n AS a, concat('0x', substr(md5('b:' || r), 1, 8))::BIGINT % (n - 1) AS b FROM range(0, 2000) q(r), n),
 z AS (SELECT r, a, b + (b >= a)::INT AS b FROM d) SELECT x.label = y.label AS within, count(*) AS n, round(avg(list_dot_product(x.v, y.v)), 6) AS mean FROM z JOIN i x ON x.k = z.a JOIN i y ON y.k = z.b GROUP BY within""")
 def sampled_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Similarities of 2,000 hashed pairs, the diagonal skipped: a sampling operator, reproducible in any engine."""
+    """Similarities of all pairs if there are at most :data:`PAIRS`, else of so many hashed pairs, the diagonal skipped: a
+    sampling operator, reproducible in any engine."""
     p = passages(spark, sf_dir).select("vec_id", "label", "vector")
     n = p.count()
     i = numbered(p, ["vec_id"], "k")
-    r = spark.range(2000).select(F.col("id").cast("string").alias("r"))
-    a, b = stats.draw("a", F.col("r")) % n, stats.draw("b", F.col("r")) % (n - 1)
-    d = r.select(a.alias("a"), b.alias("b0")).withColumn("b", F.col("b0") + (F.col("b0") >= F.col("a")).cast("int"))
     x = i.select(F.col("k").alias("a"), F.col("label").alias("la"), F.col("vector").alias("va"))
     y = i.select(F.col("k").alias("b"), F.col("label").alias("lb"), F.col("vector").alias("vb"))
-    rows = d.join(x, "a").join(y, "b").select((F.col("la") == F.col("lb")).alias("within"), dot(F.col("va"), F.col("vb")).alias("s"))
+    if n * (n - 1) // 2 <= PAIRS:
+        pairs = x.join(y, F.col("a") < F.col("b"))
+    else:
+        r = spark.range(PAIRS).select(F.col("id").cast("string").alias("r"))
+        a, b = stats.draw("a", F.col("r")) % n, stats.draw("b", F.col("r")) % (n - 1)
+        d = r.select(a.alias("a"), b.alias("b0")).withColumn("b", F.col("b0") + (F.col("b0") >= F.col("a")).cast("int"))
+        pairs = d.join(x, "a").join(y, "b")
+    rows = pairs.select((F.col("la") == F.col("lb")).alias("within"), dot(F.col("va"), F.col("vb")).alias("s"))
     return rows.groupBy("within").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("s"), 6).alias("mean"))
 
 

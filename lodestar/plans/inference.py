@@ -9,7 +9,9 @@ from lodestar.operators import decomposition, stats
 from lodestar.plans.catalog import query, table
 from lodestar.plans.mapping import VECTORS, prompts, scores
 
+#: Rounds of the SQL; the queries take the reference's.
 ROUNDS = 200
+PERMUTATIONS, BOOTSTRAPS = 10_000, 5_000
 
 #: Work means of similarity per prompt, the inferential unit.
 _UNITS = VECTORS + ", u AS (SELECT prompt_id, label, work_id, round(avg(similarity), 8) AS x FROM s GROUP BY ALL), v AS (SELECT * FROM u WHERE label IN (0, 1))"
@@ -70,7 +72,7 @@ m AS (SELECT prompt_id, label, r, list_sum(list_transform(range(1, len(u) + 1),
 d AS (SELECT prompt_id, r, max(m) FILTER (label = 0) - max(m) FILTER (label = 1) AS d FROM m GROUP BY ALL)
 SELECT prompt_id, round(quantile_cont(d, 0.025), 6) AS ci_low, round(quantile_cont(d, 0.975), 6) AS ci_high FROM d GROUP BY prompt_id""")
 def bootstrap_ci(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return stats.hashed_bootstrap(units(spark, sf_dir), ["prompt_id"], "work_id", "label", 0, 1, "x", ROUNDS)
+    return stats.hashed_bootstrap(units(spark, sf_dir), ["prompt_id"], "work_id", "label", 0, 1, "x", BOOTSTRAPS)
 
 
 @query("hashed_permutation", f"""WITH {_UNITS}, r AS (SELECT *, unnest(range(0, {ROUNDS + 1})) AS r FROM v),
@@ -79,7 +81,7 @@ m AS (SELECT prompt_id, r, CASE WHEN r = 0 THEN abs(avg(x) FILTER (label = 0) -
 z AS (SELECT *, max(d) FILTER (r = 0) OVER (PARTITION BY prompt_id) AS seen FROM m)
 SELECT prompt_id, round((count(*) FILTER (d >= seen - 1e-12) + 1) / {ROUNDS + 1}, 6) AS p_value FROM z WHERE r > 0 GROUP BY prompt_id""")
 def hashed_permutation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return stats.hashed_permutation(units(spark, sf_dir), ["prompt_id"], "work_id", "label", 0, 1, "x", ROUNDS)
+    return stats.hashed_permutation(units(spark, sf_dir), ["prompt_id"], "work_id", "label", 0, 1, "x", PERMUTATIONS)
 
 
 @query("robustness_pairs", f"""WITH {_UNITS}{_CONTRAST}, d AS (SELECT prompt_id, ma - mb AS d FROM c)

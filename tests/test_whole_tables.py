@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections import defaultdict
+
+import numpy as np
 import pytest
 
+from lodestar.plans.inference import units
 from lodestar.plans.library import QUERIES
 from tests.test_queries import DATA, _rows, duck  # noqa: F401
 
@@ -61,3 +66,37 @@ def test_eight_lines_of_a_log(spark, tmp_path):
     got = sorted(tuple(r) for r in QUERIES["log_matches"](spark, str(tmp_path)).select("conv_id", "k", "turn", "n", "line").collect())
     line = lambda n: text.split("\n")[n - 1][:300]
     assert got == [(1, 1, 1, 1, "die und der"), *[(1, k, 2, 2 * k - 2, line(2 * k - 2)) for k in range(2, 9)], *[(2, k, 1, 2 * k, line(2 * k)) for k in range(1, 9)]]
+
+
+def test_ten_thousand_permutations(spark):
+    exact = {r["prompt_id"]: r["p_value"] for r in QUERIES["exact_permutation"](spark, DATA).collect()}
+    got = {r["prompt_id"]: r["p_value"] for r in QUERIES["hashed_permutation"](spark, DATA).collect()}
+    assert got.keys() == exact.keys()
+    for k, p in got.items():
+        assert abs(p * 10_001 - round(p * 10_001)) < 0.01 and abs(p - exact[k]) < 0.025
+
+
+def test_five_thousand_bootstrap_rounds(spark):
+    sides = defaultdict(list)
+    for r in units(spark, DATA).filter("label in (0, 1)").orderBy("work_id").collect():
+        sides[r["prompt_id"], r["label"]].append(r["x"])
+    at = lambda r, s, i, n: int(hashlib.md5(f"{r}:{s}:{i}".encode()).hexdigest()[:8], 16) % n
+    drawn = {(s, n): np.array([[at(r, s, i, n) for i in range(1, n + 1)] for r in range(1, 5001)]) for s, n in {(s, len(x)) for (_, s), x in sides.items()}}
+    for row in QUERIES["bootstrap_ci"](spark, DATA).collect():
+        a, b = (np.array(sides[row["prompt_id"], s])[drawn[s, len(sides[row["prompt_id"], s])]].mean(1) for s in (0, 1))
+        assert np.quantile(a - b, [0.025, 0.975]) == pytest.approx([row["ci_low"], row["ci_high"]], abs=2e-6)
+
+
+def test_all_pairs_if_they_fit(spark, tmp_path):
+    rng = np.random.default_rng(5)
+    for n in (320, 500):  # 50,000 pairs fit, 124,000 do not; ids below ten are prompts
+        v, path = rng.normal(size=(n, 8)), f"{tmp_path}/{n}"
+        spark.createDataFrame([(i + 10, i % 3, x.tolist()) for i, x in enumerate(v)], "vec_id long, label int, embedding array<double>").write.parquet(f"{path}/embeddings.parquet")
+        got = {r["within"]: (r["n"], r["mean"]) for r in QUERIES["sampled_pairs"](spark, path).collect()}
+        assert sum(k for k, _ in got.values()) == min(n * (n - 1) // 2, 100_000)
+        if n == 320:
+            u = v / np.linalg.norm(v, axis=1, keepdims=True)
+            i, j = np.triu_indices(n, 1)
+            for within, (k, mean) in got.items():
+                s = (u[i] * u[j]).sum(1)[(i % 3 == j % 3) == within]
+                assert k == len(s) and mean == pytest.approx(s.mean(), abs=1e-6)
