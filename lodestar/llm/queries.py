@@ -33,7 +33,7 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return similarity.components(_table(spark, sf_dir, "documents")).drop("node")
+    return similarity.components(_table(spark, sf_dir, "documents")).drop("node", "top")
 
 
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:

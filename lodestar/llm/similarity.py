@@ -419,8 +419,8 @@ def _verify(pairs: DataFrame, docs: DataFrame, owners: DataFrame) -> DataFrame:
 
 
 def components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, n_shingles, component_id, node) of every document: its set's size, the smallest id that it is linked
-    with, and its set."""
+    """(doc_id, n_shingles, component_id, node, top) of every document: its set's size, the smallest id that it is linked
+    with, its set, and the set that names its component (unlike ids, which may repeat, no two components share it)."""
     rows = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), text_of(text).alias("text"))
     found = materialize(_sets(rows), "documents")
     levels = _levels(found)
@@ -481,6 +481,7 @@ def components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> D
         F.col("n").alias("n_shingles"),
         F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"),
         "node",
+        "top",
     )
 
 
@@ -488,8 +489,8 @@ def representatives(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     """The rows of ``docs`` with one document of each component, that of the smallest id.
 
     Rows leave by an anti-join on the ids to drop. Only rows whose id occurs more than once are told apart by their
-    sets too; of those that stand for one component, the one with the smallest set hash stays. Documents without
-    words and without ids all stay.
+    sets too; of those that stand for one component, the one with the smallest set hash stays. Components of one smallest
+    id, whose rows have different texts, keep one row each. Documents without words and without ids all stay.
     """
     found = materialize(components(docs, doc_id, text), "components").filter("doc_id is not null")
     first = F.col("doc_id") == F.col("component_id")
@@ -508,7 +509,7 @@ def representatives(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
 
     twice = docs.join(gone.join(ids.filter("rows > 1"), F.col("__id") == F.col("doc_id"), "left_semi"), key == F.col("__id"), "left_semi")
     twice = map_batches(twice, label, schema_with(docs, __node=T.LongType()))
-    chosen = found.filter(first & F.col("node").isNotNull()).groupBy(F.col("doc_id").alias("__id")).agg(F.min("node").alias("__keep"))
-    kept = twice.filter("__node is not null").join(chosen, (key == F.col("__id")) & (F.col("__node") == F.col("__keep"))).dropDuplicates([doc_id])
+    chosen = found.filter(first & F.col("node").isNotNull()).groupBy(F.col("doc_id").alias("__id"), "top").agg(F.min("node").alias("__keep")).drop("top")
+    kept = twice.filter("__node is not null").join(chosen, (key == F.col("__id")) & (F.col("__node") == F.col("__keep"))).dropDuplicates([doc_id, "__node"])
     columns = [F.col(f"`{c}`") for c in names]
     return single.select(columns).unionByName(twice.filter("__node is null").select(columns)).unionByName(kept.select(columns))

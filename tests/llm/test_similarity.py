@@ -88,6 +88,17 @@ def test_one_document_of_each_group(spark):
     assert S.representatives(empty(spark)).count() == 0
 
 
+def test_one_id_on_unrelated_texts(spark):
+    a, b, c, d = (" ".join(f"{x}{i}" for i in range(40)) for x in "abcd")
+    # 5 stands on the roots of two components, on a lone text and on no words; 3 on one of its own and one of 7's
+    rows = [(5, a), (5, b), (5, a), (5, a + " more"), (5, c), (5, ""), (6, a + " end"), (8, b + " end"), (9, b), (7, d), (3, d + " end"), (3, "quite another text of a few words")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = [tuple(r) for r in S.representatives(docs).collect()]
+    assert len(got) == 6 and {r for r in got if r[0] != 5} == {(3, d + " end"), (3, "quite another text of a few words")}
+    of_five = [t for i, t in got if i == 5]
+    assert sum(t.startswith(a) for t in of_five) == of_five.count(b) == of_five.count(c) == of_five.count("") == 1
+
+
 def test_feasible_is_brute_force():
     rng = np.random.default_rng(3)
     for _ in range(60):
