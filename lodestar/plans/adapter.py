@@ -74,8 +74,8 @@ def rand_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 PAIRS = 100_000
 
 
-@query("sampled_pairs", f"""WITH {VECTORS}, i AS (SELECT *, row_number() OVER (ORDER BY vec_id) - 1 AS k FROM t), n AS (SELECT count(*) AS n FROM i), d AS (SELECT r, concat('0x', substr(md5('a:' || r), 1, 8))::BIGINT % n AS a, concat('0x', substr(md5('b:' || r), 1, 8))::BIGINT % (n - 1) AS b FROM range(0, 2000) q(r), n),
-z AS (SELECT r, a, b + (b >= a)::INT AS b FROM d) SELECT x.label = y.label AS within, count(*) AS n, round(avg(list_dot_product(x.v, y.v)), 6) AS mean FROM z JOIN i x ON x.k = z.a JOIN i y ON y.k = z.b GROUP BY within""")
+@query("sampled_pairs", f"""WITH {VECTORS}, i AS (SELECT *, row_number() OVER (ORDER BY vec_id) - 1 AS k FROM t), n AS (SELECT count(*) AS n FROM i), d AS (SELECT r, concat('0x', substr(md5('a:' || r), 1, 8))::BIGINT % n AS a, concat('0x', substr(md5('b:' || r), 1, 8))::BIGINT % (n - 1) AS b FROM range(0, {PAIRS}) q(r), n),
+z AS (SELECT a, b + (b >= a)::INT AS b FROM d WHERE (SELECT n * (n - 1) // 2 FROM n) > {PAIRS} UNION ALL SELECT x.k, y.k FROM i x JOIN i y ON x.k < y.k WHERE (SELECT n * (n - 1) // 2 FROM n) <= {PAIRS}) SELECT x.label = y.label AS within, count(*) AS n, round(avg(list_dot_product(x.v, y.v)), 6) AS mean FROM z JOIN i x ON x.k = z.a JOIN i y ON y.k = z.b GROUP BY within""")
 def sampled_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Similarities of all pairs if there are at most :data:`PAIRS`, else of so many hashed pairs, the diagonal skipped: a
     sampling operator, reproducible in any engine."""

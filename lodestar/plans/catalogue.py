@@ -178,8 +178,8 @@ def index_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _digests(spark, sf_dir).groupBy("lang", "source").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("digest").alias("texts"))
 
 
-@query("set_gaps", """(SELECT doc_id, 'missing' AS side FROM (SELECT doc_id FROM documents WHERE doc_id % 5 = 0 EXCEPT SELECT doc_id FROM labels)) UNION ALL
-(SELECT doc_id, 'unexpected' FROM (SELECT doc_id FROM labels EXCEPT SELECT doc_id FROM documents WHERE doc_id % 5 = 0))""")
+@query("set_gaps", """(SELECT doc_id, 'missing' AS side FROM (SELECT doc_id FROM documents EXCEPT SELECT doc_id FROM labels)) UNION ALL
+(SELECT doc_id, 'unexpected' FROM (SELECT doc_id FROM labels EXCEPT SELECT doc_id FROM documents))""")
 def set_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.gaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), ["doc_id"])
 
@@ -207,7 +207,7 @@ def multi_value_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").select("o_custkey", v.alias("v")).groupBy("o_custkey").agg(S.multi(F.col("v")).alias("labels"))
 
 
-@query("narrowed_candidates", """WITH c AS (SELECT user_id, event_id, value, event_type FROM events WHERE event_id % 4 = 0), a AS (SELECT *, event_type = 'purchase' AS f FROM c),
+@query("narrowed_candidates", """WITH c AS (SELECT user_id, event_id, value, event_type FROM events), a AS (SELECT *, event_type = 'purchase' AS f FROM c),
 b AS (SELECT * FROM (SELECT *, bool_or(f) OVER (PARTITION BY user_id) AS g FROM a) WHERE f OR NOT g), d AS (SELECT *, value > 50 AS f2 FROM b),
 e AS (SELECT * FROM (SELECT *, bool_or(f2) OVER (PARTITION BY user_id) AS g2 FROM d) WHERE f2 OR NOT g2) SELECT user_id, event_id FROM (SELECT *, count(*) OVER (PARTITION BY user_id) AS n FROM e) WHERE n = 1""")
 def narrowed_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -223,7 +223,7 @@ def merged_states(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.merge_states(view(e.filter("event_type = 'click' and user_id % 3 > 0")), view(e.filter("user_id % 2 = 0")), "user_id", ["ts", "n"])
 
 
-@query("job_states", """SELECT user_id, CASE WHEN bool_or(event_type = 'error') AND bool_or(event_type = 'purchase') THEN 'recovered' WHEN bool_or(event_type = 'error') THEN 'failed' WHEN count(*) < 3 THEN 'pending' ELSE 'completed' END AS state, min_by(event_id, ts) AS parent_id, count(*) AS steps FROM events WHERE event_id % 20 = 0 GROUP BY user_id""")
+@query("job_states", """SELECT user_id, CASE WHEN bool_or(event_type = 'error') AND bool_or(event_type = 'purchase') THEN 'recovered' WHEN bool_or(event_type = 'error') THEN 'failed' WHEN count(*) < 3 THEN 'pending' ELSE 'completed' END AS state, min_by(event_id, ts) AS parent_id, count(*) AS steps FROM events GROUP BY user_id""")
 def job_states(spark: SparkSession, sf_dir: str) -> DataFrame:
     has = lambda k: F.bool_or(F.col("event_type") == k)
     state = F.when(has("error") & has("purchase"), "recovered").when(has("error"), "failed").when(F.count(F.lit(1)) < 3, "pending").otherwise("completed")
@@ -231,7 +231,7 @@ def job_states(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("log_matches", """WITH l AS (SELECT conv_id, turn, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS n FROM conversations),
-m AS (SELECT conv_id, turn, n, substr(line, 1, 40) AS line, row_number() OVER (PARTITION BY conv_id ORDER BY turn, n) AS k FROM l WHERE regexp_matches(line, '(?i)\\b(de|the|und)\\b')) SELECT conv_id, turn, n, line, k FROM m WHERE k <= 3""")
+m AS (SELECT conv_id, turn, n, substr(line, 1, 300) AS line, row_number() OVER (PARTITION BY conv_id ORDER BY turn, n) AS k FROM l WHERE regexp_matches(line, '(?i)\\b(de|the|und)\\b')) SELECT conv_id, turn, n, line, k FROM m WHERE k <= 8""")
 def log_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first eight lines of each log that match a pattern, cut to 300 characters."""
     lines = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.posexplode(F.split("text", "\n")).alias("n", "line")).withColumn("n", (F.col("n") + 1).cast("long"))
@@ -253,7 +253,7 @@ def cohort_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("c_mktsegment", "n_name").agg(F.count_distinct("c_custkey").alias("customers"), F.count_distinct("o_orderkey").alias("orders"), F.count_distinct("o_orderpriority").alias("priorities"))
 
 
-@query("shared_groups", "SELECT l_partkey, count(DISTINCT l_suppkey) AS n, string_agg(DISTINCT l_suppkey::VARCHAR, ';' ORDER BY l_suppkey::VARCHAR) AS suppliers FROM lineitem WHERE l_partkey % 10 = 0 GROUP BY l_partkey HAVING count(DISTINCT l_suppkey) > 1")
+@query("shared_groups", "SELECT l_partkey, count(DISTINCT l_suppkey) AS n, string_agg(DISTINCT l_suppkey::VARCHAR, ';' ORDER BY l_suppkey::VARCHAR) AS suppliers FROM lineitem GROUP BY l_partkey HAVING count(DISTINCT l_suppkey) > 1")
 def shared_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "lineitem").groupBy("l_partkey").agg(F.collect_set(F.col("l_suppkey").cast("string")).alias("s"))
     return rows.filter(F.size("s") > 1).select("l_partkey", F.size("s").cast("long").alias("n"), F.array_join(F.array_sort("s"), ";").alias("suppliers"))
@@ -330,7 +330,7 @@ def audio_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return windows.chunks(d, "length", 20.0, 5.0).drop("length")
 
 
-_EVENTS = "v AS (SELECT user_id, hour(ts)::INT + 1 AS measure, hour(ts) * 3600 + minute(ts) * 60 + microsecond(ts) / 1e6::DOUBLE AS t FROM events WHERE user_id % 5 = 0)"
+_EVENTS = "v AS (SELECT user_id, hour(ts)::INT + 1 AS measure, hour(ts) * 3600 + minute(ts) * 60 + microsecond(ts) / 1e6::DOUBLE AS t FROM events)"
 
 
 def _measures(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -356,9 +356,14 @@ def measure_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.select("user_id", "bar_start", "bar_end", "covered", "expected", F.round("time_start", 3).alias("time_start"), F.round("time_end", 3).alias("time_end"))
 
 
-@query("interpolated_times")
+@query("interpolated_times", f"""WITH {_EVENTS}, a AS (SELECT user_id, measure::DOUBLE AS x, median(t) AS y FROM v GROUP BY ALL),
+c AS (SELECT user_id, x, max(y) OVER w AS y, row_number() OVER w AS i, count(*) OVER (PARTITION BY user_id) AS n FROM a WINDOW w AS (PARTITION BY user_id ORDER BY x)),
+s AS (SELECT user_id, x, y, i, n, lead(x) OVER w AS x2, lead(y) OVER w AS y2 FROM c WINDOW w AS (PARTITION BY user_id ORDER BY x)),
+q AS (SELECT user_id, i / 2.0::DOUBLE AS measure FROM (SELECT DISTINCT user_id FROM v), range(0, 53) r(i)),
+p AS (SELECT q.user_id, measure, x, y, x2, y2, n FROM q JOIN s ON s.user_id = q.user_id AND ((i = 1 OR measure >= x) AND (i = n - 1 OR measure < x2) AND i < n OR n = 1))
+SELECT user_id, measure, round(greatest(CASE WHEN n = 1 THEN y ELSE y + (measure - x) * ((y2 - y) / (x2 - x)) END, 0), 6) AS value FROM p""")
 def interpolated_times(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Times of half measures on each recording's curve; checked against a plain interpolation in the tests."""
+    """Times of half measures on each recording's curve."""
     e = _measures(spark, sf_dir).select("user_id", F.col("measure").cast("double").alias("measure"), "t")
     half = F.transform(F.sequence(F.lit(0), F.lit(52)), lambda i: i / 2)
     q = e.select("user_id").distinct().withColumn("measure", F.explode(half))

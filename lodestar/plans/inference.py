@@ -9,8 +9,7 @@ from lodestar.operators import decomposition, stats
 from lodestar.plans.catalog import query, table
 from lodestar.plans.mapping import VECTORS, prompts, scores
 
-#: Rounds of the SQL; the queries take the reference's.
-ROUNDS = 200
+#: Rounds, the reference's.
 PERMUTATIONS, BOOTSTRAPS = 10_000, 5_000
 
 #: Work means of similarity per prompt, the inferential unit.
@@ -67,7 +66,7 @@ def primary_family_fdr(spark: SparkSession, sf_dir: str) -> DataFrame:
 _DRAW = "concat('0x', substr(md5({0}), 1, 8))::BIGINT"
 
 
-@query("bootstrap_ci", f"""WITH {_UNITS}, k AS (SELECT prompt_id, label, list(x ORDER BY work_id) AS u FROM v GROUP BY ALL), b AS (SELECT *, unnest(range(1, {ROUNDS + 1})) AS r FROM k),
+@query("bootstrap_ci", f"""WITH {_UNITS}, k AS (SELECT prompt_id, label, list(x ORDER BY work_id) AS u FROM v GROUP BY ALL), b AS (SELECT *, unnest(range(1, {BOOTSTRAPS + 1})) AS r FROM k),
 m AS (SELECT prompt_id, label, r, list_sum(list_transform(range(1, len(u) + 1), lambda i: u[({_DRAW.format("concat(r, ':', label, ':', i)")} % len(u) + 1)])) / len(u) AS m FROM b),
 d AS (SELECT prompt_id, r, max(m) FILTER (label = 0) - max(m) FILTER (label = 1) AS d FROM m GROUP BY ALL)
 SELECT prompt_id, round(quantile_cont(d, 0.025), 6) AS ci_low, round(quantile_cont(d, 0.975), 6) AS ci_high FROM d GROUP BY prompt_id""")
@@ -75,11 +74,11 @@ def bootstrap_ci(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stats.hashed_bootstrap(units(spark, sf_dir), ["prompt_id"], "work_id", "label", 0, 1, "x", BOOTSTRAPS)
 
 
-@query("hashed_permutation", f"""WITH {_UNITS}, r AS (SELECT *, unnest(range(0, {ROUNDS + 1})) AS r FROM v),
+@query("hashed_permutation", f"""WITH {_UNITS}, r AS (SELECT *, unnest(range(0, {PERMUTATIONS + 1})) AS r FROM v),
 o AS (SELECT *, row_number() OVER (PARTITION BY prompt_id, r ORDER BY {_DRAW.format("concat(r, ':', work_id)")}, work_id) <= count(*) FILTER (label = 0) OVER (PARTITION BY prompt_id, r) AS side FROM r),
 m AS (SELECT prompt_id, r, CASE WHEN r = 0 THEN abs(avg(x) FILTER (label = 0) - avg(x) FILTER (label = 1)) ELSE abs(avg(x) FILTER (side) - avg(x) FILTER (NOT side)) END AS d FROM o GROUP BY prompt_id, r),
 z AS (SELECT *, max(d) FILTER (r = 0) OVER (PARTITION BY prompt_id) AS seen FROM m)
-SELECT prompt_id, round((count(*) FILTER (d >= seen - 1e-12) + 1) / {ROUNDS + 1}, 6) AS p_value FROM z WHERE r > 0 GROUP BY prompt_id""")
+SELECT prompt_id, round((count(*) FILTER (d >= seen - 1e-12) + 1) / {PERMUTATIONS + 1}, 6) AS p_value FROM z WHERE r > 0 GROUP BY prompt_id""")
 def hashed_permutation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stats.hashed_permutation(units(spark, sf_dir), ["prompt_id"], "work_id", "label", 0, 1, "x", PERMUTATIONS)
 

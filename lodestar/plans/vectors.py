@@ -279,8 +279,7 @@ def vector_diagnostics(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query("duplicate_vectors", """WITH d AS (SELECT vec_id, label, list_transform(embedding, lambda x: round(x, 1)) AS v FROM embeddings), k AS (SELECT vec_id, list_slice(v, 1, 2) AS v FROM d)
-SELECT min(vec_id) AS first_id, count(*) AS n FROM k GROUP BY v HAVING count(*) > 1""")
+@query("duplicate_vectors", "SELECT min(vec_id) AS first_id, count(*) AS n FROM embeddings GROUP BY embedding HAVING count(*) > 1")
 def duplicate_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups of equal whole vectors; none in the shared tables."""
     e = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").alias("v"))

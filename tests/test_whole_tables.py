@@ -1,4 +1,4 @@
-"""Queries whose registered SQL covers part of the ids, against the same question over whole tables."""
+"""Queries held against whole-table SQL written independently of the registered one, or against planted rows."""
 
 from __future__ import annotations
 
