@@ -113,7 +113,7 @@ def interpolate(anchors: DataFrame, queries: DataFrame, keys: Sequence[str], x:
         if len(xs) > 1:
             v = np.where(at < xs[0], ys[0] + (at - xs[0]) * (ys[1] - ys[0]) / (xs[1] - xs[0]), v)
             v = np.where(at > xs[-1], ys[-1] + (at - xs[-1]) * (ys[-1] - ys[-2]) / (xs[-1] - xs[-2]), v)
-        return pd.DataFrame({**{k: q[k] for k in keys}, x: q[x], "value": np.round(np.maximum(v, 0.0), 6)})
+        return pd.DataFrame({**{k: q[k] for k in keys}, x: q[x], "value": np.maximum(v, 0.0)})
 
     schema = ", ".join([*[f"{k} {t}" for k, t in queries.select(*keys).dtypes], f"{x} {dict(queries.dtypes)[x]}", "value double"])
     return point.groupBy(*keys).cogroup(queries.select(*keys, x).groupBy(*keys)).applyInPandas(curve, schema)

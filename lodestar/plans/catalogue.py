@@ -361,10 +361,10 @@ c AS (SELECT user_id, x, max(y) OVER w AS y, row_number() OVER w AS i, count(*)
 s AS (SELECT user_id, x, y, i, n, lead(x) OVER w AS x2, lead(y) OVER w AS y2 FROM c WINDOW w AS (PARTITION BY user_id ORDER BY x)),
 q AS (SELECT user_id, i / 2.0::DOUBLE AS measure FROM (SELECT DISTINCT user_id FROM v), range(0, 53) r(i)),
 p AS (SELECT q.user_id, measure, x, y, x2, y2, n FROM q JOIN s ON s.user_id = q.user_id AND ((i = 1 OR measure >= x) AND (i = n - 1 OR measure < x2) AND i < n OR n = 1))
-SELECT user_id, measure, round(greatest(CASE WHEN n = 1 THEN y ELSE y + (measure - x) * ((y2 - y) / (x2 - x)) END, 0), 6) AS value FROM p""")
+SELECT user_id, measure, round(greatest(CASE WHEN n = 1 THEN y ELSE y + (measure - x) * ((y2 - y) / (x2 - x)) END, 0), 3) AS value FROM p""")
 def interpolated_times(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Times of half measures on each recording's curve."""
     e = _measures(spark, sf_dir).select("user_id", F.col("measure").cast("double").alias("measure"), "t")
     half = F.transform(F.sequence(F.lit(0), F.lit(52)), lambda i: i / 2)
     q = e.select("user_id").distinct().withColumn("measure", F.explode(half))
-    return windows.interpolate(e, q, ["user_id"], "measure", "t")
+    return windows.interpolate(e, q, ["user_id"], "measure", "t").withColumn("value", F.round("value", 3))
