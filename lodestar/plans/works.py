@@ -82,28 +82,66 @@ _STEP = ("C", "D", "E", "F", "G", "A", "B")
 
 
 def score_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One score per order: a note for every line, two to a measure, in key and metre of the first measure."""
-    l = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", F.col("l_quantity").cast("int").alias("q"), "l_returnflag")
-    step = F.element_at(F.array(*[F.lit(s) for s in _STEP]), (F.col("l_partkey") % 7 + 1).cast("int"))
-    pitch = F.when(F.col("l_returnflag") == "R", "<rest/>").otherwise(F.concat(F.lit("<pitch><step>"), step, F.lit("</step><octave>"), (F.col("l_partkey") % 3 + 3).cast("string"), F.lit("</octave></pitch>")))
-    note = F.concat(F.lit("<note>"), pitch, F.lit("<duration>"), (F.col("q") % 4 + 1).cast("string"), F.lit("</duration><voice>1</voice></note>"))
-    notes = l.groupBy("l_orderkey").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", note.alias("x")))), lambda s: s["x"]), "").alias("body"))
-    head = '<score-partwise version="3.1"><part id="P1"><measure number="1"><attributes><divisions>2</divisions><key><fifths>1</fifths><mode>major</mode></key><time><beats>3</beats><beat-type>4</beat-type></time></attributes>'
-    return notes.select("l_orderkey", F.concat(F.lit(head), "body", F.lit("</measure></part></score-partwise>")).alias("content"))
-
-
-_NOTES = """n AS (SELECT l_orderkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey) AS k, CASE WHEN l_returnflag <> 'R' THEN 12 * (l_partkey % 3 + 4) + ([0, 2, 4, 5, 7, 9, 11])[l_partkey % 7 + 1] END AS midi, (l_quantity::INT % 4 + 1) / 2.0 AS quarters FROM lineitem),
-v AS (SELECT *, abs(midi - lag(midi) OVER (PARTITION BY l_orderkey, midi IS NULL ORDER BY k)) AS leap FROM n),
-c AS (SELECT l_orderkey, sum(-p * log2(p)) AS pce FROM (SELECT l_orderkey, count(*) / sum(count(*)) OVER (PARTITION BY l_orderkey) AS p FROM v WHERE midi IS NOT NULL GROUP BY l_orderkey, midi % 12) GROUP BY l_orderkey)"""
-
-
-@query("score_features", f"""WITH {_NOTES} SELECT v.l_orderkey, count(*) AS note_event_count, count(midi) AS pitched_note_count, round(count(*) FILTER (midi IS NULL) / count(*), 6) AS rest_fraction, round(avg(midi), 6) AS mean_midi_pitch, round(stddev_pop(midi), 6) AS midi_pitch_std,
-max(midi) - min(midi) AS midi_pitch_range, round(abs(any_value(pce)), 6) AS pitch_class_entropy_bits, round(avg((midi % 12 NOT IN (7, 9, 11, 0, 2, 4, 6))::INT) FILTER (midi IS NOT NULL), 6) AS out_of_key_note_fraction, round(coalesce(sum(quarters) FILTER (midi IS NOT NULL), 0), 6)::DOUBLE AS sounding_note_quarters,
-round(coalesce(avg(leap), 0), 6) AS mean_abs_melodic_interval FROM v LEFT JOIN c ON c.l_orderkey = v.l_orderkey GROUP BY v.l_orderkey HAVING count(midi) > 0""")
+    """One score per order: a note for every line, two to a measure; divisions double in the third measure."""
+    l = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.col("l_quantity").cast("int").alias("q"), "l_returnflag")
+    when = lambda c, x: F.when(c, x).otherwise("")
+    p, k = F.col("l_partkey"), F.col("l_suppkey")
+    step = F.element_at(F.array(*[F.lit(s) for s in _STEP]), (p % 7 + 1).cast("int"))
+    pitch = F.concat(F.lit("<pitch><step>"), step, F.lit("</step>"), when(k % 3 == 0, "<alter>1</alter>"), F.lit("<octave>"), (p % 3 + 3).cast("string"), F.lit("</octave></pitch>"))
+    note = F.concat(
+        when(p % 13 == 0, "<grace/>"), F.when(F.col("l_returnflag") == "R", "<rest/>").otherwise(pitch), F.lit("<duration>"), (F.col("q") % 4 + 1).cast("string"), F.lit("</duration><voice>"),
+        (p % 2 + 1).cast("string"), F.lit("</voice>"), when(p % 5 == 0, "<accidental>sharp</accidental>"), F.lit("<staff>"), (k % 2 + 1).cast("string"), F.lit("</staff>"),
+        when(p % 9 == 0, "<notations><ornaments><trill-mark/></ornaments></notations>"), F.lit("</note>"),
+    )
+    lines = l.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey", note.alias("x")))).alias("n"))
+    key = F.concat(F.lit("<key><fifths>"), (F.col("l_orderkey") % 5 - 2).cast("string"), F.lit("</fifths><mode>"), F.when(F.col("l_orderkey") % 2 == 0, "major").otherwise("minor"), F.lit("</mode></key>"))
+    opening = lambda i: F.concat(
+        F.lit('<measure number="'), (F.floor(i / 2) + 1).cast("string"), F.lit('">'),
+        F.when(i == 0, F.concat(F.lit("<attributes><divisions>2</divisions>"), key, F.lit("<time><beats>3</beats><beat-type>4</beat-type></time></attributes>")))
+        .when(i == 4, "<attributes><divisions>4</divisions></attributes>").otherwise(""),
+    )
+    each = F.transform("n", lambda s, i: F.concat(
+        F.when(i % 2 == 0, opening(i)).otherwise(""), F.lit("<note>"), F.when((i % 2 == 1) & (s["l_partkey"] % 4 == 0), "<chord/>").otherwise(""), s["x"],
+        F.when((i % 2 == 1) | (i == F.size("n") - 1), "</measure>").otherwise(""),
+    ))
+    return lines.select("l_orderkey", F.concat(F.lit('<score-partwise version="3.1"><part id="P1">'), F.array_join(each, ""), F.lit("</part></score-partwise>")).alias("content"))
+
+
+_NOTES = """n AS (SELECT l_orderkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS k, l_partkey AS p, l_suppkey AS s, l_quantity::INT % 4 + 1 AS d, l_returnflag = 'R' AS rest FROM lineitem),
+v AS (SELECT *, (k + 1) // 2 AS measure, CASE WHEN NOT rest THEN 12 * (p % 3 + 4) + ([0, 2, 4, 5, 7, 9, 11])[p % 7 + 1] + (s % 3 = 0)::INT END AS midi, d / CASE WHEN k > 4 THEN 4.0 ELSE 2.0 END AS quarters,
+k % 2 = 0 AND p % 4 = 0 AS chord, p % 13 = 0 AS grace, l_orderkey % 5 - 2 AS fifths, CASE WHEN l_orderkey % 2 = 0 THEN 'major' ELSE 'minor' END AS mode FROM n),
+x AS (SELECT *, CASE WHEN midi IS NOT NULL AND NOT chord THEN abs(midi - lag(midi) OVER (PARTITION BY l_orderkey, p % 2, s % 2, midi IS NOT NULL AND NOT chord ORDER BY k)) END AS leap,
+CASE WHEN midi IS NOT NULL AND NOT chord AND NOT grace THEN round(quarters, 6) END AS beat, ((midi - 7 * fifths - CASE WHEN mode = 'minor' THEN 9 ELSE 0 END) % 12 + 12) % 12 AS degree FROM v),
+pc AS (SELECT l_orderkey, -sum(p * log2(p)) AS e FROM (SELECT l_orderkey, count(*) / sum(count(*)) OVER (PARTITION BY l_orderkey) AS p FROM x WHERE midi IS NOT NULL GROUP BY l_orderkey, midi % 12) GROUP BY l_orderkey),
+be AS (SELECT l_orderkey, -sum(p * log2(p)) AS e FROM (SELECT l_orderkey, count(*) / sum(count(*)) OVER (PARTITION BY l_orderkey) AS p FROM x WHERE beat IS NOT NULL GROUP BY l_orderkey, beat) GROUP BY l_orderkey)"""
+
+
+@query("score_features", f"""WITH {_NOTES} SELECT x.l_orderkey, max(measure)::INT AS measure_count, count(*) AS note_event_count, count(midi) AS pitched_note_count, round(count(*) FILTER (rest) / count(*), 6) AS rest_fraction, round(count(*) FILTER (grace) / count(*), 6) AS grace_note_fraction,
+round(count(midi) / max(measure), 6) AS note_density_per_measure, round(avg(midi), 6) AS mean_midi_pitch, round(stddev_pop(midi), 6) AS midi_pitch_std, (max(midi) - min(midi))::BIGINT AS midi_pitch_range, round(abs(coalesce(any_value(pc.e), 0)), 6) AS pitch_class_entropy_bits,
+round(count(*) FILTER (midi IS NOT NULL AND p % 5 = 0) / count(midi), 6) AS explicit_accidental_fraction, round(avg(CASE mode WHEN 'minor' THEN degree NOT IN (0, 2, 3, 5, 7, 8, 10) ELSE degree NOT IN (0, 2, 4, 5, 7, 9, 11) END::INT) FILTER (midi IS NOT NULL), 6) AS out_of_key_note_fraction,
+round(count(*) FILTER (midi IS NOT NULL AND chord) / count(midi), 6) AS chord_tone_fraction, count(DISTINCT p % 2) AS voice_count, count(DISTINCT s % 2) AS staff_count, round(coalesce(sum(beat), 0), 6)::DOUBLE AS sounding_note_quarters, round(abs(coalesce(any_value(be.e), 0)), 6) AS rhythmic_entropy_bits,
+round(coalesce(avg(leap), 0), 6) AS mean_abs_melodic_interval, round(coalesce(count(*) FILTER (leap >= 5) / nullif(count(leap), 0), 0), 6) AS large_leap_fraction, round(100 * count(*) FILTER (midi IS NOT NULL AND p % 9 = 0) / count(midi), 6) AS ornament_events_per_100_notes,
+any_value(fifths)::INT AS key_fifths_xml, any_value(mode) AS key_mode_xml, '3' AS meter_beats_xml, '4' AS meter_beat_type_xml
+FROM x LEFT JOIN pc ON pc.l_orderkey = x.l_orderkey LEFT JOIN be ON be.l_orderkey = x.l_orderkey GROUP BY x.l_orderkey HAVING count(midi) > 0""")
 def score_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scores are parsed from XML; the SQL computes the same features from the rows that the XML was made of."""
-    f = scores.features(scores.notes(score_documents(spark, sf_dir), "l_orderkey", "content"), ["l_orderkey"])
-    return f.select(
-        "l_orderkey", "note_event_count", "pitched_note_count", "rest_fraction", "mean_midi_pitch", "midi_pitch_std", F.col("midi_pitch_range").cast("long").alias("midi_pitch_range"), "pitch_class_entropy_bits",
-        "out_of_key_note_fraction", "sounding_note_quarters", "mean_abs_melodic_interval",
-    )
+    played = scores.notes(scores.elements(score_documents(spark, sf_dir), "l_orderkey", "content"), ["l_orderkey"])
+    return scores.features(played, ["l_orderkey"]).withColumn("midi_pitch_range", F.col("midi_pitch_range").cast("long"))
+
+
+@query("score_measures", "SELECT l_orderkey, 1::BIGINT AS parts, ((count(*) + 1) // 2)::INT AS measures FROM lineitem GROUP BY l_orderkey")
+def score_measures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scores.measure_counts(scores.elements(score_documents(spark, sf_dir), "l_orderkey", "content"), ["l_orderkey"])
+
+
+@query("score_crops", f"""WITH {_NOTES}, m AS (SELECT l_orderkey, max(measure) AS measures FROM v GROUP BY l_orderkey), w AS (SELECT l_orderkey, measures, unnest([2, 3]) AS bar_start FROM m)
+SELECT w.l_orderkey, bar_start::INT AS bar_start, CASE WHEN measures > bar_start THEN bar_start::VARCHAR END AS first_label, CASE WHEN measures > bar_start THEN (bar_start + 1)::VARCHAR END AS last_label, CASE WHEN measures > bar_start THEN 2 END::INT AS measures,
+count(v.k) AS notes, any_value(fifths)::INT AS fifths, any_value(mode) AS mode, round(sum(quarters), 6)::DOUBLE AS quarters FROM w LEFT JOIN v ON v.l_orderkey = w.l_orderkey AND measures > bar_start AND measure BETWEEN bar_start AND bar_start + 1 GROUP BY w.l_orderkey, bar_start, measures""")
+def score_crops(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two windows of two measures of each score, cut from the document, read again and summed up."""
+    table_ = scores.elements(score_documents(spark, sf_dir), "l_orderkey", "content", sources=True)
+    w = table_.filter("tag = '#head'").select("l_orderkey", F.explode(F.array(F.lit(2), F.lit(3))).alias("bar_start")).withColumn("bar_end", F.col("bar_start") + 1)
+    cut = scores.crop(table_, w, ["l_orderkey"]).withColumn("id", F.concat_ws(":", "l_orderkey", "bar_start"))
+    played = scores.notes(scores.elements(cut.filter("document is not null"), "id", "document"), ["id"])
+    sums = played.groupBy("id").agg(F.count(F.lit(1)).alias("notes"), F.first("fifths").alias("fifths"), F.first("mode").alias("mode"), F.round(F.sum("quarters"), 6).alias("quarters"))
+    return cut.join(sums, "id", "left").fillna(0, ["notes"]).select("l_orderkey", "bar_start", "first_label", "last_label", F.col("measures").cast("int").alias("measures"), "notes", "fifths", "mode", "quarters")
