@@ -31,10 +31,15 @@ def share_code(spark: SparkSession) -> None:
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; a temporary one only where the setting is absent."""
+    """The folder in ``spark.checkpoint.dir``; without that setting a temporary one, in local mode only.
+
+    On a cluster a folder of one machine is invisible to the others, so there the setting must be given.
+    """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if root:
         return root.rstrip("/")
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if "root" not in _OWN:
         _OWN["root"] = tempfile.mkdtemp(prefix="lodestar-")
         atexit.register(shutil.rmtree, _OWN["root"], ignore_errors=True)
@@ -46,19 +51,29 @@ def new_path(spark: SparkSession, label: str) -> str:
     return f"{shared_root(spark)}/lodestar/{label}-{uuid.uuid4().hex[:16]}"
 
 
-def materialize(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` once to the shared folder and return a scan of what was written."""
+def materialize(df: DataFrame, label: str, share: int = 1) -> DataFrame:
+    """Write ``df`` once to the shared folder and return a scan of what was written.
+
+    ``share``: for what is small beside its source, a table is written by that part of the shuffle partitions, so that
+    it does not fall into as many tiny files.
+    """
     spark = df.sparkSession
     path = new_path(spark, label)
+    if share > 1:
+        df = df.coalesce(max(1, int(spark.conf.get("spark.sql.shuffle.partitions")) // share))
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def discard(df: DataFrame) -> None:
-    """Delete the files behind a table made by :func:`materialize` once nothing reads it any more."""
-    spark = df.sparkSession
-    parents = {f.rsplit("/", 1)[0] for f in df.inputFiles()}
-    for parent in parents:
-        if "/lodestar/" in parent:
-            path = spark._jvm.org.apache.hadoop.fs.Path(parent)
-            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder that :func:`new_path` named."""
+    if "/lodestar/" in path:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete the files behind tables made by :func:`materialize` once nothing reads them any more."""
+    for df in tables:
+        for parent in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            remove(df.sparkSession, parent)
