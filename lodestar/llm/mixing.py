@@ -1,14 +1,21 @@
 """Mixing sources to target weights by weighted fair queueing, in DataFrame functions only.
 
-Each source's documents are shuffled by a hash of their id; a document's virtual finish time is the tokens of its
-source up to and with it, over all passes, divided by the source's target. All sources reach time 1 when their
-targets are met, so sorting by finish time and cutting at the total budget is cutting at time 1.
-
-Cumulative sums are exact without gathering a source in one task: documents fall into ``PIECES`` hash ranges, the
-sums of the ranges are added up per source first (at most ``PIECES`` rows each), then documents within their range.
-
-Defined cases: null text has size 0 and is never taken; a null source is a source of its own, last in order; rows
-with one id and one source are ordered by size; a source whose documents are all empty has target 0.
+Each source's documents are shuffled by a hash of their id. A pass of a document has a virtual finish time: the words
+of its source up to and with it, over all passes, divided by the source's target. The mix is the schedule in the order
+of finish times (ties by source, pass and place), truncated at the total budget, the size of the corpus.
+
+A document in which its source's target ends is a packet too long: it is cut there, and what is before has finish time 1.
+So all sources reach their targets together at time 1, and what the budget leaves after rounding (less than a word a
+source) goes to the next packets. Packets that begin after time 1 are never reached and are not made.
+
+Nothing is gathered. Cumulative sums are exact: documents fall into ``PIECES`` hash ranges whose sums are added up
+per source first; packets fall into ``RANGES`` ranges of finish time, whose sums say in which of them the budget ends,
+and only that range is sorted to find the one packet in which it does. A pass is taken if it sorts before that packet.
+
+Defined cases: null text has size 0 and is never taken, empty and very long texts are counted whole; a null source is a
+source of its own, last in order; rows with one id and one source are ordered by size, equal ones share their fate
+by place; a source whose documents are all empty has target 0; an empty table gives an empty result. The rows travel as
+one struct, ``row``, so columns of any name come through.
 """
 
 from __future__ import annotations
@@ -17,82 +24,121 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestar.llm.common import text_of, words_of
+from lodestar.operators.catalogue import numbered
 from lodestar.sources.workspace import materialize
 
-WEIGHTS, MAX_PASSES, PIECES = (5, 2, 1), 3, 4096
+WEIGHTS, MAX_PASSES, PIECES, RANGES = (5, 2, 1), 3, 4096, 4096
+#: Where a packet stands in the schedule.
+PLACE = ("finish", "key", "pass", "start")
 
 
-def _order(doc_id: str) -> Column:
-    return F.md5(F.coalesce(F.col(f"`{doc_id}`").cast("string"), F.lit("")))
+def measured(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
+    """(doc_id, source, size) of every document: all that the mix needs to know."""
+    return docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{source}`").alias("source"), F.size(words_of(text_of(text))).cast("long").alias("size"))
 
 
-def _named(source: str) -> Column:
-    """A key without nulls."""
-    name = F.col(f"`{source}`").cast("string")
-    return F.when(name.isNull(), "-").otherwise(F.concat(F.lit("+"), name))
-
+def targets(totals: DataFrame) -> DataFrame:
+    """``source_size`` and ``target`` by ``key`` from rows (key, name, source_size), one of each source.
 
-def targets(sums: DataFrame) -> DataFrame:
-    """``source_size`` and ``target`` by ``key`` from rows (key, name, n): one row per source.
-
-    Water filling: in the order of the level at which a source fills up, sources below the common level get
-    ``MAX_PASSES`` times their size and the rest share what is left by weight.
+    Water filling: the level rises, sources whose ``MAX_PASSES`` sizes lie below it are full, and the rest share what
+    is left by weight. Each rise is one aggregate over the sources, of which two numbers reach the driver.
     """
-    totals = sums.groupBy("key").agg(F.first("name").alias("name"), F.sum("n").alias("source_size"))
-    rank = F.row_number().over(Window.orderBy(F.asc_nulls_last("name"))) - 1
-    weight = F.element_at(F.array(*[F.lit(float(w)) for w in WEIGHTS]), (rank % len(WEIGHTS) + 1).cast("int"))
-    by_level = Window.orderBy("level", "key")
-    every = Window.orderBy(F.lit(0)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    cap = MAX_PASSES * F.col("source_size").cast("double")
-    rows = (
-        totals.withColumn("weight", weight)
-        .withColumn("cap", cap)
-        .withColumn("level", F.col("cap") / F.col("weight"))
-        .withColumn("left", F.sum("source_size").over(every).cast("double") - F.coalesce(F.sum("cap").over(by_level.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)))
-        .withColumn("shared", F.sum("weight").over(by_level.rowsBetween(0, Window.unboundedFollowing)))
-        .withColumn("first", F.col("left") / F.col("shared") <= F.col("level"))
-    )
-    chosen = F.min(F.when(F.col("first"), F.struct("level", "key", "left", "shared"))).over(every)
-    rows = rows.withColumn("at", chosen)
-    full = F.col("at").isNull() | (F.struct("level", "key") < F.struct("at.level", "at.key"))
-    share = F.col("weight") * F.col("at.left") / F.col("at.shared")
+    rows = numbered(totals.withColumn("__null", F.col("name").isNull()), ["__null", "name"], "__rank")
+    weight = F.element_at(F.array(*[F.lit(float(w)) for w in WEIGHTS]), (F.col("__rank") % len(WEIGHTS) + 1).cast("int"))
+    rows = rows.select("key", "source_size", weight.alias("weight"), (MAX_PASSES * F.col("source_size").cast("double")).alias("cap"))
+    rows = materialize(rows, "sources", share=8)
+    whole = float(rows.agg(F.sum("source_size")).first()[0] or 0)
+    full = F.lit(False)
+    left, shared, filled = whole, None, -1
+    while True:
+        got = rows.agg(F.sum(F.when(full, F.col("cap"))).alias("c"), F.sum(F.when(~full, F.col("weight"))).alias("w"), F.count_if(full).alias("n")).first()
+        left, shared = whole - (got["c"] or 0.0), got["w"]
+        if got["n"] == filled or not shared:
+            break
+        filled = got["n"]
+        full = F.col("cap") <= F.col("weight") * left / F.lit(shared)
+    share = F.col("weight") * F.lit(left) / F.lit(shared) if shared else F.lit(0.0)
     return rows.select("key", "source_size", F.when(full, F.col("cap")).otherwise(F.least("cap", share)).alias("target"))
 
 
-def fair_queue(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
-    """``docs`` with size, source_size, target, taken, and ``finish``, the virtual finish times of the passes taken."""
-    names = [c for c in docs.columns if c not in ("size", "source_size", "target", "taken", "finish")]
+def _packets(queue: DataFrame) -> DataFrame:
+    """(:data:`PLACE`, words) of every packet that begins before virtual time 1."""
+    per = queue.filter("size > 0").select("key", "start", "passes").select("key", "start", F.posexplode("passes").alias("pass", "p"))
+    return per.select("key", "start", "pass", F.explode("p").alias("packet")).select("packet.finish", "key", "pass", "start", "packet.words").filter("words > 0")
+
+
+def _cut(queue: DataFrame) -> tuple:
+    """The packet in which the total budget ends, as (:data:`PLACE`, words that still fit); empty if all fit."""
+    budget = queue.agg(F.sum("size")).first()[0] or 0
+    packets = _packets(queue).withColumn("range", F.least(F.floor(F.col("finish") * RANGES), F.lit(RANGES)).cast("int"))
+    sums = {r["range"]: r["w"] for r in packets.groupBy("range").agg(F.sum("words").alias("w")).collect()}  # RANGES + 1 rows at most
+    before = 0
+    for at in sorted(sums):
+        if before + sums[at] >= budget:
+            break
+        before += sums[at]
+    else:
+        return ()
+    w = Window.partitionBy("range").orderBy(*PLACE).rowsBetween(Window.unboundedPreceding, -1)
+    inside = packets.filter(F.col("range") == at).withColumn("before", F.coalesce(F.sum("words").over(w), F.lit(0)) + F.lit(before))
+    row = inside.filter((F.col("before") < budget) & (F.col("before") + F.col("words") >= budget)).first()
+    return (*[row[c] for c in PLACE], budget - row["before"]) if row else ()
+
+
+def fair_queue(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", size: str | None = None) -> DataFrame:
+    """(row, size, source_size, target, taken, key, start, passes) of every document.
+
+    ``row`` holds the columns of ``docs``; ``taken`` are the words that the mix takes, over all passes; ``passes`` the
+    packets of each pass, (finish, words), and ``start`` the words of the source before the document. ``size`` names a
+    column of sizes that are known already.
+    """
+    sizes = F.size(words_of(text_of(text))).cast("long") if size is None else F.col(f"`{size}`")
+    name = F.col(f"`{source}`").cast("string")
     rows = docs.select(
-        *[f"`{c}`" for c in names],
-        F.size(words_of(text_of(text))).cast("long").alias("size"),
-        _named(source).alias("__key"),
-        F.col(f"`{source}`").cast("string").alias("__name"),
-        _order(doc_id).alias("__hash"),
-    ).withColumn("__piece", F.conv(F.substring("__hash", 1, 3), 16, 10).cast("int"))
-    sums = rows.groupBy(F.col("__key").alias("key"), F.col("__name").alias("name"), F.col("__piece").alias("piece")).agg(F.sum("size").alias("n"))
-    sums = materialize(sums, "mix")
+        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), sizes.alias("size"), F.when(name.isNull(), "-").otherwise(F.concat(F.lit("+"), name)).alias("key"), name.alias("name"),
+        F.md5(F.coalesce(F.col(f"`{doc_id}`").cast("string"), F.lit(""))).alias("hash"), F.col(f"`{doc_id}`").alias("id"),
+    ).withColumn("piece", F.conv(F.substring("hash", 1, 3), 16, 10).cast("int"))
+    sums = materialize(rows.groupBy("key", "name", "piece").agg(F.sum("size").alias("n")), "mix", share=8)
+    known = targets(sums.groupBy("key").agg(F.first("name").alias("name"), F.sum("n").alias("source_size")))
     before = Window.partitionBy("key").orderBy("piece").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sums.withColumn("__offset", F.coalesce(F.sum("n").over(before), F.lit(0))).join(targets(sums), "key")
-    offsets = offsets.select(F.col("key").alias("__key"), F.col("piece").alias("__piece"), "__offset", "source_size", "target")
-    inner = Window.partitionBy("__key", "__piece").orderBy("__hash", F.col(f"`{doc_id}`"), "size").rowsBetween(Window.unboundedPreceding, -1)
-    start = (F.coalesce(F.sum("size").over(inner), F.lit(0)) + F.col("__offset")).alias("__start")
-    queue = rows.join(offsets, ["__key", "__piece"]).select("*", start)
-    passes = F.array(*[F.lit(i).cast("long") for i in range(MAX_PASSES)])
-    part = lambda i: F.greatest(F.lit(0).cast("long"), F.least(F.col("size"), F.floor("target") - i * F.col("source_size") - F.col("__start")))
-    taken = F.aggregate(passes, F.lit(0).cast("long"), lambda s, i: s + part(i))
-    finish = F.transform(
-        F.filter(passes, lambda i: part(i) > 0),
-        lambda i: (i * F.col("source_size") + F.col("__start") + F.col("size")) / F.col("target"),
-    )
-    return queue.select(*[f"`{c}`" for c in names], "size", "source_size", "target", taken.alias("taken"), finish.alias("finish"))
-
-
-def schedule(queue: DataFrame, columns: list[str]) -> DataFrame:
-    """The mix itself: one row per whole pass of a document, range-sorted by finish time.
-
-    The pass that the budget cuts is kept if at least half of it fits.
+    offsets = sums.select("key", "piece", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset")).join(known, "key")
+    inner = Window.partitionBy("key", "piece").orderBy("hash", "id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    start = F.coalesce(F.sum("size").over(inner), F.lit(0)) + F.col("offset")
+    queue = rows.join(offsets, ["key", "piece"]).select("row", "size", "source_size", "target", "key", start.alias("start"))
+
+    def pass_(i: int) -> Column:
+        begins = i * F.col("source_size") + F.col("start")
+        ends, line = begins + F.col("size"), F.floor("target")
+        packet = lambda finish, words: F.struct(finish.cast("double").alias("finish"), words.cast("long").alias("words"))
+        whole = F.array(packet(ends / F.col("target"), F.col("size")))
+        cut = F.array(packet(F.lit(1.0), F.greatest(line - begins, F.lit(0))), packet(ends / F.col("target"), ends - F.greatest(line, begins)))
+        none = F.array(packet(F.lit(0.0), F.lit(0)))
+        return F.when((begins >= F.col("target")) | (F.col("size") == 0), none).when(ends <= F.col("target"), whole).otherwise(cut)
+
+    queue = queue.withColumn("passes", F.array(*[pass_(i) for i in range(MAX_PASSES)]))
+    end = _cut(queue)
+    if end:
+        here = F.struct(*[F.lit(v).cast(t) for v, t in zip(end[:4], ("double", "string", "int", "long"), strict=True)])
+        words = lambda i, p: _clipped(F.struct(p["finish"], F.col("key"), F.lit(i), F.col("start")), here, p["words"], end[4])
+    else:
+        words = lambda i, p: p["words"]
+    zero = F.lit(0).cast("long")
+    of = lambda i: F.aggregate(F.transform(F.col("passes")[i], lambda p: words(i, p)), zero, lambda s, n: s + n)
+    taken = sum((of(i) for i in range(MAX_PASSES)), zero)
+    return queue.select("row", "size", "source_size", "target", taken.alias("taken"), "key", "start", "passes")
+
+
+def _clipped(place: Column, end: Column, words: Column, fit: int) -> Column:
+    """The words of a packet that the budget holds, by its place in the schedule."""
+    return F.when(place < end, words).when(place == end, F.least(words, F.lit(fit))).otherwise(F.lit(0)).cast("long")
+
+
+def schedule(queue: DataFrame) -> DataFrame:
+    """The mix itself: the rows of ``docs``, one of each pass taken, range-sorted by their place in the schedule.
+
+    A pass that the budget cuts is kept if at least half of it fits.
     """
     copies = F.floor(F.col("taken") / F.col("size") + 0.5).cast("int")
-    rows = queue.filter("taken > 0").withColumn("__n", copies)
-    finishes = F.slice("finish", F.lit(1), F.col("__n"))
-    return rows.select(*[f"`{c}`" for c in columns], F.explode(finishes).alias("__finish")).orderBy("__finish").drop("__finish")
+    rows = queue.filter("taken > 0").withColumn("n", copies).filter("n > 0")
+    finishes = F.slice(F.transform("passes", lambda p: F.element_at(p, -1)["finish"]), F.lit(1), F.col("n"))
+    return rows.select("row", "key", "start", F.posexplode(finishes).alias("pass", "finish")).orderBy(*PLACE).select("row.*")

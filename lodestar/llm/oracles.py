@@ -21,9 +21,11 @@ m AS (
   FROM d LEFT JOIN c ON c.r = d.r LEFT JOIN u ON u.r = d.r),
 b AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM m),
 h AS (SELECT source, count(*) AS n, count(*) FILTER (base_failed) AS f FROM b WHERE source IS NOT NULL GROUP BY source),
-p AS (SELECT avg(f / n) AS mean, coalesce(var_samp(f / n), 0) AS spread FROM h),
-k AS (SELECT mean, CASE WHEN spread <= 0 THEN 100.0 ELSE greatest(mean * (1 - mean) / spread - 1, 0) END AS weight FROM p),
-x AS (SELECT source FROM h, k WHERE (f + mean * weight) / (n + weight) > 0.5)
+p AS (SELECT count(*) AS k, sum(n)::DOUBLE AS n, sum(f) / sum(n) AS mean, sum(f * f / n) - sum(f) * (sum(f) / sum(n)) AS spread, sum(n * n) / sum(n) AS nn FROM h),
+q AS (SELECT mean, CASE WHEN mean * (1 - mean) > 0 AND n - nn - (k - 1) > 0 THEN (spread - mean * (1 - mean) * (k - 1)) / (mean * (1 - mean) * (n - nn - (k - 1))) ELSE 0 END AS alike FROM p),
+k AS (SELECT mean, CASE WHEN alike > 0 THEN least(greatest(1 / alike - 1, 1), 1e6) ELSE 1e6 END::DOUBLE AS weight FROM q),
+y AS (SELECT source, n + weight AS total, (f + mean * weight) / (n + weight) AS rate FROM h, k),
+x AS (SELECT source FROM y WHERE rate - 1.645::DOUBLE * sqrt(rate * (1 - rate) / (total + 1)) > 0.5)
 SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_symbols::BIGINT AS n_symbols,
        n_dup_lines::BIGINT AS n_dup_lines, n_repeat_words::BIGINT AS n_repeat_words, base_failed,
        NOT base_failed AND x.source IS NULL AS kept
@@ -41,13 +43,17 @@ a AS (SELECT *, (SELECT sum(total) FROM l) - coalesce(sum(cap) OVER (ORDER BY le
 f AS (SELECT * FROM a WHERE rest / shared <= level ORDER BY level, key LIMIT 1),
 t AS (SELECT a.source, a.total, CASE WHEN f.key IS NULL OR (a.level, a.key) < (f.level, f.key) THEN a.cap
              ELSE least(a.cap, a.weight * f.rest / f.shared) END AS target FROM a LEFT JOIN f ON true),
-c AS (SELECT d.*, t.total::BIGINT AS source_size, t.target,
+c AS (SELECT d.*, row_number() OVER () AS r, t.total::BIGINT AS source_size, t.target, CASE WHEN d.source IS NULL THEN '-' ELSE '+' || d.source END AS key,
              coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY h, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start
-      FROM d JOIN t ON t.source IS NOT DISTINCT FROM d.source)
-SELECT doc_id, size, source_size, target,
-       (greatest(0, least(size, floor(target)::BIGINT - start)) + greatest(0, least(size, floor(target)::BIGINT - source_size - start))
-        + greatest(0, least(size, floor(target)::BIGINT - 2 * source_size - start)))::BIGINT AS taken
-FROM c
+      FROM d JOIN t ON t.source IS NOT DISTINCT FROM d.source),
+e AS (SELECT *, pass * source_size + start AS begins, pass * source_size + start + size AS ends, floor(target)::BIGINT AS line
+      FROM c, (SELECT unnest([0, 1, 2]) AS pass) WHERE size > 0 AND pass * source_size + start < target),
+k AS (SELECT r, key, pass, start, ends / target AS finish, size AS words FROM e WHERE ends <= target
+      UNION ALL SELECT r, key, pass, start, 1.0, greatest(line - begins, 0) FROM e WHERE ends > target
+      UNION ALL SELECT r, key, pass, start, ends / target, ends - greatest(line, begins) FROM e WHERE ends > target),
+o AS (SELECT r, words, (SELECT sum(size) FROM c) - coalesce(sum(words) OVER (ORDER BY finish, key, pass, start ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS fits FROM k WHERE words > 0),
+g AS (SELECT r, sum(greatest(0, least(words, fits)))::BIGINT AS taken FROM o GROUP BY r)
+SELECT doc_id, size, source_size, target, coalesce(taken, 0)::BIGINT AS taken FROM c LEFT JOIN g ON g.r = c.r
 """
 
 OP5 = """

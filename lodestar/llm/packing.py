@@ -9,7 +9,10 @@ batch is divided again into more windows.
 Batches are made inside a task from the rows it reads, so nothing is shuffled, memory is bounded by a batch and one
 document, and a repeated task gives the same windows with the same ids (partition and counter).
 
-Defined cases: null text is empty, a document of the end id alone; rows with one ``doc_id`` are packed each.
+Defined cases: null and empty text is a document of the end id alone; very long texts are encoded whole and cut; rows with
+one ``doc_id`` are packed each, equal ones too, and pieces of one size are divided in the order read; an empty table gives
+an empty result; only the two columns named are read, so others may have any name. A special token's string in a text
+is that token, as under ``tokenizers``.
 """
 
 from __future__ import annotations
@@ -115,7 +118,7 @@ def pack(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", vocabulary
 
         for batch in batches:
             for i, t in zip(*column_arrays(batch, "doc_id", "text"), strict=True):
-                ids = np.append(encode(t, vocabulary), end).astype("<u4")
+                ids = np.append(encode(t, vocabulary, special=True), end).astype("<u4")
                 whole = len(ids) - len(ids) % capacity
                 for start in (*range(0, whole, capacity), *range(whole, len(ids), capacity // PARTS)):
                     piece = ids[start : start + (capacity if start < whole else capacity // PARTS)]

@@ -56,8 +56,8 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _table(spark, sf_dir, "documents").select("doc_id", "source", "text")
-    return mixing.fair_queue(docs).select("doc_id", "size", "source_size", "target", "taken")
+    sizes = materialize(mixing.measured(_table(spark, sf_dir, "documents")), "sizes")  # texts are read once
+    return mixing.fair_queue(sizes, size="size").select("row.doc_id", "size", "source_size", "target", "taken")
 
 
 def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:

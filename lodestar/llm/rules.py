@@ -1,12 +1,15 @@
 """Quality rules by document and by host, in DataFrame functions only.
 
 Every text is measured inside its row (no word is exploded or shuffled). The failures are then summed by host (the
-column ``source``), the hosts' failure rates are shrunk towards a beta prior fitted to the hosts by moments, and
-documents of hosts whose shrunk rate exceeds ``host_limit`` are rejected with them.
-
-Defined cases: null text has no words and fails; a null host has no verdict, so its documents stand on their own;
-repeated rows count each; an empty table gives an empty result. If all hosts have one rate (or there is one host),
-the prior weighs ``PRIOR_WEIGHT`` documents; if rates vary as much as a beta law allows, nothing is shrunk.
+column ``source``) and the hosts' failure rates are shrunk towards a beta prior: its mean is the share of all documents
+that fail, its weight the one that explains how far the hosts' rates lie apart beyond what chance does to hosts of their
+sizes (moments of the beta-binomial law, each host weighing as many documents as it has). A host is rejected, with its
+documents, if its posterior puts more than ``CONFIDENCE`` standard deviations between its mean and ``host_limit``.
+
+Defined cases: null and empty text has no words and fails; very long texts are measured whole; a null host has no verdict,
+so its documents stand on their own; repeated rows count each, ties of rates need no order; an empty table gives an empty
+result. If hosts lie no further apart than chance allows, nearly all weight is the prior's (``HEAVIEST`` documents); it
+never weighs less than one document. ``keep_good`` carries rows as one struct, so columns of any name come through.
 """
 
 from __future__ import annotations
@@ -22,7 +25,7 @@ from lodestar.sources.workspace import materialize
 WINDOW = 8
 SYMBOLS = "[#*$%&|<>]"
 MIN_WORDS, MAX_REPEAT_PERCENT = 20, 30
-HOST_LIMIT, PRIOR_WEIGHT = 0.5, 100.0
+HOST_LIMIT, CONFIDENCE, LIGHTEST, HEAVIEST = 0.5, 1.645, 1.0, 1e6
 METRICS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
 
@@ -75,23 +78,32 @@ def measure(docs: DataFrame, text: str = "text", metrics: Sequence[str] = METRIC
     return rows.withColumn("base_failed", failed)
 
 
-def rejected_hosts(measured: DataFrame, host: str = "source", host_limit: float = HOST_LIMIT) -> DataFrame:
-    """One row (``host``, ``host_rate``) for each host whose shrunk failure rate exceeds the limit.
+def prior(hosts: DataFrame) -> tuple[float, float]:
+    """(mean, weight) of the beta prior from rows (n, failed), one of each host; five sums reach the driver."""
+    n, f = F.col("n"), F.col("failed")
+    got = hosts.agg(F.count(F.lit(1)).alias("k"), F.sum(n).alias("n"), F.sum(f).alias("f"), F.sum(n * n.cast("double")).alias("nn"), F.sum(f * f / n).alias("ff")).first()
+    if not got["n"]:
+        return 0.0, HEAVIEST
+    mean = got["f"] / got["n"]
+    spread, chance = got["ff"] - got["f"] * mean, mean * (1 - mean)
+    room = got["n"] - got["nn"] / got["n"] - (got["k"] - 1)
+    alike = (spread - chance * (got["k"] - 1)) / (chance * room) if chance > 0 and room > 0 else 0.0
+    return mean, min(max(1 / alike - 1, LIGHTEST), HEAVIEST) if alike > 0 else HEAVIEST
 
-    Only the sums of two numbers over the hosts reach the driver.
-    """
+
+def rejected_hosts(measured: DataFrame, host: str = "source", host_limit: float = HOST_LIMIT) -> DataFrame:
+    """One row (``host``, ``host_rate``) for each host whose posterior lies above the limit; the rate is its mean."""
     hosts = (
         measured.filter(F.col(f"`{host}`").isNotNull())
         .groupBy(F.col(f"`{host}`").alias("host"))
         .agg(F.count(F.lit(1)).alias("n"), F.count_if("base_failed").alias("failed"))
-        .withColumn("rate", F.col("failed") / F.col("n"))
     )
-    hosts = materialize(hosts, "hosts")
-    prior = hosts.agg(F.avg("rate").alias("mean"), F.var_samp("rate").alias("spread")).first()
-    mean, spread = prior["mean"] or 0.0, prior["spread"] or 0.0
-    weight = PRIOR_WEIGHT if spread <= 0 else max(mean * (1 - mean) / spread - 1, 0.0)
-    shrunk = (F.col("failed") + F.lit(mean * weight)) / (F.col("n") + F.lit(weight))
-    return hosts.select("host", shrunk.alias("host_rate")).filter(F.col("host_rate") > host_limit)
+    hosts = materialize(hosts, "hosts", share=8)
+    mean, weight = prior(hosts)
+    total = F.col("n") + F.lit(weight)
+    rate = (F.col("failed") + F.lit(mean * weight)) / total
+    sure = F.col("host_rate") - CONFIDENCE * F.sqrt(F.col("host_rate") * (1 - F.col("host_rate")) / (total + 1)) > host_limit
+    return hosts.withColumn("host_rate", rate).filter(sure).select("host", "host_rate")
 
 
 def with_verdict(measured: DataFrame, rejected: DataFrame, host: str = "source") -> DataFrame:
@@ -104,9 +116,14 @@ def with_verdict(measured: DataFrame, rejected: DataFrame, host: str = "source")
 
 
 def keep_good(docs: DataFrame, text: str = "text", host: str = "source") -> DataFrame:
-    """The documents that pass, with their own columns. The counts are made twice rather than moving texts."""
-    names = docs.columns
-    renamed = docs.select(F.struct(*[f"`{c}`" for c in names]).alias("__row"), text_of(text).alias("__in"), F.col(f"`{host}`").alias("__at"))
-    measured = measure(renamed, "__in", ("n_words", "n_repeat_words")).select("__row", "__at", "base_failed")
+    """The documents that pass, with their own columns.
+
+    Texts are measured once: what they and their hosts failed is written with the rows themselves, those that failed
+    without their columns, and the verdicts on hosts join what is left.
+    """
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    renamed = docs.select(row.alias("__row"), text_of(text).alias("__in"), F.col(f"`{host}`").cast("string").alias("__at"))
+    measured = measure(renamed, "__in", ("n_words", "n_repeat_words")).select(F.when(~F.col("base_failed"), F.col("__row")).alias("__row"), "__at", "base_failed")
+    measured = materialize(measured, "measured")
     rejected = rejected_hosts(measured, "__at")
-    return with_verdict(measured, rejected, "__at").filter("kept").select("__row.*")
+    return with_verdict(measured.filter("not base_failed"), rejected, "__at").filter("kept").select("__row.*")

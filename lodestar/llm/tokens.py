@@ -1,14 +1,17 @@
 """Token files and token counts.
 
 Texts are encoded with a published byte-level vocabulary. The ranks file of that vocabulary is read with ``tiktoken``,
-which gives the ids of the JSON file under ``tokenizers`` (a test compares them) in a third of the time. Strings
-that look like special tokens are ordinary text.
+which gives the ids of the JSON file under ``tokenizers`` (tests compare them) in a third of the time.
 
 A flat token file is nothing but little-endian ids, each document followed by the end-of-document id. The counting
 operator finds the documents again with the ids alone: the blocks of a file are searched by separate tasks, and the
 boundaries are stitched by a prefix scan over one row per block.
 
-Defined cases: null and empty texts are documents of no ids and one separator; repeated rows are documents each.
+Defined cases: null and empty texts are documents of no ids and one separator; very long texts are encoded whole; repeated
+rows are documents each and ties need no order; an empty table gives an empty result; only the two columns named are
+read, so others may have any name. In a text for a token file the string of the end-of-document token is ordinary text,
+since its id must only stand between documents; elsewhere (``special=True``) it is that token, as it is by default
+under ``tokenizers``.
 """
 
 from __future__ import annotations
@@ -29,8 +32,8 @@ from lodestar.sources.workspace import materialize, new_path
 VOCABULARY, END = "byte_bpe_50k.tiktoken", 50256
 #: Bytes of one block of a token file, and of one file before the next begins.
 BLOCK, FILE = 4 << 20, 64 << 20
-#: Code points encoded in one call; longer texts go in pieces that end before white space and a word.
-PIECE = 1 << 18
+#: The one special token of the vocabulary.
+SPECIAL = {"<|endoftext|>": END}
 
 
 @functools.cache
@@ -42,12 +45,13 @@ def encoder(vocabulary: str = VOCABULARY):
     path = vocabulary if "/" in vocabulary else public_tokenizers.path(vocabulary)
     with open(path, "rb") as lines:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-    return tiktoken.Encoding(path, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    return tiktoken.Encoding(path, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=SPECIAL)
 
 
-def encode(text: str, vocabulary: str = VOCABULARY) -> np.ndarray:
-    """Ids of a text as unsigned 32-bit integers."""
-    return np.asarray(encoder(vocabulary).encode_to_numpy(text, disallowed_special=()), dtype="<u4")
+def encode(text: str, vocabulary: str = VOCABULARY, special: bool = False) -> np.ndarray:
+    """Ids of a text as unsigned 32-bit integers; with ``special``, special tokens in it are such."""
+    allowed = "all" if special and "<|" in text else set()
+    return np.asarray(encoder(vocabulary).encode_to_numpy(text, allowed_special=allowed, disallowed_special=()), dtype="<u4")
 
 
 def write_token_files(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text", vocabulary: str = VOCABULARY, end: int = END) -> DataFrame:

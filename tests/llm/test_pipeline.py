@@ -67,7 +67,7 @@ def test_stages(spark):
         else:
             assert set(ids) <= {r["doc_id"] for r in before.collect()} and len(ids) > 0.8 * before.count()
     pieces = corpus_pipeline.STAGES[-1][1](spark, seen, DATA).collect()
-    assert sum(p["length"] for p in pieces) == sum(len(tokens.encode(r["text"])) + 1 for r in seen.collect())
+    assert sum(p["length"] for p in pieces) == sum(len(tokens.encode(r["text"], special=True)) + 1 for r in seen.collect())
     assert {"sequence_id", "offset"} <= set(packing._NAMES)
 
 

@@ -10,15 +10,42 @@ from lodestar.sources.workspace import new_path
 from tests.llm.helpers import ODD, empty, odd
 
 
-def test_ids_are_those_of_the_json_vocabulary():
+SPECIAL = ["<|endoftext|>", "a<|endoftext|>b", " <|endoftext|> \n<|endoftext|><|endoftext|>x", "<|endoftext|", "<|other|>", "don't<|endoftext|>  two"]
+
+
+def _published():
     import public_tokenizers
     from tokenizers import Tokenizer
 
-    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
-    texts = [r[1] or "" for r in ODD if len(r[1] or "") < 10_000] + ["<|endoftext|> is text", "  two  spaces\n\n tab\t", "日本語 текст ñandú 👍🏽", "don't we'll I'M"]
-    for text, e in zip(texts, t.encode_batch(texts, add_special_tokens=False), strict=True):
-        assert tokens.encode(text).tolist() == e.ids
+    return Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def test_ids_are_those_of_the_json_vocabulary():
+    texts = [r[1] or "" for r in ODD if len(r[1] or "") < 10_000] + ["  two  spaces\n\n tab\t", "日本語 текст ñandú 👍🏽", "don't we'll I'M"] + SPECIAL
+    for text, e in zip(texts, _published().encode_batch(texts, add_special_tokens=False), strict=True):
+        assert tokens.encode(text, special=True).tolist() == e.ids
+    assert tokens.encode("a<|endoftext|>b", special=True).tolist() == [64, 50256, 65]
+    ordinary = _published()
+    ordinary.encode_special_tokens = True
+    for text, e in zip(texts, ordinary.encode_batch(texts, add_special_tokens=False), strict=True):
+        assert tokens.encode(text).tolist() == e.ids and tokens.END not in e.ids
+
+
+def test_ids_of_all_documents(spark):
+    rows = [r["text"] or "" for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text").collect()]
+    for text, e in zip(rows, _published().encode_batch(rows, add_special_tokens=False), strict=True):
+        assert tokens.encode(text, special=True).tolist() == e.ids
+
+
+def test_special_strings_are_packed_as_the_published_ids_and_counted_as_text(spark):
+    data = [(k, t, "s", "x") for k, t in enumerate(SPECIAL)]
+    docs = spark.createDataFrame(data, "doc_id long, text string, length string, sequence_id string")
+    got = {r["doc_id"]: r for r in packing.pack(docs).collect()}
+    for k, e in enumerate(_published().encode_batch(SPECIAL, add_special_tokens=False)):
+        raw = np.array([*e.ids, 1], "<u4").tobytes()
+        assert (got[k]["length"], got[k]["ids_crc32"]) == (len(e.ids) + 1, zlib.crc32(raw))
+    counts = {r["doc_id"]: r["n_tokens"] for r in tokens.count_tokens(docs.withColumn("file", docs.length)).collect()}
+    assert counts == {k: len(tokens.encode(t)) for k, t in enumerate(SPECIAL)}
 
 
 def test_differencing_balances():
