@@ -34,7 +34,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in the order of their virtual finish times, as often as the mix takes them."""
-    return mixing.schedule(mixing.fair_queue(docs), docs.columns)
+    return mixing.schedule(mixing.fair_queue(docs))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
