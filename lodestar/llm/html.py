@@ -1,12 +1,15 @@
 """Main text of web pages from flat text blocks and a decision tree.
 
-A page is cut into blocks at block-level tags. A block's features are its words and link density, those of the block
-before and after it, and flags from the containers open around it. A decision tree, grown on the labelled blocks of
-the small pages in :data:`SAMPLES`, keeps or drops each block.
-
-Defined cases: null html is empty, and a page without kept blocks has the empty text; unclosed tags, comments and
-quotes run to the end of the page; what stands in a ``script``, ``style``, ``textarea`` or ``title`` is no markup up to
-its end tag (without one, tags are read on); a ``br`` is white space inside its block; white space is that of ``str.split``.
+A page is cut into blocks at block-level tags. A block is known by its words and link density and by those of the block
+before and after it; a decision tree grown on a small labelled table (:mod:`lodestar.llm.html_samples`) keeps or drops it.
+Flags from the elements open around a block, and then from their names, are features too, but lesser ones: a node splits
+on them only where words and links, its own and its neighbours', no longer tell its blocks apart as well.
+
+Defined cases: null html is empty, and a page without kept blocks has the empty text; very long pages are read whole; rows
+with one page_id, equal ones too, are pages each; an empty table gives an empty result; only the three columns named
+are read, so others may have any name. Unclosed tags, comments and quotes run to the end of the page; what stands in a
+``script``, ``style``, ``textarea`` or ``title`` is no markup up to its end tag (without one, tags are read on); a ``br`` is white
+space inside its block; white space is that of ``str.split``.
 """
 
 from __future__ import annotations
@@ -22,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestar.llm.common import column_arrays, map_batches, text_of
+from lodestar.llm.html_samples import sample_pages
 
 # Element and class names of HTML pages.
 _SKIPPED = {"script", "style", "noscript", "template", "iframe", "svg", "textarea", "select", "button", "head", "title", "object", "canvas", "video", "audio"}
@@ -37,7 +41,6 @@ _FURNITURE_WORDS = {
     "contentinfo", "complementary", "disclaimer",
 }
 _STORY_TAGS = {"article", "main"}
-_STORY_WORDS = {"article", "post", "entry", "content", "story", "main"}
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
@@ -62,6 +65,7 @@ class Block:
     words: int
     linked: int
     furniture: bool
+    named: bool
     story: bool
     heading: bool
     wanted: bool = False
@@ -71,6 +75,7 @@ class Block:
 class _Box:
     tag: str
     furniture: bool = False
+    named: bool = False
     strong: bool = False
     story: bool = False
     wanted: bool = False
@@ -91,8 +96,10 @@ class _Page:
             story = max((k for k, b in enumerate(self.boxes) if b.story), default=-1)
             inner = self.boxes[story + 1 :]
             furniture = any(b.furniture for b in inner) or any(b.strong for b in self.boxes[: story + 1])
+            named = any(b.named for b in inner)
             linked = sum(len(t.split()) for t, link in self.parts if link)
-            self.blocks.append(Block(text, len(text.split()), linked, furniture, story >= 0, self.heading, any(b.wanted for b in self.boxes)))
+            wanted = any(b.wanted for b in self.boxes) and not furniture and not named
+            self.blocks.append(Block(text, len(text.split()), linked, furniture, named, story >= 0, self.heading, wanted))
         self.parts = []
 
 
@@ -114,9 +121,8 @@ def _box(tag: str, attributes: str) -> _Box:
         return _Box(tag)
     names = {w for m in _NAMED.finditer(attributes) for w in _WORDS.split((m[2] or m[3] or m[4] or "").lower())} if "=" in attributes else set()
     strong = tag in _FURNITURE_TAGS - {"header"} or _hidden(attributes)
-    furniture = strong or tag == "header" or bool(names & _FURNITURE_WORDS)
-    story = tag in _STORY_TAGS or (not furniture and bool(names & _STORY_WORDS))
-    return _Box(tag, furniture and tag not in _STORY_TAGS, strong, story, "data-wanted" in attributes)
+    named = bool(names & _FURNITURE_WORDS) and tag not in _STORY_TAGS
+    return _Box(tag, strong or tag == "header", named, strong, tag in _STORY_TAGS, "data-wanted" in attributes)
 
 
 def blocks(page: str) -> list[Block]:
@@ -172,42 +178,58 @@ def blocks(page: str) -> list[Block]:
     return out.blocks
 
 
-FEATURES = ("words", "links", "words_before", "links_before", "words_after", "links_after", "furniture", "story", "heading", "page_story")
+FEATURES = ("words", "links", "words_before", "links_before", "words_after", "links_after", "furniture", "story", "heading", "page_story", "named")
+#: Groups of features by rank: words and links, elements, names. A split is taken from the first group whose best gains at
+#: least the share ``PREFERENCE`` of what the best of all gains.
+GROUPS, PREFERENCE = (range(6), range(6, 10), range(10, 11)), 0.5
+DEPTH, LEAST, SAMPLES, SEED = 12, 8, 240, 5
 
 
 def features(found: list[Block]) -> np.ndarray:
     """One row of :data:`FEATURES` per block."""
+    out = np.zeros((len(found), len(FEATURES)))
     if not found:
-        return np.zeros((0, len(FEATURES)))
+        return out
     words = np.array([b.words for b in found], float)
     links = np.array([b.linked for b in found], float) / np.maximum(words, 1)
-    out = np.zeros((len(found), len(FEATURES)))
     out[:, 0], out[:, 1] = words, links
     out[1:, 2], out[1:, 3], out[:-1, 4], out[:-1, 5] = words[:-1], links[:-1], words[1:], links[1:]
-    out[:, 6], out[:, 7], out[:, 8] = [b.furniture for b in found], [b.story for b in found], [b.heading for b in found]
+    out[:, 6:9] = [(b.furniture, b.story, b.heading) for b in found]
     out[:, 9] = any(b.story and not b.furniture for b in found)
+    out[:, 10] = [b.named for b in found]
     return out
 
 
-def grow(x: np.ndarray, y: np.ndarray, depth: int = 6, least: int = 2):
+def _best(x: np.ndarray, y: np.ndarray, columns: range, least: int) -> tuple[float, int, float]:
+    """The largest fall of the Gini impurity by one limit on one of the columns: (gain, column, limit)."""
+    n, share = len(y), y.mean()
+    best = (0.0, -1, 0.0)
+    for f in columns:
+        order = np.argsort(x[:, f], kind="stable")
+        v, hits = x[order, f], np.cumsum(y[order])
+        k = np.arange(1, n)
+        ok = (v[1:] > v[:-1]) & (k >= least) & (n - k >= least)
+        if not ok.any():
+            continue
+        a, b = hits[:-1] / k, (hits[-1] - hits[:-1]) / (n - k)
+        gain = np.where(ok, 2 * share * (1 - share) - (k * 2 * a * (1 - a) + (n - k) * 2 * b * (1 - b)) / n, -1.0)
+        at = int(np.argmax(gain))
+        if gain[at] > best[0] + 1e-9:
+            best = (float(gain[at]), f, float((v[at] + v[at + 1]) / 2))
+    return best
+
+
+def grow(x: np.ndarray, y: np.ndarray, depth: int = DEPTH, least: int = LEAST):
     """A binary tree by Gini impurity: a leaf is a share of wanted blocks, a branch (feature, limit, low, high)."""
     share = float(y.mean())
-    best = (2 * share * (1 - share) - 1e-9, None, None)
-    if depth and share * (1 - share):
-        for f in range(x.shape[1]):
-            values = np.unique(x[:, f])
-            for limit in (values[1:] + values[:-1]) / 2:
-                low = x[:, f] <= limit
-                n = int(low.sum())
-                if least <= n <= len(y) - least:
-                    a, b = y[low].mean(), y[~low].mean()
-                    mixed = (n * 2 * a * (1 - a) + (len(y) - n) * 2 * b * (1 - b)) / len(y)
-                    if mixed < best[0]:
-                        best = (mixed, f, limit)
-    if best[1] is None:
+    if not depth or share in (0.0, 1.0):
+        return share
+    found = [_best(x, y, g, least) for g in GROUPS]
+    gain, f, limit = next(b for b in found if b[0] >= PREFERENCE * max(found)[0])
+    if gain <= 0:
         return share
-    low = x[:, best[1]] <= best[2]
-    return (best[1], float(best[2]), grow(x[low], y[low], depth - 1, least), grow(x[~low], y[~low], depth - 1, least))
+    low = x[:, f] <= limit
+    return (f, limit, grow(x[low], y[low], depth - 1, least), grow(x[~low], y[~low], depth - 1, least))
 
 
 def decide(tree, x: np.ndarray) -> np.ndarray:
@@ -220,33 +242,22 @@ def decide(tree, x: np.ndarray) -> np.ndarray:
     return out
 
 
-_LONG = "The committee met again on Tuesday and after several hours of talk it agreed to the plan with only minor changes to the text."
-_MID = "A second reading of the plan is due before the end of the month."
-_MENU = '<ul><li><a href="/">Home</a></li><li><a href="/n">News</a></li><li><a href="/s">Sport and more</a></li></ul>'
-#: The labelled table: small pages whose wanted parts carry ``data-wanted``; each block of them is one labelled row.
-SAMPLES = (
-    f"<body><nav>{_MENU}</nav><div class='ad'>{_MID}</div><article data-wanted><h1>A plan</h1><p>{_LONG}</p><p>Yes.</p><p>{_MID}</p></article><footer>&copy; site. {_MID}</footer></body>",
-    f"<body><header><a href='/'>The site</a> {_MID}</header><main data-wanted><h1>Second plan of the year</h1><p>{_LONG}</p><p>{_LONG}</p><p>End.</p></main><aside><h3>Also</h3><p>{_LONG}</p>{_MENU}</aside></body>",
-    f"<body><div class='cookie-notice'>{_MID} <a href='/c'>More</a></div><div id='content' data-wanted><h2>Plans</h2><p>{_LONG}</p><ul><li>One point</li><li>Two</li></ul></div><div id='comments'><h3>Comments</h3><p>{_LONG}</p><p>I agree.</p></div></body>",
-    f"<body><nav>{_MENU}</nav><article><div data-wanted><p>No.</p><p>{_MID}</p></div><div class='advert'>{_LONG}</div><div data-wanted><p>{_LONG}</p></div><section class='comments'><p>{_LONG}</p></section></article><footer><p>{_LONG}</p></footer></body>",
-    f"<body><table><tr><td>{_MENU}</td><td data-wanted></td></tr></table><div data-wanted><h1>Plain page of text</h1><p>{_LONG}</p><p>{_LONG}</p><p>{_LONG}</p></div><p><a href='/a'>About us</a> <a href='/b'>Contact</a></p><p><a href='/p'>Privacy</a></p></body>",
-    f"<body><form><label>Your name here</label>{_MID}</form><article data-wanted><p>{_MID}</p><p><a href='/x'>A source that is cited in full</a></p><p>{_LONG}</p><table><tr><td>1</td><td>2</td></tr></table></article><div class='related'><p>{_LONG}</p>{_MENU}</div></body>",
-    f"<body>{_MENU}<div data-wanted><p>{_LONG}</p><p>{_LONG} {_LONG}</p></div><p>Top</p><p><a href='/t'>Terms</a> <a href='/h'>Help</a></p></body>",
-    f"<body><div>Skip</div><div><a href='/l'>Log in</a></div><article data-wanted><header><h1>Heading</h1></header><p>{_LONG}</p><p>Ti.</p></article><div>{_LONG}</div><div>{_MID}</div><p>Short line</p></body>",
-)
-
-
-def labelled_table() -> tuple[np.ndarray, np.ndarray]:
-    """Features and labels of the blocks of :data:`SAMPLES`."""
-    found = [blocks(p) for p in SAMPLES]
+def labelled_table(pages: list[str] | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Features and labels of the blocks of the labelled pages."""
+    found = [blocks(p) for p in (sample_pages(SAMPLES, SEED) if pages is None else pages)]
     return np.concatenate([features(b) for b in found]), np.array([b.wanted for bs in found for b in bs], float)
 
 
+def main_texts(pages: list[str], tree) -> list[str]:
+    """Kept blocks of each page, one to a line."""
+    found = [blocks(p or "") for p in pages]
+    keep = iter(decide(tree, np.concatenate([features(b) for b in found])).tolist() if found else ())
+    return ["\n".join(b.text for b in bs if next(keep)) for bs in found]
+
+
 def main_text(page: str | None, tree) -> str:
-    """Kept blocks of a page, one to a line."""
-    found = blocks(page or "")
-    keep = decide(tree, features(found))
-    return "\n".join(b.text for b, k in zip(found, keep, strict=True) if k)
+    """The main text of one page."""
+    return main_texts([page or ""], tree)[0]
 
 
 def extract(pages: DataFrame, page_id: str = "page_id", url: str = "url", page: str = "html") -> DataFrame:
@@ -256,7 +267,7 @@ def extract(pages: DataFrame, page_id: str = "page_id", url: str = "url", page:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             (pages,) = column_arrays(batch, "html")
-            texts = [main_text(p, tree) for p in pages]
+            texts = main_texts(pages, tree)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())],
                 names=["page_id", "url", "text", "n_chars"],
