@@ -16,7 +16,7 @@ from lodestar.sources.workspace import share_code
 SPACES = "\\x20\\x09-\\x0D"
 WORD = f"[^{SPACES}]+"
 #: Limits of one Arrow batch, so that a batch of very long texts stays small.
-BATCH_ROWS, BATCH_BYTES = 2000, 16 << 20
+BATCH_ROWS, BATCH_BYTES = 2000, 4 << 20
 
 
 def bound_batches(spark: SparkSession) -> None:
@@ -52,6 +52,23 @@ def width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def skew_join(many: DataFrame, one: DataFrame, key: str, how: str = "inner") -> DataFrame:
+    """``many`` joined with ``one``, which has a key once, where some keys may hold a large part of ``many``.
+
+    A key with more rows than a partition's fair share is hot; fewer keys than partitions can be, so their rows of ``one``
+    are broadcast, and only the other keys are dealt out. ``many`` is read thrice: give a written table. A null key
+    matches nothing.
+    """
+    n = width(many.sparkSession)
+    counts = many.filter(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("__n"))
+    share = many.agg((F.count(key) / n).alias("__share"))
+    hot = counts.crossJoin(F.broadcast(share)).filter("__n > __share").select(key)  # fewer than n keys
+    named = F.broadcast(one.join(F.broadcast(hot), key, "left_semi"))
+    rest = many.join(F.broadcast(hot), key, "left_anti").join(one, key, how)
+    left = many.join(F.broadcast(hot), key, "left_semi").join(named, key, how)
+    return left.unionByName(rest)
+
+
 def quantile_bounds(df: DataFrame, column: str, pieces: int) -> tuple[list[int], int]:
     """Distinct values of an integer column that cut it into about ``pieces`` ranges, smallest first, and its nulls.
 

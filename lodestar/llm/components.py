@@ -1,5 +1,8 @@
 """Connected components of a graph too large for one machine.
 
+Defined cases: a link with a null end is none, links to oneself and repeated links change nothing, and an empty table
+of links gives an empty result; only the columns u and v are read.
+
 Large-star and small-star steps alternate until nothing changes; each is a grouped minimum and a join, and the edges
 of a round are written to the shared folder, so lineage stays short and no link ever reaches the driver.
 """
@@ -20,7 +23,7 @@ def _mark(edges: DataFrame) -> tuple:
 def connected(links: DataFrame) -> DataFrame:
     """(node, root) for every node with a link, from rows (u, v); root is the smallest node of its component."""
     edges = links.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
-    edges = materialize(edges, "edges")
+    edges = materialize(edges, "edges", share=8)
     mark = _mark(edges)
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -30,7 +33,7 @@ def connected(links: DataFrame) -> DataFrame:
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         moved = large.join(low, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         small = moved.unionByName(low.select("u", F.col("m").alias("v"))).distinct()
-        after = materialize(small, "edges")
+        after = materialize(small, "edges", share=8)
         now = _mark(after)
         discard(edges)
         edges = after

@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lodestar.llm.common import column_arrays, map_batches, mix64, schema_with, text_of, width, word_hashes
+from lodestar.llm.common import column_arrays, map_batches, mix64, schema_with, skew_join, text_of, width, word_hashes
 from lodestar.llm.components import connected
 from lodestar.sources.workspace import materialize
 
@@ -50,8 +50,8 @@ LEAST_BITS, MOST_BITS = 256, 1 << 16
 SHORT = [f"p{k}" for k in range(16)]
 #: Keys of a set that an entry carries to tell whether its own is the first that a pair shares.
 EARLIER = 32
-#: Bits of the filter that keeps texts nobody asked for out of an exchange.
-FILTER_BITS = 1 << 22
+#: Remainders of ids in the filter that keeps texts nobody asked for out of an exchange; it is broadcast.
+REMAINDERS = 1 << 20
 #: What verifying a candidate costs, in entries of an inverted list.
 VERIFY = 8.0
 #: Sets that a task remembers to enter copies once.
@@ -206,7 +206,7 @@ def _entries(docs: DataFrame, levels: np.ndarray, boundary: int) -> DataFrame:
     listed = smallest_partner(boundary + 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
+        seen = np.zeros(REMEMBERED, np.int64)  # the last node at each remainder
         for batch in batches:
             (texts,) = column_arrays(batch, "text")
             keys, nodes, sizes, places = [], [], [], []
@@ -216,10 +216,9 @@ def _entries(docs: DataFrame, levels: np.ndarray, boundary: int) -> DataFrame:
                 if not n:
                     continue
                 node, count = node_of(s), len(keys)
-                if node in seen:
+                if seen[node % REMEMBERED] == node:
                     continue
-                if len(seen) < REMEMBERED:
-                    seen.add(node)
+                seen[node % REMEMBERED] = node
                 if n <= boundary:
                     for c in subset_sizes(n, boundary):
                         picks = s[np.array(list(itertools.combinations(range(n), c)))]
@@ -350,20 +349,8 @@ def _pair(a: str, b: str) -> list[Column]:
     return [F.least(a, b).alias("u"), F.greatest(a, b).alias("v")]
 
 
-def _filter(ids: DataFrame, column: str) -> np.ndarray:
-    """A bit for each remainder of an id; ``FILTER_BITS`` bits, whatever the number of ids."""
-    x = F.col(column)
-    at = F.pmod(x.bitwiseXOR(F.shiftright(x, 22)).bitwiseXOR(F.shiftright(x, 44)), F.lit(FILTER_BITS))
-    words = ids.select(at.alias("at")).groupBy(F.shiftright("at", 5).cast("int").alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at % 32 as int))")).alias("m"))
-    got = words.toPandas()
-    out = np.zeros(FILTER_BITS // 32, np.uint32)
-    out[got["w"].to_numpy(np.int64)] = got["m"].to_numpy(np.int64).astype(np.uint32)
-    return out
-
-
-def _passes(bits: np.ndarray, ids: np.ndarray) -> np.ndarray:
-    at = (ids ^ (ids >> 22) ^ (ids >> 44)) % FILTER_BITS
-    return (bits[at >> 5] >> (at & 31).astype(np.uint32)) & 1 == 1
+def _remainder(c: Column) -> Column:
+    return F.pmod(F.xxhash64(c), F.lit(REMAINDERS)).cast("int")
 
 
 def _close(pairs: DataFrame, owners: DataFrame) -> DataFrame:
@@ -388,13 +375,8 @@ def _verify(pairs: DataFrame, docs: DataFrame, owners: DataFrame) -> DataFrame:
     """The rows (u, v) of ``pairs`` whose sets link. Sets are made again for the nodes in question only; a filter of
     fixed size keeps other texts out of the exchange."""
     nodes = pairs.select(F.col("u").alias("node")).unionByName(pairs.select(F.col("v").alias("node"))).distinct()
-    wanted = materialize(nodes.join(owners, "node").select("doc_id", "node"), "wanted")
-    bits = _filter(wanted, "doc_id")
-
-    def sift(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids = batch.column(batch.schema.get_field_index("doc_id")).to_numpy(zero_copy_only=False)
-            yield batch.filter(pa.array(_passes(bits, ids.astype(np.int64))))
+    wanted = materialize(nodes.join(owners, "node").select("doc_id", "node"), "wanted", share=8)
+    asked = wanted.select(_remainder(F.col("doc_id")).alias("__at")).distinct()
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -411,8 +393,8 @@ def _verify(pairs: DataFrame, docs: DataFrame, owners: DataFrame) -> DataFrame:
                     keep.append(k)
             yield batch.select(["u", "v"]).take(pa.array(keep, pa.int64()))
 
-    asked = map_batches(docs.filter("doc_id is not null"), sift, "doc_id long, text string")
-    sets = materialize(map_batches(asked.join(wanted, "doc_id").select("text", "node"), make, "node long, set binary").dropDuplicates(["node"]), "sets")
+    rows = docs.filter("doc_id is not null").withColumn("__at", _remainder(F.col("doc_id"))).join(F.broadcast(asked), "__at", "left_semi").drop("__at")
+    sets = materialize(map_batches(rows.join(wanted, "doc_id").select("text", "node"), make, "node long, set binary").dropDuplicates(["node"]), "sets")
     joined = pairs.join(sets.select(F.col("node").alias("v"), F.col("set").alias("y")), "v")
     joined = joined.join(sets.select(F.col("node").alias("u"), F.col("set").alias("x")), "u").select("u", "v", "x", "y")
     return map_batches(joined, meet, "u long, v long")
@@ -422,7 +404,7 @@ def components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> D
     """(doc_id, n_shingles, component_id, node, top) of every document: its set's size, the smallest id that it is linked
     with, its set, and the set that names its component (unlike ids, which may repeat, no two components share it)."""
     rows = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), text_of(text).alias("text"))
-    found = materialize(_sets(rows), "documents")
+    found = materialize(_sets(rows), "sets-of-documents")
     levels = _levels(found)
     known = found.filter("block is null").select("doc_id", "n", "node", "few", "bits", *SHORT)
     nodes = known.filter("node is not null and doc_id is not null")
@@ -443,10 +425,10 @@ def components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> D
     close = [
         listed.filter(_possible("node", "n", "at", w, f"{w}_n", f"{w}_at", boundary)).select(*_pair("node", w)) for w in ("lead", "last")
     ]
-    tried = materialize(close[0].unionByName(close[1]).distinct(), "tried")
+    tried = materialize(close[0].unionByName(close[1]).distinct(), "tried", share=4)
     likely = materialize(_close(tried, owners), "close")
-    links = materialize(_verify(likely, rows, owners).unionByName(stars).distinct(), "links")
-    roots = materialize(connected(links), "roots")
+    links = materialize(_verify(likely, rows, owners).unionByName(stars).distinct(), "links", share=8)
+    roots = materialize(connected(links), "roots", share=8)
 
     entries = listed.select("key", "node", "n", "at").join(roots, "node", "left")
     entries = materialize(entries.select("key", "node", "n", "at", F.coalesce("root", "node").alias("root")), "entries")
@@ -464,18 +446,22 @@ def components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> D
     across = a.join(b, "key").filter(F.col("a_root") < F.col("b_root")).filter(_possible("a_node", "a_n", "a_at", "b_node", "b_n", "b_at", boundary))
     across = across.filter(near_enough).filter(~F.arrays_overlap("a_earlier", "b_earlier"))
     across = across.select(*_pair("a_node", "b_node")).distinct().join(tried, ["u", "v"], "left_anti")
-    more = _verify(materialize(across, "across"), rows, owners)
+    more = _verify(materialize(across, "across", share=4), rows, owners)
     # links between components: the roots of the first round stand for their nodes
     at = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias(f"{c}_root"))
     lifted = more.join(at("u"), "u", "left").join(at("v"), "v", "left")
     lifted = lifted.select(F.coalesce("u_root", "u").alias("u"), F.coalesce("v_root", "v").alias("v"))
     above = connected(lifted).select(F.col("node").alias("root"), F.col("root").alias("top"))
 
-    placed = known.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    placed = placed.join(above, "root", "left").select("doc_id", "n", "node", F.coalesce("top", "root").alias("top"))
-    placed = materialize(placed, "placed")
-    least = placed.filter("top is not null").groupBy("top").agg(F.min("doc_id").alias("component_id"))
-    linked = placed.join(least, "top", "left")
+    # one row of each set: those with a link by their component, the others by themselves
+    tops = skew_join(roots.unionByName(above.select(F.col("root").alias("node"), "root").join(roots.select("node"), "node", "left_anti")), above, "root", "left")
+    tops = tops.select("node", F.coalesce("top", "root").alias("top"))
+    placed = materialize(owners.select("node", "doc_id").join(tops, "node", "left"), "placed", share=4)
+    least = materialize(placed.filter("top is not null").groupBy("top").agg(F.min("doc_id").alias("component_id")), "least", share=8)
+    alone = placed.filter("top is null").select("node", F.col("node").alias("top"), F.col("doc_id").alias("component_id"))
+    among = skew_join(placed.filter("top is not null").select("node", "top"), least, "top").select("node", "top", "component_id")
+    named = materialize(among.unionByName(alone), "named", share=4)
+    linked = skew_join(known.select("doc_id", "n", "node"), named, "node", "left")
     return linked.select(
         "doc_id",
         F.col("n").alias("n_shingles"),
@@ -495,7 +481,7 @@ def representatives(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     found = materialize(components(docs, doc_id, text), "components").filter("doc_id is not null")
     first = F.col("doc_id") == F.col("component_id")
     ids = found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows"), F.bool_or(first).alias("stays"))
-    ids = materialize(ids.filter("rows > 1 or not stays"), "leaving")
+    ids = materialize(ids.filter("rows > 1 or not stays"), "leaving", share=8)
     key = F.col(f"`{doc_id}`").cast("long")
     gone = ids.select(F.col("doc_id").alias("__id"))
     single = docs.join(gone, key == F.col("__id"), "left_anti")
