@@ -22,7 +22,7 @@ def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     held_out = F.coalesce(quality.crc_mod("doc_id", 3) == 1, F.lit(False))
     net = quality.train(docs, _table(spark, sf_dir, "labels"), ~held_out)
-    return quality.score(docs, net).select("doc_id", held_out.alias("held_out"), "score", "predicted")
+    return quality.score(docs, net).select("row.doc_id", "score", "predicted").select("doc_id", held_out.alias("held_out"), "score", "predicted")
 
 
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -52,7 +52,7 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     held_out = F.coalesce(quality.crc_mod("doc_id", 5) == 0, F.lit(False))
     model = toxicity.train(docs, _table(spark, sf_dir, "labels"), ~held_out)
-    return toxicity.score(docs, model).select("doc_id", held_out.alias("held_out"), "score", "predicted")
+    return toxicity.score(docs, model).select("row.doc_id", "score", "predicted").select("doc_id", held_out.alias("held_out"), "score", "predicted")
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

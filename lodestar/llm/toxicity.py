@@ -16,8 +16,10 @@ The fit sees at most ``MAX_DOCUMENTS`` labelled documents of each class, chosen
 are counted on the executors; only the ``MAX_STARTS`` most telling, which texts have them, and histograms of
 distances reach the driver.
 
-Defined cases: null text is empty and has distance 0; a document with several labels is toxic if any of them is 1;
-without labelled documents of both classes every score is 0; a null id counts as not held out.
+Defined cases: null text is empty, and an empty one has distance 0 and a score; very long texts are measured whole; equal
+texts, as in repeated rows, have equal scores; a document with several labels is toxic if any of them is 1; without
+labelled documents of both classes every score is 0; an empty table gives an empty result; a null id counts as not held
+out. The rows travel as one struct, ``row``, so columns of any name come through.
 """
 
 from __future__ import annotations
@@ -319,19 +321,19 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column, doc_id: str = "doc_
 
 
 def score(docs: DataFrame, model: Model | None, text: str = "text") -> DataFrame:
-    """``docs`` with ``score`` and ``predicted``; columns of those names are replaced. A narrow map."""
-    rows = docs.drop("score", "predicted")
-    names = rows.columns
+    """(row, score, predicted) of every document; ``row`` holds the columns of ``docs``. A narrow map."""
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), text_of(text).alias("text"))
+    kind = rows.schema["row"].dataType
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         meter = Meter(model.toxic, model.ordinary) if model else None
         for batch in batches:
-            (texts,) = column_arrays(batch, text)
+            (texts,) = column_arrays(batch, "text")
             if model is None:
                 s = np.zeros(len(texts))
             else:
-                z = np.array([summary(np.clip(meter.windows(t or ""), -1, 63), model.least) @ model.weights for t in texts], float)
+                z = np.array([summary(np.clip(meter.windows(t), -1, 63), model.least) @ model.weights for t in texts], float)
                 s = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(s, pa.float64()), pa.array((s >= 0.5).astype(np.int32))], names=[*names, "score", "predicted"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(s, pa.float64()), pa.array((s >= 0.5).astype(np.int32))], names=["row", "score", "predicted"])
 
-    return map_batches(rows, run, schema_with(rows, score=T.DoubleType(), predicted=T.IntegerType()))
+    return map_batches(rows, run, T.StructType([T.StructField("row", kind), T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())]))

@@ -39,12 +39,40 @@ def test_quality_on_held_out_documents(spark, corpus):
     docs, labels, truth = corpus
     learn = ~F.coalesce(quality.crc_mod("doc_id", 3) == 1, F.lit(False))
     net = quality.train(docs, labels, learn)
-    rows = quality.score(docs, net).collect()
+    rows = quality.score(docs, net).select("row.doc_id", "score", "predicted").collect()
     assert _hits(rows, truth, 0, 3, 1) > 0.95
-    again = quality.score(docs, quality.train(docs, labels, learn)).collect()
+    again = quality.score(docs, quality.train(docs, labels, learn)).select("row.doc_id", "score").collect()
     assert {r["doc_id"]: r["score"] for r in rows} == {r["doc_id"]: r["score"] for r in again}
 
 
+def _reference_risk(positive, unlabelled, prior, seed):
+    """The fit written out again row by row: weights after a few steps of non-negative risk."""
+    net = quality.Network(np.concatenate([positive, unlabelled]), quality.HIDDEN, seed)
+    draw = np.random.default_rng(seed)
+    soft = lambda z: float(np.log1p(np.exp(-abs(z))) + max(z, 0.0))
+    for _ in range(quality.STEPS):
+        p = positive[draw.integers(0, len(positive), min(quality.BATCH, len(positive)))]
+        u = unlabelled[draw.integers(0, len(unlabelled), min(2 * quality.BATCH, len(unlabelled)))]
+        zp, zu = [float(z) for z in net.forward(p)[2]], [float(z) for z in net.forward(u)[2]]
+        up = lambda z: 1 / (1 + np.exp(-z))
+        if sum(map(soft, zu)) / len(zu) < prior * sum(map(soft, zp)) / len(zp):
+            slopes = [prior * up(z) / len(zp) for z in zp] + [-up(z) / len(zu) for z in zu]
+        else:
+            slopes = [-prior * up(z) / len(zp) - prior * up(-z) / len(zp) for z in zp] + [up(z) / len(zu) for z in zu]
+        net.step(np.concatenate([p, u]), np.array(slopes))
+    return net
+
+
+def test_fit_is_the_written_out_risk(monkeypatch):
+    monkeypatch.setattr(quality, "STEPS", 40)
+    monkeypatch.setattr(quality, "BATCH", 32)
+    rng = np.random.default_rng(3)
+    p, u = rng.normal(1, 1, (60, 3)), np.concatenate([rng.normal(1, 1, (60, 3)), rng.normal(-1, 1, (40, 3))])
+    for prior in (0.3, 0.9):  # with the second the negative part falls below zero
+        a, b = quality.fit(p, u, prior, 5), _reference_risk(p, u, prior, 5)
+        assert np.allclose(a.score(u), b.score(u), atol=1e-9)
+
+
 def test_negative_labels_are_never_read(spark, corpus):
     docs, labels, _ = corpus
     learn = F.lit(True)
@@ -65,7 +93,7 @@ def test_toxicity_on_held_out_documents(spark, corpus):
     docs, labels, truth = corpus
     learn = ~F.coalesce(quality.crc_mod("doc_id", 5) == 0, F.lit(False))
     model = toxicity.train(docs, labels, learn)
-    rows = toxicity.score(docs, model).collect()
+    rows = toxicity.score(docs, model).select("row.doc_id", "predicted").collect()
     assert _hits(rows, truth, 1, 5, 0) > 0.93
 
 
@@ -82,6 +110,9 @@ def test_odd_rows_and_no_labels(spark, module):
     labels = spark.createDataFrame([(8, 1, 0), (9, 0, 1), (None, 1, 1), (8, 1, 1), (4, None, None)], "doc_id long, quality int, toxic int")
     for got in (labels, labels.limit(0)):
         model = module.train(odd(spark), got, F.lit(True))
-        rows = module.score(odd(spark).withColumnRenamed("extra", "predicted"), model).collect()
+        clash = odd(spark).withColumnsRenamed({"extra": "predicted", "source": "score"}).withColumn("row", F.lit("r"))
+        scored = module.score(clash, model)
+        assert sorted((tuple(r) for r in scored.select("row.*").collect()), key=repr) == sorted((tuple(r) for r in clash.collect()), key=repr)
+        rows = scored.collect()
         assert len(rows) == len(ODD) and all(0 <= r["score"] <= 1 and r["predicted"] == int(r["score"] >= 0.5) for r in rows)
     assert module.score(empty(spark), module.train(empty(spark), labels, F.lit(True))).count() == 0
