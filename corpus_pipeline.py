@@ -24,7 +24,7 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     learn = ~F.coalesce(quality.crc_mod("doc_id", 3) == 1, F.lit(False))
     net = quality.train(docs, labels, learn)
-    return quality.score(docs, net).filter("predicted = 1").select(docs.columns)
+    return quality.score(docs, net).filter("predicted = 1").select("row.*")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
