@@ -6,8 +6,12 @@ that hold signed counts of the paragraph's 12-character grams, for likeness; a l
 added have fewer than 2**31 grams, which no string of Spark has. Sums commute, so the order of paragraphs does not
 matter, and a paragraph is inserted or deleted by adding or subtracting its vector.
 
-Defined cases: null text is the empty text, which has one empty paragraph; rows with one ``doc_id`` are ordered by
-the text's SHA-256 and each is a document of its own; null ids come first; a lone document follows itself.
+So texts with the same paragraphs in another order have equal fingerprints and likeness 1: that is what they are for.
+
+Defined cases: null text is the empty text, which has one empty paragraph; very long texts are read whole; rows with one
+``doc_id`` are ordered by the text's SHA-256 and each is a document of its own; null ids come first; a lone document follows
+itself; an empty table gives an empty result; ``edit_likeness`` only reads the two columns named, so others may have any
+name.
 """
 
 from __future__ import annotations

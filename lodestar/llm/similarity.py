@@ -17,8 +17,11 @@ a number linear in the list; these links already join large groups of copies. Th
 components in one list are held against each other, all of them, so no link is lost; entries known to be in one
 component are never paired. Pairs are verified on whole sets.
 
-Defined cases: null text is empty; documents without words have no shingles and link to nothing; rows are documents,
-so rows with one doc_id may be in different components; a null doc_id links to nothing and its component is null.
+Defined cases: null text is empty; documents without words have no shingles and link to nothing; very long texts are
+cut into shingles whole; equal texts, as in repeated rows, are one component; rows are documents, so rows with one doc_id
+may be in different components; a null doc_id links to nothing and its component is null; an empty table gives an
+empty result; only the two columns named are read, and ``representatives`` returns the others as they are, whatever
+their names.
 Shingles, and nodes, are told apart by 64-bit hashes.
 """
 
@@ -482,20 +485,22 @@ def representatives(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     first = F.col("doc_id") == F.col("component_id")
     ids = found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows"), F.bool_or(first).alias("stays"))
     ids = materialize(ids.filter("rows > 1 or not stays"), "leaving", share=8)
-    key = F.col(f"`{doc_id}`").cast("long")
-    gone = ids.select(F.col("doc_id").alias("__id"))
-    single = docs.join(gone, key == F.col("__id"), "left_anti")
     names = docs.columns
+    free = lambda name: name if name not in names else free(f"{name}_")
+    id_, node, keep = free("__id"), free("__node"), free("__keep")
+    key = F.col(f"`{doc_id}`").cast("long")
+    gone = ids.select(F.col("doc_id").alias(id_))
+    single = docs.join(gone, key == F.col(id_), "left_anti")
 
     def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             (texts,) = column_arrays(batch, text)
             nodes = [node_of(s) if len(s := shingles(t or "")) else None for t in texts]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(nodes, pa.int64())], names=[*names, "__node"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(nodes, pa.int64())], names=[*names, node])
 
-    twice = docs.join(gone.join(ids.filter("rows > 1"), F.col("__id") == F.col("doc_id"), "left_semi"), key == F.col("__id"), "left_semi")
-    twice = map_batches(twice, label, schema_with(docs, __node=T.LongType()))
-    chosen = found.filter(first & F.col("node").isNotNull()).groupBy(F.col("doc_id").alias("__id"), "top").agg(F.min("node").alias("__keep")).drop("top")
-    kept = twice.filter("__node is not null").join(chosen, (key == F.col("__id")) & (F.col("__node") == F.col("__keep"))).dropDuplicates([doc_id, "__node"])
+    repeated = ids.filter("rows > 1").select(F.col("doc_id").alias(id_))
+    twice = map_batches(docs.join(repeated, key == F.col(id_), "left_semi"), label, schema_with(docs, **{node: T.LongType()}))
+    chosen = found.filter(first & F.col("node").isNotNull()).groupBy(F.col("doc_id").alias(id_), "top").agg(F.min("node").alias(keep)).drop("top")
+    kept = twice.filter(F.col(node).isNotNull()).join(chosen, (key == F.col(id_)) & (F.col(node) == F.col(keep))).dropDuplicates([doc_id, node])
     columns = [F.col(f"`{c}`") for c in names]
-    return single.select(columns).unionByName(twice.filter("__node is null").select(columns)).unionByName(kept.select(columns))
+    return single.select(columns).unionByName(twice.filter(F.col(node).isNull()).select(columns)).unionByName(kept.select(columns))

@@ -8,6 +8,9 @@ A payload is stored once: of pages with equal payloads of at least ``SMALLEST``
 page_id is a response, the others revisit it. Pages are moved once, by page; what is
 known of their payloads joins them in the same exchange, and hot groups of equal payloads only appear as digests.
 
+Very long payloads are records of their own frame; only the three columns named are read, so others may have any name;
+an empty table gives an empty result.
+
 Defined cases: null html is an empty payload, always a response; a null url gives no target header; of repeated
 rows (one page_id, one payload) the first is what the group asks of that page and the others revisit it; null
 page_ids rank below all others.

@@ -1,6 +1,8 @@
 import hashlib
 import random
 
+import numpy as np
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -74,3 +76,40 @@ def test_small_tables(spark):
 def test_plain_column(spark):
     rows = P.fingerprint(odd(spark).withColumnRenamed("extra", "fingerprint"))
     assert rows.columns == ["doc_id", "text", "source", "fingerprint"] and rows.count() == len(ODD)
+
+
+def _plain(text):
+    """Both groups of lanes written out: 8 sums of digests modulo 2**64, 256 signed gram counts."""
+    equal, grams = [0] * 8, [0] * 512
+    step, mask = 0xD1342543DE82EF95, (1 << 64) - 1
+
+    def mixed(points):
+        h = 0
+        for c in points:
+            h = (h * step + c) & mask
+        return (((h ^ (h >> 29)) * 0xBF58476D1CE4E5B9) & mask) >> 55
+
+    for paragraph in text.split("\n"):
+        raw = hashlib.blake2b(paragraph.encode()).digest()
+        words = [int.from_bytes(raw[8 * k : 8 * k + 8], "little") for k in range(8)]
+        equal = [(a + b) & mask for a, b in zip(equal, words, strict=True)]
+        points = [ord(c) for c in paragraph]
+        for at in [mixed(points[i : i + 12]) for i in range(len(points) - 11)] or [words[0] >> 55]:
+            grams[at] += 1
+    return equal, [a - b for a, b in zip(grams[:256], grams[256:], strict=True)]
+
+
+@pytest.mark.parametrize("text", ["", "a", "short\n\nlines\n", "one longer paragraph of text, ☕ and 𝒳\nand another one of them", "word " * 500])
+def test_lanes_are_brute_force(text):
+    state = P.of_paragraphs(text)
+    equal, grams = _plain(text)
+    assert state.equal.tolist() == equal and state.grams.astype(np.int32).tolist() == grams
+
+
+def test_likeness_is_the_cosine_of_the_lanes():
+    a, b = "the stone by the river is grey and old\nand wet", "the stone by the river is grey and cold\nand dry"
+    x, y = (np.array(_plain(t)[1], float) for t in (a, b))
+    want = x @ y / np.sqrt((x @ x) * (y @ y))
+    got = P.likeness(P.of_paragraphs(a), P.of_paragraphs(b))
+    assert got == pytest.approx(max(want, 0.0)) and 0.3 < got < 1
+    assert P.likeness(P.of_paragraphs("p one\np two"), P.of_paragraphs("p two\np one")) == 1.0
