@@ -7,7 +7,7 @@ import functools
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestar.functions.strings import clean, hashed_id, parent
+from lodestar.functions.strings import clean, folded, hashed_id, parent
 
 # Labels of recordings that say nothing about the work, removed in this order.
 RECORDING_LABELS = (
@@ -32,6 +32,7 @@ OPEN_INSTRUMENTATION = (
 )
 # Later catalogue numbers of the same works.
 ALTERNATES = {"189h": "283", "189a": "283", "300i": "331", "300h": "331", "496a": "487", "496": "487", "385g": "397"}
+# Roman numbers of movements.
 ROMAN = {"i": "1", "ii": "2", "iii": "3", "iv": "4", "v": "5", "vi": "6", "vii": "7", "viii": "8", "ix": "9", "x": "10", "xi": "11", "xii": "12"}
 # Catalogue numbers after K or KV, and numbers alone in brackets.
 CATALOGUE = r"(?i)\bK(?:V)?\.?\s*([0-9]+[A-Za-z0-9]*(?::[0-9]+[A-Za-z0-9]*)?(?:-[0-9]+[A-Za-z0-9]*)?)"
@@ -57,14 +58,16 @@ def _lookup(key: Column, values: dict[str, str]) -> Column:
 
 
 def composer(c: Column) -> Column:
-    """The short name of a known composer, else the trimmed name."""
-    return functools.reduce(lambda e, k: e.when(F.lower(clean(c)).contains(k[0]), k[1][0]), list(COMPOSERS.items())[1:], F.when(F.lower(clean(c)).contains("chopin"), "Chopin")).otherwise(clean(c))
+    """The short name of a known composer, by a part of the name without case and accents, else the trimmed name."""
+    name = folded(c)
+    known = [F.when(name.contains(part), short) for part, (short, _) in COMPOSERS.items()]
+    return F.coalesce(*known, clean(c))
 
 
 def period(c: Column) -> Column:
     """The period of a known composer, else ``""``."""
     name = composer(c)
-    return functools.reduce(lambda e, v: e.when(name == v[0], v[1]), list(COMPOSERS.values())[1:], F.when(name == "Chopin", "Romantic")).otherwise("")
+    return F.coalesce(*[F.when(name == short, when) for short, when in COMPOSERS.values()], F.lit(""))
 
 
 def without_labels(title: Column) -> Column:

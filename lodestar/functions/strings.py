@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import functools
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -12,9 +15,44 @@ def clean(c: Column, nan_is_missing: bool = False) -> Column:
     return F.when(F.lower(t) == "nan", "").otherwise(t) if nan_is_missing else t
 
 
+def _bare(c: str) -> str:
+    return "".join(x for x in unicodedata.normalize("NFKD", c) if not unicodedata.combining(x))
+
+
+@functools.cache
+def _decompositions() -> tuple[str, str, dict[str, str]]:
+    """Letters that decompose to one character without marks, those characters, and letters that decompose to several.
+
+    Made from the Unicode tables: Latin, Greek and Cyrillic letters, full-width forms, and signs like Roman numerals.
+    """
+    ranges = ((0xAA, 0x250), (0x370, 0x530), (0x1E00, 0x2000), (0x2070, 0x20A0), (0x2100, 0x2190), (0xFB00, 0xFB07), (0xFF01, 0xFF5F))
+    found = {chr(i): _bare(chr(i)) for low, high in ranges for i in range(low, high)}
+    one = {c: b for c, b in found.items() if len(b) == 1 and b != c}
+    return "".join(one), "".join(one.values()), {c: b for c, b in found.items() if len(b) > 1}
+
+
+def unaccented(c: Column) -> Column:
+    """Text in compatibility decomposition without combining marks: letters lose their accents, ligatures fall apart."""
+    ones, bare, several = _decompositions()
+    plain = F.translate(F.regexp_replace(c, r"\p{M}+", ""), ones, bare)
+    rare = functools.reduce(lambda x, kv: F.replace(x, F.lit(kv[0]), F.lit(kv[1])), several.items(), plain)
+    return F.when(plain.rlike(f"[{''.join(several)}]"), rare).otherwise(plain)
+
+
+def folded(c: Column) -> Column:
+    """Text without accents and case, for comparison."""
+    return F.replace(F.lower(unaccented(clean(c))), F.lit("ß"), F.lit("ss"))
+
+
+def ascii_slug(c: Column, default: str = "passage") -> Column:
+    """A slug of the ASCII characters alone: other letters are dropped, not decomposed."""
+    s = F.regexp_replace(F.regexp_replace(F.lower(F.regexp_replace(clean(c), r"[^\x00-\x7F]", "")), "[^a-z0-9]+", "-"), "^-+|-+$", "")
+    return F.when(s == "", default).otherwise(s)
+
+
 def slug(c: Column, default: str = "none") -> Column:
-    """Lower case, runs of anything but letters and digits as one dash, no dashes at the ends."""
-    s = F.regexp_replace(F.regexp_replace(F.lower(clean(c)), "[^a-z0-9]+", "-"), "^-+|-+$", "")
+    """Accents dropped, runs of anything but ASCII letters and digits as one dash, no dashes at the ends, lower case."""
+    s = F.lower(F.regexp_replace(F.regexp_replace(unaccented(clean(c)), "[^A-Za-z0-9]+", "-"), "^-+|-+$", ""))
     return F.when(s == "", default).otherwise(s)
 
 
@@ -83,7 +121,15 @@ def fingerprint(*parts: Column) -> Column:
 
 def folded_contains(value: Column, wanted: str) -> Column:
     """Substring test without regard to case and accents; an empty request matches all."""
-    return F.lit(True) if not wanted.strip() else F.collate(clean(value), "UNICODE_CI_AI").contains(F.collate(F.lit(wanted.strip()), "UNICODE_CI_AI"))
+    asked = _bare(wanted.strip()).casefold()
+    return F.lit(True) if not asked else folded(value).contains(F.lit(asked))
+
+
+def selection_id(prefix: Column, title: Column, *identity: Column, start: Column, end: Column) -> Column:
+    """A prefix, 28 characters of the title's ASCII slug, ten digits of the identity's SHA-256, and bars of three digits."""
+    digest = F.substring(F.sha2(F.concat_ws("\x1f", *[clean(i) for i in identity]), 256), 1, 10)
+    bars = F.concat(F.lit("b"), F.lpad(start.cast("string"), 3, "0"))
+    return F.concat_ws("_", prefix, F.substring(ascii_slug(title), 1, 28), digest, bars, F.lpad(end.cast("string"), 3, "0"))
 
 
 def multi(values: Column) -> Column:

@@ -175,3 +175,70 @@ def entropy(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     total = F.sum("count").over(Window.partitionBy(*keys))
     p = F.col("count") / total
     return counts.withColumn("t", -p * F.log2(p)).groupBy(*keys).agg(F.round(F.sum("t"), 6).alias("entropy"))
+
+
+def _divisions(n: Column, k: Column) -> Column:
+    """In how many ways ``k`` of ``n`` can be picked, as a double."""
+    m = F.least(k, n - k)
+    return F.when(m <= 0, 1.0).otherwise(F.aggregate(F.sequence(F.lit(1), F.greatest(m, F.lit(1))), F.lit(1.0), lambda s, i: s * (n - m + i) / i))
+
+
+def _all_picks(rows: DataFrame, keys: Sequence[str], most: int) -> DataFrame:
+    """(keys, pick) for every choice of the smaller side's size from each key's units, as arrays of places in rising order.
+
+    Choices grow by one place at a time; ``most`` bounds the size of the smaller side.
+    """
+    picks = rows.select(*keys, "n", "m", F.array().cast("array<int>").alias("pick"))
+    for level in range(most):
+        last = F.coalesce(F.try_element_at("pick", F.lit(-1)), F.lit(-1))
+        room = F.col("n") - F.col("m") + level  # the last place that leaves room for the others
+        longer = F.transform(F.when(last + 1 <= room, F.sequence(last + 1, room)).otherwise(F.array().cast("array<int>")), lambda i: F.concat("pick", F.array(i)))
+        picks = picks.select(*keys, "n", "m", F.explode(F.when(F.col("m") > level, longer).otherwise(F.array("pick"))).alias("pick"))
+    return picks.drop("n", "m")
+
+
+def permutation_test(units: DataFrame, keys: Sequence[str], unit_id: str, side: str, positive, negative, value: str, rounds: int) -> DataFrame:
+    """Two-sided p-value of the absolute mean difference per key: (keys, p_value, tested, method).
+
+    All divisions of the units are tested if there are at most ``rounds`` (exact: hits / tested), else so many divisions in
+    hash order (monte_carlo: (hits + 1) / (tested + 1)). Any number of units will do.
+    """
+    rows = units.filter(F.col(side).isin(positive, negative)).withColumn("x", number(F.col(value))).filter("x is not null")
+    a = F.col(side) == positive
+    sizes = rows.groupBy(*keys).agg(F.count(F.lit(1)).cast("int").alias("n"), F.count_if(a).cast("int").alias("k")).filter("k > 0 and k < n")
+    sizes = sizes.withColumns({"m": F.least("k", F.col("n") - F.col("k")), "__all": _divisions(F.col("n"), F.col("k"))})
+    exact = sizes.filter(F.col("__all") <= rounds)
+    most = exact.agg(F.max("m")).first()[0] or 0  # at most the binary logarithm of the rounds
+    packed = rows.join(exact.select(*keys), list(keys), "left_semi").groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct((~a).alias("b"), "x"))).alias("u"))
+    packed = packed.join(exact.select(*keys, "n", "k", "m"), list(keys))
+    total = F.aggregate("u", F.lit(0.0), lambda s, e: s + e["x"])
+    own = F.aggregate(F.filter("u", lambda e: ~e["b"]), F.lit(0.0), lambda s, e: s + e["x"])
+    # the difference is the same whichever side is picked, so the smaller one is
+    seen = F.when(F.col("k") == F.col("m"), own).otherwise(total - own)
+    tried = _all_picks(packed, keys, most).join(packed.select(*keys, "u", "n", "m", total.alias("t"), seen.alias("o")), list(keys))
+    apart = lambda s: F.abs(s / F.col("m") - (F.col("t") - s) / (F.col("n") - F.col("m")))
+    picked = F.aggregate("pick", F.lit(0.0), lambda s, i: s + F.get("u", i)["x"])
+    hits = F.count_if(apart(picked) >= apart(F.col("o")) - 1e-12)
+    one = tried.groupBy(*keys).agg(F.round(hits / F.count(F.lit(1)), 6).alias("p_value"), F.count(F.lit(1)).alias("tested")).withColumn("method", F.lit("exact"))
+    many = units.join(sizes.filter(F.col("__all") > rounds).select(*keys), list(keys), "left_semi")
+    drawn = hashed_permutation(many, keys, unit_id, side, positive, negative, value, rounds)
+    return one.unionByName(drawn.select(*keys, "p_value", F.lit(rounds).cast("long").alias("tested"), F.lit("monte_carlo").alias("method")))
+
+
+def contrasts(units: DataFrame, keys: Sequence[str], unit_id: str, side: str, positive, negative, value: str, bootstraps: int, permutations: int) -> DataFrame:
+    """One row per key: counts, means, difference, interval, Hedges' g, permutation test and its false discovery rate.
+
+    A key with fewer than two units on a side is skipped, with its reason, and is no part of the family of tests.
+    """
+    base = contrast(units, keys, side, positive, negative, value)
+    short = (F.col("n_a") < 2) | (F.col("n_b") < 2)
+    able = units.join(base.filter(~short).select(*keys), list(keys), "left_semi")
+    interval = hashed_bootstrap(able, keys, unit_id, side, positive, negative, value, bootstraps)
+    tests = permutation_test(able, keys, unit_id, side, positive, negative, value, permutations)
+    rows = base.join(interval, list(keys), "left").join(tests, list(keys), "left")
+    rows = benjamini_hochberg(rows, "p_value", "__q")
+    status, reason = F.when(short, "skipped").otherwise("ok"), F.when(short, "fewer than two units on a side").otherwise("")
+    return rows.select(
+        *keys, status.alias("status"), reason.alias("reason"), "n_a", "n_b", "mean_a", "mean_b", F.when(~short, F.col("difference")).alias("difference"), "ci_low", "ci_high",
+        "hedges_g", "p_value", "tested", "method", F.round("__q", 6).alias("q_value"),
+    )

@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestar.sources.workspace import share_code
@@ -101,6 +101,7 @@ def interpolate(anchors: DataFrame, queries: DataFrame, keys: Sequence[str], x:
     below zero. A key's anchors are one curve, so they meet in one call; a key with one anchor is constant.
     """
     share_code(anchors.sparkSession)
+    queries = queries.toDF(*queries.columns)  # both sides may come from one table
     point = anchors.groupBy(*keys, x).agg(F.median(y).alias(y))
 
     def curve(_: tuple, a: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
@@ -117,3 +118,22 @@ def interpolate(anchors: DataFrame, queries: DataFrame, keys: Sequence[str], x:
 
     schema = ", ".join([*[f"{k} {t}" for k, t in queries.select(*keys).dtypes], f"{x} {dict(queries.dtypes)[x]}", "value double"])
     return point.groupBy(*keys).cogroup(queries.select(*keys, x).groupBy(*keys)).applyInPandas(curve, schema)
+
+
+def note_timings(measures: DataFrame, notes: DataFrame, keys: Sequence[str], length: Column | None = None) -> DataFrame:
+    """Measures at the times of a performance: (keys, measure, onset_seconds, offset_seconds, confidence).
+
+    Notes that are matched or interpolated, with three numbers each, are the anchors of a curve from score to
+    performance; both ends of a measure are read off it, cut at 0 and at the recording's ``length``, and measures without
+    a positive interval are dropped. The confidence is the least of the anchors'.
+    """
+    numbers = {c: F.col(c).try_cast("double") for c in ("score_onset", "performance_onset", "confidence")}
+    use = notes.filter(F.lower(F.trim("mapping_state")).isin("matched", "interpolated")).withColumns(numbers).dropna(subset=list(numbers))
+    ends = measures.select(*keys, "measure", F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.col(c).cast("double").alias("score_onset")) for k, c in enumerate(("start_seconds", "end_seconds"))])).alias("e"))
+    asked = ends.select(*keys, "e.score_onset").distinct()
+    curve = interpolate(use.select(*keys, "score_onset", "performance_onset"), asked.join(use.select(*keys).distinct(), list(keys), "left_semi"), keys, "score_onset", "performance_onset")
+    at = ends.select(*keys, "measure", "e.k", "e.score_onset").join(curve, [*keys, "score_onset"])
+    value = F.least(F.col("value"), length) if length is not None else F.col("value")
+    both = at.groupBy(*keys, "measure").agg(F.max(F.when(F.col("k") == 0, value)).alias("onset_seconds"), F.max(F.when(F.col("k") == 1, value)).alias("offset_seconds"))
+    trust = use.groupBy(*keys).agg(F.min("confidence").alias("confidence"))
+    return both.filter("offset_seconds > onset_seconds").join(trust, list(keys))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import types as T
 
+# The columns of the file formats.
 PASSAGES = ("passage_id", "composer", "work_title", "movement", "relative_path", "start_bar", "end_bar", "key", "meter")
 PASSAGE_EXTRAS = ("composition_id", "work_id", "score_version_id", "performance_id", "recording_id", "alignment_id", "audio_origin", "source_dataset", "license")
 CORPUS = (

@@ -16,6 +16,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 
 _OWN: dict[str, str] = {}
+_MADE: list[str] = []
 _HOME = str(Path(__file__).resolve().parents[2])
 
 
@@ -48,7 +49,9 @@ def shared_root(spark: SparkSession) -> str:
 
 def new_path(spark: SparkSession, label: str) -> str:
     """A fresh path under the shared folder."""
-    return f"{shared_root(spark)}/lodestar/{label}-{uuid.uuid4().hex[:16]}"
+    path = f"{shared_root(spark)}/lodestar/{label}-{uuid.uuid4().hex[:16]}"
+    _MADE.append(path)
+    return path
 
 
 def materialize(df: DataFrame, label: str, share: int = 1) -> DataFrame:
@@ -77,3 +80,15 @@ def discard(*tables: DataFrame) -> None:
     for df in tables:
         for parent in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
             remove(df.sparkSession, parent)
+
+
+def release(keep: DataFrame) -> None:
+    """Delete everything that this session has written to the shared folder, but for what ``keep`` reads.
+
+    For the seams of a job: what an earlier step returned has been written elsewhere, and its working tables are of no use.
+    """
+    spark = keep.sparkSession
+    used = {f.rsplit("/", 1)[0].split("lodestar/")[-1] for f in keep.inputFiles()}
+    for path in [p for p in _MADE if p.split("lodestar/")[-1] not in used]:
+        remove(spark, path)
+        _MADE.remove(path)

@@ -107,7 +107,11 @@ def test_conflict_of_title_and_path(spark):
 
 
 def test_strings(spark):
-    assert _one(spark, S.slug, " Étude No. 1! ", "", None) == ["tude-no-1", "none", "none"]
+    assert _one(spark, S.slug, " Étude No. 1! ", "", None, "Łódź ﬁn ½", "e\u0301a", "Ⅳ. ß-Ü") == ["etude-no-1", "none", "none", "odz-fin-1-2", "ea", "iv-u"]
+    assert _one(spark, S.ascii_slug, "Étude No. 1", "é", None) == ["tude-no-1", "passage", "passage"]
+    assert _one(spark, S.folded, "Straße ÀÉÎÕÜ ñ Ωμέγα", "ＡＢ") == ["strasse aeiou n ωμεγα", "ab"]
+    assert _one(spark, I.composer, "Frédéric Chópin", "W. A. MOZART", " Bach, J. S. ", "Liszt", None) == ["Chopin", "Mozart", "Bach", "Liszt", ""]
+    assert _one(spark, I.period, "CHÓPIN", "x") == ["Romantic", ""]
     assert _one(spark, S.is_inside, "a/b.xml", "/a", "../a", "a/../b", "") == [True, False, False, False, False]
     assert _one(spark, S.suffix, "a/b.MXL", "a.b/c", ".hidden") == [".mxl", "", ""]
     assert _one(spark, S.truthy, "Yes", "on", "0", None) == [True, True, False, False]
