@@ -16,16 +16,11 @@ from lodestar.functions.strings import clean, fingerprint
 from lodestar.functions.vectors import is_sound, norm
 from lodestar.operators.catalogue import new_entries, numbered
 from lodestar.operators.quality import ContractError, require
+from lodestar.sources.workspace import exists
 
 IDENTITY = ("model_space", "item_type", "item_id", "content_hash", "passage_generation_method")
 
 
-def exists(spark: SparkSession, path: str) -> bool:
-    """Whether a path holds anything."""
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
-
-
 def aligned(records: DataFrame, vectors: DataFrame, item: str = "item_id", size: int | None = None) -> DataFrame:
     """Records with their vectors: a left join, a row number over the successes in item order, pending ones failed.
 
@@ -100,17 +95,42 @@ def window_bars(method: Column) -> Column:
 
 
 def snapshot(rows: DataFrame, registry_path: str, run_id: str) -> tuple[int, int]:
-    """Append the rows that a registry lacks under ``run_id``; (appended, duplicates). The registry is only added to."""
+    """Append the rows that a registry lacks under ``run_id``; (appended, duplicates). The registry is only added to.
+
+    A run_id belongs to one content, whose fingerprint (of the identities and vectors) is recorded beside the registry:
+    the same content again changes nothing, another one is refused.
+    """
     spark = rows.sparkSession
     batch = rows.withColumn("identity_key", identity()).withColumn("window_bars", window_bars(F.col("passage_generation_method")))
+    marks = f"{registry_path.rstrip('/')}-runs/run_id={run_id}"
+    one = F.xxhash64(*[c for c in ("identity_key", "embedding") if c in batch.columns])
+    both = F.concat_ws(",", F.bit_xor(one).cast("string"), F.sum(one.cast("decimal(20,0)")).cast("string"))
+    count, mark = batch.agg(F.count(F.lit(1)), F.sha2(both, 256)).first()
+    if exists(spark, marks):
+        if spark.read.json(marks).first()["fingerprint"] != mark:
+            raise ContractError(f"run {run_id} was recorded with other content")
     if exists(spark, registry_path):
         known = spark.read.parquet(registry_path).filter(F.col("run_id") != run_id).select("identity_key")
     else:
         known = spark.createDataFrame([], "identity_key string")
     fresh = new_entries(batch, known, "identity_key", ["embedding_row", "item_id"])
     fresh.withColumn("run_id", F.lit(run_id)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run_id").parquet(registry_path)
+    spark.createDataFrame([(mark,)], "fingerprint string").coalesce(1).write.mode("overwrite").json(marks)
     added = spark.read.parquet(registry_path).filter(F.col("run_id") == run_id).count() if exists(spark, f"{registry_path}/run_id={run_id}") else 0
-    return added, rows.count() - added
+    return added, count - added
+
+
+def provenance(rows: DataFrame, inputs: DataFrame, settings: dict) -> DataFrame:
+    """One row that says what a result was made from: its columns, number of rows and content mark, the inputs
+    (path, size, digest) in order, and the settings with their fingerprint."""
+    mark = F.bit_xor(F.xxhash64(*[F.col(f"`{c}`") for c in rows.columns])).cast("string")
+    one = rows.agg(F.count(F.lit(1)).alias("rows"), F.coalesce(mark, F.lit("0")).alias("content_mark"))
+    files = inputs.agg(F.to_json(F.array_sort(F.collect_list(F.struct("path", "size", "digest")))).alias("inputs"))
+    text = json.dumps(settings, sort_keys=True, separators=(",", ":"))
+    return one.crossJoin(files).select(
+        F.lit(",".join(rows.columns)).alias("columns"), "rows", "content_mark", "inputs", F.sha2("inputs", 256).alias("inputs_fingerprint"),
+        F.lit(text).alias("settings"), F.sha2(F.lit(text), 256).alias("settings_fingerprint"),
+    )
 
 
 def lock(spark: SparkSession, path: str, payload: dict) -> str:

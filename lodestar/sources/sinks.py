@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 
 from lodestar.operators.quality import ContractError
 from lodestar.sources import schemas
-from lodestar.sources.bundles import exists
+from lodestar.sources.workspace import exists
 
 
 def write_text_table(rows: DataFrame, path: str, columns: Sequence[str] | None = None, force: bool = False, allow_empty: bool = True) -> None:
@@ -53,3 +54,24 @@ def review(records: DataFrame, order: Sequence[str], limit: int, **wanted: str)
 def write_report(report: DataFrame, path: str, force: bool = False) -> None:
     """A report of a few rows as one JSON file."""
     report.coalesce(1).write.mode("overwrite" if force else "errorifexists").json(path)
+
+
+def write_manifest_bundle(rows: DataFrame, issues: DataFrame, path: str, report: dict) -> dict:
+    """A clean table, the rows left out and a report with counts, in one folder that must not exist; the report is written
+    last, so a folder with a report is whole. A table without rows is an error."""
+    spark = rows.sparkSession
+    if exists(spark, path):
+        raise ContractError(f"{path} exists")
+    write_text_table(rows, f"{path}/manifest", allow_empty=False)
+    write_text_table(issues, f"{path}/issues")
+    counts = {k: spark.read.csv(f"{path}/{k}", header=True, multiLine=True, escape='"').count() if df.columns else 0 for k, df in (("manifest", rows), ("issues", issues))}
+    written = {**report, "rows": counts["manifest"], "issue_rows": counts["issues"]}
+    one = spark.createDataFrame([(json.dumps(written, sort_keys=True),)], "report string").withColumn("fingerprint", F.sha2("report", 256))
+    write_report(one, f"{path}/report")
+    return written
+
+
+def render_report(report: DataFrame, title: str) -> str:
+    """A report of a few rows (metric, value, status) as Markdown; it is small by nature."""
+    lines = [f"| {r['metric']} | {r['value']} | {r['status']} |" for r in report.orderBy("metric").collect()]
+    return "\n".join([f"# {title}", "", "| metric | value | status |", "|-|-|-|", *lines, ""])

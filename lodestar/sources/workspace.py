@@ -31,6 +31,12 @@ def share_code(spark: SparkSession) -> None:
         known["PYTHONPATH"] = ":".join([_HOME, *filter(None, paths)])
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether a path holds anything."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+
+
 def shared_root(spark: SparkSession) -> str:
     """The folder in ``spark.checkpoint.dir``; without that setting a temporary one, in local mode only.
 
@@ -82,13 +88,17 @@ def discard(*tables: DataFrame) -> None:
             remove(df.sparkSession, parent)
 
 
-def release(keep: DataFrame) -> None:
-    """Delete everything that this session has written to the shared folder, but for what ``keep`` reads.
+def made() -> list[str]:
+    """The paths that this session has taken in the shared folder and not given back."""
+    return list(_MADE)
+
+
+def release(keep: DataFrame, paths: list[str]) -> None:
+    """Delete those of some paths in the shared folder that ``keep`` does not read.
 
     For the seams of a job: what an earlier step returned has been written elsewhere, and its working tables are of no use.
     """
-    spark = keep.sparkSession
     used = {f.rsplit("/", 1)[0].split("lodestar/")[-1] for f in keep.inputFiles()}
-    for path in [p for p in _MADE if p.split("lodestar/")[-1] not in used]:
-        remove(spark, path)
+    for path in [p for p in paths if p in _MADE and p.split("lodestar/")[-1] not in used]:
+        remove(keep.sparkSession, path)
         _MADE.remove(path)

@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 
 from lodestar.operators.catalogue import first_by
-from lodestar.sources.bundles import exists
+from lodestar.sources.workspace import exists
 
 
 def append_new(stream: DataFrame, path: str, key: str, order: str, checkpoint: str, trigger: dict | None = None) -> StreamingQuery:
@@ -53,3 +53,27 @@ def cached(items: DataFrame, cache: DataFrame, key: str, version: str, compute:
     hit = cache.join(keyed, [key, "version"], "left_semi")
     missing = keyed.join(cache, [key, "version"], "left_anti")
     return hit.unionByName(compute(missing.drop("version")).withColumn("version", F.lit(version)))
+
+
+class Progress(StreamingQueryListener):
+    """What running streams have done: rows by query, and the errors of those that ended with one."""
+
+    def __init__(self) -> None:
+        self.rows: dict[str, int] = {}
+        self.failed: dict[str, str] = {}
+        self.ended: set[str] = set()
+
+    def onQueryStarted(self, event) -> None:  # noqa: N802
+        self.rows.setdefault(str(event.id), 0)
+
+    def onQueryProgress(self, event) -> None:  # noqa: N802
+        at = str(event.progress.id)
+        self.rows[at] = self.rows.get(at, 0) + int(event.progress.numInputRows)
+
+    def onQueryIdle(self, event) -> None:  # noqa: N802
+        pass
+
+    def onQueryTerminated(self, event) -> None:  # noqa: N802
+        self.ended.add(str(event.id))
+        if event.exception:
+            self.failed[str(event.id)] = event.exception
