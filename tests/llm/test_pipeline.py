@@ -2,6 +2,7 @@ import os
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__
 import corpus_pipeline
@@ -73,3 +74,32 @@ def test_stages(spark):
 
 def test_run(spark):
     assert corpus_pipeline.run(spark, DATA).count() > 0
+
+
+def test_odd_rows_through_all_stages(spark, tmp_path):
+    """Nulls, empty and very long texts, repeated rows, one id on unlike texts, and columns named like the stages' own."""
+    words = lambda k, n=60: " ".join(f"w{k}x{i}" for i in range(n))
+    good = [(i, words(i), "en", f"s{i % 3}", "c") for i in range(12)]
+    rows = [*good, good[0], (3, words(300), "en", None, "c"), (None, words(400), "en", "s1", "c"), (None, words(400), "en", "s1", "c"), (20, None, None, None, None), (21, "", "en", "s1", "c"), (22, words(22, 60_000), "en", "s2", "c")]
+    names = ["taken", "finish", "size", "row", "score", "predicted", "__id", "__node", "__keep", "base_failed", "n_words", "key", "word"]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, kept string")
+    docs = docs.withColumns({n: F.lit(n) for n in names})
+    spark.createDataFrame([(i, 1, 0) for i in range(12)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    seen = docs
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        seen = materialize(stage(spark, seen, str(tmp_path)), "stage")
+        assert seen.columns == docs.columns
+        assert all(r[n] == n for r in seen.collect() for n in names)
+    left = [(r["doc_id"], len(r["text"].split())) for r in seen.collect()]
+    assert {i for i, _ in left} <= {None, 22, *range(12)} and (20, 0) not in left
+    assert corpus_pipeline.STAGES[-1][1](spark, seen, str(tmp_path)).count() > 0
+
+
+def test_empty_table_through_all_stages(spark, tmp_path):
+    docs = spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    seen = docs
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        seen = materialize(stage(spark, seen, str(tmp_path)), "stage")
+        assert seen.columns == docs.columns and seen.count() == 0
+    assert corpus_pipeline.STAGES[-1][1](spark, seen, str(tmp_path)).count() == 0
