@@ -3,22 +3,50 @@
 Every stage but the last returns the columns of ``documents``; the last one returns pieces of packed windows. The
 second stage learns from labels, which SQL cannot express, so there is no SQL for the whole; a test holds the
 stages against brute force.
+
+Defined cases: documents with null or empty texts are rejected by the first stage, as any text of fewer words than its
+rules want; very long texts go through whole; a null source is a host without a verdict and a source of its own in the
+mix; rows with a null id are no one's near duplicates; of repeated rows one stays; ties are broken as the operators
+say; columns beside those of ``documents`` come through whatever their names; an empty table gives an empty result.
+
+A stage's working tables are deleted when the next stage begins, since what it returned has been written by then.
 """
 
 from __future__ import annotations
 
+import functools
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestar.llm import mixing, packing, quality, rules, similarity
-from lodestar.sources.workspace import materialize
+from lodestar.sources.workspace import made, materialize, release
+
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+#: Working tables of the stage before.
+_BEFORE: list[str] = []
+
+
+def _tidy(stage: Stage) -> Stage:
+    @functools.wraps(stage)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        release(docs, _BEFORE)
+        held = set(made())
+        out = stage(spark, docs, sf_dir)
+        _BEFORE[:] = [p for p in made() if p not in held]
+        return out
+
+    return run_stage
 
 
+@_tidy
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the rules by document and by host."""
     return rules.keep_good(docs)
 
 
+@_tidy
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that a classifier trained on positives and unlabelled text accepts."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
@@ -27,16 +55,19 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     return quality.score(docs, net).filter("predicted = 1").select("row.*")
 
 
+@_tidy
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates."""
     return similarity.representatives(docs)
 
 
+@_tidy
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in the order of their virtual finish times, as often as the mix takes them."""
     return mixing.schedule(mixing.fair_queue(docs))
 
 
+@_tidy
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of documents in windows."""
     return packing.pack(docs)
