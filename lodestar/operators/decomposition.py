@@ -26,7 +26,7 @@ def moments(df: DataFrame, vector: str) -> tuple[int, np.ndarray, np.ndarray]:
         n, s, q = 0, 0.0, 0.0
         for batch in batches:
             if batch.num_rows:
-                x = np.array(batch.column(0).to_pylist())
+                x = batch.column(0).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
                 n, s, q = n + len(x), s + x.sum(0), q + x.T @ x
         if n:
             yield pa.RecordBatch.from_arrays([pa.array([n]), pa.array([s.tolist()]), pa.array([q.ravel().tolist()])], names=["n", "s", "q"])

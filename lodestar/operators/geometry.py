@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+import math
+from collections.abc import Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -78,40 +79,122 @@ def _matrix(t: pa.Table, column: str) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
+def _grid(n: int, partitions: int, most_rows: int) -> int:
+    """Into how many blocks rows are dealt: each pair of blocks is a task, so about the root of the number of tasks, and
+    more only where a block would hold too many rows. A row is copied once per block."""
+    return max(1, math.ceil(math.sqrt(2 * partitions)) if n > partitions else 1, -(-n // most_rows))
+
+
+def _dealt(df: DataFrame, blocks: int, names: Sequence[str]) -> DataFrame:
+    """(names, v, b) with the block of each row."""
+    return df.select(*names, F.col("v").cast("array<double>").alias("v"), F.pmod(F.xxhash64(names[0]), F.lit(blocks)).alias("b"))
+
+
+def _width(df: DataFrame) -> int:
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
 def nearest(df: DataFrame, k: int, item: str = "vec_id", vector: str = "embedding", block_rows: int = 4096) -> DataFrame:
     """The ``k`` most similar other items of every item: (item, neighbour, similarity, rank); ties to the lower id.
 
-    A blocked nested loop: items fall into blocks, each pair of blocks meets in one task as two matrices, keeps the
-    ``k`` best of each row, and the partial results are ranked. Memory is two blocks, whatever the table's size.
+    A blocked nested loop: items fall into blocks, each unordered pair of blocks meets in one task as two matrices whose
+    product serves both sides, keeps the ``k`` best of each row, and the partial results are ranked. Memory is two blocks,
+    whatever the table's size; the number of blocks follows the number of tasks, not of rows, as long as they fit.
     """
     share_code(df.sparkSession)
-    n = df.count()
-    blocks = max(1, -(-n // block_rows))
-    rows = df.select(F.col(item).alias("id"), F.col(vector).cast("array<double>").alias("v"), F.pmod(F.xxhash64(item), F.lit(blocks)).alias("b"))
+    blocks = _grid(df.count(), _width(df), block_rows)
+    rows = _dealt(df.select(F.col(item).alias("id"), F.col(vector).alias("v")), blocks, ["id"])
     every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("o")
-    left = rows.select("id", "v", F.col("b").alias("lb"), every).withColumnRenamed("o", "rb")
-    right = rows.select("id", "v", F.col("b").alias("rb"), every).withColumnRenamed("o", "lb")
+    left = rows.select("id", "v", F.col("b").alias("lb"), every).withColumnRenamed("o", "rb").filter("lb <= rb")
+    right = rows.select("id", "v", F.col("b").alias("rb"), every).withColumnRenamed("o", "lb").filter("lb < rb")
+    schema = pa.schema([("id", pa.int64()), ("neighbour", pa.int64()), ("similarity", pa.float64())])
 
-    def meet(_: tuple, a: pa.Table, b: pa.Table) -> pa.Table:
-        schema = pa.schema([("id", pa.int64()), ("neighbour", pa.int64()), ("similarity", pa.float64())])
+    def best(i: np.ndarray, j: np.ndarray, s: np.ndarray) -> pa.Table:
+        """The best of each row; columns come in the order of their ids, so the first of equal ones has the lowest."""
+        order = np.argsort(-s, axis=1, kind="stable")[:, :k]
+        top = np.take_along_axis(s, order, 1)
+        use = top > -2
+        return pa.table([pa.array(np.broadcast_to(i[:, None], order.shape)[use]), pa.array(j[order][use]), pa.array(top[use])], schema=schema)
+
+    def meet(key: tuple, a: pa.Table, b: pa.Table) -> pa.Table:
+        alone = key[0].as_py() == key[1].as_py()
+        b = a if alone else b
         if not a.num_rows or not b.num_rows:
             return schema.empty_table()
-        i, j = (t.column("id").to_numpy() for t in (a, b))
-        by_id = np.argsort(j)
-        j = j[by_id]  # then the first of equal similarities has the lowest id
-        s = np.round(_matrix(a, "v") @ _matrix(b, "v")[by_id].T, 6)
-        s[i[:, None] == j[None, :]] = -2
-        order = np.argsort(-s, axis=1, kind="stable")[:, :k]
-        best = np.take_along_axis(s, order, 1)
-        use = best > -2
-        ids = np.broadcast_to(i[:, None], order.shape)
-        return pa.table([pa.array(ids[use]), pa.array(j[order][use]), pa.array(best[use])], schema=schema)
+        (i, x), (j, y) = ((ids[o], _matrix(t, "v")[o]) for t in (a, b) for ids in (t.column("id").to_numpy(),) for o in (np.argsort(ids),))
+        s = np.round(x @ y.T, 6)
+        if alone:
+            s[i[:, None] == j[None, :]] = -2
+            return best(i, j, s)
+        return pa.concat_tables([best(i, j, s), best(j, i, np.ascontiguousarray(s.T))])
 
     part = left.groupBy("lb", "rb").cogroup(right.groupBy("lb", "rb")).applyInArrow(meet, "id long, neighbour long, similarity double")
     w = Window.partitionBy("id").orderBy(F.desc("similarity"), "neighbour")
     return part.withColumn("rank", F.row_number().over(w).cast("long")).filter(F.col("rank") <= k).withColumnRenamed("id", item)
 
 
+def cross_similarities(a: DataFrame, b: DataFrame, vector: str = "vector", block_rows: int = 4096) -> DataFrame:
+    """(similarity, n): how many pairs of a row of ``a`` and a row of ``b`` have each similarity, in six digits.
+
+    Blocks of both sides meet as matrices in a grid of tasks; at most two million values leave a task or the whole.
+    """
+    share_code(a.sparkSession)
+    side = max(1, math.ceil(math.sqrt(_width(a))))
+    m, n = (max(side, -(-t.count() // block_rows)) for t in (a, b))
+    numbered = lambda t, blocks, mine, other, others: t.select(
+        F.col(vector).cast("array<double>").alias("v"), F.pmod(F.xxhash64(vector), F.lit(blocks)).alias(mine), F.explode(F.sequence(F.lit(0), F.lit(others - 1))).alias(other)
+    )
+    left, right = numbered(a, m, "lb", "rb", n), numbered(b, n, "rb", "lb", m)
+    schema = pa.schema([("micro", pa.int64()), ("n", pa.int64())])
+
+    def meet(_: tuple, x: pa.Table, y: pa.Table) -> pa.Table:
+        if not x.num_rows or not y.num_rows:
+            return schema.empty_table()
+        values, counts = np.unique(np.rint(np.round(_matrix(x, "v") @ _matrix(y, "v").T, 6) * 1e6).astype(np.int64), return_counts=True)
+        return pa.table([pa.array(values), pa.array(counts)], schema=schema)
+
+    part = left.groupBy("lb", "rb").cogroup(right.groupBy("lb", "rb")).applyInArrow(meet, "micro long, n long")
+    return part.groupBy("micro").agg(F.sum("n").alias("n")).select((F.col("micro") / 1e6).alias("similarity"), "n")
+
+
+def top_across(df: DataFrame, group: str, item: str, k: int, vector: str = "vector", block_rows: int = 4096) -> DataFrame:
+    """(group_a, group_b, item_a, item_b, similarity): of each pair of groups the ``k`` most similar pairs of items, ties to
+    the lower ids. Blocks meet as matrices, each task keeps the best of its pairs of groups, and these are ranked."""
+    share_code(df.sparkSession)
+    blocks = _grid(df.count(), _width(df), block_rows)
+    rows = _dealt(df.select(F.col(item).alias("id"), F.col(group).alias("g"), F.col(vector).alias("v")), blocks, ["id", "g"])
+    every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("o")
+    left = rows.select("id", "g", "v", F.col("b").alias("lb"), every).withColumnRenamed("o", "rb").filter("lb <= rb")
+    right = rows.select("id", "g", "v", F.col("b").alias("rb"), every).withColumnRenamed("o", "lb").filter("lb < rb")
+    schema = pa.schema([("group_a", pa.int64()), ("group_b", pa.int64()), ("item_a", pa.int64()), ("item_b", pa.int64()), ("similarity", pa.float64())])
+
+    def meet(key: tuple, a: pa.Table, b: pa.Table) -> pa.Table:
+        alone = key[0].as_py() == key[1].as_py()
+        b = a if alone else b
+        if not a.num_rows or not b.num_rows:
+            return schema.empty_table()
+        (i, g, x), (j, h, y) = ((t.column("id").to_numpy(), t.column("g").to_numpy().astype(np.int64), _matrix(t, "v")) for t in (a, b))
+        s = np.round(x @ y.T, 6)
+        parts = []
+        for p in np.unique(g):
+            for q in np.unique(h):
+                if p == q or alone and p > q:
+                    continue
+                r, c = np.flatnonzero(g == p), np.flatnonzero(h == q)
+                t = s[np.ix_(r, c)].ravel()
+                least = np.partition(t, len(t) - min(k, len(t)))[len(t) - min(k, len(t))]
+                near = np.flatnonzero(t >= least)  # the best and all that tie with the last of them
+                u, v = i[r[near // len(c)]], j[c[near % len(c)]]
+                u, v = (u, v) if p < q else (v, u)
+                order = np.lexsort((v, u, -t[near]))[:k]
+                parts.append(pa.table([pa.array(np.full(len(order), min(p, q))), pa.array(np.full(len(order), max(p, q))), pa.array(u[order]), pa.array(v[order]), pa.array(t[near][order])], schema=schema))
+        return pa.concat_tables(parts) if parts else schema.empty_table()
+
+    part = left.groupBy("lb", "rb").cogroup(right.groupBy("lb", "rb")).applyInArrow(meet, "group_a long, group_b long, item_a long, item_b long, similarity double")
+    w = Window.partitionBy("group_a", "group_b").orderBy(F.desc("similarity"), "item_a", "item_b")
+    return part.withColumn("rank", F.row_number().over(w).cast("long")).filter(F.col("rank") <= k)
+
+
 def pair_similarities(df: DataFrame, item: str, group: str, vector: str = "embedding", block_rows: int = 2048) -> DataFrame:
     """Histograms of the similarities of all pairs ``i < j``: (within, similarity, n), similarity in six digits.
 
@@ -119,8 +202,7 @@ def pair_similarities(df: DataFrame, item: str, group: str, vector: str = "embed
     two classes, whatever the number of pairs.
     """
     share_code(df.sparkSession)
-    n = df.count()
-    blocks = max(1, -(-n // block_rows))
+    blocks = _grid(df.count(), _width(df), block_rows)
     rows = df.select(F.col(item).alias("id"), F.col(group).alias("g"), F.col(vector).cast("array<double>").alias("v"), F.pmod(F.xxhash64(item), F.lit(blocks)).alias("b"))
     every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("o")
     left = rows.select("id", "g", "v", F.col("b").alias("lb"), every).withColumnRenamed("o", "rb").filter("lb <= rb")

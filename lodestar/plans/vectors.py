@@ -122,9 +122,10 @@ def pair_geometry(spark: SparkSession, sf_dir: str) -> DataFrame:
 round(max(1 - round(list_dot_product(a.v, b.v), 6)), 6) AS high FROM t a, t b WHERE a.label = 0 AND b.label = 1""")
 def group_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = passages(spark, sf_dir)
-    a, b = p.filter("label = 0").select("vector"), p.filter("label = 1").select(F.col("vector").alias("other"))
-    d = 1 - F.round(dot(F.col("vector"), F.col("other")), 6)
-    return a.crossJoin(b).agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(d), 6).alias("mean"), F.round(F.min(d), 6).alias("low"), F.round(F.max(d), 6).alias("high"))
+    d = 1 - F.col("similarity")
+    h = G.cross_similarities(p.filter("label = 0"), p.filter("label = 1"))
+    mean = F.sum(d * F.col("n")) / F.sum("n")
+    return h.agg(F.sum("n").alias("n"), F.round(mean, 6).alias("mean"), F.round(F.min(d), 6).alias("low"), F.round(F.max(d), 6).alias("high"))
 
 
 _NEAREST = f"""WITH {VECTORS}, d AS (SELECT a.vec_id, a.label, b.vec_id AS neighbour, b.label AS other, round(list_dot_product(a.v, b.v), 6) AS similarity FROM t a JOIN t b ON a.vec_id <> b.vec_id),
@@ -248,12 +249,8 @@ def prompt_top_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
 FROM w a JOIN w b ON a.pos = b.pos AND a.label < b.label GROUP BY ALL)
 SELECT *, row_number() OVER (PARTITION BY label_a, label_b ORDER BY similarity DESC, work_a, work_b) AS rank FROM d QUALIFY rank <= 5""")
 def cross_group_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    u = works(spark, sf_dir)
-    a = u.select(F.col("label").alias("label_a"), F.col("work_id").alias("work_a"), F.col("vector").alias("va"))
-    b = u.select(F.col("label").alias("label_b"), F.col("work_id").alias("work_b"), F.col("vector").alias("vb"))
-    d = a.join(b, F.col("label_a") < F.col("label_b")).select("label_a", "label_b", "work_a", "work_b", F.round(dot(F.col("va"), F.col("vb")), 6).alias("similarity"))
-    w = Window.partitionBy("label_a", "label_b").orderBy(F.desc("similarity"), "work_a", "work_b")
-    return d.withColumn("rank", row_number(w)).filter("rank <= 5")
+    d = G.top_across(works(spark, sf_dir), "label", "work_id", 5)
+    return d.select(F.col("group_a").cast("int").alias("label_a"), F.col("group_b").cast("int").alias("label_b"), F.col("item_a").alias("work_a"), F.col("item_b").alias("work_b"), "similarity", "rank")
 
 
 @query("two_centroid_proximity", f"""WITH {_CENTROIDS}, r AS (SELECT vec_id, tl.label, round(sum(tl.x * k.x) FILTER (k.label = 0), 6) AS to_a, round(sum(tl.x * k.x) FILTER (k.label = 1), 6) AS to_b
