@@ -88,7 +88,7 @@ _SPACE[[32, *range(9, 14)]] = True
 _LOWER = np.arange(256, dtype=np.uint64)
 _LOWER[65:91] += 32
 _BASE = 0x9E3779B97F4A7C15 | 1
-_BLOCK = 1 << 20
+_BLOCK = 1 << 17
 #: Powers of the base and of its inverse modulo 2**64, for one block of bytes.
 _POWERS: list[np.ndarray] = []
 

@@ -107,6 +107,7 @@ def nearest(df: DataFrame, k: int, item: str = "vec_id", vector: str = "embeddin
     every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("o")
     left = rows.select("id", "v", F.col("b").alias("lb"), every).withColumnRenamed("o", "rb").filter("lb <= rb")
     right = rows.select("id", "v", F.col("b").alias("rb"), every).withColumnRenamed("o", "lb").filter("lb < rb")
+    right = right.toDF(*right.columns)  # a table of its own: both sides come from one
     schema = pa.schema([("id", pa.int64()), ("neighbour", pa.int64()), ("similarity", pa.float64())])
 
     def best(i: np.ndarray, j: np.ndarray, s: np.ndarray) -> pa.Table:
@@ -145,6 +146,7 @@ def cross_similarities(a: DataFrame, b: DataFrame, vector: str = "vector", block
         F.col(vector).cast("array<double>").alias("v"), F.pmod(F.xxhash64(vector), F.lit(blocks)).alias(mine), F.explode(F.sequence(F.lit(0), F.lit(others - 1))).alias(other)
     )
     left, right = numbered(a, m, "lb", "rb", n), numbered(b, n, "rb", "lb", m)
+    right = right.toDF(*right.columns)  # a table of its own: both sides may come from one
     schema = pa.schema([("micro", pa.int64()), ("n", pa.int64())])
 
     def meet(_: tuple, x: pa.Table, y: pa.Table) -> pa.Table:
@@ -166,6 +168,7 @@ def top_across(df: DataFrame, group: str, item: str, k: int, vector: str = "vect
     every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("o")
     left = rows.select("id", "g", "v", F.col("b").alias("lb"), every).withColumnRenamed("o", "rb").filter("lb <= rb")
     right = rows.select("id", "g", "v", F.col("b").alias("rb"), every).withColumnRenamed("o", "lb").filter("lb < rb")
+    right = right.toDF(*right.columns)  # a table of its own: both sides come from one
     schema = pa.schema([("group_a", pa.int64()), ("group_b", pa.int64()), ("item_a", pa.int64()), ("item_b", pa.int64()), ("similarity", pa.float64())])
 
     def meet(key: tuple, a: pa.Table, b: pa.Table) -> pa.Table:
@@ -207,6 +210,7 @@ def pair_similarities(df: DataFrame, item: str, group: str, vector: str = "embed
     every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("o")
     left = rows.select("id", "g", "v", F.col("b").alias("lb"), every).withColumnRenamed("o", "rb").filter("lb <= rb")
     right = rows.select("id", "g", "v", F.col("b").alias("rb"), every).withColumnRenamed("o", "lb").filter("lb <= rb")
+    right = right.toDF(*right.columns)  # a table of its own: both sides come from one
 
     def meet(key: tuple, a: pa.Table, b: pa.Table) -> pa.Table:
         schema = pa.schema([("within", pa.bool_()), ("micro", pa.int64()), ("n", pa.int64())])

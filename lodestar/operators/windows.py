@@ -4,13 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestar.sources.workspace import share_code
-
 
 def fixed_windows(df: DataFrame, low: str, high: str, size: int, stride: int | None = None) -> DataFrame:
     """Tumbling or sliding windows of ``size`` positions inside [low, high]; an incomplete tail is dropped."""
@@ -98,26 +94,22 @@ def interpolate(anchors: DataFrame, queries: DataFrame, keys: Sequence[str], x:
     """Values at ``queries.x`` on the monotone piecewise-linear curve through a key's anchors.
 
     Anchors at one x are replaced by their median, y is made non-decreasing, ends go on at the last slope and never
-    below zero. A key's anchors are one curve, so they meet in one call; a key with one anchor is constant.
+    below zero; a key with one anchor is constant, one without has null. Each anchor carries the slope that follows it (the
+    last one the slope before it); a query takes the last anchor at or before it, else the key's first.
     """
-    share_code(anchors.sparkSession)
-    queries = queries.toDF(*queries.columns)  # both sides may come from one table
-    point = anchors.groupBy(*keys, x).agg(F.median(y).alias(y))
-
-    def curve(_: tuple, a: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
-        if a.empty or q.empty:
-            return pd.DataFrame({**{k: q[k] for k in keys}, x: q[x], "value": np.nan})[: len(q)]
-        a = a.sort_values(x)
-        xs, ys = a[x].to_numpy(float), np.maximum.accumulate(a[y].to_numpy(float))
-        at = q[x].to_numpy(float)
-        v = np.interp(at, xs, ys)
-        if len(xs) > 1:
-            v = np.where(at < xs[0], ys[0] + (at - xs[0]) * (ys[1] - ys[0]) / (xs[1] - xs[0]), v)
-            v = np.where(at > xs[-1], ys[-1] + (at - xs[-1]) * (ys[-1] - ys[-2]) / (xs[-1] - xs[-2]), v)
-        return pd.DataFrame({**{k: q[k] for k in keys}, x: q[x], "value": np.maximum(v, 0.0)})
-
-    schema = ", ".join([*[f"{k} {t}" for k, t in queries.select(*keys).dtypes], f"{x} {dict(queries.dtypes)[x]}", "value double"])
-    return point.groupBy(*keys).cogroup(queries.select(*keys, x).groupBy(*keys)).applyInPandas(curve, schema)
+    point = anchors.groupBy(*keys, F.col(x).cast("double").alias("__x")).agg(F.median(y).alias("__y"))
+    w = Window.partitionBy(*keys).orderBy("__x")
+    point = point.withColumn("__y", F.max("__y").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    step = lambda f, sign: F.try_divide(sign * (f("__y").over(w) - F.col("__y")), sign * (f("__x").over(w) - F.col("__x")))
+    slope = F.coalesce(step(F.lead, 1), step(F.lag, -1), F.lit(0.0))
+    kind = dict(queries.dtypes)[x]
+    curve = point.select(*keys, F.lit(None).cast(kind).alias(x), "__x", F.struct("__x", "__y", slope.alias("s")).alias("__a"), F.lit(0).alias("__q"))
+    asked = queries.toDF(*queries.columns).select(*keys, x, F.col(x).cast("double").alias("__x"), F.lit(None).cast("struct<__x:double,__y:double,s:double>").alias("__a"), F.lit(1).alias("__q"))
+    line = Window.partitionBy(*keys).orderBy("__x", "__q").rowsBetween(Window.unboundedPreceding, 0)
+    at = F.coalesce(F.last("__a", ignorenulls=True).over(line), F.min("__a").over(Window.partitionBy(*keys)))
+    rows = curve.unionByName(asked).withColumn("__at", at).filter("__q = 1")
+    value = F.col("__at.__y") + (F.col("__x") - F.col("__at.__x")) * F.col("__at.s")
+    return rows.select(*keys, x, F.when(F.col("__at").isNotNull(), F.greatest(value, F.lit(0.0))).alias("value"))
 
 
 def note_timings(measures: DataFrame, notes: DataFrame, keys: Sequence[str], length: Column | None = None) -> DataFrame:

@@ -65,3 +65,24 @@ def test_pairs_are_counted_once(spark, block):
 
 def test_nearest_of_an_empty_table(spark):
     assert G.nearest(_frame(spark, []), 2, "vec_id", "vector").count() == 0
+
+
+def test_kernels_when_only_their_rows_are_counted(spark):
+    """Unused columns are pruned around a cogroup of a table with itself; what the kernel reads must stay."""
+    rng = np.random.default_rng(1)
+    rows = [(i, i % 3, v.tolist()) for i, v in enumerate(rng.normal(size=(40, 6)))]
+    df = spark.createDataFrame(rows, "vec_id long, label int, vector array<double>")
+    x = np.array([r[2] for r in rows])
+    x = x / np.linalg.norm(x, axis=1, keepdims=True)
+    s = np.round(x @ x.T, 6)
+    assert G.nearest(df, 2, "vec_id", "vector", 9).count() == 80
+    h = G.pair_similarities(df, "vec_id", "label", "vector", 9)
+    assert h.groupBy("within").count().count() == 2 and h.agg(F.sum("n")).first()[0] == 780
+    c = G.cross_similarities(df.filter("label = 0"), df.filter("label = 1"), "vector", 5)
+    assert c.groupBy().count().first()[0] == len(np.unique(s[::3, 1::3])) and c.agg(F.sum("n")).first()[0] == 14 * 13
+    t = G.top_across(df, "label", "vec_id", 4, "vector", 9)
+    assert t.count() == 12
+    for a, b in ((0, 1), (0, 2), (1, 2)):
+        want = sorted(((-s[i, j], i, j) for i in range(a, 40, 3) for j in range(b, 40, 3)))[:4]
+        got = t.filter(f"group_a = {a} and group_b = {b}").orderBy("rank").collect()
+        assert [(r["item_a"], r["item_b"]) for r in got] == [(i, j) for _, i, j in want]
