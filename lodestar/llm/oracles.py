@@ -79,4 +79,21 @@ SELECT n.doc_id, n.n::BIGINT AS n_shingles, min(m.doc_id) AS component_id
 FROM n JOIN c ON c.a = n.r JOIN n m ON m.r = c.b GROUP BY n.r, n.doc_id, n.n
 """
 
-ORACLES = {"op4_jaccard_join": OP4, "op5_warc": OP5, "op3_quality_rules": OP3, "op9_mixing": OP9}
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+OP11 = rf"""
+WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex({_LOWER}, '[.,;:!?\x0A-\x0D]')) AS p FROM documents),
+w AS MATERIALIZED (SELECT lang, list_filter(string_split_regex(p, '[\x20\x09]+'), lambda x: x <> '') AS w FROM p),
+g AS (SELECT lang, s.s AS size, unnest(list_transform(range(1, len(w) - s.s + 2), lambda i: array_to_string(w[i:i + s.s - 1], ' '))) AS g FROM w, (SELECT unnest([1, 2, 3]) AS s) s WHERE len(w) >= s.s),
+f AS MATERIALIZED (SELECT lang, size, g, count(*) AS f FROM g GROUP BY ALL HAVING count(*) >= 10),
+n AS (SELECT lang, sum(len(w))::BIGINT AS n FROM w GROUP BY lang),
+k AS (SELECT f.lang, f.size, f.g, f.f AS a, k.k, string_split(f.g, ' ') AS w FROM f, (SELECT unnest([1, 2]) AS k) k WHERE k.k < f.size),
+c AS (SELECT k.*, x.f AS l, y.f AS r, (1000000::HUGEINT * a * a) // (x.f::HUGEINT * y.f) AS score
+      FROM k JOIN f x ON x.lang = k.lang AND x.g = array_to_string(k.w[1:k.k], ' ') JOIN f y ON y.lang = k.lang AND y.g = array_to_string(k.w[k.k + 1:k.size], ' ')),
+b AS (SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY lang, g ORDER BY score, k) = 1),
+i AS (SELECT lang, s, max(a) AS longer FROM (SELECT lang, a, unnest([array_to_string(w[1:2], ' '), array_to_string(w[2:3], ' ')]) AS s FROM b WHERE size = 3) GROUP BY ALL),
+o AS (SELECT b.*, row_number() OVER (PARTITION BY b.lang ORDER BY score DESC, a DESC, b.g) AS rank FROM b LEFT JOIN i ON i.lang = b.lang AND i.s = b.g WHERE longer IS NULL OR 100 * longer < 50 * a)
+SELECT o.lang, rank, g AS phrase, a, l, r, n, score::BIGINT AS score FROM o JOIN n ON n.lang = o.lang WHERE rank <= 2000
+"""
+
+ORACLES = {"op11_collocations": OP11, "op4_jaccard_join": OP4, "op5_warc": OP5, "op3_quality_rules": OP3, "op9_mixing": OP9}

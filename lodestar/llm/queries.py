@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestar.llm import fingerprints, html, mixing, packing, quality, rules, similarity, tokens, toxicity, warc
+from lodestar.llm import fingerprints, html, mixing, packing, phrases, quality, rules, similarity, tokens, toxicity, warc
 from lodestar.llm.oracles import ORACLES  # noqa: F401
 from lodestar.sources.workspace import materialize
 
@@ -64,6 +64,10 @@ def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.extract(_table(spark, sf_dir, "pages"))
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(phrases.phrase_counts(_table(spark, sf_dir, "documents")))
+
+
 QUERIES = {
     "op1_fingerprints": op1_fingerprints,
     "op2_quality_classifier": op2_quality_classifier,
@@ -75,4 +79,5 @@ QUERIES = {
     "op8_toxicity": op8_toxicity,
     "op9_mixing": op9_mixing,
     "op10_html": op10_html,
+    "op11_collocations": op11_collocations,
 }
