@@ -1,6 +1,6 @@
 """Phrase collocation mining: suffix arrays of word ids per shard, merged counts, and the lowest cut's association score.
 
-Every task turns its texts into shards of a few million word ids, one stream per language with a mark between pieces,
+Every task turns its texts into shards of some million word ids, one stream per language with a mark between pieces,
 and sorts the suffixes of each stream by prefix doubling in numpy. Neighbouring suffixes that share their first ``d``
 words form an interval of the LCP array; its length is the shard's count of that ``d``-gram. Only (language, length,
 phrase, count) leaves a shard, and one aggregation by key makes the counts global.
@@ -30,7 +30,7 @@ from lodestar.llm.common import map_batches, text_of
 from lodestar.sources.workspace import materialize
 
 #: Words of a shard, bytes of a block of text, and the largest filter: 8 MB.
-SHARD_WORDS, BLOCK, FILTER_BITS = 4_000_000, 1 << 20, 1 << 26
+SHARD_WORDS, BLOCK, FILTER_BITS = 1_500_000, 1 << 20, 1 << 26
 #: A piece ends at these characters; tabs are spaces and A-Z are lower-cased. UTF-8 has no ASCII byte inside a character.
 _TABLE = bytes(ord("\n") if chr(i) in ".,;:!?\n\x0b\x0c\r" else 32 if i == 9 else i + 32 if 65 <= i <= 90 else i for i in range(256))
 _ROWS = pa.schema([("lang", pa.string()), ("size", pa.int32()), ("phrase", pa.string()), ("count", pa.int64())])
@@ -98,7 +98,8 @@ def _phrases(words: pa.Array, ids: np.ndarray, first: np.ndarray, size: int) ->
 
 def _hashes(lang: str, phrases: pa.Array) -> np.ndarray:
     seed = xxhash.xxh64_intdigest(lang.encode())
-    return np.fromiter((xxhash.xxh64_intdigest(p, seed) for p in phrases.to_pylist()), np.uint64, len(phrases))
+    parts = (phrases.slice(at, 50_000).to_pylist() for at in range(0, len(phrases), 50_000))
+    return np.fromiter((xxhash.xxh64_intdigest(p, seed) for part in parts for p in part), np.uint64, len(phrases))
 
 
 def _spots(h: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
