@@ -119,9 +119,11 @@ def fit(rows: np.ndarray, queries: np.ndarray, own: np.ndarray, count: int, k: i
     rank = max(1, min(len(rows) - 1, math.ceil(k * len(rows) / max(count, 1))))
     near = np.argsort(-product, axis=1, kind="stable")[:, :rank]
     pairs = [(i, j) for i in range(len(queries)) for j in near[i] if np.isfinite(product[i, j])]
+    if not pairs:
+        return Hashes(np.zeros((1, 0, d + 1)), np.zeros((1, 0)), 1.0, 1.0, norm, 1)
     left, right = (np.array([p[s] for p in pairs], np.int64) for s in (0, 1))
     gaps = (queries[left] ** 2).sum(1) + norm * norm - 2 * product[left, right]
-    distance = float(np.sqrt(max(np.quantile(gaps, 0.5), 0))) if len(pairs) else norm
+    distance = float(np.sqrt(max(np.quantile(gaps, 0.5), 0)))
     slot = max(distance, 1e-6 * norm)
     draw = np.random.default_rng(seed)
     deepest = max(1, min(12, math.ceil(math.log2(max(count, 2) / 64))))

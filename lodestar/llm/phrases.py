@@ -157,8 +157,7 @@ def _counter(sizes: tuple[int, ...], known: np.ndarray | None, total: bool, shar
                 counted = max(0, len(ids) - rest)
                 if not counted:
                     continue
-                if total:
-                    n = int(np.count_nonzero(ids[:counted]))
+                if total and (n := int(np.count_nonzero(ids[:counted]))):
                     yield pa.record_batch([pa.array([lang]), pa.array([0], pa.int32()), pa.array([""]), pa.array([n])], schema=_ROWS)
                 words = pa.array([b"\n", *(w for w, i in known_ids.items() if i > 0)], pa.binary())
                 yield from _shard(lang, words, ids, counted, sizes, known)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestar.llm import fingerprints, html, mixing, neighbours, packing, phrases, quality, rules, similarity, tokens, toxicity, warc
+from lodestar.llm import alignment, fingerprints, html, mixing, neighbours, packing, phrases, quality, rules, similarity, tokens, toxicity, warc
 from lodestar.llm.oracles import ORACLES  # noqa: F401
 from lodestar.sources.workspace import materialize
 
@@ -68,6 +68,10 @@ def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrases.collocations(phrases.phrase_counts(_table(spark, sf_dir, "documents")))
 
 
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.digests(_table(spark, sf_dir, "documents"))
+
+
 def op13_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.nearest(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
 
@@ -84,5 +88,6 @@ QUERIES = {
     "op9_mixing": op9_mixing,
     "op10_html": op10_html,
     "op11_collocations": op11_collocations,
+    "op12_alignment": op12_alignment,
     "op13_neighbours": op13_neighbours,
 }
