@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestar.operators import ranks
+
 
 def number(c: Column) -> Column:
     """A double with NaN as null: one marker for what is missing."""
@@ -15,12 +18,13 @@ def number(c: Column) -> Column:
 
 def describe(df: DataFrame, keys: Sequence[str], value: str, digits: int = 6) -> DataFrame:
     """Count, mean, sample deviation (0 for one value), median and linear quantiles per group."""
-    x = number(F.col(value))
-    q = F.percentile(x, F.array(*[F.lit(p) for p in (0.05, 0.25, 0.5, 0.75, 0.95)]))
-    n = F.count(x)
-    rows = df.groupBy(*keys).agg(n.alias("n"), F.avg(x).alias("mean"), F.when(n == 1, 0.0).otherwise(F.stddev_samp(x)).alias("std"), q.alias("q"))
+    rows = df.select(*keys, number(F.col(value)).alias("__x"))
+    n = F.count("__x")
+    basic = rows.groupBy(*keys).agg(n.alias("n"), F.avg("__x").alias("mean"), F.when(n == 1, 0.0).otherwise(F.stddev_samp("__x")).alias("std"))
+    found = ranks.quantiles(rows, keys, "__x", (0.05, 0.25, 0.5, 0.75, 0.95)).select(*[F.col(k).alias(f"__{k}") for k in keys], "q")
+    same = functools.reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys], F.lit(True))
     names = ("q05", "q25", "median", "q75", "q95")
-    return rows.select(
+    return basic.join(found, same, "left").select(
         *keys, "n", F.round("mean", digits).alias("mean"), F.round("std", digits).alias("std"),
         *[F.round(F.col("q")[i], digits).alias(k) for i, k in enumerate(names)],
     )
@@ -52,14 +56,6 @@ def weighted_describe(hist: DataFrame, keys: Sequence[str], value: str = "simila
     )
 
 
-def average_rank(value: str, by: Sequence[str], descending: bool = False) -> Column:
-    """Average rank of non-null values within groups; null stays null."""
-    c = F.col(value)
-    order = Window.partitionBy(*by).orderBy(c.desc_nulls_last() if descending else c.asc_nulls_last())
-    peers = Window.partitionBy(*by, value)
-    return F.when(c.isNotNull(), F.rank().over(order) + (F.count(F.lit(1)).over(peers) - 1) / 2.0)
-
-
 def hedges_g(n1: Column, m1: Column, v1: Column, n2: Column, m2: Column, v2: Column) -> Column:
     """Hedges' g of two groups from counts, means and sample variances; null for fewer than two values on a side,
     0 for equal means without variance, else null without variance."""
@@ -71,16 +67,8 @@ def hedges_g(n1: Column, m1: Column, v1: Column, n2: Column, m2: Column, v2: Col
 
 def benjamini_hochberg(df: DataFrame, p: str, out: str = "q", by: Sequence[str] = ()) -> DataFrame:
     """Step-up adjusted p-values within families ``by``; null p-values are no part of the family and stay null.
-
-    Ties need no order: the running minimum from the largest p-value is the same for any.
     """
-    has = F.col(p).isNotNull()
-    family = [F.col(c) for c in by] + [has.alias("h")]
-    m = F.count(p).over(Window.partitionBy(*family))
-    rank = F.row_number().over(Window.partitionBy(*family).orderBy(F.col(p)))
-    rows = df.withColumn("__raw", F.when(has, F.least(F.lit(1.0), F.col(p) * m / rank)))
-    down = Window.partitionBy(*family).orderBy(F.desc(p), F.desc("__raw")).rowsBetween(Window.unboundedPreceding, 0)
-    return rows.withColumn(out, F.when(has, F.greatest(F.lit(0.0), F.min("__raw").over(down)))).drop("__raw")
+    return ranks.step_up(df, p, out, by)
 
 
 def pearson(x: Column, y: Column) -> Column:
@@ -108,32 +96,6 @@ def contrast(units: DataFrame, keys: Sequence[str], side: str, positive, negativ
     )
 
 
-#: Most units for which all divisions are enumerated.
-EXACT_UNITS = 20
-
-
-def exact_permutation(units: DataFrame, keys: Sequence[str], side: str, positive, negative, value: str) -> DataFrame:
-    """Two-sided exact permutation p-value of the absolute mean difference per key, over all divisions of the units.
-
-    Units are numbered within their key; a division is a bit mask with as many ones as the positive side. Keys with
-    more than :data:`EXACT_UNITS` units get null (use :func:`hashed_permutation`).
-    """
-    rows = units.filter(F.col(side).isin(positive, negative)).withColumn("x", number(F.col(value))).filter("x is not null")
-    packed = rows.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct((F.col(side) == negative).alias("b"), "x"))).alias("u"))
-    packed = packed.withColumn("n", F.size("u")).withColumn("k", F.size(F.filter("u", lambda s: ~s["b"])))
-    total = F.aggregate("u", F.lit(0.0), lambda s, e: s + e["x"])
-    packed = packed.withColumn("total", total).withColumn("observed_sum", F.aggregate(F.filter("u", lambda s: ~s["b"]), F.lit(0.0), lambda s, e: s + e["x"]))
-    able = packed.filter((F.col("n") <= EXACT_UNITS) & (F.col("k") > 0) & (F.col("k") < F.col("n")))
-    masks = able.withColumn("mask", F.explode(F.expr("sequence(0, shiftleft(1, n) - 1)"))).filter(F.bit_count("mask") == F.col("k"))
-    picked = F.aggregate(
-        F.transform("u", lambda e, i: F.when(F.getbit(F.col("mask"), i) == 1, e["x"]).otherwise(0.0)), F.lit(0.0), lambda s, x: s + x
-    )
-    apart = lambda s: F.abs(s / F.col("k") - (F.col("total") - s) / (F.col("n") - F.col("k")))
-    hits = F.count_if(apart(picked) >= apart(F.col("observed_sum")) - 1e-12)
-    tested = masks.groupBy(*keys).agg(F.count(F.lit(1)).alias("divisions"), (hits / F.count(F.lit(1))).alias("p_value"))
-    return packed.select(*keys).join(tested, list(keys), "left").select(*keys, "divisions", F.round("p_value", 6).alias("p_value"))
-
-
 def draw(*parts: Column | str) -> Column:
     """A reproducible 32-bit number from the md5 of its parts, the same in any engine."""
     text = F.concat_ws(":", *[p if isinstance(p, Column) else F.lit(p) for p in parts])

@@ -164,13 +164,11 @@ def accent_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").filter(S.folded_contains(F.col("text"), "CIÓNTÁ")).select("doc_id")
 
 
-@query("accent_slugs", """SELECT doc_id, CASE WHEN s = '' THEN 'none' ELSE s END AS slug, trim(lower(strip_accents(t))) AS folded FROM (SELECT doc_id, t, lower(trim(regexp_replace(strip_accents(t), '[^A-Za-z0-9]+', '-', 'g'), '-')) AS s FROM
-(SELECT doc_id, substr(trim(regexp_replace(text, '[^A-Za-z0-9À-ÖØ-öø-ÿ]+', ' ', 'g')), 1, 60) AS t FROM documents) WHERE NOT contains(t, 'ß') AND NOT contains(t, 'ø'))""")
+@query("accent_slugs", """SELECT doc_id, CASE WHEN s = '' THEN 'none' ELSE s END AS slug, f AS folded FROM (SELECT doc_id, lower(trim(regexp_replace(strip_accents(trim(coalesce(text, ''))), '[^A-Za-z0-9]+', '-', 'g'), '-')) AS s,
+replace(lower(strip_accents(trim(coalesce(text, '')))), 'ß', 'ss') AS f FROM documents)""")
 def accent_slugs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Beginnings of texts in all languages as slugs and folded; ligatures and the like, which the SQL does not fold, are tested apart."""
-    t = F.substring(F.trim(F.regexp_replace("text", "[^A-Za-z0-9À-ÖØ-öø-ÿ]+", " ")), 1, 60)
-    rows = table(spark, sf_dir, "documents").select("doc_id", t.alias("t")).filter(~F.col("t").contains("ß") & ~F.col("t").contains("ø"))
-    return rows.select("doc_id", S.slug(F.col("t")).alias("slug"), S.folded(F.col("t")).alias("folded"))
+    """Whole texts in all languages as slugs and folded; a sharp s is no ASCII letter in a slug and ``ss`` when folded."""
+    return table(spark, sf_dir, "documents").select("doc_id", S.slug(F.col("text")).alias("slug"), S.folded(F.col("text")).alias("folded"))
 
 
 @query("union_index", """SELECT 'documents' AS kind, doc_id AS item_id, source AS place FROM documents UNION ALL SELECT 'pages', page_id, url FROM pages UNION ALL SELECT 'benchmark', item_id, NULL FROM benchmark""")

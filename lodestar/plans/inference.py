@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lodestar.operators import decomposition, stats
+from lodestar.operators import decomposition, ranks, stats
 from lodestar.plans.catalog import query, table
 from lodestar.plans.mapping import VECTORS, prompts, scores
 
@@ -41,15 +41,19 @@ q AS (SELECT prompt_id, k, n, total, seen, list_sum(list_transform(u, lambda x,
 x AS (SELECT prompt_id, count(*) AS divisions, avg((abs(pick / k - (total - pick) / (n - k)) >= abs(seen / k - (total - seen) / (n - k)) - 1e-12)::INT) AS p FROM q GROUP BY prompt_id)"""
 
 
+def _tested(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stats.permutation_test(units(spark, sf_dir), ["prompt_id"], "work_id", "label", 0, 1, "x", PERMUTATIONS)
+
+
 @query("exact_permutation", f"WITH {_EXACT} SELECT prompt_id, divisions, round(p, 6) AS p_value FROM x")
 def exact_permutation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return stats.exact_permutation(units(spark, sf_dir), ["prompt_id"], "label", 0, 1, "x")
+    return _tested(spark, sf_dir).select("prompt_id", F.col("tested").alias("divisions"), "p_value")
 
 
 @query("bh_fdr", f"""WITH {_EXACT}, r AS (SELECT prompt_id, round(p, 6) AS p_value FROM x), o AS (SELECT *, count(*) OVER () AS m, row_number() OVER (ORDER BY p_value) AS k FROM r)
 SELECT prompt_id, p_value, round(min(least(1.0, p_value * m / k)) OVER (ORDER BY k DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 6) AS q_value FROM o""")
 def bh_fdr(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = stats.exact_permutation(units(spark, sf_dir), ["prompt_id"], "label", 0, 1, "x").drop("divisions")
+    p = _tested(spark, sf_dir).select("prompt_id", "p_value")
     return stats.benjamini_hochberg(p, "p_value", "q").select("prompt_id", "p_value", F.round("q", 6).alias("q_value"))
 
 
@@ -58,7 +62,7 @@ o AS (SELECT *, count(*) OVER () AS m, row_number() OVER (ORDER BY p_value) AS k
 z AS (SELECT prompt_id, round(min(least(1.0, p_value * m / k)) OVER (ORDER BY k DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 6) AS q_value FROM o)
 SELECT r.prompt_id, is_primary, p_value, q_value FROM r LEFT JOIN z ON z.prompt_id = r.prompt_id""")
 def primary_family_fdr(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = stats.exact_permutation(units(spark, sf_dir), ["prompt_id"], "label", 0, 1, "x").drop("divisions")
+    p = _tested(spark, sf_dir).select("prompt_id", "p_value")
     p = p.withColumn("is_primary", F.col("prompt_id") < 4).withColumn("primary_p", F.when(F.col("is_primary"), F.col("p_value")))
     return stats.benjamini_hochberg(p, "primary_p", "q").select("prompt_id", "is_primary", "p_value", F.round("q", 6).alias("q_value"))
 
@@ -133,8 +137,9 @@ SELECT predictor, outcome, round(CASE WHEN predictor = 'flat' THEN NULL ELSE cor
 def spearman(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ranks are made before incomplete pairs are dropped, one feature at a time."""
     j = unit_table(spark, sf_dir)
-    x = j.unpivot("unit", ["size", "price", "gap", "flat"], "predictor", "x").withColumn("x", stats.average_rank("x", ["predictor"]))
-    y = j.unpivot("unit", ["quantity", "discount"], "outcome", "y").withColumn("y", stats.average_rank("y", ["outcome"]))
+    x = j.unpivot("unit", ["size", "price", "gap", "flat"], "predictor", "v")
+    y = j.unpivot("unit", ["quantity", "discount"], "outcome", "v")
+    x, y = (ranks.with_average_rank(t, [k], "v", c).select("unit", k, c) for t, k, c in ((x, "predictor", "x"), (y, "outcome", "y")))
     return x.join(y, "unit").groupBy("predictor", "outcome").agg(F.round(stats.pearson(F.col("x"), F.col("y")), 6).alias("rho"))
 
 

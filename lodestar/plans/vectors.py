@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lodestar.functions.vectors import dot, is_sound, norm
 from lodestar.operators import geometry as G
-from lodestar.operators import stats
+from lodestar.operators import ranks
 from lodestar.plans.catalog import query, table
 from lodestar.plans.mapping import LEAVE_OUT, VECTORS, WORKS, passages, prompts, scores, vectors, works
 
@@ -211,20 +211,20 @@ def work_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("prompt_work_rank", f"""WITH {_WORK_SCORES} SELECT prompt_id, work_id, similarity, row_number() OVER (PARTITION BY prompt_id ORDER BY similarity DESC, work_id) AS rank,
 round((rank() OVER (PARTITION BY prompt_id ORDER BY similarity) + (count(*) OVER (PARTITION BY prompt_id, similarity) - 1) / 2.0) / count(*) OVER (PARTITION BY prompt_id), 6) AS percentile FROM ws""")
 def prompt_work_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
-    w = Window.partitionBy("prompt_id")
-    percentile = stats.average_rank("similarity", ["prompt_id"]) / F.count(F.lit(1)).over(w)
-    return work_scores(spark, sf_dir).select(
-        "prompt_id", "work_id", "similarity", row_number(w.orderBy(F.desc("similarity"), "work_id")).alias("rank"), F.round(percentile, 6).alias("percentile")
-    )
+    rows = ranks.with_average_rank(work_scores(spark, sf_dir), ["prompt_id"], "similarity", "mean_rank", "total")
+    rows = ranks.numbered_within(rows, ["prompt_id"], [F.desc("similarity"), F.col("work_id")], "rank")
+    return rows.select("prompt_id", "work_id", "similarity", "rank", F.round(F.col("mean_rank") / F.col("total"), 6).alias("percentile"))
 
 
 @query("prompt_work_z", f"""WITH {_WORK_SCORES} SELECT prompt_id, work_id,
 round((similarity - avg(similarity) OVER (PARTITION BY prompt_id)) / nullif(stddev_samp(similarity) OVER (PARTITION BY prompt_id), 0), 4) AS z,
 round((similarity - avg(similarity) OVER (PARTITION BY prompt_id, label)) / nullif(stddev_samp(similarity) OVER (PARTITION BY prompt_id, label), 0), 4) AS group_z FROM ws""")
 def prompt_work_z(spark: SparkSession, sf_dir: str) -> DataFrame:
-    x = F.col("similarity")
-    z = lambda w: F.round((x - F.avg(x).over(w)) / F.nullif(F.stddev_samp(x).over(w), F.lit(0.0)), 4)
-    return work_scores(spark, sf_dir).select("prompt_id", "work_id", z(Window.partitionBy("prompt_id")).alias("z"), z(Window.partitionBy("prompt_id", "label")).alias("group_z"))
+    rows = work_scores(spark, sf_dir)
+    for keys, name in ((["prompt_id"], "z"), (["prompt_id", "label"], "group_z")):  # moments combine before they move
+        moments = rows.groupBy(*keys).agg(F.avg("similarity").alias("__m"), F.stddev_samp("similarity").alias("__s"))
+        rows = rows.join(moments, keys).withColumn(name, F.round((F.col("similarity") - F.col("__m")) / F.nullif(F.col("__s"), F.lit(0.0)), 4)).drop("__m", "__s")
+    return rows.select("prompt_id", "work_id", "z", "group_z")
 
 
 @query("outlier_works", f"""WITH {_WORK_SCORES}, z AS (SELECT prompt_id, work_id, round((similarity - avg(similarity) OVER (PARTITION BY prompt_id)) / nullif(stddev_samp(similarity) OVER (PARTITION BY prompt_id), 0), 4) AS z FROM ws)
@@ -298,11 +298,10 @@ def work_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("group_prompt_summary", f"""WITH {VECTORS} SELECT label, prompt_id, count(*) AS n, count(DISTINCT work_id) AS n_works, round(avg(similarity), 6) AS mean, round(stddev_samp(similarity), 6) AS std,
 round(median(similarity), 6) AS median FROM s GROUP BY label, prompt_id""")
 def group_prompt_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    x = F.col("similarity")
-    return scores(spark, sf_dir).groupBy("label", "prompt_id").agg(
-        F.count(F.lit(1)).alias("n"), F.count_distinct("work_id").alias("n_works"), F.round(F.avg(x), 6).alias("mean"),
-        F.round(F.stddev_samp(x), 6).alias("std"), F.round(F.median(x), 6).alias("median"),
-    )
+    s, x = scores(spark, sf_dir), F.col("similarity")
+    rows = s.groupBy("label", "prompt_id").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("work_id").alias("n_works"), F.round(F.avg(x), 6).alias("mean"), F.round(F.stddev_samp(x), 6).alias("std"))
+    medians = ranks.quantiles(s, ["label", "prompt_id"], "similarity", (0.5,))
+    return rows.join(medians, ["label", "prompt_id"]).select(*rows.columns, F.round(F.col("q")[0], 6).alias("median"))
 
 
 @query("score_audio_match", f"""WITH {VECTORS} SELECT a.vec_id AS score_id, b.vec_id AS audio_id, a.work_id, round(list_dot_product(a.v, b.v), 6) AS similarity

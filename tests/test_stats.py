@@ -8,6 +8,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from lodestar.operators import decomposition as D
+from lodestar.operators import ranks as R
 from lodestar.operators import stats as S
 
 
@@ -18,8 +19,8 @@ def _units(spark, a, b):
 def test_contrast_by_hand(spark):
     row = S.contrast(_units(spark, [0.8, 0.7], [0.2, 0.3]), ["key"], "side", 0, 1, "x").first()
     assert row["difference"] == 0.5 and row["hedges_g"] == pytest.approx(4.0406, abs=1e-4)
-    p = S.exact_permutation(_units(spark, [0.8, 0.7], [0.2, 0.3]), ["key"], "side", 0, 1, "x").first()
-    assert p["divisions"] == 6 and p["p_value"] == pytest.approx(1 / 3, abs=1e-6)
+    p = S.permutation_test(_units(spark, [0.8, 0.7], [0.2, 0.3]), ["key"], "unit", "side", 0, 1, "x", 100).first()
+    assert p["tested"] == 6 and p["p_value"] == pytest.approx(1 / 3, abs=1e-6)
 
 
 def test_hedges_g_without_variance(spark):
@@ -34,8 +35,8 @@ def test_exact_permutation_is_brute_force(spark):
     seen = abs(statistics.mean(a) - statistics.mean(b))
     splits = list(itertools.combinations(range(7), 3))
     hits = sum(abs(statistics.mean([every[i] for i in s]) - statistics.mean([every[i] for i in range(7) if i not in s])) >= seen - 1e-12 for s in splits)
-    got = S.exact_permutation(_units(spark, a, b), ["key"], "side", 0, 1, "x").first()
-    assert (got["divisions"], got["p_value"]) == (35, pytest.approx(hits / 35, abs=1e-6))
+    got = S.permutation_test(_units(spark, a, b), ["key"], "unit", "side", 0, 1, "x", 100).first()
+    assert (got["tested"], got["p_value"]) == (35, pytest.approx(hits / 35, abs=1e-6))
 
 
 def test_adjusted_p_values(spark):
@@ -61,7 +62,7 @@ def test_correlation_of_a_constant_is_null(spark):
 
 def test_ranks_sum(spark):
     df = spark.createDataFrame([(1, 3.0), (1, 3.0), (1, 1.0), (1, None)], "g int, x double")
-    got = [r[0] for r in df.select(S.average_rank("x", ["g"]).alias("r")).collect()]
+    got = [r["r"] for r in R.with_average_rank(df, ["g"], "x", "r").collect()]
     assert sorted(x for x in got if x is not None) == [1.0, 2.5, 2.5] and got.count(None) == 1
 
 
@@ -73,7 +74,7 @@ def test_description_of_one_value(spark):
 def test_monte_carlo_and_bootstrap_are_sane(spark):
     u = _units(spark, [0.8, 0.7, 0.75, 0.9], [0.2, 0.3, 0.25, 0.1])
     p = S.hashed_permutation(u, ["key"], "unit", "side", 0, 1, "x", 300).first()["p_value"]
-    exact = S.exact_permutation(u, ["key"], "side", 0, 1, "x").first()["p_value"]
+    exact = S.permutation_test(u, ["key"], "unit", "side", 0, 1, "x", 100).first()["p_value"]
     assert abs(p - exact) < 0.05
     ci = S.hashed_bootstrap(u, ["key"], "unit", "side", 0, 1, "x", 200).first()
     assert ci["ci_low"] <= 0.575 <= ci["ci_high"]
