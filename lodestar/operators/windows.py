@@ -72,10 +72,10 @@ def coverage(ranges: DataFrame, events: DataFrame, keys: Sequence[str], at: str,
     )
 
 
-def offsets(events: DataFrame, keys: Sequence[str], at: str, time: str, length: str) -> DataFrame:
+def offsets(events: DataFrame, keys: Sequence[str], at: str, time: str, length: str, lone: float = 0.0) -> DataFrame:
     """(keys, position, onset, offset): onset is the first time of a position and offset the next onset.
 
-    The last position ends a median positive step after the latest time, at least a thousandth after its onset and at
+    The last position ends a median positive step (``lone`` if there is none) after the latest time, at least a thousandth after its onset and at
     most at the recording's end; intervals that are not positive are dropped.
     """
     sound = events.filter((F.col(at) >= 1) & (F.col(time) >= 0))
@@ -84,7 +84,7 @@ def offsets(events: DataFrame, keys: Sequence[str], at: str, time: str, length:
     step = steps.filter("__step > 0").groupBy(*keys).agg(F.median("__step").alias("__median"))
     first = sound.groupBy(*keys, at).agg(F.min(time).alias("onset"), F.max(time).alias("__latest"), F.max(length).alias("__length"))
     rows = first.join(step, list(keys), "left").withColumn("__next", F.lead("onset").over(w.orderBy(at)))
-    end = F.max("__latest").over(w) + F.coalesce(F.col("__median"), F.lit(0.0))
+    end = F.max("__latest").over(w) + F.coalesce(F.col("__median"), F.lit(lone))
     last = F.least(F.greatest(end, F.col("onset") + 1e-3), F.col("__length"))
     rows = rows.withColumn("offset", F.coalesce(F.col("__next"), last))
     return rows.filter("offset > onset").select(*keys, at, "onset", "offset")

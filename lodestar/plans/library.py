@@ -2,5 +2,5 @@
 
 from __future__ import annotations
 
-from lodestar.plans import adapter, audits, catalogue, inference, storage, vectors, works  # noqa: F401
+from lodestar.plans import adapter, audits, builds, catalogue, inference, storage, vectors, works  # noqa: F401
 from lodestar.plans.catalog import ORACLES, QUERIES  # noqa: F401
