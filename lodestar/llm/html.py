@@ -8,8 +8,11 @@ on them only where words and links, its own and its neighbours', no longer tell
 Defined cases: null html is empty, and a page without kept blocks has the empty text; very long pages are read whole; rows
 with one page_id, equal ones too, are pages each; an empty table gives an empty result; only the three columns named
 are read, so others may have any name. Unclosed tags, comments and quotes run to the end of the page; what stands in a
-``script``, ``style``, ``textarea`` or ``title`` is no markup up to its end tag (without one, tags are read on); a ``br`` is white
-space inside its block; white space is that of ``str.split``.
+``script``, ``style``, ``textarea`` or ``title`` is no markup up to its end tag (without one, tags are read on); a head ends where
+something begins that does not belong in one, and tags of head and body may be left out; an element whose content is
+left out (a button, say) is only one if it is closed inside the box that it stands in and before another of its name
+(``svg``, ``object`` and ``template`` may hold their like), else its content counts; a link reaches over blocks up to its end tag,
+without one to the end of its block; a ``br`` is white space inside its block; white space is that of ``str.split``.
 """
 
 from __future__ import annotations
@@ -41,6 +44,8 @@ _FURNITURE_WORDS = {
     "contentinfo", "complementary", "disclaimer",
 }
 _STORY_TAGS = {"article", "main"}
+_IN_HEAD = {"base", "basefont", "bgsound", "link", "meta", "title", "style", "script", "noscript", "template", "noframes", "head", "html"}
+_NESTED = {"svg", "object", "template"}
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
@@ -50,6 +55,7 @@ _TOKEN = re.compile(
 #: Elements whose content is text up to their own end tag, and containers in which they are not.
 _RAW = {tag: re.compile(rf"</{tag}(?=[\s/>])", re.I) for tag in ("script", "style", "textarea", "title")}
 _NOT_RAW_IN = {"svg", "iframe"}
+_LINK = re.compile(r"<(/?)a(?=[\s/>])", re.I)
 _NAMED = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _ATTRIBUTE = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(?:\"([^\"]*)(?:\"|\Z)|'([^']*)(?:'|\Z)|([^\s>]+)))?")
 _MAYBE_HIDDEN = re.compile(r"hidden|none", re.I)
@@ -79,6 +85,7 @@ class _Box:
     strong: bool = False
     story: bool = False
     wanted: bool = False
+    dropped: bool = False
 
 
 @dataclass
@@ -98,7 +105,7 @@ class _Page:
             furniture = any(b.furniture for b in inner) or any(b.strong for b in self.boxes[: story + 1])
             named = any(b.named for b in inner)
             linked = sum(len(t.split()) for t, link in self.parts if link)
-            wanted = any(b.wanted for b in self.boxes) and not furniture and not named
+            wanted = any(b.wanted for b in self.boxes) and not any(b.dropped for b in self.boxes)
             self.blocks.append(Block(text, len(text.split()), linked, furniture, named, story >= 0, self.heading, wanted))
         self.parts = []
 
@@ -122,47 +129,87 @@ def _box(tag: str, attributes: str) -> _Box:
     names = {w for m in _NAMED.finditer(attributes) for w in _WORDS.split((m[2] or m[3] or m[4] or "").lower())} if "=" in attributes else set()
     strong = tag in _FURNITURE_TAGS - {"header"} or _hidden(attributes)
     named = bool(names & _FURNITURE_WORDS) and tag not in _STORY_TAGS
-    return _Box(tag, strong or tag == "header", named, strong, tag in _STORY_TAGS, "data-wanted" in attributes)
+    return _Box(tag, strong or tag == "header", named, strong, tag in _STORY_TAGS, "data-wanted" in attributes, "data-dropped" in attributes)
+
+
+def _parts(m: re.Match) -> tuple[str, bool, str]:
+    """Name, whether it closes, and attributes of a tag; no name for comments and the like."""
+    return (m[2] or m[5] or "").lower(), (m[1] if m[2] else m[4]) == "/", (m[3] if m[2] else m[6]) or ""
+
+
+def _closed(page: str, at: int, tag: str, box: str) -> int:
+    """Where the content ends of an element that begins before ``at``, or -1 if it is not closed inside its box."""
+    depth, boxes = 1, 1
+    while m := _TOKEN.search(page, at):
+        at = m.end()
+        name, closing, attributes = _parts(m)
+        if attributes.endswith("/") or name not in (tag, box):
+            if name in _RAW and name != tag and not closing and not attributes.endswith("/") and tag not in _NOT_RAW_IN and (end := _RAW[name].search(page, at)):
+                at = end.start()
+        elif name == tag:
+            if not closing and tag not in _NESTED:
+                return -1
+            depth += -1 if closing else 1
+            if not depth:
+                return m.start()
+        else:
+            boxes += -1 if closing else 1
+            if not boxes:
+                return -1
+    return -1
 
 
 def blocks(page: str) -> list[Block]:
     """The text blocks of a page, in order."""
-    out, link, skip = _Page(), False, ""
+    out, link, reaches, head = _Page(), False, False, False
     at = 0
     unclosed = set()  # raw elements without a further end tag
+    last_end: dict[str, int] = {}  # where an element's last end tag begins
 
     def text(raw: str) -> None:
-        if raw and not skip:
+        nonlocal head
+        if head and raw.strip():
+            head = False
+        if raw and not head:
             out.parts.append((_html.unescape(raw) if "&" in raw else raw, link))
 
+    def may_close(tag: str) -> bool:
+        if tag not in last_end:
+            last_end[tag] = max((m.start() for m in re.finditer(rf"</{re.escape(tag)}(?=[\s/>])", page, re.I)), default=-1)
+        return last_end[tag] >= at
+
     while m := _TOKEN.search(page, at):
         text(page[at : m.start()])
         at = m.end()
-        tag = (m[2] or m[5] or "").lower()
+        tag, closing, attributes = _parts(m)
         if not tag:
             continue
-        closing, attributes = (m[1] if m[2] else m[4]) == "/", (m[3] if m[2] else m[6]) or ""
-        if tag in _RAW and tag not in unclosed and skip not in _NOT_RAW_IN and not closing and not attributes.endswith("/"):
+        if tag == "head":
+            head = not closing
+            continue
+        if head and tag not in _IN_HEAD:
+            head = False  # the first element that does not belong in a head ends it
+        if tag in _RAW and tag not in unclosed and not closing and not attributes.endswith("/"):
             if end := _RAW[tag].search(page, at):
                 at = end.start()
-            else:
-                unclosed.add(tag)
-        if skip:
-            if closing and tag == skip or skip == "head" and tag == "body":
-                skip = ""
-            if tag != "body":
                 continue
-        elif tag in _SKIPPED:
-            if not closing and not attributes.endswith("/"):
-                skip = tag
+            unclosed.add(tag)
+        if tag in _SKIPPED:
+            if not closing and not attributes.endswith("/") and tag not in _RAW and may_close(tag):
+                box = out.boxes[-1].tag if out.boxes else ""
+                if (end := _closed(page, at, tag, box)) >= 0:
+                    at = end
             continue
         if tag == "a":
             link = not closing
+            if link:  # with an end tag of its own it reaches over blocks
+                ends = _LINK.search(page, at)
+                reaches = bool(ends) and ends[1] == "/"
         elif tag == "br":
             text(" ")
         elif tag in _BREAKS:
             out.close_block()
-            link = False
+            link = link and reaches
             out.heading = tag in _HEADINGS and not closing
             if tag in _BOXES:
                 if not closing:

@@ -1,4 +1,5 @@
-"""The labelled table of the page classifier: pages put together by rule, whose wanted parts carry ``data-wanted``.
+"""The labelled table of the page classifier: pages put together by rule, whose wanted parts carry ``data-wanted``
+and parts inside them that are not, ``data-dropped``.
 
 Four kinds of markup: elements that name their part (``nav``, ``article``), boxes that name it by a class or id, boxes with
 names that say nothing, and no names at all. In the last two only words, links and their neighbours tell the parts
@@ -33,7 +34,7 @@ class _Writer:
         return f'<a href="/x">{self.words(low, high)}</a>'
 
     def box(self, part: str, inside: str, wanted: bool = False) -> str:
-        mark, rng = " data-wanted" if wanted else "", self.rng
+        mark, rng = " data-wanted" if wanted else " data-dropped" if self.inside else "", self.rng
         if self.kind == "elements":
             tag = rng.choice(("article", "main")) if part == "story" else _ELEMENTS.get(part)
             if tag:
