@@ -24,6 +24,7 @@ import functools
 import hashlib
 import re
 from collections.abc import Iterator, Sequence
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -36,7 +37,7 @@ from lodestar.sources.workspace import materialize, share_code
 
 PIECES = "piece_bpe_32k.model"
 #: Bounds of a part: stretches in order, distinct stretches, distinct pairs of ids.
-PART_STRETCHES, PART_DISTINCT, PART_PAIRS = 2_000_000, 200_000, 500_000
+PART_STRETCHES, PART_DISTINCT, PART_PAIRS = 4_000_000, 400_000, 500_000
 _DIGEST = "doc_id long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string"
 _ROWS = f"part long, kind int, {_DIGEST}, pairs array<int>, times array<int>, pair int, a int, b int, docs long"
 
@@ -59,6 +60,9 @@ class Pair:
             else:
                 self.b_bytes.append(piece.replace("▁", " ").encode())
                 pieces.append(piece)
+        self.a_lengths, self.b_lengths = np.array([len(self.a_bytes.get(i, b"")) for i in range(max(self.a_bytes) + 1)]), np.array([len(b) for b in self.b_bytes])
+        names = lambda n, end: np.array([f"{i}{end}" for i in range(n)], object)
+        (self.a_more, self.a_last), (self.b_more, self.b_last) = ((names(len(n), ","), names(len(n), e)) for n, e in ((self.a_lengths, "|"), (self.b_lengths, ";")))
         # a cut before a space or line end is safe if no piece holds one after another character
         marks = [c for c, s in ((" ", "▁"), ("\n", "\n")) if not any(re.search(f"[^{s}]{s}", p) for p in pieces)]
         self.lead = self.b.piece_to_id("▁")
@@ -70,20 +74,30 @@ class Pair:
         """Space and text, cut where white space begins."""
         return self.cut.split(" " + text) if self.cut else [" " + text]
 
-    def encode(self, stretches: Sequence[str]) -> list[tuple[list[int], list[int]] | None]:
-        """Ids of both encodings of each stretch; None where one of them does not give its bytes back."""
-        inner = [s[1:] if s[0] == " " else s for s in stretches]
-        out: list[tuple[list[int], list[int]] | None] = []
-        for s, y in zip(stretches, self.b.encode(inner, num_threads=1), strict=True):
-            x = self.a.encode_ordinary(s)
+    def encode(self, stretches: Sequence[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """All stretches' ids of both encodings and their numbers, and which stretches both give back; the others get none."""
+        x = [self.a.encode_ordinary(s) for s in stretches]
+        y = self.b.encode([s[1:] if s[0] == " " else s for s in stretches], num_threads=1)
+        for k, s in enumerate(stretches):
             if s[0] != " ":  # the space that the encoding adds before any text
-                y = y[1:] if y and y[0] == self.lead else []
+                y[k] = y[k][1:] if y[k] and y[k][0] == self.lead else []
             elif s == " ":
-                y = [self.lead]
-            raw = s.encode()
-            same = b"".join([self.a_bytes[i] for i in x]) == raw and b"".join([self.b_bytes[i] for i in y]) == raw
-            out.append((x, y) if same else None)
-        return out
+                y[k] = [self.lead]
+        raw = [s.encode() for s in stretches]
+        whole, sizes, fine = b"".join(raw), np.fromiter(map(len, raw), np.int64, len(raw)), np.ones(len(raw), bool)
+        for ids, tokens, lengths in ((x, self.a_bytes, self.a_lengths), (y, self.b_bytes, self.b_lengths)):
+            flat, n = _flat(ids)
+            given = np.bincount(np.repeat(np.arange(len(ids)), n), lengths[flat], len(ids))
+            if (given != sizes).any() or b"".join(map(tokens.__getitem__, flat.tolist())) != whole:
+                fine &= np.array([b"".join([tokens[i] for i in part]) == r for part, r in zip(ids, raw, strict=True)])
+        for k in np.flatnonzero(~fine):
+            x[k], y[k] = [], []
+        return *_flat(x), *_flat(y), fine
+
+
+def _flat(ids: Sequence[Sequence[int]]) -> tuple[np.ndarray, np.ndarray]:
+    """Sequences as one array, and their lengths."""
+    return np.array(list(chain.from_iterable(ids)), np.int64), np.fromiter(map(len, ids), np.int64, len(ids))
 
 
 @functools.cache
@@ -91,27 +105,12 @@ def tokenizers(ranks: str = VOCABULARY, model: str = PIECES) -> Pair:
     return Pair(ranks, model)
 
 
-def merge(x: Sequence[int], y: Sequence[int], x_lengths: Sequence[int], y_lengths: Sequence[int]) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
-    """Links as places (i, j) in byte order, and for each group where it ends on both sides."""
-    links, groups = [], []
-    i = j = 0
-    if not x:
-        return links, groups
-    a, b = x_lengths[0], y_lengths[0]
-    while True:
-        links.append((i, j))
-        if a == b:
-            i, j = i + 1, j + 1
-            groups.append((i, j))
-            if i == len(x):
-                return links, groups
-            a, b = a + x_lengths[i], b + y_lengths[j]
-        elif a < b:
-            i += 1
-            a += x_lengths[i]
-        else:
-            j += 1
-            b += y_lengths[j]
+def links(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of two sequences of byte lengths that add up to the same: the tokens of each link on both sides, and the ends of the
+    tokens. Between two neighbouring ends lie bytes of one token of either side, and each overlap holds one such stretch."""
+    a, b = np.cumsum(x), np.cumsum(y)
+    ends = np.union1d(a, b)
+    return np.searchsorted(a, ends), np.searchsorted(b, ends), a, b
 
 
 class _Part:
@@ -119,61 +118,81 @@ class _Part:
 
     def __init__(self, pair: Pair) -> None:
         self.pair, self.known, self.numbers = pair, {}, {}
-        self.fine: list[bool] = []
-        self.counts: list[tuple[int, int, int, int]] = []
+        self.fine, self.counts = [np.zeros(0, bool)], [np.zeros((0, 4), np.int64)]
         self.groups: list[str] = []
-        self.flat, self.starts = [], [0]
+        self.flat, self.sizes = [np.zeros(0, np.int32)], [np.zeros(0, np.int64)]
         self.docs = np.zeros(0, np.int64)
         self.seen = 0
 
     def full(self) -> bool:
         return self.seen > PART_STRETCHES or len(self.known) > PART_DISTINCT or len(self.numbers) > PART_PAIRS
 
-    def number(self, stretches: list[str]) -> list[int]:
-        new = [s for s in dict.fromkeys(stretches) if s not in self.known]
-        for s, ids in zip(new, self.pair.encode(new) if new else [], strict=True):
-            self.known[s] = len(self.fine)
-            self.fine.append(ids is not None)
-            x, y = ids or ([], [])
-            links, ends = merge(x, y, [len(self.pair.a_bytes[i]) for i in x], [len(self.pair.b_bytes[i]) for i in y])
-            for i, j in links:
-                self.flat.append(self.numbers.setdefault((x[i], y[j]), len(self.numbers)))
-            self.starts.append(len(self.flat))
-            parts, p, q = [], 0, 0
-            for i, j in ends:
-                parts.append(f"{','.join(map(str, x[p:i]))}|{','.join(map(str, y[q:j]))}")
-                p, q = i, j
-            self.groups.append(";".join(parts))
-            self.counts.append((len(x), len(y), len(ends), len(links)))
-        known = self.known
+    def _add(self, new: list[str]) -> None:
+        """Encode and align new stretches at once: their ends on the joined bytes are ends of both sides."""
+        pair = self.pair
+        x, nx, y, ny, fine = pair.encode(new)
+        self.known.update(zip(new, range(len(self.groups), len(self.groups) + len(new)), strict=True))
+        i, j, a, b = links(pair.a_lengths[x], pair.b_lengths[y])
+        key, place = np.unique(x[i] << 32 | y[j], return_inverse=True)
+        number = np.array([self.numbers.setdefault(k, len(self.numbers)) for k in key.tolist()], np.int32)
+        tokens = np.cumsum(nx)
+        owner = np.searchsorted(tokens, i, side="right")  # the stretch of each link
+        size = np.bincount(owner, minlength=len(new))
+        cut_a, cut_b = np.isin(a, b, assume_unique=True), np.isin(b, a, assume_unique=True)
+        group_a, group_b = (np.cumsum(c) - c for c in (cut_a, cut_b))
+        groups = np.bincount(np.searchsorted(tokens, np.flatnonzero(cut_a), side="right"), minlength=len(new))
+        # the text of the groups in order: of each group the ids of one side, then of the other
+        pieces = np.concatenate([np.where(cut_a, pair.a_last[x], pair.a_more[x]), np.where(cut_b, pair.b_last[y], pair.b_more[y])])
+        order = np.lexsort((np.repeat([0, 1], [len(x), len(y)]), np.concatenate([group_a, group_b])))
+        pieces = pieces[order].tolist()
+        at = np.concatenate([[0], np.cumsum(nx + ny)]).tolist()
+        self.groups += ["".join(pieces[at[k] : at[k + 1]])[:-1] for k in range(len(new))]
+        self.fine.append(fine)
+        self.counts.append(np.stack([nx, ny, groups, size], 1))
+        self.flat.append(number[place])
+        self.sizes.append(size)
+
+    def _whole(self, name: str) -> np.ndarray:
+        parts = getattr(self, name)
+        if len(parts) > 1:
+            setattr(self, name, parts := [np.concatenate(parts)])
+        return parts[0]
+
+    def documents(self, part: int, ids: list[int | None], texts: list[list[str]]) -> pa.RecordBatch:
+        """Rows of documents, given as their stretches, with the numbers of their linked pairs and how often each is linked."""
+        stretches = [s for t in texts for s in t]
         self.seen += len(stretches)
-        return [known[s] for s in stretches]
-
-    def documents(self, part: int, ids: list[int | None], order: list[list[int]]) -> pa.RecordBatch:
-        """Rows of a batch's documents, with the numbers of their linked pairs and how often each is linked."""
-        fine = self.fine
-        order = [o if all([fine[k] for k in o]) else [] for o in order]
-        row = np.repeat(np.arange(len(order)), [len(o) for o in order])
-        k = np.fromiter((s for o in order for s in o), np.int64, len(row))
-        counts = np.array(self.counts, np.int64).reshape(-1, 4)
-        sums = np.stack([np.bincount(row, counts[k, c], len(order)).astype(np.int64) for c in range(4)], 1)
+        known = self.known
+        if new := [s for s in dict.fromkeys(stretches) if s not in known]:
+            self._add(new)
+        k = np.fromiter(map(known.__getitem__, stretches), np.int64, len(stretches))
+        row = np.repeat(np.arange(len(texts)), [len(t) for t in texts])
+        bad = np.unique(row[~self._whole("fine")[k]])  # a stretch that is not given back spoils its text
+        if len(bad):
+            use = ~np.isin(row, bad)
+            row, k = row[use], k[use]
+        length = np.bincount(row, minlength=len(texts))
+        until = np.cumsum(length)
+        held, groups = k.tolist(), self.groups
+        sha = [hashlib.sha256(";".join([groups[s] for s in held[e - n : e]]).encode()).hexdigest() if n else "" for e, n in zip(until.tolist(), length.tolist(), strict=True)]
+        counts = self._whole("counts")
+        sums = np.stack([np.bincount(row, counts[k, c], len(texts)).astype(np.int64) for c in range(4)], 1)
         # each document's distinct stretches with their frequencies, then their pairs
         key, times = np.unique(row << 32 | k, return_counts=True)
         row, k = key >> 32, key & 0xFFFFFFFF
-        starts = np.array(self.starts, np.int64)
-        size = starts[k + 1] - starts[k]
-        at = np.repeat(starts[k] - np.concatenate([[0], np.cumsum(size)[:-1]]) if len(k) else k, size) + np.arange(size.sum())
-        linked = np.array(self.flat, np.int64)[at] if len(at) else at
+        size = self._whole("sizes")
+        starts = (np.cumsum(size) - size)[k]
+        size = size[k]
+        at = np.repeat(starts - (np.cumsum(size) - size), size) + np.arange(size.sum())
+        linked = self._whole("flat")[at].astype(np.int64)
         key, place = np.unique(np.repeat(row, size) << 32 | linked, return_inverse=True)
         weight = np.bincount(place, np.repeat(times, size), len(key)).astype(np.int32)
         row, pairs = key >> 32, (key & 0xFFFFFFFF).astype(np.int32)
         held = np.bincount(pairs, minlength=len(self.numbers))
         held[: len(self.docs)] += self.docs
         self.docs = held
-        offsets = np.searchsorted(row, np.arange(len(order) + 1)).astype(np.int32)
-        groups = self.groups
-        sha = [hashlib.sha256(";".join([groups[s] for s in o]).encode()).hexdigest() if o else "" for o in order]
-        n = len(order)
+        n = len(texts)
+        offsets = np.searchsorted(row, np.arange(n + 1)).astype(np.int32)
         none = [pa.nulls(n, t) for t in (pa.int32(), pa.int32(), pa.int32(), pa.int64())]
         lists = [pa.ListArray.from_arrays(offsets, pa.array(v)) for v in (pairs, weight)]
         return pa.RecordBatch.from_arrays([pa.array(np.full(n, part)), pa.array(np.zeros(n, np.int32)), pa.array(ids, pa.int64()), *[pa.array(sums[:, c]) for c in range(4)], pa.array(sha, pa.string()), *lists, *none], names=_NAMES)
@@ -181,7 +200,8 @@ class _Part:
     def pairs(self, part: int) -> pa.RecordBatch:
         """Rows of the part's distinct pairs and how many of its documents hold each."""
         n = len(self.docs)
-        a, b = np.array(list(self.numbers)[:n], np.int32).reshape(-1, 2).T
+        keys = np.fromiter(self.numbers, np.int64, len(self.numbers))[:n]
+        a, b = (keys >> 32).astype(np.int32), (keys & 0xFFFFFFFF).astype(np.int32)
         none = [*[pa.nulls(n, t) for t in (pa.int64(), *[pa.int64()] * 4, pa.string())], *[pa.nulls(n, pa.list_(pa.int32()))] * 2]
         return pa.RecordBatch.from_arrays([pa.array(np.full(n, part)), pa.array(np.ones(n, np.int32)), *none, pa.array(np.arange(n, dtype=np.int32)), pa.array(a), pa.array(b), pa.array(self.docs.astype(np.int64))], names=_NAMES)
 
@@ -199,7 +219,7 @@ def _encode(ranks: str, model: str):
             for doc_id, text in zip(*column_arrays(batch, "doc_id", "text"), strict=True):
                 ids, order, size = run
                 ids.append(doc_id)
-                order.append(part.number(pair.stretches(text)) if text else [])
+                order.append(pair.stretches(text) if text else [])
                 run = (ids, order, size + len(order[-1]))
                 if run[2] > 200_000 or len(ids) >= 20_000 or part.full():
                     yield part.documents(number, ids, order)
