@@ -40,24 +40,30 @@ def measured(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source
 def targets(totals: DataFrame) -> DataFrame:
     """``source_size`` and ``target`` by ``key`` from rows (key, name, source_size), one of each source.
 
-    Water filling: the level rises, sources whose ``MAX_PASSES`` sizes lie below it are full, and the rest share what
-    is left by weight. Each rise is one aggregate over the sources, of which two numbers reach the driver.
+    Water filling: with the sources in the order of the level at which each is full (``MAX_PASSES`` sizes by weight), one
+    is not full as soon as what the ones before leave, shared among it and all after it, does not reach its level. The
+    sources are range-sorted by level; sums of each range and running sums inside it tell the first such source, which
+    alone reaches the driver.
     """
     rows = numbered(totals.withColumn("__null", F.col("name").isNull()), ["__null", "name"], "__rank")
     weight = F.element_at(F.array(*[F.lit(float(w)) for w in WEIGHTS]), (F.col("__rank") % len(WEIGHTS) + 1).cast("int"))
     rows = rows.select("key", "source_size", weight.alias("weight"), (MAX_PASSES * F.col("source_size").cast("double")).alias("cap"))
-    rows = materialize(rows, "sources", share=8)
-    whole = float(rows.agg(F.sum("source_size")).first()[0] or 0)
-    full = F.lit(False)
-    left, shared, filled = whole, None, -1
-    while True:
-        got = rows.agg(F.sum(F.when(full, F.col("cap"))).alias("c"), F.sum(F.when(~full, F.col("weight"))).alias("w"), F.count_if(full).alias("n")).first()
-        left, shared = whole - (got["c"] or 0.0), got["w"]
-        if got["n"] == filled or not shared:
-            break
-        filled = got["n"]
-        full = F.col("cap") <= F.col("weight") * left / F.lit(shared)
-    share = F.col("weight") * F.lit(left) / F.lit(shared) if shared else F.lit(0.0)
+    rows = rows.withColumn("level", F.col("cap") / F.col("weight")).repartitionByRange("level", "key").withColumn("range", F.spark_partition_id())
+    rows = materialize(rows, "sources")
+    sums = rows.groupBy("range").agg(F.sum("cap").alias("c"), F.sum("weight").alias("w"), F.sum("source_size").alias("s"))
+    every = Window.orderBy("range")  # a row of each range
+    before = lambda c: F.coalesce(F.sum(c).over(every.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
+    whole = lambda c: F.sum(c).over(Window.partitionBy(F.lit(0))).cast("double")
+    ranges = sums.select("range", (whole("s") - before("c")).alias("__left"), (whole("w") - before("w")).alias("__shared"))
+    inner = Window.partitionBy("range").orderBy("level", "key").rowsBetween(Window.unboundedPreceding, -1)
+    run = lambda c: F.coalesce(F.sum(c).over(inner), F.lit(0.0))
+    seen = rows.join(ranges, "range").select("level", "key", (F.col("__left") - run("cap")).alias("left"), (F.col("__shared") - run("weight")).alias("shared"))
+    first = seen.filter(F.col("left") / F.col("shared") <= F.col("level")).orderBy("level", "key").limit(1).collect()
+    if not first:  # all are full
+        return rows.select("key", "source_size", F.col("cap").alias("target"))
+    at = first[0]
+    full = (F.col("level") < at["level"]) | (F.col("level") == at["level"]) & (F.col("key") < at["key"])
+    share = F.col("weight") * F.lit(at["left"]) / F.lit(at["shared"])
     return rows.select("key", "source_size", F.when(full, F.col("cap")).otherwise(F.least("cap", share)).alias("target"))
 
 
@@ -115,7 +121,8 @@ def fair_queue(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sour
         none = F.array(packet(F.lit(0.0), F.lit(0)))
         return F.when((begins >= F.col("target")) | (F.col("size") == 0), none).when(ends <= F.col("target"), whole).otherwise(cut)
 
-    queue = queue.withColumn("passes", F.array(*[pass_(i) for i in range(MAX_PASSES)]))
+    # written once: the sums of the ranges, the one range and the result read only the columns that they need
+    queue = materialize(queue.withColumn("passes", F.array(*[pass_(i) for i in range(MAX_PASSES)])), "queue")
     end = _cut(queue)
     if end:
         here = F.struct(*[F.lit(v).cast(t) for v, t in zip(end[:4], ("double", "string", "int", "long"), strict=True)])
