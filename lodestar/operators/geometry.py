@@ -243,3 +243,82 @@ def cross_fitted(units: DataFrame, unit_id: str, group: str, positive, negative,
     axis = unit(minus(unit(less(positive, "pa")), unit(less(negative, "pb"))))
     scored = rows.crossJoin(both).select(unit_id, group, F.round(dot(F.col(vector), axis), 6).alias("score"))
     return scored.withColumn("predicted", F.when(F.col("score") >= 0, F.lit(positive)).otherwise(F.lit(negative)))
+
+
+#: Most rows of the small side of :func:`against_few`.
+FEW = 4096
+
+
+def against_few(rows: DataFrame, few: DataFrame, row: str, vector: str, item: str, item_vector: str, digits: int = 6) -> DataFrame:
+    """(row, item, score): the inner product of every row with each of a few items, whose number is checked.
+
+    The items travel with the tasks as one matrix, so each batch of rows is one product and nothing is joined.
+    """
+    share_code(rows.sparkSession)
+    t = few.select(item, F.col(item_vector).cast("array<double>").alias("v")).limit(FEW + 1).toArrow()
+    if t.num_rows > FEW:
+        raise ValueError(f"at most {FEW} items can be given to all rows")
+    ids, kinds = t.column(item).combine_chunks(), (dict(rows.dtypes)[row], dict(few.dtypes)[item])
+    flat = t.column("v").combine_chunks().flatten().to_numpy(zero_copy_only=False)
+    matrix = flat.reshape(t.num_rows, len(flat) // max(1, t.num_rows))
+
+    def run(batches):
+        for batch in batches:
+            if not batch.num_rows or not len(ids):
+                continue
+            x = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
+            s = np.round(x @ matrix.T, digits)
+            places = pa.array(np.repeat(np.arange(batch.num_rows), len(ids)))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(places), ids.take(pa.array(np.tile(np.arange(len(ids)), batch.num_rows))), pa.array(s.ravel())], names=["row", "item", "score"])
+
+    out = rows.select(row, F.col(vector).cast("array<double>").alias("v")).mapInArrow(run, f"row {kinds[0]}, item {kinds[1]}, score double")
+    return out.withColumnsRenamed({"row": row, "item": item})
+
+
+def fold_axes(units: DataFrame, unit_id: str, group: str, positive, negative, vector: str = "vector") -> DataFrame:
+    """(unit, group, axis, vector): for each unit of two groups the unit axis between the groups' centroids without it.
+
+    A fold's sums are the whole sums less the unit's own row, so all folds come from two vectors; a fold whose unit is alone
+    in its group has no axis and is left out.
+    """
+    rows = units.filter(F.col(group).isin(positive, negative)).select(unit_id, group, vector)
+    means = mean_vectors(rows, [group], vector, normalised=False)
+    scaled = means.select(group, F.transform("vector", lambda x: x * F.col("n")).alias("s"), "n")
+    pick = lambda k, c: F.max_by(c, F.when(F.col(group) == k, 1))
+    both = scaled.agg(*[pick(k, c).alias(f"{c}{i}") for i, k in enumerate((positive, negative)) for c in ("s", "n")])
+    sides = rows.crossJoin(F.broadcast(both))  # one row
+    less = lambda k, i: F.when(F.col(group) == k, minus(F.col(f"s{i}"), F.col(vector))).otherwise(F.col(f"s{i}"))
+    alone = (F.col(group) == positive) & (F.col("n0") < 2) | (F.col(group) == negative) & (F.col("n1") < 2) | F.col("n0").isNull() | F.col("n1").isNull()
+    axis = unit(minus(unit(less(positive, 0)), unit(less(negative, 1))))
+    return sides.filter(~alone).select(unit_id, group, axis.alias("axis"), vector)
+
+
+def stratum_measures(units: DataFrame, stratum: str, group: str, positive, negative, vector: str = "vector") -> DataFrame:
+    """One row per stratum in which both groups have units: counts, cosine of the two centroids, mean similarity of pairs
+    within and between all of the stratum's groups, their difference, and how many units of the two groups lie nearer
+    to their own centroid than to the other when they are left out of it.
+
+    Sums over pairs come from sums of vectors: all pairs of a set are half of the square of its sum less its squares.
+    """
+    per = mean_vectors(units, [stratum, group], vector, normalised=False)
+    per = per.select(stratum, group, "n", F.transform("vector", lambda x: x * F.col("n")).alias("s"))
+    squares = units.groupBy(stratum, group).agg(F.sum(dot(F.col(vector), F.col(vector))).alias("q"))
+    per = per.join(squares, [stratum, group]).withColumn("within", (dot(F.col("s"), F.col("s")) - F.col("q")) / 2)
+    whole = mean_vectors(units, [stratum], vector, normalised=False).select(stratum, F.col("n").alias("all"), F.transform("vector", lambda x: x * F.col("n")).alias("t"))
+    pick = lambda k, c: F.max_by(c, F.when(F.col(group) == k, 1))
+    sums = per.groupBy(stratum).agg(
+        *[pick(k, c).alias(f"{c}{i}") for i, k in enumerate((positive, negative)) for c in ("s", "n")], F.sum("within").alias("w"), F.sum("q").alias("q"), F.sum(F.col("n") * (F.col("n") - 1) / 2).alias("nw"),
+    ).filter("n0 is not null and n1 is not null").join(whole, stratum)
+    pairs, total = F.col("all") * (F.col("all") - 1) / 2, (dot(F.col("t"), F.col("t")) - F.col("q")) / 2
+    within, between = F.try_divide("w", "nw"), F.try_divide(total - F.col("w"), pairs - F.col("nw"))
+    own = units.filter(F.col(group).isin(positive, negative)).join(sums.select(stratum, "s0", "s1", "n0", "n1"), stratum)
+    mine = F.col(group) == positive
+    left = lambda i, same: unit(F.when(same, minus(F.col(f"s{i}"), F.col(vector))).otherwise(F.col(f"s{i}")))
+    gap = F.round(dot(F.col(vector), left(0, mine)), 9) - F.round(dot(F.col(vector), left(1, ~mine)), 9)
+    able = F.when(mine, F.col("n0") > 1).otherwise(F.col("n1") > 1)
+    held = own.filter(able).groupBy(stratum).agg(F.count(F.lit(1)).alias("held_out"), F.count_if(F.when(mine, gap > 0).otherwise(gap < 0)).alias("nearer"))
+    r = lambda c: F.round(c, 6)
+    return sums.join(held, stratum, "left").select(
+        stratum, F.col("all").alias("units"), F.col("n0").alias("units_a"), F.col("n1").alias("units_b"), r(dot(unit(F.col("s0")), unit(F.col("s1")))).alias("centroid_similarity"),
+        r(within).alias("within_mean"), r(between).alias("between_mean"), r(within - between).alias("difference"), F.coalesce("held_out", F.lit(0)).alias("held_out"), F.coalesce("nearer", F.lit(0)).alias("nearer"),
+    )

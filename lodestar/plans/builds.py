@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestar.operators import build as B
-from lodestar.operators import digests, extraction
+from lodestar.operators import digests, embedding, extraction
 from lodestar.plans.catalog import query, table
 from lodestar.plans.mapping import VECTORS, scores
 from lodestar.sources.versions import Store
@@ -185,3 +185,30 @@ def similarity_problems(spark: SparkSession, sf_dir: str) -> DataFrame:
     manifest = table(spark, sf_dir, "embeddings").filter("vec_id >= 10 and vec_id % 101 > 0").select(v.alias("passage_id"), F.col("label").alias("composer"))
     configured = table(spark, sf_dir, "embeddings").filter("vec_id < 9 or vec_id = 10").select(v.alias("prompt_id"), v.cast("string").alias("prompt_text"))
     return digests.similarity_problems(rows, manifest, configured, [1, 10])
+
+
+def _vowels():
+    """Loads the stand-in of a model: how many of each vowel a payload holds, over its length."""
+
+    def model(payloads):
+        if any(b"zz" in p for p in payloads):
+            raise ValueError("refused")
+        return [[p.count(c) / len(p) for c in (b"a", b"e", b"i", b"o", b"u")] for p in payloads]
+
+    return model
+
+
+@query("embedding_stage", """WITH d AS (SELECT doc_id, coalesce(text, '') AS t, CASE WHEN doc_id % 19 = 0 THEN 'unsupported' WHEN text IS NULL OR text = '' THEN 'unavailable' ELSE 'pending' END AS state FROM documents),
+g AS (SELECT t, min(doc_id) AS representative, bool_or(doc_id % 7 = 0) AS cached FROM d WHERE state = 'pending' GROUP BY t),
+j AS (SELECT doc_id, state, representative, cached, d.t, contains(d.t, 'zz') AND NOT cached AS bad FROM d LEFT JOIN g ON g.t = d.t AND state = 'pending')
+SELECT doc_id, CASE WHEN state <> 'pending' THEN state WHEN bad THEN 'failed' ELSE 'success' END AS status, representative, CASE WHEN state = 'pending' AND bad THEN 'ValueError: refused' ELSE '' END AS error_message,
+CASE WHEN state <> 'pending' OR bad THEN '' WHEN cached THEN 'cache' WHEN doc_id = representative THEN 'computed' ELSE 'alias' END AS origin,
+CASE WHEN state = 'pending' AND NOT bad THEN CASE WHEN cached THEN 7.0 ELSE round((strlen(t) - strlen(replace(t, 'e', ''))) / strlen(t)::DOUBLE, 6) END END AS second FROM j""")
+def embedding_stage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents through a stand-in model; a cache has some of them, and rows of another checkpoint that must not count."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    state = F.when(F.col("doc_id") % 19 == 0, "unsupported").when(F.col("text") == "", "unavailable").otherwise("pending")
+    items = docs.select("doc_id", F.col("text").alias("payload"), state.alias("status"))
+    some = items.filter("status = 'pending'").select(F.sha2("payload", 256).alias("digest"), F.lit("c2").alias("space"), F.when(F.col("doc_id") % 7 == 0, "v1").otherwise("v0").alias("checkpoint"), F.array(*[F.lit(7.0)] * 5).alias("embedding"))
+    got = embedding.stage(items, "doc_id", "vowels", _vowels, some, {"space": "c2", "checkpoint": "v1"}, size=5)
+    return got.select("doc_id", "status", "representative", "error_message", "origin", F.round(F.col("embedding")[1], 6).alias("second"))

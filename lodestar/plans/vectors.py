@@ -186,6 +186,50 @@ def crossfit_axis(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.cross_fitted(works(spark, sf_dir), "work_id", "label", 0, 1)
 
 
+_FOLDS = WORKS + """, f AS (SELECT * FROM w WHERE label IN (0, 1)), g AS (SELECT label AS side, pos, sum(x) AS gx FROM f GROUP BY ALL),
+c AS (SELECT f.work_id, f.label, f.pos, f.x, side, gx - CASE WHEN f.label = side THEN f.x ELSE 0 END AS c FROM f JOIN g ON g.pos = f.pos), n AS (SELECT work_id, side, sqrt(sum(c * c)) AS n FROM c GROUP BY ALL),
+d AS (SELECT c.work_id, c.label, c.pos, any_value(c.x) AS x, sum(CASE WHEN c.side = 0 THEN c.c / n.n ELSE -c.c / n.n END) AS d FROM c JOIN n ON n.work_id = c.work_id AND n.side = c.side GROUP BY ALL),
+a AS (SELECT work_id, list(d ORDER BY pos) AS axis, sqrt(sum(d * d)) AS size FROM d GROUP BY work_id)"""
+
+
+@query("crossfit_prompts", f"""WITH {_FOLDS}, s2 AS (SELECT prompt_id, round(list_dot_product(a.axis, pv) / size, 6) AS score FROM a, p)
+SELECT prompt_id, count(*) AS folds, round(avg(score), 6) AS mean, round(stddev_samp(score), 6) AS std, round(median(score), 6) AS median, min(score) AS least, max(score) AS most FROM s2 GROUP BY prompt_id""")
+def crossfit_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every prompt on the axis of every fold."""
+    axes = G.fold_axes(works(spark, sf_dir), "work_id", "label", 0, 1)
+    s = G.against_few(axes, prompts(spark, sf_dir), "work_id", "axis", "prompt_id", "prompt_vector")
+    rows = s.groupBy("prompt_id").agg(F.count(F.lit(1)).alias("folds"), F.round(F.avg("score"), 6).alias("mean"), F.round(F.stddev_samp("score"), 6).alias("std"), F.min("score").alias("least"), F.max("score").alias("most"))
+    medians = ranks.quantiles(s, ["prompt_id"], "score", (0.5,)).select("prompt_id", F.round(F.col("q")[0], 6).alias("median"))
+    return rows.join(medians, "prompt_id").select("prompt_id", "folds", "mean", "std", "median", "least", "most")
+
+
+@query("crossfit_passages", f"WITH {_FOLDS} SELECT t.work_id, t.label, vec_id, round(list_dot_product(axis, v) / size, 6) AS score FROM t JOIN a ON a.work_id = t.work_id")
+def crossfit_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every passage on the axis of the fold that leaves its work out."""
+    axes = G.fold_axes(works(spark, sf_dir), "work_id", "label", 0, 1).select("work_id", "axis")
+    return passages(spark, sf_dir).join(axes, "work_id").select("work_id", "label", "vec_id", F.round(dot(F.col("vector"), F.col("axis")), 6).alias("score"))
+
+
+@query("stratum_measures", f"""WITH {VECTORS}, o AS (SELECT vec_id % 4 AS stratum, label, work_id, v FROM t WHERE NOT (vec_id % 4 = 3 AND label = 1)), ol AS (SELECT stratum, label, work_id, unnest(v) AS x, generate_subscripts(v, 1) AS pos FROM o),
+m AS (SELECT stratum, label, work_id, pos, avg(x) AS x FROM ol GROUP BY ALL), z AS (SELECT stratum, work_id, sqrt(sum(x * x)) AS z FROM m GROUP BY ALL),
+w AS MATERIALIZED (SELECT m.stratum, label, m.work_id, list(x / z ORDER BY pos) AS u FROM m JOIN z ON z.stratum = m.stratum AND z.work_id = m.work_id GROUP BY ALL),
+able AS (SELECT stratum FROM w GROUP BY stratum HAVING bool_or(label = 0) AND bool_or(label = 1)),
+pr AS (SELECT x.stratum, x.label = y.label AS same, list_dot_product(x.u, y.u) AS s FROM w x JOIN w y ON x.stratum = y.stratum AND x.work_id < y.work_id),
+ps AS (SELECT stratum, avg(s) FILTER (same) AS wi, avg(s) FILTER (NOT same) AS be FROM pr GROUP BY stratum),
+h AS (SELECT x.stratum, x.work_id, x.label, side.side, (SELECT list(t ORDER BY pos) FROM (SELECT pos, sum(e) AS t FROM (SELECT unnest(y.u) AS e, generate_subscripts(y.u, 1) AS pos FROM w y WHERE y.stratum = x.stratum AND y.label = side.side AND y.work_id <> x.work_id) GROUP BY pos)) AS c, x.u FROM w x, (SELECT unnest([0, 1]) AS side) side WHERE x.label IN (0, 1)),
+hs AS (SELECT stratum, work_id, label, max(round(list_dot_product(u, c) / sqrt(list_dot_product(c, c)), 9)) FILTER (side = label) AS own, max(round(list_dot_product(u, c) / sqrt(list_dot_product(c, c)), 9)) FILTER (side <> label) AS other FROM h GROUP BY ALL),
+hn AS (SELECT stratum, count(*) FILTER (own IS NOT NULL) AS held_out, count(*) FILTER (own > other) AS nearer FROM hs GROUP BY stratum),
+ce AS (SELECT stratum, label, list(t ORDER BY pos) AS c FROM (SELECT stratum, label, pos, sum(e) AS t FROM (SELECT stratum, label, unnest(u) AS e, generate_subscripts(u, 1) AS pos FROM w WHERE label IN (0, 1)) GROUP BY ALL) GROUP BY ALL)
+SELECT w.stratum, count(*) AS units, count(*) FILTER (w.label = 0) AS units_a, count(*) FILTER (w.label = 1) AS units_b, round(any_value(list_dot_product(a.c, b.c) / sqrt(list_dot_product(a.c, a.c) * list_dot_product(b.c, b.c))), 6) AS centroid_similarity,
+round(any_value(wi), 6) AS within_mean, round(any_value(be), 6) AS between_mean, round(any_value(wi - be), 6) AS difference, any_value(held_out) AS held_out, any_value(nearer) AS nearer
+FROM w JOIN able ON able.stratum = w.stratum JOIN ps ON ps.stratum = w.stratum JOIN hn ON hn.stratum = w.stratum JOIN ce a ON a.stratum = w.stratum AND a.label = 0 JOIN ce b ON b.stratum = w.stratum AND b.label = 1 GROUP BY w.stratum""")
+def stratum_measures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Works of each stratum; the last stratum lacks a group and is skipped."""
+    p = passages(spark, sf_dir).withColumn("stratum", F.col("vec_id") % 4).filter("not (stratum = 3 and label = 1)")
+    w = G.mean_vectors(p, ["stratum", "label", "work_id"], "vector").drop("n")
+    return G.stratum_measures(w, "stratum", "label", 0, 1)
+
+
 @query("stratum_sensitivity", f"""WITH {VECTORS}, tl AS (SELECT vec_id % 2 AS stratum, vec_id, label, unnest(v) AS x, generate_subscripts(v, 1) AS pos FROM t WHERE label IN (0, 1)),
 c AS (SELECT stratum, label, pos, avg(x) AS x FROM tl GROUP BY ALL), n AS (SELECT stratum, label, sqrt(sum(x * x)) AS n FROM c GROUP BY ALL)
 SELECT a.stratum, round(sum(a.x * b.x) / any_value(na.n * nb.n), 6) AS similarity FROM c a JOIN c b ON a.stratum = b.stratum AND a.pos = b.pos AND a.label = 0 AND b.label = 1
