@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lodestar.functions.vectors import dot, is_sound, norm
 from lodestar.operators import geometry as G
-from lodestar.operators import ranks
+from lodestar.operators import ranks, stats
 from lodestar.plans.catalog import query, table
 from lodestar.plans.mapping import LEAVE_OUT, VECTORS, WORKS, passages, prompts, scores, vectors, works
 
