@@ -42,11 +42,24 @@ def group_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return I.group_conflicts(rows, "grp")
 
 
-@query("expansion_decisions", f"""WITH {_GROUPS}, d AS (SELECT CASE WHEN grp % 7 = 0 THEN 'already_represented' WHEN conflict OR mismatches > 0 THEN 'quarantined' WHEN numbers = '' THEN 'ambiguous' ELSE 'approved' END AS decision FROM g)
-SELECT decision, count(*) AS n FROM d GROUP BY decision""")
+@query("expansion_decisions", """WITH p AS (SELECT p_partkey AS p, p_partkey // 2 AS g, p_partkey // 2 % 8 AS c FROM part), g AS (SELECT g, c, count(*) AS m FROM p GROUP BY g, c)
+SELECT g AS grp, CASE WHEN c >= 4 AND g % 3 = 0 THEN 'already_represented' WHEN c = 2 OR c = 3 AND m = 2 THEN 'quarantined' WHEN c = 1 THEN 'uncertain' WHEN c = 0 THEN 'ambiguous' ELSE 'approved' END AS decision FROM g""")
 def expansion_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    g = group_conflicts(spark, sf_dir).withColumns({"represented": F.col("grp") % 7 == 0, "open_instrumentation": F.lit(False)})
-    return g.withColumn("decision", I.decide(g)).groupBy("decision").agg(F.count(F.lit(1)).alias("n"))
+    """Decisions on pairs of parts: what is represented is looked up by identity in a selection, the rest is read off titles."""
+    p, g = F.col("p_partkey"), F.floor(F.col("p_partkey") / 2)
+    rows = table(spark, sf_dir, "part").select(p, g.alias("grp"), (g % 8).alias("c"), F.lit("W. A. Mozart").alias("name"))
+    number = lambda n: n.cast("string")
+    k = F.when(F.col("c") == 2, F.col("grp") + 2).when(F.col("c") == 3, F.col("grp") + 1 + 9_000_000 * (F.col("p_partkey") % 2)).otherwise(F.col("grp") + 1)
+    title = F.when(F.col("c") == 0, "Fantasia").when(F.col("c") == 1, F.concat(F.lit("Concerto in D, K. "), number(k), F.lit(": II. Andante"))).otherwise(F.concat(F.lit("Sonata K. "), number(k), F.lit(": II. Andante - Live")))
+    path = F.when(F.col("c") == 2, F.concat(F.lit("scores/K"), number(F.col("grp") + 1), F.lit("/score.mxl"))).otherwise("scores/misc/score.mxl")
+    found = I.with_identity(rows.withColumns({"title": title, "path": path}), "name", "title", "path")
+    # the selection has other spellings of the same works
+    chosen = table(spark, sf_dir, "part").select(g.alias("grp")).distinct().filter("grp % 8 >= 4 and grp % 3 = 0")
+    chosen = chosen.select(F.lit("Mozart").alias("name"), F.concat(F.lit("Sonata in C, K "), number(F.col("grp") + 1), F.lit(": 2. (Remastered 2001)")).alias("title"), F.lit("").alias("path"))
+    known = I.with_identity(chosen, "name", "title", "path").select("work_key").distinct().withColumn("known", F.lit(True))
+    flags = found.join(known, "work_key", "left").groupBy("grp").agg(F.bool_or(F.col("known").isNotNull()).alias("represented"), F.bool_or(I.is_open_instrumentation(F.col("title"))).alias("open_instrumentation"))
+    decided = I.group_conflicts(found, "grp").join(flags, "grp")
+    return decided.select("grp", I.decide(decided).alias("decision"))
 
 
 @query("path_parts", f"""SELECT p_partkey, {_PATH.replace("'/scores", "'scores")} AS path, '.mxl' AS suffix, 'score.mxl' AS file_name, regexp_extract({_PATH.replace("'/scores", "'scores")}, '^(.*)/[^/]*$', 1) AS parent, true AS inside, false AS inside_raw FROM part""")
