@@ -1,8 +1,8 @@
 """A corpus pipeline of five stages, each written as Parquet and read again as the next one's documents.
 
 Every stage but the last returns the columns of ``documents``; the last one returns pieces of packed windows. The
-second stage learns from labels, which SQL cannot express, so there is no SQL for the whole; a test holds the
-stages against brute force.
+second stage learns from labels, which SQL cannot express, so there is no SQL for the whole; tests hold the rules, the
+join and the packing against brute force, and of the classifier and the mix that they keep a subset of their input.
 
 Defined cases: documents with null or empty texts are rejected by the first stage, as any text of fewer words than its
 rules want; very long texts go through whole; a null source is a host without a verdict and a source of its own in the
