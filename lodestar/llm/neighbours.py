@@ -62,7 +62,7 @@ def _slots(x: np.ndarray, extra: np.ndarray, directions: np.ndarray, offsets: np
     """Positions in units of slots: (rows, L, K)."""
     d = x.shape[1]
     tables, functions, _ = directions.shape
-    flat = directions.reshape(tables * functions, -1)
+    flat = directions.reshape(tables * functions, directions.shape[2])
     return (x @ flat[:, :d].T + extra[:, None] * flat[:, -1] + offsets.ravel()).reshape(len(x), tables, functions) / slot
 
 
