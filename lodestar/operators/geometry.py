@@ -85,9 +85,15 @@ def _grid(n: int, partitions: int, most_rows: int) -> int:
     return max(1, math.ceil(math.sqrt(2 * partitions)) if n > partitions else 1, -(-n // most_rows))
 
 
+def _block(by: str, blocks: int) -> Column:
+    """The block of a row, of the width of the numbers that blocks are paired with: both sides of a cogroup are dealt out by
+    the hashes of their keys, and equal numbers of two widths have two hashes."""
+    return F.pmod(F.xxhash64(by), F.lit(blocks)).cast("int")
+
+
 def _dealt(df: DataFrame, blocks: int, names: Sequence[str]) -> DataFrame:
     """(names, v, b) with the block of each row."""
-    return df.select(*names, F.col("v").cast("array<double>").alias("v"), F.pmod(F.xxhash64(names[0]), F.lit(blocks)).alias("b"))
+    return df.select(*names, F.col("v").cast("array<double>").alias("v"), _block(names[0], blocks).alias("b"))
 
 
 def _width(df: DataFrame) -> int:
@@ -143,7 +149,7 @@ def cross_similarities(a: DataFrame, b: DataFrame, vector: str = "vector", block
     side = max(1, math.ceil(math.sqrt(_width(a))))
     m, n = (max(side, -(-t.count() // block_rows)) for t in (a, b))
     numbered = lambda t, blocks, mine, other, others: t.select(
-        F.col(vector).cast("array<double>").alias("v"), F.pmod(F.xxhash64(vector), F.lit(blocks)).alias(mine), F.explode(F.sequence(F.lit(0), F.lit(others - 1))).alias(other)
+        F.col(vector).cast("array<double>").alias("v"), _block(vector, blocks).alias(mine), F.explode(F.sequence(F.lit(0), F.lit(others - 1))).alias(other)
     )
     left, right = numbered(a, m, "lb", "rb", n), numbered(b, n, "rb", "lb", m)
     right = right.toDF(*right.columns)  # a table of its own: both sides may come from one
@@ -206,7 +212,7 @@ def pair_similarities(df: DataFrame, item: str, group: str, vector: str = "embed
     """
     share_code(df.sparkSession)
     blocks = _grid(df.count(), _width(df), block_rows)
-    rows = df.select(F.col(item).alias("id"), F.col(group).alias("g"), F.col(vector).cast("array<double>").alias("v"), F.pmod(F.xxhash64(item), F.lit(blocks)).alias("b"))
+    rows = df.select(F.col(item).alias("id"), F.col(group).alias("g"), F.col(vector).cast("array<double>").alias("v"), _block(item, blocks).alias("b"))
     every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("o")
     left = rows.select("id", "g", "v", F.col("b").alias("lb"), every).withColumnRenamed("o", "rb").filter("lb <= rb")
     right = rows.select("id", "g", "v", F.col("b").alias("rb"), every).withColumnRenamed("o", "lb").filter("lb <= rb")

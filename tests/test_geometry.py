@@ -86,3 +86,27 @@ def test_kernels_when_only_their_rows_are_counted(spark):
         want = sorted(((-s[i, j], i, j) for i in range(a, 40, 3) for j in range(b, 40, 3)))[:4]
         got = t.filter(f"group_a = {a} and group_b = {b}").orderBy("rank").collect()
         assert [(r["item_a"], r["item_b"]) for r in got] == [(i, j) for _, i, j in want]
+
+
+@pytest.fixture
+def spread(spark):
+    """Every partition of an exchange is a task of its own, as with large tables."""
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    yield
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+def test_blocks_meet_in_whichever_task_they_are(spark, spread):
+    rng = np.random.default_rng(7)
+    rows = [(i, i % 3, v.tolist()) for i, v in enumerate(rng.normal(size=(60, 6)))]
+    df = spark.createDataFrame(rows, "vec_id long, label int, vector array<double>")
+    x = np.array([r[2] for r in rows])
+    x = x / np.linalg.norm(x, axis=1, keepdims=True)
+    s = np.round(x @ x.T, 6)
+    got = {(r["vec_id"], r["rank"]): r["neighbour"] for r in G.nearest(df, 2, "vec_id", "vector", 9).collect()}
+    assert got == {(i, k + 1): j for i in range(60) for k, (_, j) in enumerate(sorted((-s[i, j], j) for j in range(60) if j != i)[:2])}
+    assert G.pair_similarities(df, "vec_id", "label", "vector", 9).agg(F.sum("n")).first()[0] == 60 * 59 // 2
+    assert G.cross_similarities(df.filter("label = 0"), df.filter("label = 1"), "vector", 5).agg(F.sum("n")).first()[0] == 20 * 20
+    want = sorted((-s[i, j], i, j) for i in range(0, 60, 3) for j in range(1, 60, 3))[:4]
+    top = G.top_across(df, "label", "vec_id", 4, "vector", 9).filter("group_a = 0 and group_b = 1").orderBy("rank").collect()
+    assert [(r["item_a"], r["item_b"]) for r in top] == [(i, j) for _, i, j in want]
