@@ -74,12 +74,14 @@ def benjamini_hochberg(df: DataFrame, p: str, out: str = "q", by: Sequence[str]
 def pearson(x: Column, y: Column) -> Column:
     """Correlation over complete finite pairs as an aggregate; null for fewer than three pairs or no variance.
 
-    From the sums of centred products: unlike ``corr`` it does not raise where a column is constant.
+    From the sums of centred products: unlike ``corr`` it does not raise where a column is constant. Whether one is constant
+    is told by its extremes, since moments of parts that are merged leave a constant a tiny deviation.
     """
     both = x.isNotNull() & y.isNotNull()
     n, cov = F.count(F.when(both, 1)), F.covar_pop(F.when(both, x), F.when(both, y))
     sx, sy = F.stddev_pop(F.when(both, x)), F.stddev_pop(F.when(both, y))
-    return F.when((n >= 3) & (sx > 0) & (sy > 0), F.try_divide(cov, sx * sy))
+    varies = lambda c: F.min(F.when(both, c)) < F.max(F.when(both, c))
+    return F.when((n >= 3) & varies(x) & varies(y) & (sx > 0) & (sy > 0), F.try_divide(cov, sx * sy))
 
 
 def contrast(units: DataFrame, keys: Sequence[str], side: str, positive, negative, value: str) -> DataFrame:

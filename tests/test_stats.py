@@ -112,3 +112,9 @@ def test_description_by_frequencies(spark):
     hist = spark.createDataFrame([(1, v, values.count(v)) for v in set(values)] + [(2, 3.0, 1)], "g int, similarity double, n long")
     got = {r["g"]: r for r in S.weighted_describe(hist, ["g"]).collect()}
     assert got[1].asDict() == plain.asDict() and got[2]["median"] == 3.0 and got[2]["std"] == 0.0
+
+
+def test_a_constant_has_no_correlation_however_rows_are_dealt(spark):
+    rows = spark.range(0, 98, 1, 2).select(F.lit(1.0).alias("x"), (F.col("id") % 13).cast("double").alias("y"))
+    assert rows.agg(F.stddev_pop("x")).first()[0] > 0  # from merging 49 rows' moments, since 49 * (1 / 49) < 1
+    assert tuple(rows.agg(S.pearson(F.col("x"), F.col("y")).alias("a"), S.pearson(F.col("y"), F.col("x")).alias("b")).first()) == (None, None)
