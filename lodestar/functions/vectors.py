@@ -24,9 +24,13 @@ def cosine(a: Column, b: Column) -> Column:
 
 
 def unit(a: Column) -> Column:
-    """The vector over its norm, in double; null for a zero vector."""
-    n = norm(a)
-    return F.when(n > 0, F.transform(a, lambda x: x.cast("double") / n))
+    """The vector over its norm, in double; null for a zero vector.
+
+    The norm is the element of an array of one, so that it is made once a vector: named in the lambda below it would be made
+    again for every element.
+    """
+    scaled = lambda n: F.when(n > 0, F.transform(a, lambda x: x.cast("double") / n))
+    return F.transform(F.array(norm(a)), scaled)[0]
 
 
 def minus(a: Column, b: Column) -> Column:

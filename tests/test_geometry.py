@@ -110,3 +110,10 @@ def test_blocks_meet_in_whichever_task_they_are(spark, spread):
     want = sorted((-s[i, j], i, j) for i in range(0, 60, 3) for j in range(1, 60, 3))[:4]
     top = G.top_across(df, "label", "vec_id", 4, "vector", 9).filter("group_a = 0 and group_b = 1").orderBy("rank").collect()
     assert [(r["item_a"], r["item_b"]) for r in top] == [(i, j) for _, i, j in want]
+
+
+def test_the_norm_is_made_once_a_vector(spark):
+    """Inside the lambda over its elements it would be made for each of them."""
+    df = spark.createDataFrame([([3.0, 4.0],), ([0.0, 0.0],), (None,)], "a array<double>").select(unit(F.col("a")).alias("u"))
+    assert [r["u"] for r in df.collect()] == [[0.6, 0.8], None, None]
+    assert df._jdf.queryExecution().analyzed().toString().lower().count("sqrt(") == 1
