@@ -40,7 +40,7 @@ from pyspark.sql import types as T
 
 from lodestar.llm.common import column_arrays, map_batches, mix64, schema_with, skew_join, text_of, width, word_hashes
 from lodestar.llm.components import connected
-from lodestar.sources.workspace import materialize
+from lodestar.sources.workspace import discard, made, materialize, release
 
 SHINGLE = 5
 #: Similarity as a fraction.
@@ -429,15 +429,20 @@ def components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> D
         listed.filter(_possible("node", "n", "at", w, f"{w}_n", f"{w}_at", boundary)).select(*_pair("node", w)) for w in ("lead", "last")
     ]
     tried = materialize(close[0].unionByName(close[1]).distinct(), "tried", share=4)
+    held = made()
     likely = materialize(_close(tried, owners), "close")
     links = materialize(_verify(likely, rows, owners).unionByName(stars).distinct(), "links", share=8)
+    release(links, [p for p in made() if p not in held])  # what was read for the last time goes
     roots = materialize(connected(links), "roots", share=8)
 
     entries = listed.select("key", "node", "n", "at").join(roots, "node", "left")
     entries = materialize(entries.select("key", "node", "n", "at", F.coalesce("root", "node").alias("root")), "entries")
+    discard(near)
     mixed = entries.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high").select("key")
     # a pair meets in every list that it shares; it is made in the first of them, as far as entries carry earlier keys
-    entries = materialize(entries.join(mixed, "key"), "mixed")
+    shared = materialize(entries.join(mixed, "key"), "mixed")
+    discard(entries)
+    entries = shared
     own_keys = F.slice(F.array_sort(F.collect_list(F.struct("at", "key"))), 1, EARLIER)
     first = entries.groupBy("node").agg(own_keys.alias("first"))
     entries = entries.join(first, "node").join(owners.select("node", *SHORT), "node")
@@ -449,7 +454,9 @@ def components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> D
     across = a.join(b, "key").filter(F.col("a_root") < F.col("b_root")).filter(_possible("a_node", "a_n", "a_at", "b_node", "b_n", "b_at", boundary))
     across = across.filter(near_enough).filter(~F.arrays_overlap("a_earlier", "b_earlier"))
     across = across.select(*_pair("a_node", "b_node")).distinct().join(tried, ["u", "v"], "left_anti")
-    more = _verify(materialize(across, "across", share=4), rows, owners)
+    across = materialize(across, "across", share=4)
+    discard(shared, tried)
+    more = _verify(across, rows, owners)
     # links between components: the roots of the first round stand for their nodes
     at = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias(f"{c}_root"))
     lifted = more.join(at("u"), "u", "left").join(at("v"), "v", "left")

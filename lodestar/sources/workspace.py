@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 _OWN: dict[str, str] = {}
 _MADE: list[str] = []
+_CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _HOME = str(Path(__file__).resolve().parents[2])
 
 
@@ -65,12 +66,20 @@ def materialize(df: DataFrame, label: str, share: int = 1) -> DataFrame:
 
     ``share``: for what is small beside its source, a table is written by that part of the shuffle partitions, so that
     it does not fall into as many tiny files.
+
+    The exchanges of the write are of no use once it is done, so their files go at once; without that they stay until the
+    driver happens to collect its garbage, and those of all steps of a job lie on the disks together.
     """
     spark = df.sparkSession
     path = new_path(spark, label)
     if share > 1:
         df = df.coalesce(max(1, int(spark.conf.get("spark.sql.shuffle.partitions")) // share))
-    df.write.parquet(path)
+    before = spark.conf.get(_CLEAN_UP, None)
+    spark.conf.set(_CLEAN_UP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(_CLEAN_UP) if before is None else spark.conf.set(_CLEAN_UP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 

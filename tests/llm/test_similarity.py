@@ -6,6 +6,7 @@ import pytest
 from lodestar.llm import similarity as S
 from lodestar.llm.common import word_hashes
 from lodestar.llm.components import connected
+from lodestar.sources.workspace import exists, made
 from tests.llm.helpers import ODD, components, empty, odd, shingle_set, words
 
 
@@ -125,3 +126,13 @@ def test_connected(spark):
     got = {r["node"]: r["root"] for r in connected(spark.createDataFrame(chain, "u long, v long")).collect()}
     assert got == {**{i: 0 for i in range(41)}, 100: 100, 101: 100, 102: 100}
     assert connected(spark.createDataFrame([], "u long, v long")).count() == 0
+
+
+def test_working_tables_go_when_they_were_read_last(spark):
+    before = set(made())
+    text = " ".join(f"w{k}" for k in range(60))
+    docs = spark.createDataFrame([(1, text), (2, text + " end"), (3, "another text of some words here")], "doc_id long, text string")
+    found = S.components(docs)
+    left = {p.rsplit("/", 1)[1].rsplit("-", 1)[0] for p in made() if p not in before and exists(spark, p)}
+    assert {r["doc_id"]: r["component_id"] for r in found.collect()} == {1: 1, 2: 1, 3: 3}
+    assert not left & {"lists", "entries", "mixed", "tried", "close"}

@@ -1,9 +1,11 @@
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
 from lodestar.operators.quality import ContractError
 from lodestar.sources import schemas, sinks, tables
-from lodestar.sources.workspace import new_path
+from lodestar.sources.workspace import materialize, new_path
 
 
 def _passages(spark):
@@ -36,3 +38,14 @@ def test_failures_and_review(spark):
     states = spark.createDataFrame([(1, "success", ""), (2, "failed", "no path")], "k long, status string, error_message string")
     assert [(r["k"], r["error_message"]) for r in sinks.failures(records, states, "k").collect()] == [(2, "no path")]
     assert [r["k"] for r in sinks.review(records, [F.desc("k")], 1, composer="A").collect()] == [2]
+
+
+def test_exchanges_of_a_working_table_leave_no_files(spark):
+    files = lambda: spark._jsc.sc().env().blockManager().diskBlockManager().getAllFiles().mkString("\n").count("shuffle_")
+    before = files()
+    held = materialize(spark.range(1000).repartition(3, "id"), "t")
+    deadline = time.time() + 20  # files go in the background
+    while files() > before and time.time() < deadline:
+        time.sleep(0.2)
+    assert files() <= before
+    assert len(held.collect()) == 1000
