@@ -9,6 +9,7 @@ from lodestar.functions import identity as I
 from lodestar.functions import strings as S
 from lodestar.operators import scores
 from lodestar.plans.catalog import query, table
+from lodestar.sources.workspace import materialize
 
 _TITLE = """concat('Piano Sonata No. ', p_partkey % 18 + 1, ', K. ', 280 + p_size, CASE WHEN p_partkey % 5 = 0 THEN ' (189h)' ELSE '' END, CASE WHEN p_partkey % 4 = 3 THEN '' ELSE concat(': ', {roman}, '. Allegro') END,
 CASE p_partkey % 3 WHEN 0 THEN ' - Live' WHEN 1 THEN ' (Remastered 1999)' ELSE '' END)"""
@@ -144,7 +145,7 @@ def score_features(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("score_measures", "SELECT l_orderkey, 1::BIGINT AS parts, ((count(*) + 1) // 2)::INT AS measures FROM lineitem GROUP BY l_orderkey")
 def score_measures(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scores.measure_counts(scores.elements(score_documents(spark, sf_dir), "l_orderkey", "content"), ["l_orderkey"])
+    return scores.counted(scores.parsed(score_documents(spark, sf_dir), "l_orderkey", "content", measures_only=True), ["l_orderkey"])
 
 
 @query("score_crops", f"""WITH {_NOTES}, m AS (SELECT l_orderkey, max(measure) AS measures FROM v GROUP BY l_orderkey), w AS (SELECT l_orderkey, measures, unnest([2, 3]) AS bar_start FROM m)
@@ -152,9 +153,11 @@ SELECT w.l_orderkey, bar_start::INT AS bar_start, CASE WHEN measures > bar_start
 count(v.k) AS notes, any_value(fifths)::INT AS fifths, any_value(mode) AS mode, round(sum(quarters), 6)::DOUBLE AS quarters FROM w LEFT JOIN v ON v.l_orderkey = w.l_orderkey AND measures > bar_start AND measure BETWEEN bar_start AND bar_start + 1 GROUP BY w.l_orderkey, bar_start, measures""")
 def score_crops(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two windows of two measures of each score, cut from the document, read again and summed up."""
-    table_ = scores.elements(score_documents(spark, sf_dir), "l_orderkey", "content", sources=True)
-    w = table_.filter("tag = '#head'").select("l_orderkey", F.explode(F.array(F.lit(2), F.lit(3))).alias("bar_start")).withColumn("bar_end", F.col("bar_start") + 1)
-    cut = scores.crop(table_, w, ["l_orderkey"]).withColumn("id", F.concat_ws(":", "l_orderkey", "bar_start"))
+    whole = scores.parsed(score_documents(spark, sf_dir), "l_orderkey", "content", sources=True)
+    readable = F.exists("elements", lambda x: x["tag"] == "#head")
+    asked = F.when(readable, F.array(*[F.struct(F.lit(k).alias("bar_start"), F.lit(k + 1).alias("bar_end")) for k in (2, 3)]))
+    cut = scores.crops(whole, ["l_orderkey"], F.col("elements"), asked).withColumn("id", F.concat_ws(":", "l_orderkey", "bar_start"))
+    cut = materialize(cut, "crops")  # they are read twice, and cut once
     played = scores.notes(scores.elements(cut.filter("document is not null"), "id", "document"), ["id"])
     sums = played.groupBy("id").agg(F.count(F.lit(1)).alias("notes"), F.first("fifths").alias("fifths"), F.first("mode").alias("mode"), F.round(F.sum("quarters"), 6).alias("quarters"))
     return cut.join(sums, "id", "left").fillna(0, ["notes"]).select("l_orderkey", "bar_start", "first_label", "last_label", F.col("measures").cast("int").alias("measures"), "notes", "fifths", "mode", "quarters")

@@ -118,3 +118,31 @@ def test_strings(spark):
     assert _one(spark, S.whole, "3.0", "7", "x", "") == [3, 7, None, None]
     assert _one(spark, S.license_allows, "CC-BY 4.0", "permitted", "unknown") == [True, True, False]
     assert _one(spark, lambda c: S.folded_contains(c, "CHOPIN"), "Frédéric Chópin", "Bach") == [True, False]
+
+
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_scores_are_parsed_once(spark):
+    rows = spark.createDataFrame([(0, DUET.encode()), (1, b"no xml"), (2, None), (3, b"<score-partwise/>")], "id long, c binary")
+    # a crop is read off the row of its score; only the table form gathers elements
+    cut = scores.crop(scores.elements(rows, "id", "c", True), spark.createDataFrame([(0, 1, 1), (1, 1, 1)], "id long, bar_start int, bar_end int"), ["id"])
+    assert _plan(cut).count("ArrowEvalPython") == 1 and _plan(cut).count("MapInArrow") == 0
+    got = {r["id"]: r["document"] for r in cut.collect()}
+    assert got[1] is None and got[0].count("<note>") == 6
+    whole = scores.parsed(rows, "id", "c", sources=True)
+    asked = F.array(F.struct(F.lit(1).alias("bar_start"), F.lit(1).alias("bar_end")))
+    own = scores.crops(whole, ["id"], F.col("elements"), asked)
+    assert _plan(own).count("ArrowEvalPython") == 1 and "Exchange" not in _plan(own)
+    assert {r["id"]: r["document"] for r in own.collect()} == got | {2: None, 3: None}
+
+
+def test_measures_are_counted_in_the_row(spark):
+    documents = [DUET.encode(), b"<score-timewise/>", b"no xml", None, b'<score-partwise><part id="x"><measure/></part><x><measure/></x></score-partwise>', b"<score-partwise/>"]
+    rows = spark.createDataFrame(list(enumerate(documents)), "id long, c binary")
+    own = scores.counted(scores.parsed(rows, "id", "c", measures_only=True), ["id"])
+    assert _plan(own).count("ArrowEvalPython") == 1 and "Exchange" not in _plan(own)
+    assert sorted(map(tuple, own.collect())) == sorted(map(tuple, scores.measure_counts(scores.elements(rows, "id", "c"), ["id"]).collect())) == [(0, 2, 1), (4, 1, 1)]
+    few, full = scores.elements(rows, "id", "c", measures_only=True), scores.elements(rows, "id", "c").filter("tag = '#measure' or error is not null")
+    assert sorted(map(tuple, few.drop("ord", "opening").collect()), key=repr) == sorted(map(tuple, full.drop("ord", "opening").collect()), key=repr)
