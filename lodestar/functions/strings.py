@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import functools
 import unicodedata
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -31,12 +32,28 @@ def _decompositions() -> tuple[str, str, dict[str, str]]:
     return "".join(one), "".join(one.values()), {c: b for c, b in found.items() if len(b) > 1}
 
 
+@functools.cache
+def _several_class() -> str:
+    """A pattern of the letters that decompose to several, by ranges: a pattern of single letters tests each of them."""
+    points = sorted(map(ord, _decompositions()[2]))
+    starts = [p for p in points if p - 1 not in points]
+    ends = [p for p in points if p + 1 not in points]
+    return "[" + "".join(f"\\x{{{a:X}}}-\\x{{{b:X}}}" for a, b in zip(starts, ends, strict=True)) + "]"
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is made once, as the element of an array of one, however often the body names it."""
+    return F.transform(F.array(value), body)[0]
+
+
 def unaccented(c: Column) -> Column:
     """Text in compatibility decomposition without combining marks: letters lose their accents, ligatures fall apart."""
     ones, bare, several = _decompositions()
-    plain = F.translate(F.regexp_replace(c, r"\p{M}+", ""), ones, bare)
-    rare = functools.reduce(lambda x, kv: F.replace(x, F.lit(kv[0]), F.lit(kv[1])), several.items(), plain)
-    return F.when(plain.rlike(f"[{''.join(several)}]"), rare).otherwise(plain)
+    pairs = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(v).alias("v")) for k, v in several.items()])
+    rare = lambda plain: F.aggregate(pairs, plain, lambda x, kv: F.replace(x, kv["k"], kv["v"]))
+    plain_of = lambda t: F.translate(F.regexp_replace(t, r"\p{M}+", ""), ones, bare)
+    some = lambda plain: F.when(plain.rlike(_several_class()), rare(plain)).otherwise(plain)
+    return let(c, lambda t: F.when(t.rlike(r"[^\x00-\x7F]"), let(plain_of(t), some)).otherwise(t))
 
 
 def folded(c: Column) -> Column:
@@ -47,13 +64,13 @@ def folded(c: Column) -> Column:
 def ascii_slug(c: Column, default: str = "passage") -> Column:
     """A slug of the ASCII characters alone: other letters are dropped, not decomposed."""
     s = F.regexp_replace(F.regexp_replace(F.lower(F.regexp_replace(clean(c), r"[^\x00-\x7F]", "")), "[^a-z0-9]+", "-"), "^-+|-+$", "")
-    return F.when(s == "", default).otherwise(s)
+    return F.regexp_replace(s, r"\A\z", default)
 
 
 def slug(c: Column, default: str = "none") -> Column:
     """Accents dropped, runs of anything but ASCII letters and digits as one dash, no dashes at the ends, lower case."""
     s = F.lower(F.regexp_replace(F.regexp_replace(unaccented(clean(c)), "[^A-Za-z0-9]+", "-"), "^-+|-+$", ""))
-    return F.when(s == "", default).otherwise(s)
+    return F.regexp_replace(s, r"\A\z", default)
 
 
 def humanize(c: Column) -> Column:
