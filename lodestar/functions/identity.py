@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import functools
+from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestar.functions.strings import clean, folded, hashed_id, parent
+from lodestar.functions.strings import clean, folded, hashed_id, let, parent
 
 # Labels of recordings that say nothing about the work, removed in this order.
 RECORDING_LABELS = (
@@ -59,15 +60,13 @@ def _lookup(key: Column, values: dict[str, str]) -> Column:
 
 def composer(c: Column) -> Column:
     """The short name of a known composer, by a part of the name without case and accents, else the trimmed name."""
-    name = folded(c)
-    known = [F.when(name.contains(part), short) for part, (short, _) in COMPOSERS.items()]
-    return F.coalesce(*known, clean(c))
+    known = lambda name: F.coalesce(*[F.when(name.contains(part), short) for part, (short, _) in COMPOSERS.items()])
+    return let(clean(c), lambda t: F.coalesce(let(folded(t), known), t))
 
 
 def period(c: Column) -> Column:
     """The period of a known composer, else ``""``."""
-    name = composer(c)
-    return F.coalesce(*[F.when(name == short, when) for short, when in COMPOSERS.values()], F.lit(""))
+    return let(composer(c), lambda name: F.coalesce(*[F.when(name == short, when) for short, when in COMPOSERS.values()], F.lit("")))
 
 
 def without_labels(title: Column) -> Column:
@@ -84,42 +83,46 @@ def catalogue_tokens(text: Column) -> Column:
     """Catalogue numbers after K or KV in order; with any of them, numbers alone in brackets too."""
     main = F.regexp_extract_all(text, F.lit(CATALOGUE), F.lit(1))
     alone = F.regexp_extract_all(text, F.lit(IN_BRACKETS), F.lit(1))
-    return F.when(F.size(main) > 0, F.concat(main, F.array_except(alone, main))).otherwise(F.array().cast("array<string>"))
+    return let(main, lambda m: F.when(F.size(m) > 0, F.concat(m, F.array_except(alone, m))).otherwise(F.array().cast("array<string>")))
 
 
 def catalogue(tokens: Column) -> Column:
     """The number compared: the last token, lower-cased, a simple one by its primary number; null without tokens."""
-    last = F.replace(F.lower(F.trim(F.try_element_at(tokens, F.size(tokens)))), F.lit(" "), F.lit(""))
-    return F.when(F.size(tokens) > 0, F.when(last.contains(":") | last.contains("-"), last).otherwise(_lookup(last, ALTERNATES)))
+    last = lambda t: F.replace(F.lower(F.trim(F.try_element_at(t, F.size(t)))), F.lit(" "), F.lit(""))
+    primary = lambda x: F.when(x.contains(":") | x.contains("-"), x).otherwise(_lookup(x, ALTERNATES))
+    return let(tokens, lambda t: F.when(F.size(t) > 0, let(last(t), primary)))
 
 
 def movement(value: Column) -> Column:
     """A movement as an Arabic number if it is a Roman or Arabic one, without dots, ordinal endings and zeros."""
     s = F.trim(F.regexp_replace(F.replace(F.lower(clean(value)), F.lit("."), F.lit("")), "(st|nd|rd|th)$", ""))
-    number = F.regexp_replace(_lookup(s, ROMAN), "^0+(?=[0-9])", "")
-    return F.when(number != "", number)
+    number = lambda s: F.regexp_replace(_lookup(s, ROMAN), "^0+(?=[0-9])", "")
+    return let(let(s, number), lambda n: F.when(n != "", n))
 
 
 def _found(text: Column, pattern: str, group: int = 1) -> Column:
-    return F.nullif(F.regexp_extract(text, pattern, group), F.lit(""))
+    return let(F.regexp_extract(text, pattern, group), lambda x: F.when(x != "", x))
 
 
 def movement_in_title(title: Column, short_name: Column, stripped: bool = False) -> Column:
     """The movement that a title names; rules in order, some for one composer only. ``stripped``: without labels already."""
-    t = title if stripped else without_labels(title)
-    sonata = F.lower(t).contains("sonata")
-    after_colon = _found(t, AFTER_COLON)
-    pair = F.when(sonata & short_name.isin("Mozart", "Chopin"), _found(t, IN_PAIR, 2))
-    numbered = _found(t, OF_SONATA, 2)
-    ordinal = F.when(sonata, _found(t, ORDINAL))
-    etude = F.when(F.lower(t).contains("etude"), _found(t, OF_OPUS, 2))
-    return movement(F.coalesce(after_colon, pair, F.when(short_name == "Chopin", F.coalesce(numbered, ordinal, etude))))
+
+    def found(t: Column) -> Column:
+        sonata = F.lower(t).contains("sonata")
+        after_colon = _found(t, AFTER_COLON)
+        pair = F.when(sonata & short_name.isin("Mozart", "Chopin"), _found(t, IN_PAIR, 2))
+        numbered = _found(t, OF_SONATA, 2)
+        ordinal = F.when(sonata, _found(t, ORDINAL))
+        etude = F.when(F.lower(t).contains("etude"), _found(t, OF_OPUS, 2))
+        return F.coalesce(after_colon, pair, F.when(short_name == "Chopin", F.coalesce(numbered, ordinal, etude)))
+
+    return movement(let(title if stripped else without_labels(title), found))
 
 
 def movement_in_path(path: Column) -> Column:
     """The movement that the folder of a file names."""
     leaf = F.substring_index(parent(path), "/", -1)
-    return movement(F.coalesce(_found(leaf, FOLDER_PAIR, 2), _found(leaf, FOLDER_NUMBER), _found(leaf, FOLDER_ORDINAL)))
+    return movement(let(leaf, lambda x: F.coalesce(_found(x, FOLDER_PAIR, 2), _found(x, FOLDER_NUMBER), _found(x, FOLDER_ORDINAL))))
 
 
 def is_open_instrumentation(title: Column) -> Column:
@@ -144,15 +147,16 @@ def with_identity(df: DataFrame, name: str, title: str, path: str) -> DataFrame:
     return rows.withColumn("work_key", analysis_work_id(F.col("__short"), F.col("catalogue_number"), F.col("movement_number"))).drop("__short", "__title")
 
 
-def group_conflicts(identified: DataFrame, group: str) -> DataFrame:
-    """Per group: several catalogue numbers or movements, title and path that differ, missing evidence."""
+def group_conflicts(identified: DataFrame, group: str, more: Mapping[str, Column] | None = None) -> DataFrame:
+    """Per group: several catalogue numbers or movements, title and path that differ, missing evidence, and ``more`` aggregates."""
     apart = F.col("title_number").isNotNull() & F.col("path_number").isNotNull() & (F.col("title_number") != F.col("path_number"))
     rows = identified.groupBy(group).agg(
         F.array_sort(F.collect_set("catalogue_number")).alias("numbers"), F.array_sort(F.collect_set("movement_number")).alias("movements"),
         F.count_if(apart).alias("mismatches"), F.count_if(F.col("catalogue_number").isNull()).alias("without_number"),
+        *[c.alias(n) for n, c in (more or {}).items()],
     )
     conflict = (F.size("numbers") > 1) | (F.size("movements") > 1)
-    return rows.select(group, F.array_join("numbers", ";").alias("numbers"), F.array_join("movements", ";").alias("movements"), "mismatches", "without_number", conflict.alias("conflict"))
+    return rows.select(group, F.array_join("numbers", ";").alias("numbers"), F.array_join("movements", ";").alias("movements"), "mismatches", "without_number", conflict.alias("conflict"), *(more or {}))
 
 
 def decide(rows: DataFrame) -> Column:

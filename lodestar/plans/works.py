@@ -58,8 +58,8 @@ def expansion_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     chosen = table(spark, sf_dir, "part").select(g.alias("grp")).distinct().filter("grp % 8 >= 4 and grp % 3 = 0")
     chosen = chosen.select(F.lit("Mozart").alias("name"), F.concat(F.lit("Sonata in C, K "), number(F.col("grp") + 1), F.lit(": 2. (Remastered 2001)")).alias("title"), F.lit("").alias("path"))
     known = I.with_identity(chosen, "name", "title", "path").select("work_key").distinct().withColumn("known", F.lit(True))
-    flags = found.join(known, "work_key", "left").groupBy("grp").agg(F.bool_or(F.col("known").isNotNull()).alias("represented"), F.bool_or(I.is_open_instrumentation(F.col("title"))).alias("open_instrumentation"))
-    decided = I.group_conflicts(found, "grp").join(flags, "grp")
+    flags = {"represented": F.bool_or(F.col("known").isNotNull()), "open_instrumentation": F.bool_or(I.is_open_instrumentation(F.col("title")))}
+    decided = I.group_conflicts(found.join(known, "work_key", "left"), "grp", flags)
     return decided.select("grp", I.decide(decided).alias("decision"))
 
 

@@ -146,3 +146,19 @@ def test_measures_are_counted_in_the_row(spark):
     assert sorted(map(tuple, own.collect())) == sorted(map(tuple, scores.measure_counts(scores.elements(rows, "id", "c"), ["id"]).collect())) == [(0, 2, 1), (4, 1, 1)]
     few, full = scores.elements(rows, "id", "c", measures_only=True), scores.elements(rows, "id", "c").filter("tag = '#measure' or error is not null")
     assert sorted(map(tuple, few.drop("ord", "opening").collect()), key=repr) == sorted(map(tuple, full.drop("ord", "opening").collect()), key=repr)
+
+
+def test_folding_and_identity_are_made_once(spark):
+    """Expressions that name a part of theirs several times make it once, so the text of the plan stays short."""
+    row = spark.createDataFrame([("Sonata K. 331: II. B", "/K332/2._B/p.mxl")], "t string, p string").withColumn("n", F.lit("x"))
+    assert _plan(row.select(S.slug(F.col("t")))).count("translate(") <= 2 and _plan(row.select(I.period(F.col("t")))).count("translate(") <= 2
+    assert _plan(row.select(I.catalogue(I.catalogue_tokens(F.col("t"))))).count("regexp_extract_all(") <= 4
+    assert _plan(row.select(I.movement_in_path(F.col("p")))).count("regexp_extract(") <= 8
+    found = I.with_identity(row, "n", "t", "p")
+    both = I.group_conflicts(found, "n", {"open": F.bool_or(I.is_open_instrumentation(F.col("t")))}).first()
+    assert (both["numbers"], both["movements"], both["mismatches"], both["conflict"], both["open"]) == ("331", "2", 1, False, False)
+    every = [c for c in map(chr, range(0x20, 0x10000)) if not "\ud800" <= c <= "\udfff"]
+    ones, bare, several = S._decompositions()
+    want = {c: several.get(c, dict(zip(ones, bare)).get(c, c)) for c in every}
+    got = dict(spark.createDataFrame([(c,) for c in [*several, *ones, "ж", "a", "…"]], "c string").select("c", S.unaccented(F.col("c"))).collect())
+    assert got == {c: want[c] for c in got}
