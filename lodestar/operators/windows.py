@@ -18,6 +18,29 @@ def fixed_windows(df: DataFrame, low: str, high: str, size: int, stride: int | N
     return rows.withColumn("bar_end", F.col("bar_start") + (size - 1)).withColumn("method", F.lit(label))
 
 
+def window_modes(df: DataFrame, low: str, high: str, sizes: Sequence[int]) -> DataFrame:
+    """The whole range and its tumbling windows of some sizes, each range once, of the earliest mode that has it.
+
+    Whether an earlier mode has a range is told by its place, in the row of the movement: nothing is sorted or moved.
+    """
+    first, last = F.col(low), F.col(high)
+    modes = [F.array(_range(first, last, "complete_movement"))]
+    for size in dict.fromkeys(sizes):
+        latest = last - (size - 1)
+        starts = F.when(first <= latest, F.sequence(first, latest, F.lit(size))).otherwise(F.array().cast("array<int>"))
+        each = F.transform(starts, _of_size(size))
+        modes.append(F.when(last - first == size - 1, F.array().cast("array<struct<bar_start:int,bar_end:int,method:string>>")).otherwise(each))
+    return df.select(*[c for c in df.columns if c not in (low, high)], F.inline(F.flatten(F.array(*modes))))
+
+
+def _range(start: Column, end: Column, method: str) -> Column:
+    return F.struct(start.alias("bar_start"), end.alias("bar_end"), F.lit(method).alias("method"))
+
+
+def _of_size(size: int):
+    return lambda s: _range(s, s + (size - 1), f"fixed_{size}_bars")
+
+
 def chunks(df: DataFrame, length: str, size: float, overlap: float) -> DataFrame:
     """Chunks of ``size`` with ``overlap`` over [0, length]; the partial last chunk is kept, none starts at the end."""
     step = size - overlap
@@ -29,13 +52,21 @@ def chunks(df: DataFrame, length: str, size: float, overlap: float) -> DataFrame
 
 def islands(boundaries: DataFrame, keys: Sequence[str], at: str, low: str, high: str, tail: bool) -> DataFrame:
     """Ranges between successive boundaries; the range after the last one only with ``tail``."""
-    w = Window.partitionBy(*keys).orderBy(at)
-    inside = boundaries.filter((F.col(at) >= F.col(low)) & (F.col(at) <= F.col(high))).select(*keys, low, high, at).distinct()
-    rows = inside.select(*keys, F.coalesce(F.lag(at).over(w) + 1, F.col(low)).alias("bar_start"), F.col(at).alias("bar_end"))
-    if tail:
-        last = inside.groupBy(*keys).agg(F.max(at).alias("a"), F.max(high).alias("h")).filter("a < h")
-        rows = rows.unionByName(last.select(*keys, (F.col("a") + 1).alias("bar_start"), F.col("h").alias("bar_end")))
-    return rows
+    inside = boundaries.filter((F.col(at) >= F.col(low)) & (F.col(at) <= F.col(high)))
+    kind = dict(inside.dtypes)[at]
+    # a movement's boundaries are no more than its positions, and are ranges in its own row
+    rows = inside.groupBy(*keys, low, high).agg(F.array_sort(F.collect_set(at)).alias("__at"))
+    return rows.select(*keys, F.inline(_between(F.col("__at"), F.col(low), F.col(high), kind, tail)))
+
+
+def _between(marks: Column, low: Column, high: Column, kind: str, tail: bool) -> Column:
+    """(bar_start, bar_end) between sorted marks, and after the last one with ``tail``."""
+    span = lambda a, b: F.struct(a.cast(kind).alias("bar_start"), b.cast(kind).alias("bar_end"))
+    ranges = F.transform(marks, lambda m, k: span(F.when(k == 0, low).otherwise(F.get(marks, k - 1) + 1), m))
+    if not tail:
+        return ranges
+    last = F.element_at(marks, -1)
+    return F.concat(ranges, F.when(last < high, F.array(span(last + 1, high))).otherwise(F.array().cast(f"array<struct<bar_start:{kind},bar_end:{kind}>>")))
 
 
 def parse_ranges(df: DataFrame, text: str, low: str, high: str) -> DataFrame:

@@ -112,3 +112,18 @@ def test_merged_bundles(spark):
     assert {r["item_id"]: r["embedding_row"] for r in merged([a, b]).collect()} == {"a": 0, "b": 1, "x": None}
     with pytest.raises(ContractError):
         merged([a, a])
+
+
+def test_windows_and_islands_are_made_in_the_row_of_a_movement(spark):
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    m = spark.createDataFrame([(1, 1, 3), (2, 1, 4), (3, 3, 10), (4, 2, 13)], "id long, low int, high int")
+    got = W.window_modes(m, "low", "high", (4, 8))
+    assert "Exchange" not in plan(got) and "Window" not in plan(got)
+    assert sorted(map(tuple, got.collect())) == [
+        (1, 1, 3, "complete_movement"), (2, 1, 4, "complete_movement"), (3, 3, 6, "fixed_4_bars"), (3, 3, 10, "complete_movement"), (3, 7, 10, "fixed_4_bars"),
+        (4, 2, 5, "fixed_4_bars"), (4, 2, 9, "fixed_8_bars"), (4, 2, 13, "complete_movement"), (4, 6, 9, "fixed_4_bars"), (4, 10, 13, "fixed_4_bars"),
+    ]
+    marks = spark.createDataFrame([(1, 1, 9, 4), (1, 1, 9, 4), (1, 1, 9, 7), (1, 1, 9, 12), (2, 1, 4, 4)], "id long, low int, high int, at int")
+    islands = W.islands(marks, ["id"], "at", "low", "high", True)
+    assert "Window" not in plan(islands) and "Union" not in plan(islands)
+    assert sorted(map(tuple, islands.collect())) == [(1, 1, 4), (1, 5, 7), (1, 8, 9), (2, 1, 4)]
