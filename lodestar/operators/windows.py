@@ -121,12 +121,13 @@ def offsets(events: DataFrame, keys: Sequence[str], at: str, time: str, length:
     return rows.filter("offset > onset").select(*keys, at, "onset", "offset")
 
 
-def interpolate(anchors: DataFrame, queries: DataFrame, keys: Sequence[str], x: str, y: str) -> DataFrame:
+def interpolate(anchors: DataFrame, queries: DataFrame, keys: Sequence[str], x: str, y: str, keep: Sequence[str] = ()) -> DataFrame:
     """Values at ``queries.x`` on the monotone piecewise-linear curve through a key's anchors.
 
     Anchors at one x are replaced by their median, y is made non-decreasing, ends go on at the last slope and never
     below zero; a key with one anchor is constant, one without has null. Each anchor carries the slope that follows it (the
-    last one the slope before it); a query takes the last anchor at or before it, else the key's first.
+    last one the slope before it); a query takes the last anchor at or before it, else the key's first. ``keep``: further columns
+    of the queries.
     """
     point = anchors.groupBy(*keys, F.col(x).cast("double").alias("__x")).agg(F.median(y).alias("__y"))
     w = Window.partitionBy(*keys).orderBy("__x")
@@ -134,13 +135,14 @@ def interpolate(anchors: DataFrame, queries: DataFrame, keys: Sequence[str], x:
     step = lambda f, sign: F.try_divide(sign * (f("__y").over(w) - F.col("__y")), sign * (f("__x").over(w) - F.col("__x")))
     slope = F.coalesce(step(F.lead, 1), step(F.lag, -1), F.lit(0.0))
     kind = dict(queries.dtypes)[x]
-    curve = point.select(*keys, F.lit(None).cast(kind).alias(x), "__x", F.struct("__x", "__y", slope.alias("s")).alias("__a"), F.lit(0).alias("__q"))
-    asked = queries.toDF(*queries.columns).select(*keys, x, F.col(x).cast("double").alias("__x"), F.lit(None).cast("struct<__x:double,__y:double,s:double>").alias("__a"), F.lit(1).alias("__q"))
+    kept = dict(queries.select(*keep).dtypes) if keep else {}
+    curve = point.select(*keys, *[F.lit(None).cast(t).alias(c) for c, t in kept.items()], F.lit(None).cast(kind).alias(x), "__x", F.struct("__x", "__y", slope.alias("s")).alias("__a"), F.lit(0).alias("__q"))
+    asked = queries.toDF(*queries.columns).select(*keys, *keep, x, F.col(x).cast("double").alias("__x"), F.lit(None).cast("struct<__x:double,__y:double,s:double>").alias("__a"), F.lit(1).alias("__q"))
     line = Window.partitionBy(*keys).orderBy("__x", "__q").rowsBetween(Window.unboundedPreceding, 0)
     at = F.coalesce(F.last("__a", ignorenulls=True).over(line), F.min("__a").over(Window.partitionBy(*keys)))
     rows = curve.unionByName(asked).withColumn("__at", at).filter("__q = 1")
     value = F.col("__at.__y") + (F.col("__x") - F.col("__at.__x")) * F.col("__at.s")
-    return rows.select(*keys, x, F.when(F.col("__at").isNotNull(), F.greatest(value, F.lit(0.0))).alias("value"))
+    return rows.select(*keys, *keep, x, F.when(F.col("__at").isNotNull(), F.greatest(value, F.lit(0.0))).alias("value"))
 
 
 def note_timings(measures: DataFrame, notes: DataFrame, keys: Sequence[str], length: Column | None = None) -> DataFrame:
@@ -153,9 +155,9 @@ def note_timings(measures: DataFrame, notes: DataFrame, keys: Sequence[str], len
     numbers = {c: F.col(c).try_cast("double") for c in ("score_onset", "performance_onset", "confidence")}
     use = notes.filter(F.lower(F.trim("mapping_state")).isin("matched", "interpolated")).withColumns(numbers).dropna(subset=list(numbers))
     ends = measures.select(*keys, "measure", F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.col(c).cast("double").alias("score_onset")) for k, c in enumerate(("start_seconds", "end_seconds"))])).alias("e"))
-    asked = ends.select(*keys, "e.score_onset").distinct()
-    curve = interpolate(use.select(*keys, "score_onset", "performance_onset"), asked.join(use.select(*keys).distinct(), list(keys), "left_semi"), keys, "score_onset", "performance_onset")
-    at = ends.select(*keys, "measure", "e.k", "e.score_onset").join(curve, [*keys, "score_onset"])
+    asked = ends.select(*keys, "measure", "e.k", "e.score_onset").filter("score_onset is not null")
+    # both ends of a measure go through the curve as they are; a key without anchors has no values
+    at = interpolate(use.select(*keys, "score_onset", "performance_onset"), asked, keys, "score_onset", "performance_onset", keep=["measure", "k"]).filter("value is not null")
     value = F.least(F.col("value"), length) if length is not None else F.col("value")
     both = at.groupBy(*keys, "measure").agg(F.max(F.when(F.col("k") == 0, value)).alias("onset_seconds"), F.max(F.when(F.col("k") == 1, value)).alias("offset_seconds"))
     trust = use.groupBy(*keys).agg(F.min("confidence").alias("confidence"))

@@ -3,6 +3,7 @@ import dataclasses
 import pytest
 from pyspark.sql import functions as F
 
+from lodestar.operators import windows
 from lodestar.operators import build as B
 from lodestar.operators.quality import ContractError
 from lodestar.sources.versions import Store
@@ -117,3 +118,11 @@ def test_report_finds_conflicts(spark):
     assert got["several recordings", "c"] == (2, "ok") and got["status", "overall"] == (3, "error")
     fine = {r["section"]: r["status"] for r in B.report(rows.filter("passage_id = 'p1'"), files, ["ok"], F.lit(True)).collect()}
     assert fine["status"] == "ok"
+
+
+def test_note_timings_send_both_ends_through_the_curve_once(spark):
+    measures = spark.createDataFrame([(1, 1, 0.0, 2.0), (1, 2, 2.0, 4.0), (1, 3, None, 5.0), (2, 1, 0.0, 2.0)], "id long, measure int, start_seconds double, end_seconds double")
+    notes = spark.createDataFrame([(1, 0.0, 1.0, 0.5, "matched"), (1, 4.0, 9.0, 0.7, " Interpolated"), (1, 2.0, 0.0, 0.1, "unmatched"), (2, 0.0, 1.0, 0.5, "unmatched")], "id long, score_onset double, performance_onset double, confidence double, mapping_state string")
+    got = windows.note_timings(measures, notes, ["id"])
+    assert got._jdf.queryExecution().executedPlan().toString().count("Join ") == 1
+    assert sorted(map(tuple, got.collect())) == [(1, 1, 1.0, 5.0, 0.5), (1, 2, 5.0, 9.0, 0.5)]
