@@ -11,7 +11,7 @@ import functools
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestar.functions.identity import composer, period
@@ -22,11 +22,12 @@ from lodestar.sources.versions import Store
 from lodestar.sources.workspace import materialize
 
 # What the ids of each kind begin with, the score formats that can be read, the columns that one recording
-# and one movement must agree on, and the reasons of rows that are left out.
+# and one movement must agree on, the keys of the canonical tables, and the reasons of rows that are left out.
 ID_PREFIXES = {"composition_id": "cmp_", "work_id": "wrk_", "score_version_id": "scv_", "performance_id": "prf_", "recording_id": "rec_", "alignment_id": "aln_"}
 SCORE_FORMATS = (".mid", ".midi", ".mxl", ".musicxml", ".xml")
 RECORDING_FIELDS = ("composer", "period", "composition_id", "work_id", "movement_id", "recording_id", "audio_path", "rights_status", "audio_origin")
 SYMBOLIC_FIELDS = ("composer", "period", "composition_id", "work_id", "movement_id", "score_path", "mxl_path", "midi_path", "score_format", "score_version_id")
+KEYS = {"works": "work_id", "scores": "score_version_id", "recordings": "recording_id", "alignments": "alignment_id", "assets": "path"}
 NOT_ELIGIBLE = "row is not marked eligible_for_clap"
 LOCATOR = "score_path is a metadata locator rather than MusicXML/MXL/MIDI"
 
@@ -52,6 +53,13 @@ class Corpus:
     notes: DataFrame | None = None
     measures: DataFrame | None = None
 
+    def require_unique(self) -> None:
+        """Raises if a key occurs twice; a corpus is looked through once, however many runs it serves."""
+        if "unique" not in self.__dict__:
+            for name, key in KEYS.items():
+                catalogue.require_unique(getattr(self, name), [key], name)
+            self.__dict__["unique"] = True
+
 
 @dataclass(frozen=True)
 class Build:
@@ -68,46 +76,64 @@ def rights_status(licences: Column) -> Column:
     return F.when(plain.rlike("cc by|mit|public domain"), "licensed_for_research").otherwise("license_review_required")
 
 
-def _with(rows: DataFrame, table: DataFrame, key: str, names: Mapping[str, str], mark: str) -> DataFrame:
-    """Left join of a table with unique keys, under new names, and whether there was a row."""
-    catalogue.require_unique(table, [key], mark)
-    other = table.select(F.col(key).alias("__key"), *[F.col(c).alias(n) for c, n in names.items()], F.lit(True).alias(mark))
-    return rows.join(other, clean(F.col(key)) == F.col("__key"), "left").drop("__key")
-
-
 def _first(rules: Sequence[tuple[Column, str]]) -> Column:
     return functools.reduce(lambda w, r: w.when(F.coalesce(r[0], F.lit(True)), r[1]), rules[1:], F.when(F.coalesce(rules[0][0], F.lit(True)), rules[0][1]))
 
 
-def _checked(rows: DataFrame, corpus: Corpus, audio_sha: Column, verify: bool) -> DataFrame:
-    """Rows with what the canonical tables say of them and ``error``, the first check that they fail."""
-    rows = _with(rows, corpus.works, "work_id", {"title": "__title"}, "__work")
-    rows = _with(rows, corpus.scores, "score_version_id", {"sha256": "__score_sha"}, "__score")
-    rows = _with(rows, corpus.recordings, "recording_id", {"sha256": "__recording_sha", "source_dataset": "__dataset"}, "__recording")
-    rows = _with(rows, corpus.alignments, "alignment_id", {"granularity": "__granularity", "method": "__method", "sha256": "__alignment_sha"}, "__alignment")
-    catalogue.require_unique(corpus.assets, ["path"], "assets")
-    for name in ("score", "audio", "alignment"):
-        files = corpus.assets.select(F.col("path").alias("__at"), F.lower("sha256").alias(f"__{name}_found"), F.col("seconds").alias(f"__{name}_seconds"), F.lit(True).alias(f"__{name}_there"))
-        rows = rows.join(files, clean(F.col(f"{name}_path")) == F.col("__at"), "left").drop("__at")
+def _digest(sha: Column) -> Column:
+    """A SHA-256 in lower-case digits as 32 bytes, or null if it is none."""
+    return F.when(sha.rlike(_HEX), F.unhex(sha))
+
+
+def _checked(rows: DataFrame, corpus: Corpus, audio_sha: str | None, verify: bool) -> DataFrame:
+    """What the canonical tables say of each row, by ``row``, and ``error``, the first check that it fails.
+
+    ``audio_sha``: the column of the rows that holds the digest of their audio; without it the recordings hold it. Only the
+    key of a row goes to each table, and only the outcome comes back: rows of an export are wide, and digests longer still.
+    """
+    corpus.require_unique()
+    of = lambda c: clean(F.col(c))
+    yes, empty = F.lit(True), F.lit(None).cast("string")
+    # many alignments lie in few files: the paths come first, and meet the rows without moving these
+    paths = materialize(rows.select(of("alignment_path").alias("path")).distinct(), "paths")
+    there = materialize(corpus.assets.select("path").join(paths, "path", "left_semi"), "paths")
+    ids = _first([((~of(c).startswith(p)) | (F.length(of(c)) <= len(p)), f"{c} must be an opaque ID beginning with {p}") for c, p in ID_PREFIXES.items()])
+    inside = _first([(~is_inside(F.col(f"{n}_path")), f"{n} asset path must remain relative") for n in ("score", "audio", "alignment")])
+    head = rows.select("row", "__needs_recording", ids.alias("__ids"), inside.alias("__inside"), of("work_id").alias("work_id"), of("alignment_path").alias("path"))
+    head = head.join(there.withColumn("__alignment_there", yes), "path", "left").drop("path")
+    head = head.join(corpus.works.select("work_id", F.col("title").alias("__title"), yes.alias("__work")), "work_id", "left").drop("work_id")
+    digest = _digest(F.lower(of("sha256"))).alias("digest")
+    scores = rows.select("row", of("score_version_id").alias("id"), of("score_path").alias("path"))
+    scores = scores.join(corpus.scores.select(F.col("score_version_id").alias("id"), digest, yes.alias("known")), "id", "left")
+    audio = rows.select("row", of("recording_id").alias("id"), of("audio_path").alias("path"), *([_digest(F.lower(of(audio_sha))).alias("own")] if audio_sha else []))
+    known = corpus.recordings.select(F.col("recording_id").alias("id"), *([] if audio_sha else [digest.alias("own")]), F.col("source_dataset").alias("dataset"), yes.alias("known"))
+    audio = audio.join(known, "id", "left")
+    claims = scores.select("row", "path", "digest", "known", empty.alias("dataset"), F.lit("score").alias("kind"))
+    claims = claims.unionByName(audio.select("row", "path", F.col("own").alias("digest"), "known", "dataset", F.lit("audio").alias("kind")))
+    files = corpus.assets.select("path", _digest(F.lower("sha256")).alias("found"), F.col("seconds").cast("double").alias("seconds"), yes.alias("there"))
+    met = claims.join(files, "path", "left").select("row", "kind", "known", "dataset", "there", "seconds", F.col("digest").isNotNull().alias("valid"), (F.col("digest") == F.col("found")).alias("same"))
+    by = lambda kind, c: F.max(F.when(F.col("kind") == kind, F.col(c)))
+    met = met.groupBy("row").agg(
+        *[by(kind, c).alias(f"__{kind}_{c}") for kind in ("score", "audio") for c in ("known", "there", "valid", "same")], by("audio", "seconds").alias("__audio_seconds"), F.max("dataset").alias("__dataset"),
+    )
     anchors = corpus.events.select("alignment_id")
     if corpus.notes is not None:
         anchors = anchors.unionByName(corpus.notes.select("alignment_id"))
-    seen = anchors.groupBy(F.col("alignment_id").alias("__id")).agg(F.lit(True).alias("__anchored"))
-    rows = rows.join(seen, clean(F.col("alignment_id")) == F.col("__id"), "left").drop("__id")
-    rows = rows.withColumns({"__audio_sha": F.lower(clean(audio_sha)), "__granularity": F.lower(clean(F.col("__granularity")))})
-    rules = [((~clean(F.col(c)).startswith(p)) | (F.length(clean(F.col(c))) <= len(p)), f"{c} must be an opaque ID beginning with {p}") for c, p in ID_PREFIXES.items()]
-    rules += [(F.col(f"__{n}").isNull(), f"{n} is not in the canonical tables") for n in ("work", "score", "alignment")]
-    rules.append((F.col("__recording").isNull() & F.col("__needs_recording"), "recording is not in the canonical tables"))
-    rules += [(~is_inside(F.col(f"{n}_path")), f"{n} asset path must remain relative") for n in ("score", "audio", "alignment")]
-    rules += [(F.col(f"__{n}_there").isNull(), f"{n} asset does not exist") for n in ("score", "audio", "alignment")]
+    anchors = anchors.distinct().withColumn("__anchored", yes)
+    named = corpus.alignments.select("alignment_id", F.lower(of("granularity")).alias("__granularity"), F.col("method").alias("__method"), (F.length(of("sha256")) == 64).alias("__hashed"), yes.alias("__alignment"))
+    timed = rows.select("row", of("alignment_id").alias("alignment_id"), *([of("score_version_id").alias("score_version_id")] if corpus.notes is not None else []))
+    timed = timed.join(named, "alignment_id", "left").join(anchors, "alignment_id", "left").withColumn("__granularity", F.coalesce("__granularity", F.lit("")))
+    rules = [(F.col(c).isNull(), f"{n} is not in the canonical tables") for n, c in (("work", "__work"), ("score", "__score_known"), ("alignment", "__alignment"))]
+    rules.append((F.col("__audio_known").isNull() & F.col("__needs_recording"), "recording is not in the canonical tables"))
+    last = [(F.col(f"__{n}_there").isNull(), f"{n} asset does not exist") for n in ("score", "audio", "alignment")]
     for name in ("score", "audio"):
-        sha = F.lower(clean(F.col(f"__{name}_sha")))
-        rules.append((~sha.rlike(_HEX), f"{name}_sha256 is not a valid SHA-256 digest"))
+        last.append((~F.col(f"__{name}_valid"), f"{name}_sha256 is not a valid SHA-256 digest"))
         if verify:
-            rules.append((sha != F.col(f"__{name}_found"), f"{name}_sha256 does not match the file"))
-    rules.append((F.length(clean(F.col("__alignment_sha"))) != 64, "canonical alignment source hash is missing"))
-    rules.append((F.col("__anchored").isNull(), "alignment store has no rows for alignment_id"))
-    return rows.withColumn("error", _first(rules))
+            last.append((~F.col(f"__{name}_same"), f"{name}_sha256 does not match the file"))
+    last.append((~F.col("__hashed"), "canonical alignment source hash is missing"))
+    last.append((F.col("__anchored").isNull(), "alignment store has no rows for alignment_id"))
+    error = F.coalesce("__ids", _first(rules), F.col("__inside"), _first(last))
+    return head.join(met, "row").join(timed, "row").select("row", "alignment_id", *(["score_version_id"] if corpus.notes is not None else []), "__granularity", "__method", "__title", "__dataset", F.col("__audio_seconds").alias("seconds"), error.alias("error"))
 
 
 def timings(rows: DataFrame, corpus: Corpus) -> DataFrame:
@@ -117,13 +143,13 @@ def timings(rows: DataFrame, corpus: Corpus) -> DataFrame:
     numbers = {c: F.col(c).try_cast("double") for c in ("measure_index", "performance_time_sec", "confidence")}
     events = corpus.events.withColumns(numbers).dropna(subset=list(numbers)).filter("measure_index >= 1 and performance_time_sec >= 0")
     own = beats.select("row", "alignment_id", "seconds").join(events, "alignment_id").withColumn("score_measure", F.col("measure_index").cast("int"))
-    at = windows.offsets(own, ["row"], "score_measure", "performance_time_sec", "seconds", lone=0.5).withColumnsRenamed({"onset": "onset_seconds", "offset": "offset_seconds"})
-    every = own.groupBy("row", "score_measure").agg(F.min("confidence").alias("confidence"))
-    found = every.join(at, ["row", "score_measure"], "left")
-    sums = every.groupBy("row").agg(F.count(F.lit(1)).alias("__n"), F.max("score_measure").alias("__last"))
-    gaps = found.groupBy("row").agg(F.count_if(F.col("onset_seconds").isNull()).alias("__flat")).join(sums, "row")
-    problem = F.when(F.col("__n") != F.col("__last"), "measures are not contiguous and one-based").when(F.col("__flat") > 0, "an interval is not positive")
-    out = found.join(gaps.select("row", problem.alias("problem")), "row")
+    # the keys hold that of the join, so that the events of a row stay where it left them
+    at = windows.offsets(own, ["alignment_id", "row"], "score_measure", "performance_time_sec", "seconds", lone=0.5, flat=True, more={"confidence": F.min("confidence")})
+    whole = Window.partitionBy("alignment_id", "row")
+    gap = F.count(F.lit(1)).over(whole) != F.max("score_measure").over(whole)
+    flat = F.count_if(F.col("onset").isNull()).over(whole) > 0
+    problem = F.when(gap, "measures are not contiguous and one-based").when(flat, "an interval is not positive")
+    out = at.withColumn("problem", problem).withColumnsRenamed({"onset": "onset_seconds", "offset": "offset_seconds"})
     columns = ["row", "score_measure", "onset_seconds", "offset_seconds", "confidence", "problem"]
     if corpus.notes is not None and corpus.measures is not None:
         notes = rows.filter("granularity = 'note'").select("row", "alignment_id", "score_version_id", "seconds")
@@ -158,13 +184,22 @@ def cohorts(passages: DataFrame) -> DataFrame:
     return passages.groupBy("composer", "audio_origin", "alignment_granularity").agg(*[F.count_distinct(f"{c}_id").alias(f"{c}_count") for c in ("recording", "composition", "work")])
 
 
-def _timed(rows: DataFrame, corpus: Corpus) -> tuple[DataFrame, DataFrame]:
-    """(bars, measures) by ``row`` of checked rows, and the rows whose times cannot be used, with the problem."""
-    asked = rows.select("row", clean(F.col("alignment_id")).alias("alignment_id"), clean(F.col("score_version_id")).alias("score_version_id"), F.col("__granularity").alias("granularity"), F.col("__audio_seconds").alias("seconds"))
+def _timed(sound: DataFrame, corpus: Corpus) -> tuple[DataFrame, DataFrame]:
+    """Times of the measures of checked rows, and the rows whose times cannot be used, with the problem."""
+    asked = sound.withColumnRenamed("__granularity", "granularity")
     times = materialize(timings(asked, corpus), "timings")
-    count = times.groupBy("row").agg(F.count(F.lit(1)).alias("bars"), F.max("problem").alias("problem"))
-    bad = asked.select("row").join(count, "row", "left").select("row", F.coalesce("problem", F.when(F.col("bars").isNull(), "alignment contains no usable anchors")).alias("problem")).filter("problem is not null")
-    return times, bad
+    count = times.groupBy("row").agg(F.count(F.lit(1)).alias("bars"), F.max(F.col("problem").isNotNull()).alias("odd"))
+    # a row whose times are all sound needs no more than that; what is wrong with the others is looked up
+    bad = asked.select("row").join(count, "row", "left").filter("bars is null or odd").select("row", F.col("bars").isNull().alias("none"))
+    said = times.filter("problem is not null").select("row", "problem").distinct()
+    problem = F.when(F.col("none"), "alignment contains no usable anchors").otherwise(F.col("problem"))
+    return times, materialize(bad.join(said, "row", "left").select("row", problem.alias("problem")), "problems")
+
+
+def _good(rows: DataFrame, sound: DataFrame, bad: DataFrame) -> DataFrame:
+    """Rows that passed all checks, with what the canonical tables say of them."""
+    said = sound.join(bad, "row", "left_anti").select("row", "__granularity", "__method", "__title", "__dataset")
+    return rows.join(said, "row")
 
 
 def _measures(times: DataFrame, rows: DataFrame) -> DataFrame:
@@ -185,15 +220,17 @@ def build(export: DataFrame, corpus: Corpus, composers: Sequence[str] | None = N
     reason = F.when(~truthy(F.col("eligible_for_clap")), NOT_ELIGIBLE).when(~suffix(clean(F.col("score_path"))).isin(*SCORE_FORMATS), LOCATOR)
     rows = rows.withColumn("reason", reason)
     issues = rows.filter("reason is not null").select("row", clean(F.col("recording_id")).alias("recording_id"), "reason")
-    checked = materialize(_checked(rows.filter("reason is null"), corpus, F.col("__recording_sha"), verify), "checked")
+    meant = rows.filter("reason is null")
+    checked = materialize(_checked(meant, corpus, None, verify), "checked")
     sound = checked.filter("error is null")
     times, bad = _timed(sound, corpus)
-    errors = checked.filter("error is not null").select("row", "recording_id", "error").unionByName(sound.join(bad, "row").select("row", "recording_id", F.col("problem").alias("error")))
-    good = sound.join(bad, "row", "left_anti")
+    failed = checked.filter("error is not null").select("row", "error").unionByName(bad.withColumnRenamed("problem", "error"))
+    errors = meant.select("row", "recording_id").join(materialize(failed, "errors"), "row")
+    good = _good(meant, sound, bad)
     origin = F.when(truthy(F.col("synthetic_audio")), "synthetic_rendering").otherwise("source_recording")
     passages = _passages(good, times.groupBy("row").agg(F.count(F.lit(1)).alias("bars")), origin)
     tables = {"passages": passages, "measures": _measures(times, good), "issues": issues, "cohorts": cohorts(passages)}
-    counts = {"target_rows": rows.count(), "issues": issues.count(), "errors": errors.count()}
+    counts = {"target_rows": rows.count(), "issues": issues.count(), "errors": failed.count()}
     return Build(tables, errors, counts | {"imported_rows": counts["target_rows"] - counts["issues"] - counts["errors"]})
 
 
@@ -226,22 +263,20 @@ def supplement(store: Store, renders: DataFrame, export: DataFrame, corpus: Corp
     mine = {c: f"__x_{c}" for c in ("score_version_id", "alignment_id", "synthetic_audio", "eligible_for_clap", "composer", "composition_id", "licenses", "export_row_id", "original_source_dataset", "performance_midi_path", "alignment_quality")}
     both = fresh.join(export.select(*keys, *[F.col(c).alias(n) for c, n in mine.items()]), keys)
     same = lambda c: (clean(F.col(c)) != "") & (clean(F.col(c)) == clean(F.col(mine[c])))
-    picked = catalogue.narrowed(both, ["row"], [same("score_version_id"), same("alignment_id"), truthy(F.col(mine["synthetic_audio"])), truthy(F.col(mine["eligible_for_clap"]))])
+    picked = catalogue.narrowed(both, [*keys, "row"], [same("score_version_id"), same("alignment_id"), truthy(F.col(mine["synthetic_audio"])), truthy(F.col(mine["eligible_for_clap"]))])
     or_else = lambda a, b: F.coalesce(F.nullif(clean(F.col(a)), F.lit("")), F.col(b))
-    grain = corpus.alignments.select(F.col("alignment_id").alias("__a"), F.lower(clean(F.col("granularity"))).alias("__g"))
-    rows = picked.join(grain, clean(F.col("alignment_id")) == F.col("__a"), "left").drop("__a").select(
+    notes = materialize(corpus.alignments.filter(F.lower(clean(F.col("granularity"))) == "note").select(F.col("alignment_id").alias("__a")).distinct(), "notes")
+    rows = picked.join(notes, clean(F.col("alignment_id")) == F.col("__a"), "left").select(
         "row", *keys, "score_version_id", "alignment_id", F.col("output_recording_id").alias("recording_id"), F.col("__x_composition_id").alias("composition_id"), F.col("__x_composer").alias("composer"),
         F.col("__x_licenses").alias("licenses"), F.col("__x_export_row_id").alias("export_row_id"), "score_path", F.col("output_audio_path").alias("audio_path"),
-        F.when(F.col("__g") == "note", "data/canonical/alignment_notes.csv").otherwise("data/canonical/alignment_events.csv").alias("alignment_path"), "output_sha256",
+        F.when(F.col("__a").isNotNull(), "data/canonical/alignment_notes.csv").otherwise("data/canonical/alignment_events.csv").alias("alignment_path"), "output_sha256",
         or_else("alignment_quality", "__x_alignment_quality").alias("alignment_quality"), or_else("source_dataset", "__x_original_source_dataset").alias("original_source_dataset"),
         or_else("source_midi_path", "__x_performance_midi_path").alias("performance_midi_path"), clean(F.col("work_title")).alias("__render_title"), F.lit(False).alias("__needs_recording"),
     )
-    checked = _checked(rows.filter(suffix(clean(F.col("score_path"))).isin(*SCORE_FORMATS)), corpus, F.col("output_sha256"), verify)
-    checked = checked.withColumn("__title", F.coalesce(F.nullif(F.col("__render_title"), F.lit("")), F.col("__title")))
-    checked = materialize(checked, "checked")
-    sound = checked.filter("error is null")
+    rows = materialize(rows.filter(suffix(clean(F.col("score_path"))).isin(*SCORE_FORMATS)), "picked")
+    sound = materialize(_checked(rows, corpus, "output_sha256", verify), "checked").filter("error is null")
     times, bad = _timed(sound, corpus)
-    good = sound.join(bad, "row", "left_anti")
+    good = _good(rows, sound, bad).withColumn("__title", F.coalesce(F.nullif(F.col("__render_title"), F.lit("")), F.col("__title")))
     added = materialize(_passages(good, times.groupBy("row").agg(F.count(F.lit(1)).alias("bars")), F.lit("synthetic_rendering")), "added")
     n, offered = added.count(), fresh.count()
     if n:

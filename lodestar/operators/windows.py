@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -103,22 +103,27 @@ def coverage(ranges: DataFrame, events: DataFrame, keys: Sequence[str], at: str,
     )
 
 
-def offsets(events: DataFrame, keys: Sequence[str], at: str, time: str, length: str, lone: float = 0.0) -> DataFrame:
+def offsets(events: DataFrame, keys: Sequence[str], at: str, time: str, length: str, lone: float = 0.0, flat: bool = False, more: Mapping[str, Column] | None = None) -> DataFrame:
     """(keys, position, onset, offset): onset is the first time of a position and offset the next onset.
 
     The last position ends a median positive step (``lone`` if there is none) after the latest time, at least a thousandth after its onset and at
-    most at the recording's end; intervals that are not positive are dropped.
+    most at the recording's end; intervals that are not positive are dropped, or with ``flat`` have null times. ``more``:
+    further aggregates of a position's events.
+
+    Events are dealt out by key once and go on as they lie: each carries its step, and a position the median of its key.
     """
     sound = events.filter((F.col(at) >= 1) & (F.col(time) >= 0))
     w = Window.partitionBy(*keys)
-    steps = sound.select(*keys, time).distinct().withColumn("__step", F.col(time) - F.lag(time).over(w.orderBy(time)))
-    step = steps.filter("__step > 0").groupBy(*keys).agg(F.median("__step").alias("__median"))
-    first = sound.groupBy(*keys, at).agg(F.min(time).alias("onset"), F.max(time).alias("__latest"), F.max(length).alias("__length"))
-    rows = first.join(step, list(keys), "left").withColumn("__next", F.lead("onset").over(w.orderBy(at)))
+    before = F.lag(time).over(w.orderBy(time))
+    steps = sound.withColumn("__step", F.when(F.col(time) > before, F.col(time) - before)).withColumn("__median", F.median("__step").over(w))
+    more = more or {}
+    rows = steps.groupBy(*keys, at).agg(F.min(time).alias("__onset"), F.max(time).alias("__latest"), F.max(length).alias("__length"), F.max("__median").alias("__median"), *[c.alias(n) for n, c in more.items()])
     end = F.max("__latest").over(w) + F.coalesce(F.col("__median"), F.lit(lone))
-    last = F.least(F.greatest(end, F.col("onset") + 1e-3), F.col("__length"))
-    rows = rows.withColumn("offset", F.coalesce(F.col("__next"), last))
-    return rows.filter("offset > onset").select(*keys, at, "onset", "offset")
+    last = F.least(F.greatest(end, F.col("__onset") + 1e-3), F.col("__length"))
+    rows = rows.withColumn("__offset", F.coalesce(F.lead("__onset").over(w.orderBy(at)), last))
+    long = F.col("__offset") > F.col("__onset")
+    rows = rows if flat else rows.filter(long)
+    return rows.select(*keys, at, F.when(long, F.col("__onset")).alias("onset"), F.when(long, F.col("__offset")).alias("offset"), *more)
 
 
 def interpolate(anchors: DataFrame, queries: DataFrame, keys: Sequence[str], x: str, y: str, keep: Sequence[str] = ()) -> DataFrame:

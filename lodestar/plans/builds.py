@@ -13,7 +13,7 @@ from lodestar.operators import digests, embedding, extraction
 from lodestar.plans.catalog import query, table
 from lodestar.plans.mapping import VECTORS, scores
 from lodestar.sources.versions import Store
-from lodestar.sources.workspace import new_path
+from lodestar.sources.workspace import materialize, new_path
 
 _COMPOSER = "CASE o_orderpriority WHEN '1-URGENT' THEN 'Frédéric CHOPIN' WHEN '2-HIGH' THEN 'w. a. mozart' ELSE o_orderpriority END"
 _ORDERS = """o AS (SELECT o_orderkey AS k, o_custkey AS c, o_orderpriority AS p, o_orderstatus AS s FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem) AND o_custkey IN (SELECT c_custkey FROM customer)),
@@ -28,7 +28,10 @@ def _key(prefix: str, c: str, end: str = ""):
 def export(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines, people = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("o_orderkey")), table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("o_custkey"))
     k = F.col("o_orderkey")
-    return table(spark, sf_dir, "orders").join(lines, "o_orderkey", "left_semi").join(people, "o_custkey", "left_semi").select(
+    # an export is read many times: its few columns are kept, and the texts made of them wherever it is read
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderpriority", "o_orderstatus")
+    orders = materialize(orders.join(lines.distinct(), "o_orderkey", "left_semi").join(people, "o_custkey", "left_semi"), "export")
+    return orders.select(
         k.alias("row"), _key("row_", "o_orderkey").alias("export_row_id"), F.expr(_COMPOSER).alias("composer"), F.when(F.col("o_orderstatus") != "P", " True").otherwise("no").alias("eligible_for_clap"),
         F.when(k % 5 == 0, "imslp.org/123").otherwise(_key("scores/", "o_custkey", ".MXL")).alias("score_path"), _key("audio/", "o_orderkey", ".wav").alias("audio_path"), F.lit("data/events.csv").alias("alignment_path"),
         _key("cmp_", "o_custkey").alias("composition_id"), _key("wrk_", "o_custkey").alias("work_id"), _key("scv_", "o_custkey").alias("score_version_id"), _key("prf_", "o_orderkey").alias("performance_id"),
@@ -40,7 +43,8 @@ def export(spark: SparkSession, sf_dir: str) -> DataFrame:
 def corpus(spark: SparkSession, sf_dir: str) -> B.Corpus:
     people, orders, lines = (table(spark, sf_dir, t) for t in ("customer", "orders", "lineitem"))
     sha = lambda c: F.sha2(F.col(c).cast("string"), 256)
-    none, line = F.lit(None).cast("double"), Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey")
+    # lines are dealt out by the id that the build joins them by
+    none, line = F.lit(None).cast("double"), Window.partitionBy("alignment_id").orderBy("l_linenumber", "l_partkey", "l_suppkey")
     files = people.select(_key("scores/", "c_custkey", ".MXL").alias("path"), sha("c_custkey").alias("sha256"), none.alias("seconds"))
     files = files.unionByName(orders.select(_key("audio/", "o_orderkey", ".wav").alias("path"), F.upper(sha("o_orderkey")).alias("sha256"), (10_000 + F.col("o_orderkey") % 7).cast("double").alias("seconds")))
     files = files.unionByName(spark.createDataFrame([(p,) for p in ("data/events.csv", "data/canonical/alignment_events.csv")], "path string").select("path", F.lit("").alias("sha256"), none.alias("seconds")))
@@ -48,16 +52,15 @@ def corpus(spark: SparkSession, sf_dir: str) -> B.Corpus:
         works=people.select(_key("wrk_", "c_custkey").alias("work_id"), F.col("c_name").alias("title")), scores=people.select(_key("scv_", "c_custkey").alias("score_version_id"), sha("c_custkey").alias("sha256")),
         recordings=orders.select(_key("rec_", "o_orderkey").alias("recording_id"), sha("o_orderkey").alias("sha256"), F.lit("set").alias("source_dataset")),
         alignments=orders.select(_key("aln_", "o_orderkey").alias("alignment_id"), F.lit("Beat").alias("granularity"), F.lit("dtw").alias("method"), sha("o_custkey").alias("sha256")),
-        events=lines.withColumn("m", F.row_number().over(line)).select(_key("aln_", "l_orderkey").alias("alignment_id"), F.col("m").alias("measure_index"), (F.col("m") * 60 + F.col("l_quantity")).alias("performance_time_sec"), (1 - F.col("l_discount")).alias("confidence")),
+        events=lines.withColumn("alignment_id", _key("aln_", "l_orderkey")).withColumn("m", F.row_number().over(line)).select("alignment_id", F.col("m").alias("measure_index"), (F.col("m") * 60 + F.col("l_quantity")).alias("performance_time_sec"), (1 - F.col("l_discount")).alias("confidence")),
         assets=files,
     )
 
 
-def published(spark: SparkSession, sf_dir: str, composers: list[str] | None = None) -> Store:
+def published(rows: DataFrame, tables: B.Corpus, composers: list[str] | None = None) -> Store:
     """A store with the build of the whole export, or of some composers."""
-    store = Store(spark, new_path(spark, "adapter"))
-    rows = export(spark, sf_dir)
-    B.publish(store, B.build(rows, corpus(spark, sf_dir), composers), inputs={"export": rows})
+    store = Store(rows.sparkSession, new_path(rows.sparkSession, "adapter"))
+    B.publish(store, B.build(rows, tables, composers), inputs={"export": rows})
     return store
 
 
@@ -72,7 +75,7 @@ u AS (SELECT k, count(*) AS bars, max(until) AS ends, min(f) AS confidence FROM
 CASE x.k % 3 WHEN 1 THEN 'license_review_required' ELSE 'licensed_for_research' END AS rights_status, CASE WHEN x.k % 7 = 0 THEN 'false' ELSE 'true' END AS fully_aligned, audio_origin, c_name AS work_title, round(ends, 6) AS ends, round(confidence, 6) AS confidence
 FROM x JOIN u ON u.k = x.k JOIN customer ON c_custkey = c WHERE reason IS NULL""")
 def adapter_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    store = published(spark, sf_dir)
+    store = published(export(spark, sf_dir), corpus(spark, sf_dir))
     times = store.read("measures").groupBy("recording_id").agg(F.round(F.max("offset_seconds"), 6).alias("ends"), F.round(F.min("confidence"), 6).alias("confidence"))
     rows = store.read("passages").join(times, "recording_id")
     return rows.select("passage_id", "composer", "period", "mxl_path", "score_format", "bar_end", "rights_status", "fully_aligned", "audio_origin", "work_title", "ends", "confidence")
@@ -80,12 +83,12 @@ def adapter_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("adapter_issues", f"WITH {_ORDERS} SELECT k AS row, 'rec_' || k AS recording_id, reason FROM x WHERE reason IS NOT NULL")
 def adapter_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return published(spark, sf_dir).read("issues")
+    return published(export(spark, sf_dir), corpus(spark, sf_dir)).read("issues")
 
 
 @query("adapter_cohorts", f"""WITH {_ORDERS} SELECT composer, audio_origin, 'beat' AS alignment_granularity, count(*) AS recording_count, count(DISTINCT c) AS composition_count, count(DISTINCT c) AS work_count FROM x WHERE reason IS NULL AND composer IN ('Chopin', 'Mozart') GROUP BY composer, audio_origin""")
 def adapter_cohorts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return published(spark, sf_dir, ["Chopin", "MOZART"]).read("cohorts")
+    return published(export(spark, sf_dir), corpus(spark, sf_dir), ["Chopin", "MOZART"]).read("cohorts")
 
 
 @query("adapter_supplement", f"""WITH {_ORDERS}, r AS (SELECT k, k % 9 > 0 AS sound FROM x WHERE k % 4 < 2),
@@ -93,7 +96,8 @@ n AS (SELECT (SELECT count(*) FROM x WHERE reason IS NULL AND composer = 'Chopin
 SELECT 1 AS run, offered, added, offered - added AS unmatched, base + added AS total FROM n UNION ALL SELECT 2, offered - added, 0, offered - added, base + added FROM n""")
 def adapter_supplement(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Renders of half of the orders, some of which do not have the digest they claim; the second run finds nothing new."""
-    store, rows = published(spark, sf_dir, ["chopin"]), export(spark, sf_dir)
+    rows, tables = export(spark, sf_dir), corpus(spark, sf_dir)
+    store = published(rows, tables, ["chopin"])
     k = F.col("row")
     renders = rows.filter(k % 4 < 2).select(
         F.concat(F.lit("rec_r"), k.cast("string")).alias("output_recording_id"), F.col("audio_path").alias("output_audio_path"), F.when(k % 9 > 0, F.sha2(k.cast("string"), 256)).otherwise("0" * 64).alias("output_sha256"),
@@ -102,7 +106,7 @@ def adapter_supplement(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     got = []
     for run in (1, 2):
-        n = B.supplement(store, renders, rows, corpus(spark, sf_dir))
+        n = B.supplement(store, renders, rows, tables)
         got.append((run, n["offered"], n["added"], n["unmatched"], n["total"]))
     return spark.createDataFrame(got, "run int, offered long, added long, unmatched long, total long")
 

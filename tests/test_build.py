@@ -126,3 +126,42 @@ def test_note_timings_send_both_ends_through_the_curve_once(spark):
     got = windows.note_timings(measures, notes, ["id"])
     assert got._jdf.queryExecution().executedPlan().toString().count("Join ") == 1
     assert sorted(map(tuple, got.collect())) == [(1, 1, 1.0, 5.0, 0.5), (1, 2, 5.0, 9.0, 0.5)]
+
+
+def _moves(df, what="Exchange hashpartitioning"):
+    return df._jdf.queryExecution().executedPlan().toString().count(what)
+
+
+@pytest.fixture
+def sorted_joins(spark):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    yield
+    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_times_move_events_once(spark, sorted_joins):
+    rows = spark.createDataFrame([(1, "aln_1", "beat", 3.0), (2, "aln_1", "beat", 9.0), (3, "aln_2", "beat", 9.0)], "row long, alignment_id string, granularity string, seconds double")
+    corpus = _corpus(spark, [("aln_1", "1", "0.5", "0.9"), ("aln_1", "1", "0.5", "0.8"), ("aln_1", "2", "2.5", "0.7"), ("aln_2", "1", "4", "1"), ("aln_2", "2", "3", "1")])
+    got = B.timings(rows, corpus)
+    assert _moves(got) == 2  # the rows and the events, each to their alignment
+    flat = "an interval is not positive"
+    assert sorted(map(tuple, got.collect())) == [(1, 1, 0.5, 2.5, 0.8, None), (1, 2, 2.5, 3.0, 0.7, None), (2, 1, 0.5, 2.5, 0.8, None), (2, 2, 2.5, 4.5, 0.7, None), (3, 1, None, None, 1.0, flat), (3, 2, 3.0, 5.0, 1.0, flat)]
+
+
+def test_checks_leave_wide_rows_where_they_are(spark, sorted_joins):
+    export = _export(spark, {}, {"audio_path": "a/9.wav"}).withColumn("__needs_recording", F.lit(True))
+    got = B._checked(export, _corpus(spark), None, True)
+    assert not {"licenses", "export_row_id", "__score_sha"} & set(got.columns)
+    moved = [line for line in got._jdf.queryExecution().optimizedPlan().toString().splitlines() if "licenses" in line and "Project" in line]
+    assert moved == [] and sorted((r["row"], r["error"]) for r in got.collect()) == [(2, None), (3, "audio asset does not exist")]
+
+
+def test_a_corpus_is_looked_through_once(spark, monkeypatch):
+    seen, real = [], B.catalogue.require_unique
+    monkeypatch.setattr(B.catalogue, "require_unique", lambda df, keys, what: seen.append(what) or real(df, keys, what))
+    corpus = _corpus(spark)
+    B.build(_export(spark, {}), corpus)
+    B.build(_export(spark, {}), corpus)
+    assert sorted(seen) == ["alignments", "assets", "recordings", "scores", "works"]
+    with pytest.raises(ValueError, match="assets: path is not unique"):
+        B.build(_export(spark, {}), dataclasses.replace(corpus, assets=corpus.assets.unionByName(corpus.assets.limit(1))))
