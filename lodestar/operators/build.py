@@ -290,6 +290,53 @@ def supplement(store: Store, renders: DataFrame, export: DataFrame, corpus: Corp
     return {"offered": offered, "added": n, "unmatched": offered - n, "total": store.read("passages").count()}
 
 
+def _some(c: str) -> Column:
+    """Trimmed text with nothing as null."""
+    return F.nullif(clean(F.col(c)), F.lit(""))
+
+
+def _symbolic() -> Column:
+    return F.coalesce(_some("mxl_path"), _some("score_path"), _some("midi_path"))
+
+
+def _paths(rows: DataFrame, assets: DataFrame) -> DataFrame:
+    """Each path of the rows once: whether its file is there, and per kind its rows and the items that share it.
+
+    Files meet paths, not rows: what is asked of the rows of an item is added up before they move, and the items of a path
+    before they meet, so that a path of very many rows is no large group.
+    """
+    item = lambda c: F.coalesce(_some(c), F.col("passage_id"))
+    use = lambda kind, path, key, allowed, covered: F.struct(F.lit(kind).alias("kind"), path.alias("path"), item(key).alias("item"), allowed.cast("long").alias("allowed"), covered.cast("long").alias("covered"))
+    none = F.lit(0)
+    used = rows.select(F.inline(F.array(use(1, _some("audio_path"), "recording_id", F.col("__allowed"), F.col("__covered")), use(2, _symbolic(), "movement_id", none, none))))
+    files = assets.select(none.alias("kind"), "path", F.lit(None).cast("string").alias("item"), none.cast("long").alias("allowed"), none.cast("long").alias("covered"))
+    items = used.unionByName(files).filter("path is not null").groupBy("kind", "path", "item").agg(F.count(F.lit(1)).alias("n"), F.sum("allowed").alias("allowed"), F.sum("covered").alias("covered"))
+    of = lambda kind, value: F.sum(F.when(F.col("kind") == kind, value).otherwise(0))
+    one = F.col("item").isNotNull().cast("long")
+    found = items.groupBy("path").agg(
+        F.max(F.col("kind") == 0).alias("there"), of(1, F.col("n")).alias("audio"), of(1, one).alias("recordings"), F.sum("allowed").alias("allowed"), F.sum("covered").alias("covered"),
+        of(2, F.col("n")).alias("symbolic"), of(2, one).alias("movements"),
+    )
+    return materialize(found.filter("audio > 0 or symbolic > 0"), "paths")
+
+
+def _conflicts(rows: DataFrame, key: str, fields: Sequence[str]) -> tuple[DataFrame, DataFrame]:
+    """How many keys there are, and the conflicts of their columns.
+
+    A key of one row cannot disagree with itself: where most rows are such, only the others go on. Where few are, every
+    row goes to its key, once and whole, not once for each of its columns.
+    """
+    n = rows.select(_some(key).alias("key")).filter("key is not null").groupBy("key").agg(F.count(F.lit(1)).alias("rows"))
+    met = materialize(n.groupBy(F.when(F.col("rows") > 1, F.col("key")).alias("key")).agg(F.count(F.lit(1)).alias("keys"), F.sum("rows").alias("rows")), "keys", share=8)
+    alone, several = met.agg(F.sum(F.when(F.col("key").isNull(), F.col("rows"))), F.sum(F.when(F.col("key").isNotNull(), F.col("rows")))).first()
+    wide = rows.filter(_some(key).isNotNull()).select(key, *[c for c in fields if c in rows.columns and c != key])
+    if (several or 0) > (alone or 0):
+        dealt = wide.repartition(key)
+    else:
+        dealt = wide.join(met.filter("key is not null").select(F.col("key").alias("__key")), _some(key) == F.col("__key"), "left_semi")
+    return met.agg(F.coalesce(F.sum("keys"), F.lit(0)).alias("value")), catalogue.conflicts(dealt, key, wide.columns[1:])
+
+
 def report(rows: DataFrame, assets: DataFrame, allowed: Sequence[str], covered: Column) -> DataFrame:
     """(section, name, value, status) of a manifest: counters, counts by label, what is shared, conflicts, and the status.
 
@@ -297,35 +344,35 @@ def report(rows: DataFrame, assets: DataFrame, allowed: Sequence[str], covered:
     and alignment gaps are warnings. ``assets`` (path) are the files that are there; ``covered`` says whether a row's measures
     are all aligned. The last row is the worst status of all.
     """
-    some = lambda c: F.nullif(clean(F.col(c)), F.lit(""))
-    there = assets.select("path").distinct()
-    symbolic = F.coalesce(some("mxl_path"), some("score_path"), some("midi_path"))
-    rows = rows.withColumns({"__symbolic": symbolic, "__audio": some("audio_path"), "__covered": F.coalesce(covered, F.lit(False)), "__allowed": F.lower(clean(F.col("rights_status"))).isin(*[a.strip().lower() for a in allowed])})
-    for kind in ("symbolic", "audio"):
-        rows = rows.join(there.select(F.col("path").alias("__at"), F.lit(True).alias(f"__{kind}_there")), F.col(f"__{kind}") == F.col("__at"), "left").drop("__at")
-    rows = materialize(rows, "report")
-    local, has = F.col("__audio_there").isNotNull(), F.col("__audio").isNotNull()
-    bad_path = lambda c: F.col(c).isNotNull() & ~is_inside(F.col(c))
-    one = rows.agg(
-        F.count(F.lit(1)).alias("rows"), *[F.count_distinct(some(f"{c}_id")).alias(f"{c}s") for c in ("composition", "work", "movement", "recording")],
-        F.count("__symbolic_there").alias("symbolic_ready"), F.count_if(F.col("__symbolic").isNotNull() & F.col("__symbolic_there").isNull()).alias("missing_symbolic_paths"), F.count_if(local).alias("local_audio"),
-        F.count_if(has & ~local).alias("missing_audio_paths"), F.count_if(local & F.col("__allowed")).alias("authorized_audio"), F.count_if(local & ~F.col("__allowed")).alias("unauthorized_audio"),
-        F.count_if(local & F.col("__allowed") & F.col("__covered")).alias("fully_aligned"), F.count_if(local & F.col("__allowed") & ~F.col("__covered")).alias("alignment_gaps"),
-        F.count_if(bad_path("__symbolic")).alias("invalid_symbolic_paths"), F.count_if(bad_path("__audio")).alias("invalid_audio_paths"),
-    )
+    labels = ("composer", "rights_status", "audio_origin", "score_format", "alignment_format")
+    may, nameless = F.lower(clean(F.col("rights_status"))).isin(*[a.strip().lower() for a in allowed]), _some("recording_id").isNull() | _some("movement_id").isNull()
+    keep = [c for c in dict.fromkeys((*RECORDING_FIELDS, *SYMBOLIC_FIELDS, *labels)) if c in rows.columns]
+    # a passage is named only where it stands for a recording or a movement without a name
+    rows = materialize(rows.select(*keep, F.when(nameless, F.col("passage_id")).alias("passage_id"), may.alias("__allowed"), (may & F.coalesce(covered, F.lit(False))).alias("__covered")), "report")
+    paths = _paths(rows, assets)
     part = lambda df, section: df.select(F.lit(section).alias("section"), F.col("name").cast("string").alias("name"), F.col("value").cast("long").alias("value"))
-    out = part(one.unpivot([], one.columns, "name", "value"), "counters")
-    for c in ("composer", "rights_status", "audio_origin", "score_format", "alignment_format"):
+    counters = lambda df: part(df.unpivot([], df.columns, "name", "value"), "counters")
+    bad_path = lambda c: c.isNotNull() & ~is_inside(c)
+    out = counters(rows.agg(F.count(F.lit(1)).alias("rows"), F.count_if(bad_path(_symbolic())).alias("invalid_symbolic_paths"), F.count_if(bad_path(_some("audio_path"))).alias("invalid_audio_paths")))
+    total = lambda c, where: F.coalesce(F.sum(F.when(where, c)), F.lit(0))
+    there, may, whole = F.col("there"), F.col("allowed"), F.col("covered")
+    out = out.unionByName(counters(paths.agg(
+        total(F.col("symbolic"), there).alias("symbolic_ready"), total(F.col("symbolic"), ~there).alias("missing_symbolic_paths"), total(F.col("audio"), there).alias("local_audio"), total(F.col("audio"), ~there).alias("missing_audio_paths"),
+        total(may, there).alias("authorized_audio"), total(F.col("audio") - may, there).alias("unauthorized_audio"), total(whole, there).alias("fully_aligned"), total(may - whole, there).alias("alignment_gaps"),
+    )))
+    for c in labels:
         out = out.unionByName(part(rows.groupBy(clean(F.col(c)).alias("name")).agg(F.count(F.lit(1)).alias("value")), f"{c} counts"))
-    origin = rows.filter(clean(F.col("audio_origin")) != "").groupBy(F.concat_ws("|", clean(F.col("audio_origin")), clean(F.col("composer"))).alias("name")).agg(F.count_distinct(some("recording_id")).alias("value"))
+    origin = rows.filter(clean(F.col("audio_origin")) != "").groupBy(F.concat_ws("|", clean(F.col("audio_origin")), clean(F.col("composer"))).alias("name")).agg(F.count_distinct(_some("recording_id")).alias("value"))
     out = out.unionByName(part(origin, "cohort recordings"))
-    item = lambda c: F.coalesce(some(c), F.col("passage_id"))
-    shared = lambda key, value, section: part(rows.filter(key.isNotNull()).groupBy(key.alias("name")).agg(F.count_distinct(value).alias("value")).filter("value > 1"), section)
-    out = out.unionByName(shared(F.col("__audio"), item("recording_id"), "shared audio paths")).unionByName(shared(F.col("__symbolic"), item("movement_id"), "shared symbolic paths"))
-    out = out.unionByName(shared(some("composition_id"), some("recording_id"), "several recordings"))
+    for value, section in (("recordings", "shared audio paths"), ("movements", "shared symbolic paths")):
+        out = out.unionByName(part(paths.filter(F.col(value) > 1).select(F.col("path").alias("name"), F.col(value).alias("value")), section))
+    compositions = rows.groupBy(_some("composition_id").alias("name")).agg(F.count_distinct(_some("recording_id")).alias("value")).filter("name is not null")
+    compositions = materialize(compositions, "compositions", share=8)
+    out = out.unionByName(part(compositions.filter("value > 1"), "several recordings"))
+    out = out.unionByName(counters(compositions.agg(F.count(F.lit(1)).alias("compositions")))).unionByName(counters(rows.agg(F.count_distinct(_some("work_id")).alias("works"))))
     for key, fields, section in (("recording_id", RECORDING_FIELDS, "recording conflicts"), ("movement_id", SYMBOLIC_FIELDS, "symbolic conflicts")):
-        use = [c for c in fields if c in rows.columns and c != key]
-        found = catalogue.conflicts(rows.filter(some(key).isNotNull()), key, use)
+        number, found = _conflicts(rows, key, fields)
+        out = out.unionByName(counters(number.withColumnRenamed("value", f"{key[:-3]}s")))
         out = out.unionByName(part(found.select(F.concat_ws("|", F.col(key), "field").alias("name"), F.col("n").alias("value")), section))
     error = (F.col("section") == "recording conflicts") | F.col("name").isin("invalid_symbolic_paths", "invalid_audio_paths") & (F.col("section") == "counters") & (F.col("value") > 0)
     named = F.col("name").isin("missing_symbolic_paths", "missing_audio_paths", "unauthorized_audio", "alignment_gaps") & (F.col("section") == "counters") & (F.col("value") > 0)

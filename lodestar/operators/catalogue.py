@@ -71,8 +71,12 @@ def reconcile(wanted: DataFrame, have: DataFrame, key: str, scope: str) -> DataF
 
 
 def conflicts(df: DataFrame, key: str, stable: Sequence[str]) -> DataFrame:
-    """Violations of ``key -> column``: (key, field, values) for every stable column with several values in a key."""
-    long = df.select(F.col(key).cast("string").alias(key), *[F.col(c).cast("string").alias(c) for c in stable]).unpivot([key], list(stable), "field", "value")
+    """Violations of ``key -> column``: (key, field, values) for every stable column with several values in a key.
+
+    Rows that already lie at their key stay there (``unpivot`` would lose where they lie).
+    """
+    fields = F.array(*[F.struct(F.lit(c).alias("field"), F.col(c).cast("string").alias("value")) for c in stable])
+    long = df.select(F.col(key).cast("string").alias(key), F.inline(fields))
     pairs = long.filter("value is not null and value <> ''").distinct()  # each value once, before a key's values meet
     sets = pairs.groupBy(key, "field").agg(F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_list("value")).alias("v"))
     return sets.filter("n > 1").select(key, "field", F.array_join("v", ";").alias("values"), "n")

@@ -165,3 +165,44 @@ def test_a_corpus_is_looked_through_once(spark, monkeypatch):
     assert sorted(seen) == ["alignments", "assets", "recordings", "scores", "works"]
     with pytest.raises(ValueError, match="assets: path is not unique"):
         B.build(_export(spark, {}), dataclasses.replace(corpus, assets=corpus.assets.unionByName(corpus.assets.limit(1))))
+
+
+_REPORT = "passage_id composer composition_id work_id movement_id recording_id rights_status audio_origin audio_path mxl_path score_path midi_path score_format alignment_format".split()
+
+
+def _manifest(spark, *changes):
+    row = dict(zip(_REPORT, ("p", "Bach", "c", "w", "m", "r", "ok", "o", "a.wav", "s.mxl", "", "", "mxl", "x"), strict=True))
+    return spark.createDataFrame([tuple((row | {"passage_id": f"p{k}"} | c).values()) for k, c in enumerate(changes)], ", ".join(f"{c} string" for c in _REPORT))
+
+
+def test_a_report_moves_keys_and_leaves_its_rows(spark, sorted_joins, monkeypatch):
+    plans, real = [], B.materialize
+    monkeypatch.setattr(B, "materialize", lambda df, *a, **k: plans.append(df._jdf.queryExecution().executedPlan().toString()) or real(df, *a, **k))
+    files = spark.createDataFrame([("a.wav",), ("s.mxl",)], "path string")
+    got = B.report(_manifest(spark, {}, {"recording_id": "r2"}), files, ["ok"], F.lit(True))
+    moved = [line for plan in plans[:-1] for line in plan.splitlines() if "Join" in line or "Exchange" in line and "composer" in line]
+    assert len(plans) > 2 and moved == [] and "Exchange" not in plans[0]
+    assert {r["name"]: r["value"] for r in got.collect()}["symbolic_ready"] == 2
+
+
+def test_conflicts_stay_with_rows_that_lie_at_their_key(spark):
+    found = B.catalogue.conflicts(_manifest(spark, {}, {"composer": "Liszt"}).repartition("movement_id"), "movement_id", ["composer", "mxl_path"])
+    assert _moves(found) == 1 and [tuple(r) for r in found.collect()] == [("m", "composer", "Bach;Liszt", 2)]
+
+
+@pytest.mark.parametrize("alone", [0, 9])
+def test_report_of_keys_with_and_without_company(spark, alone):
+    """Keys in two spellings, paths of both kinds, and rows without names, whether or not most keys have one row."""
+    more = [{"recording_id": f"x{k}", "movement_id": f"y{k}", "audio_path": "", "mxl_path": ""} for k in range(alone)]
+    rows = _manifest(spark, {}, {"recording_id": " r", "rights_status": "no"}, {"composer": "Liszt", "audio_path": "s.mxl"}, {"recording_id": None, "movement_id": "", "audio_path": "b.wav"}, {"recording_id": " ", "movement_id": None, "audio_path": "b.wav", "mxl_path": "../s"}, *more)
+    files = spark.createDataFrame([("s.mxl",), ("s.mxl",), (None,), ("b.wav",)], "path string")
+    got = {(r["section"], r["name"]): r["value"] for r in B.report(rows, files, ["OK"], F.when(F.col("composer") == "Bach", True)).collect()}
+    n = {name: value for (section, name), value in got.items() if section == "counters"}
+    assert n == {
+        "rows": 5 + alone, "compositions": 1, "works": 1, "movements": 1 + alone, "recordings": 1 + alone, "symbolic_ready": 4, "missing_symbolic_paths": 1, "local_audio": 3, "missing_audio_paths": 2,
+        "authorized_audio": 3, "unauthorized_audio": 0, "fully_aligned": 2, "alignment_gaps": 1, "invalid_symbolic_paths": 1, "invalid_audio_paths": 0,
+    }
+    twisted = {name: value for (section, name), value in got.items() if section.endswith("conflicts")}
+    assert twisted == {"r|composer": 2, "r|audio_path": 2, "m|composer": 2}
+    assert got["shared audio paths", "b.wav"] == 2 and got["shared symbolic paths", "s.mxl"] == 2 and ("shared audio paths", "a.wav") not in got
+    assert ("several recordings", "c") in got if alone else ("several recordings", "c") not in got
