@@ -331,10 +331,12 @@ def _conflicts(rows: DataFrame, key: str, fields: Sequence[str]) -> tuple[DataFr
     alone, several = met.agg(F.sum(F.when(F.col("key").isNull(), F.col("rows"))), F.sum(F.when(F.col("key").isNotNull(), F.col("rows")))).first()
     wide = rows.filter(_some(key).isNotNull()).select(key, *[c for c in fields if c in rows.columns and c != key])
     if (several or 0) > (alone or 0):
-        dealt = wide.repartition(key)
+        dealt = wide.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
     else:
         dealt = wide.join(met.filter("key is not null").select(F.col("key").alias("__key")), _some(key) == F.col("__key"), "left_semi")
-    return met.agg(F.coalesce(F.sum("keys"), F.lit(0)).alias("value")), catalogue.conflicts(dealt, key, wide.columns[1:])
+    # written by as many tasks as there are parts: the values of all columns are told apart here
+    found = materialize(catalogue.conflicts(dealt, key, wide.columns[1:]).select(key, "field", "n"), "conflicts")
+    return met.agg(F.coalesce(F.sum("keys"), F.lit(0)).alias("value")), found
 
 
 def report(rows: DataFrame, assets: DataFrame, allowed: Sequence[str], covered: Column) -> DataFrame:
