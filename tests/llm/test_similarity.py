@@ -136,3 +136,18 @@ def test_working_tables_go_when_they_were_read_last(spark):
     left = {p.rsplit("/", 1)[1].rsplit("-", 1)[0] for p in made() if p not in before and exists(spark, p)}
     assert {r["doc_id"]: r["component_id"] for r in found.collect()} == {1: 1, 2: 1, 3: 3}
     assert not left & {"lists", "entries", "mixed", "tried", "close"}
+
+
+def test_whole_sets_meet_only_where_bitmaps_allow(spark, monkeypatch):
+    """Long documents that share passages, of which none links to another: no pair is joined with whole sets in either round."""
+    rng = random.Random(6)
+    pieces = [[rng.choice([f"w{i}" for i in range(900)]) for _ in range(250)] for _ in range(16)]
+    texts = [" ".join(w for k in rng.sample(range(16), 8) for w in pieces[k]) for _ in range(20)]
+    assert components(texts) == list(range(20))
+    tried, verify = [], S._verify
+    monkeypatch.setattr(S, "_verify", lambda pairs, *a: tried.append(pairs.count()) or verify(pairs, *a))
+    made_pairs, close = [], S._close
+    monkeypatch.setattr(S, "_close", lambda pairs, *a: made_pairs.append(pairs.count()) or close(pairs, *a))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    assert [r["component_id"] for r in S.components(docs).orderBy("doc_id").collect()] == list(range(20))
+    assert len(made_pairs) == 2 and made_pairs[1] > 20 and tried == [0, 0]
