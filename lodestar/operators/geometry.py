@@ -79,6 +79,74 @@ def _matrix(t: pa.Table, column: str) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
+#: Bytes of one block's vectors in double precision, and the pairs of rows that are held at a time.
+BLOCK_BYTES, TILE = 16 << 20, (512, 2048)
+
+
+def _extent(df: DataFrame, vector: str, block_rows: int | None) -> tuple[int, int]:
+    """How many rows there are, and how many of their vectors make a block: a row is copied once per block, so that copies
+    become fewer the larger the blocks are; products are made in tiles and don't grow with them."""
+    n, widest = df.agg(F.count(F.lit(1)), F.max(F.size(vector))).first()
+    return n, block_rows or max(1, BLOCK_BYTES // (8 * max(1, widest or 1)))
+
+
+def _tasks(df: DataFrame) -> int:
+    """Tasks that keep the cluster busy; more would only copy more."""
+    return min(_width(df), 8 * df.sparkSession.sparkContext.defaultParallelism)
+
+
+def _steps(n: int, most: int) -> list[tuple[int, int]]:
+    """Ranges of ``n`` places, growing to ``most``: what the first ones find spares the others from being looked at."""
+    cuts, size = [0], 16
+    while cuts[-1] < n:
+        cuts.append(min(n, cuts[-1] + size))
+        size = min(4 * size, most)
+    return [*zip(cuts[:-1], cuts[1:], strict=True)]
+
+
+class _Best:
+    """The ``k`` best partners of each of ``n`` rows. Partners come in the order of their ids, so that one with an equal
+    similarity never takes the place of one that is there."""
+
+    def __init__(self, n: int, k: int):
+        self.k, self.s, self.i = k, np.full((n, k), -2.0), np.zeros((n, k), np.int64)
+
+    def cut(self, start: int, stop: int) -> np.ndarray:
+        """What a similarity must exceed, before it is rounded, to be looked at."""
+        return self.s[start:stop, -1] + 4e-7
+
+    def offer(self, rows: np.ndarray, ids: np.ndarray, s: np.ndarray) -> None:
+        s = np.round(s, 6)
+        better = s > self.s[rows, -1]
+        rows, ids, s = rows[better], ids[better], s[better]
+        if not len(rows):
+            return
+        seen = np.unique(rows)
+        rows, ids, s = np.concatenate([np.repeat(seen, self.k), rows]), np.concatenate([self.i[seen].ravel(), ids]), np.concatenate([self.s[seen].ravel(), s])
+        order = np.lexsort((ids, -s, rows))
+        rows, ids, s = rows[order], ids[order], s[order]
+        place = np.arange(len(rows)) - np.searchsorted(rows, rows, "left")
+        use = place < self.k
+        self.s[rows[use], place[use]], self.i[rows[use], place[use]] = s[use], ids[use]
+
+    def table(self, ids: np.ndarray, schema: pa.Schema) -> pa.Table:
+        use = self.s > -2
+        return pa.table([pa.array(np.broadcast_to(ids[:, None], use.shape)[use]), pa.array(self.i[use]), pa.array(self.s[use])], schema=schema)
+
+
+def _above(rough: np.ndarray, x: np.ndarray, y: np.ndarray, cut: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Where products of unit rows exceed a cut: (row, column, product in double precision), from products in single
+    precision, which are off by less than one of its steps for each element and a few more."""
+    slack = (x.shape[1] + 16) * 2.0**-23
+    at = np.flatnonzero(rough > (cut - slack).astype(np.float32))
+    if 8 * len(at) * x.shape[1] > BLOCK_BYTES:  # so many that all are made again
+        sure = x @ y.T
+        u, v = np.nonzero(sure > cut)
+        return u, v, sure[u, v]
+    u, v = np.divmod(at, rough.shape[1])
+    return u, v, np.einsum("ij,ij->i", x[u], y[v])
+
+
 def _grid(n: int, partitions: int, most_rows: int) -> int:
     """Into how many blocks rows are dealt: each pair of blocks is a task, so about the root of the number of tasks, and
     more only where a block would hold too many rows. A row is copied once per block."""
@@ -96,44 +164,57 @@ def _dealt(df: DataFrame, blocks: int, names: Sequence[str]) -> DataFrame:
     return df.select(*names, F.col("v").cast("array<double>").alias("v"), _block(names[0], blocks).alias("b"))
 
 
+def _met(rows: DataFrame, names: Sequence[str], blocks: int) -> tuple[DataFrame, DataFrame]:
+    """Both sides of every unordered pair of blocks (lb, rb); a block meets itself on the left side only.
+
+    A pair is much work for its bytes, so the number of partitions is given: by their bytes they would be put together.
+    """
+    tasks = min(blocks * (blocks + 1) // 2, _width(rows))
+    every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("o")
+    left = rows.select(*names, F.col("b").alias("lb"), every).withColumnRenamed("o", "rb").filter("lb <= rb")
+    right = rows.select(*names, F.col("b").alias("rb"), every).withColumnRenamed("o", "lb").filter("lb < rb")
+    right = right.toDF(*right.columns)  # a table of its own: both sides come from one
+    return left.repartition(tasks, "lb", "rb"), right.repartition(tasks, "lb", "rb")
+
+
 def _width(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
-def nearest(df: DataFrame, k: int, item: str = "vec_id", vector: str = "embedding", block_rows: int = 4096) -> DataFrame:
+def nearest(df: DataFrame, k: int, item: str = "vec_id", vector: str = "embedding", block_rows: int | None = None) -> DataFrame:
     """The ``k`` most similar other items of every item: (item, neighbour, similarity, rank); ties to the lower id.
 
     A blocked nested loop: items fall into blocks, each unordered pair of blocks meets in one task as two matrices whose
-    product serves both sides, keeps the ``k`` best of each row, and the partial results are ranked. Memory is two blocks,
-    whatever the table's size; the number of blocks follows the number of tasks, not of rows, as long as they fit.
+    product serves both sides, and the partial results are ranked. Products are made in tiles and in single precision; only
+    what may exceed the ``k``-th best so far is made again in double precision and sorted. Memory is two blocks and a tile, whatever the table's size; the number of blocks
+    follows the number of tasks, not of rows, as long as they fit.
     """
     share_code(df.sparkSession)
-    blocks = _grid(df.count(), _width(df), block_rows)
+    n, most = _extent(df, vector, block_rows)
+    blocks = _grid(n, _tasks(df), most)
     rows = _dealt(df.select(F.col(item).alias("id"), F.col(vector).alias("v")), blocks, ["id"])
-    every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("o")
-    left = rows.select("id", "v", F.col("b").alias("lb"), every).withColumnRenamed("o", "rb").filter("lb <= rb")
-    right = rows.select("id", "v", F.col("b").alias("rb"), every).withColumnRenamed("o", "lb").filter("lb < rb")
-    right = right.toDF(*right.columns)  # a table of its own: both sides come from one
+    left, right = _met(rows, ["id", "v"], blocks)
     schema = pa.schema([("id", pa.int64()), ("neighbour", pa.int64()), ("similarity", pa.float64())])
 
-    def best(i: np.ndarray, j: np.ndarray, s: np.ndarray) -> pa.Table:
-        """The best of each row; columns come in the order of their ids, so the first of equal ones has the lowest."""
-        order = np.argsort(-s, axis=1, kind="stable")[:, :k]
-        top = np.take_along_axis(s, order, 1)
-        use = top > -2
-        return pa.table([pa.array(np.broadcast_to(i[:, None], order.shape)[use]), pa.array(j[order][use]), pa.array(top[use])], schema=schema)
-
     def meet(key: tuple, a: pa.Table, b: pa.Table) -> pa.Table:
         alone = key[0].as_py() == key[1].as_py()
         b = a if alone else b
         if not a.num_rows or not b.num_rows:
             return schema.empty_table()
         (i, x), (j, y) = ((ids[o], _matrix(t, "v")[o]) for t in (a, b) for ids in (t.column("id").to_numpy(),) for o in (np.argsort(ids),))
-        s = np.round(x @ y.T, 6)
-        if alone:
-            s[i[:, None] == j[None, :]] = -2
-            return best(i, j, s)
-        return pa.concat_tables([best(i, j, s), best(j, i, np.ascontiguousarray(s.T))])
+        rough = [m.astype(np.float32) for m in (x, y)]
+        mine, theirs = _Best(len(i), k), _Best(len(j), k)
+        for r, r_end in _steps(len(i), TILE[0]):
+            for c, c_end in _steps(len(j), TILE[1]):
+                s = rough[0][r:r_end] @ rough[1][c:c_end].T
+                u, v, sure = _above(s, x[r:r_end], y[c:c_end], mine.cut(r, r_end)[:, None])
+                if alone:
+                    u, v, sure = (t[i[u + r] != j[v + c]] for t in (u, v, sure))
+                mine.offer(u + r, j[v + c], sure)
+                if not alone:
+                    u, v, sure = _above(s, x[r:r_end], y[c:c_end], theirs.cut(c, c_end)[None, :])
+                    theirs.offer(v + c, i[u + r], sure)
+        return mine.table(i, schema) if alone else pa.concat_tables([mine.table(i, schema), theirs.table(j, schema)])
 
     part = left.groupBy("lb", "rb").cogroup(right.groupBy("lb", "rb")).applyInArrow(meet, "id long, neighbour long, similarity double")
     w = Window.partitionBy("id").orderBy(F.desc("similarity"), "neighbour")

@@ -117,3 +117,10 @@ def test_the_norm_is_made_once_a_vector(spark):
     df = spark.createDataFrame([([3.0, 4.0],), ([0.0, 0.0],), (None,)], "a array<double>").select(unit(F.col("a")).alias("u"))
     assert [r["u"] for r in df.collect()] == [[0.6, 0.8], None, None]
     assert df._jdf.queryExecution().analyzed().toString().lower().count("sqrt(") == 1
+
+
+def test_a_row_is_copied_to_few_blocks(spark):
+    """Twenty blocks of a few thousand rows would be twenty copies of the table; by their bytes these rows are one block."""
+    df = spark.range(60_000).select(F.col("id").alias("vec_id"), F.lit(0).alias("label"), F.expr("array(cast(id as double), 1d)").alias("vector"))
+    n, most = G._extent(df, "vector", None)
+    assert G._grid(n, 1, most) <= 2 < -(-n // 4096)
