@@ -285,34 +285,50 @@ def top_across(df: DataFrame, group: str, item: str, k: int, vector: str = "vect
     return part.withColumn("rank", F.row_number().over(w).cast("long")).filter(F.col("rank") <= k)
 
 
-def pair_similarities(df: DataFrame, item: str, group: str, vector: str = "embedding", block_rows: int = 2048) -> DataFrame:
+#: Values of a similarity from 0 to 1, and the pairs that are counted at a time.
+_MICRO, _COUNTED = 1_000_000, 4 << 20
+
+
+def pair_similarities(df: DataFrame, item: str, group: str, vector: str = "embedding", block_rows: int | None = None) -> DataFrame:
     """Histograms of the similarities of all pairs ``i < j``: (within, similarity, n), similarity in six digits.
 
     Counting equal rounded values where the pairs are made keeps the output small: at most two million values and
-    two classes, whatever the number of pairs.
+    two classes, whatever the number of pairs. Products are made and counted in tiles, so memory is two blocks, a tile and
+    the counts.
     """
     share_code(df.sparkSession)
-    blocks = _grid(df.count(), _width(df), block_rows)
+    n, most = _extent(df, vector, block_rows)
+    blocks = _grid(n, _tasks(df), most)
     rows = df.select(F.col(item).alias("id"), F.col(group).alias("g"), F.col(vector).cast("array<double>").alias("v"), _block(item, blocks).alias("b"))
-    every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("o")
-    left = rows.select("id", "g", "v", F.col("b").alias("lb"), every).withColumnRenamed("o", "rb").filter("lb <= rb")
-    right = rows.select("id", "g", "v", F.col("b").alias("rb"), every).withColumnRenamed("o", "lb").filter("lb <= rb")
-    right = right.toDF(*right.columns)  # a table of its own: both sides come from one
+    left, right = _met(rows, ["id", "g", "v"], blocks)
+    schema = pa.schema([("within", pa.bool_()), ("micro", pa.int64()), ("n", pa.int64())])
 
     def meet(key: tuple, a: pa.Table, b: pa.Table) -> pa.Table:
-        schema = pa.schema([("within", pa.bool_()), ("micro", pa.int64()), ("n", pa.int64())])
+        alone = key[0].as_py() == key[1].as_py()
+        b = a if alone else b
         if not a.num_rows or not b.num_rows:
             return schema.empty_table()
-        i, j = (t.column("id").to_numpy() for t in (a, b))
-        g, h = (t.column("g").to_numpy() for t in (a, b))
-        s = np.rint(np.round(_matrix(a, "v") @ _matrix(b, "v").T, 6) * 1e6).astype(np.int64)
-        use = i[:, None] < j[None, :] if key[0].as_py() == key[1].as_py() else np.ones(s.shape, bool)
-        same = g[:, None] == h[None, :]
-        tables = []
-        for within in (True, False):
-            values, counts = np.unique(s[use & (same == within)], return_counts=True)
-            tables.append(pa.table([pa.array(np.full(len(values), within)), pa.array(values), pa.array(counts)], schema=schema))
-        return pa.concat_tables(tables)
+        (i, g, x), (j, h, y) = ((t.column("id").to_numpy(), t.column("g").to_numpy(), _matrix(t, "v")) for t in (a, b))
+        for m in (x, y):
+            m[np.isnan(m).any(1)] = 0  # what has no direction is like nothing
+        counts = np.zeros(2 * (2 * _MICRO + 1), np.int64)  # of each value first those between, then those within
+        tall = max(1, _COUNTED // min(len(j), TILE[1]))
+        for r in range(0, len(i), tall):
+            for c in range(0, len(j), TILE[1]):
+                u, v = slice(r, r + tall), slice(c, c + TILE[1])
+                s = x[u] @ y[v].T
+                np.rint(np.multiply(s, _MICRO, out=s), out=s)
+                place = (s + _MICRO).astype(np.int64)
+                place *= 2
+                place += g[u, None] == h[None, v]
+                if alone:
+                    place = place[i[u, None] < j[None, v]]
+                if place.size:
+                    least = int(place.min())
+                    found = np.bincount((place - least).ravel())
+                    counts[least : least + len(found)] += found
+        at = np.flatnonzero(counts)
+        return pa.table([pa.array(at % 2 == 1), pa.array(at // 2 - _MICRO), pa.array(counts[at])], schema=schema)
 
     part = left.groupBy("lb", "rb").cogroup(right.groupBy("lb", "rb")).applyInArrow(meet, "within boolean, micro long, n long")
     return part.groupBy("within", "micro").agg(F.sum("n").alias("n")).select("within", (F.col("micro") / 1e6).alias("similarity"), "n")

@@ -119,6 +119,32 @@ def test_the_norm_is_made_once_a_vector(spark):
     assert df._jdf.queryExecution().analyzed().toString().lower().count("sqrt(") == 1
 
 
+def test_large_blocks_are_met_in_tiles(spark, monkeypatch):
+    """A block is as large as its bytes allow, so that a row is copied to few; what is held at a time does not grow with it."""
+    rng = np.random.default_rng(11)
+    x = rng.normal(size=(5000, 4))
+    x[100:400] = x[100]  # many of one similarity: the lowest ids are the nearest
+    df = _frame(spark, [(i, i % 3, v.tolist()) for i, v in enumerate(x)])
+    assert G._extent(df, "vector", None) == (5000, G.BLOCK_BYTES // 32)
+    made = []
+    grid = G._grid
+    monkeypatch.setattr(G, "_grid", lambda n, tasks, most: made.append((n, most)) or grid(1, tasks, n))
+    got = {(r["vec_id"], r["rank"]): (r["neighbour"], r["similarity"]) for r in G.nearest(df, 3, "vec_id", "vector").collect()}
+    y = x / np.linalg.norm(x, axis=1, keepdims=True)
+    s = np.round(y @ y.T, 6)
+    np.fill_diagonal(s, -2)
+    order = np.argsort(-s, axis=1, kind="stable")[:, :3]
+    assert all([got[i, k + 1][0] for k in range(3)] == order[i].tolist() for i in range(5000))
+    assert all(got[i, k + 1][1] == pytest.approx(s[i, order[i, k]], abs=1e-9) for i in range(5000) for k in range(3))
+    h = {(r["within"], round(r["similarity"] * 1e6)): r["n"] for r in G.pair_similarities(df, "vec_id", "label", "vector").collect()}
+    i, j = np.triu_indices(5000, 1)
+    for within in (True, False):
+        use = (i % 3 == j % 3) == within
+        values, counts = np.unique(np.rint(s[i[use], j[use]] * 1e6).astype(int), return_counts=True)
+        assert {v: n for (w, v), n in h.items() if w == within} == dict(zip(values.tolist(), counts.tolist(), strict=True))
+    assert made == [(5000, G.BLOCK_BYTES // 32)] * 2
+
+
 def test_a_row_is_copied_to_few_blocks(spark):
     """Twenty blocks of a few thousand rows would be twenty copies of the table; by their bytes these rows are one block."""
     df = spark.range(60_000).select(F.col("id").alias("vec_id"), F.lit(0).alias("label"), F.expr("array(cast(id as double), 1d)").alias("vector"))
