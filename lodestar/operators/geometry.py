@@ -7,6 +7,7 @@ from collections.abc import Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -221,6 +222,62 @@ def nearest(df: DataFrame, k: int, item: str = "vec_id", vector: str = "embeddin
     return part.withColumn("rank", F.row_number().over(w).cast("long")).filter(F.col("rank") <= k).withColumnRenamed("id", item)
 
 
+def _products(a: pa.Table, b: pa.Table, digits: int) -> tuple[np.ndarray, np.ndarray | None]:
+    """Rounded products of all rows of ``a`` and ``b`` and, where some have none, which: those of a null vector and of
+    vectors of two lengths."""
+    sizes = [pc.fill_null(pc.list_value_length(t.column("v")), -1).to_numpy() for t in (a, b)]
+    same = len(found := np.unique(np.concatenate(sizes))) == 1 and found[0] >= 0
+    s = np.zeros((a.num_rows, b.num_rows))
+    none = None if same else np.ones(s.shape, bool)
+    for size in found[found >= 0]:
+        at = [np.flatnonzero(n == size) for n in sizes]
+        x, y = (t.column("v").take(pa.array(r)).combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(r), size) for t, r in zip((a, b), at, strict=True))
+        if same:
+            s = x @ y.T
+        else:
+            s[np.ix_(*at)], none[np.ix_(*at)] = x @ y.T, False
+    return np.round(s, digits) + 0.0, none  # without negative zeros
+
+
+def matched(a: DataFrame, b: DataFrame, key: str, item_a: str, item_b: str, vector: str = "vector", block_rows: int = 1024) -> DataFrame:
+    """(item_a, item_b, key, similarity): every row of ``a`` with every row of ``b`` of its key, the inner product in six
+    digits; null for a null vector. A null key matches nothing.
+
+    The rows of a key fall into blocks on both sides, as many as it has rows for, and two blocks meet as matrices: no task
+    holds a key, and a row is copied once for some thousand pairs.
+    """
+    share_code(a.sparkSession)
+    kinds = [dict(df.dtypes)[c] for df, c in ((a, item_a), (b, item_b), (a, key))]
+    shape = pa.schema([(item_a, pa.int64()), (item_b, pa.int64()), (key, pa.int64()), ("similarity", pa.float64())])
+    ones = [df.select(F.col(key).alias("key"), F.lit(side).alias("side")) for df, side in ((a, 0), (b, 1))]
+    n = lambda side: F.ceil(F.count_if(F.col("side") == side) / block_rows).cast("int")
+    counts = ones[0].unionByName(ones[1]).filter("key is not null").groupBy("key").agg(n(0).alias("m"), n(1).alias("n")).filter("m > 0 and n > 0")
+    wide = counts.filter("m > 1 or n > 1")  # a key of one block needs no count: there are never many of the others
+
+    def dealt(df: DataFrame, item: str, own: str, others: str, mine: str, other: str) -> DataFrame:
+        rows = df.select(F.col(item).alias("id"), F.col(key).alias("key"), F.col(vector).cast("array<double>").alias("v")).filter("key is not null")
+        rows = rows.join(wide, "key", "left").fillna(1, ["m", "n"])
+        block = F.pmod(F.xxhash64("id", "v"), F.col(own)).cast("int")
+        rows = rows.select("id", "key", "v", block.alias(mine), F.explode(F.sequence(F.lit(0), F.col(others) - 1)).alias(other))
+        return rows.repartition(_width(df), "key", "lb", "rb")
+
+    left, right = dealt(a, item_a, "m", "n", "lb", "rb"), dealt(b, item_b, "n", "m", "rb", "lb")
+    right = right.toDF(*right.columns)  # a table of its own: both sides may come from one
+
+    def meet(group: tuple, x: pa.Table, y: pa.Table) -> pa.Table:
+        if not x.num_rows or not y.num_rows:
+            return shape.empty_table()
+        s, none = _products(x, y, 6)
+        i, j = (t.column("id").combine_chunks() for t in (x, y))
+        i, j = i.take(pa.array(np.repeat(np.arange(len(i)), len(j)))), j.take(pa.array(np.tile(np.arange(len(j)), len(i))))
+        where = pa.array(np.full(s.size, group[0].as_py(), np.int64))
+        return pa.table([i, j, where, pa.array(s.ravel(), mask=None if none is None else none.ravel())], schema=shape)
+
+    return left.groupBy("key", "lb", "rb").cogroup(right.groupBy("key", "lb", "rb")).applyInArrow(
+        meet, f"`{item_a}` {kinds[0]}, `{item_b}` {kinds[1]}, `{key}` {kinds[2]}, similarity double"
+    )
+
+
 def cross_similarities(a: DataFrame, b: DataFrame, vector: str = "vector", block_rows: int = 4096) -> DataFrame:
     """(similarity, n): how many pairs of a row of ``a`` and a row of ``b`` have each similarity, in six digits.
 

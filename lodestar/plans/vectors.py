@@ -354,6 +354,5 @@ def group_prompt_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 FROM t a JOIN t b ON a.work_id = b.work_id AND a.vec_id % 2 = 0 AND b.vec_id % 2 = 1""")
 def score_audio_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = vectors(spark, sf_dir).filter("vec_id >= 10")
-    a = p.filter("vec_id % 2 = 0").select(F.col("vec_id").alias("score_id"), "work_id", F.col("vector").alias("va"))
-    b = p.filter("vec_id % 2 = 1").select(F.col("vec_id").alias("audio_id"), "work_id", F.col("vector").alias("vb"))
-    return a.join(b, "work_id").select("score_id", "audio_id", "work_id", F.round(dot(F.col("va"), F.col("vb")), 6).alias("similarity"))
+    a, b = (p.filter(f"vec_id % 2 = {side}").withColumnRenamed("vec_id", name) for side, name in ((0, "score_id"), (1, "audio_id")))
+    return G.matched(a, b, "work_id", "score_id", "audio_id")

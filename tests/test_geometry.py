@@ -150,3 +150,27 @@ def test_a_row_is_copied_to_few_blocks(spark):
     df = spark.range(60_000).select(F.col("id").alias("vec_id"), F.lit(0).alias("label"), F.expr("array(cast(id as double), 1d)").alias("vector"))
     n, most = G._extent(df, "vector", None)
     assert G._grid(n, 1, most) <= 2 < -(-n // 4096)
+
+
+@pytest.mark.parametrize("block", [3, 1024])
+def test_matched_is_the_join(spark, block):
+    rng = np.random.default_rng(5)
+    vectors = [v.tolist() for v in rng.normal(size=(40, 3))]
+    vectors[4], vectors[9], vectors[7] = None, [1.0, 2.0], [-1e-9, 0.0, 0.0]
+    rows = [(i, None if i == 12 else i % 7 // 3, v) for i, v in enumerate(vectors)] + [(2, 0, vectors[3]), (1000, 8, [1.0, 0.0, 0.0])]
+    df = spark.createDataFrame(rows, "vec_id long, work_id long, vector array<double>")
+    a, b = (df.filter(f"vec_id % 2 = {k}").withColumnRenamed("vec_id", c) for k, c in ((0, "x"), (1, "y")))
+    got = sorted((r["x"], r["y"], r["work_id"], r["similarity"] is None, r["similarity"] or 0.0) for r in G.matched(a, b, "work_id", "x", "y", block_rows=block).collect())
+    dot = lambda u, v: None if u is None or v is None or len(u) != len(v) else round(float(np.dot(u, v)), 6)
+    pairs = [(i, j, g, dot(u, v)) for i, g, u in rows for j, h, v in rows if g is not None and g == h and i % 2 == 0 and j % 2 == 1]
+    want = sorted((i, j, g, s is None, s or 0.0) for i, j, g, s in pairs)
+    assert [r[:4] for r in got] == [r[:4] for r in want] and [r[4] for r in got] == pytest.approx([r[4] for r in want], abs=1.1e-6)
+    assert G.matched(a.limit(0), b, "work_id", "x", "y").count() == 0
+
+
+def test_a_large_work_is_met_in_blocks(spark, spread):
+    """One work of many rows is dealt out: no task makes all of its pairs."""
+    df = spark.range(400).select(F.col("id").alias("vec_id"), F.lit(1).cast("long").alias("work_id"), F.expr("array(1d, 0d)").alias("vector"))
+    a, b = (df.filter(f"vec_id % 2 = {k}").withColumnRenamed("vec_id", c) for k, c in ((0, "x"), (1, "y")))
+    per = G.matched(a, b, "work_id", "x", "y", block_rows=20).groupBy(F.spark_partition_id()).count().collect()
+    assert sum(r["count"] for r in per) == 200 * 200 and len(per) > 2
